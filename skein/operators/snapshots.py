@@ -7,12 +7,10 @@ of neighbouring bitmaps gives additions and removals, AND with unequal vectors t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SPAN = 1 << 16
@@ -82,90 +80,102 @@ def json_form(text: Column) -> Column:
 
 
 def ordered_generations(deliveries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(scope, generation_id, seq, next_generation_id) of the generations that have rows, in the
-    order of `first_published_at`, ties by id; a generation in no catalogue comes first, by id."""
-    from pyspark.sql import Window
-
+    """(project, generation_id, seq, last) of the generations that have rows: their number in the
+    order of `first_published_at`, ties by id, and the project's last number. A generation that is
+    in no catalogue comes first."""
     have = deliveries.select("project", "generation_id").distinct()
     when = catalog.groupBy("generation_id").agg(F.min("first_published_at").alias("at"))
     by = Window.partitionBy("project").orderBy(F.col("at").asc_nulls_first(), "generation_id")
     return have.join(when, "generation_id", "left").select(
-        "project", "generation_id", F.row_number().over(by).alias("seq"), F.lead("generation_id").over(by).alias("next_generation_id")
+        "project", "generation_id", F.row_number().over(by).alias("seq"), F.count(F.lit(1)).over(Window.partitionBy("project")).cast("int").alias("last")
     )
 
 
-_OUT = "project string, generation_id string, k0 string, k1 string, k2 string, change_kind string"
+_OUT = "project string, k0 string, k1 string, k2 string, seq int, change_kind string"
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """The changes inside one shard: all rows of its keys, of all projects and generations."""
-    t = table.to_pandas()
-    keys = ["project", "k0", "k1", "k2"]
+    """The changes inside one shard: one row per key, with its generations and their values.
+
+    Projects share the shard's ordinals, and bitmaps are kept by the number of a generation in its
+    project, so one AND-NOT compares neighbouring generations of all projects at once.
+    """
+    lists = table.column("held").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+    seq, value = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("seq", "value"))
     # the shard's dictionary: a key's ordinal is its rank by first appearance, then by key, so
     # later generations never renumber it
-    first = t.groupby(keys, dropna=False, sort=True)["seq"].min().reset_index(name="born").sort_values(["project", "born", "k0", "k1", "k2"], kind="stable")
-    first["ordinal"] = np.arange(len(first))
-    t = t.merge(first.drop(columns="born"), on=keys, how="left")
-    found: list[pd.DataFrame] = []
-    for project, rows in t.groupby("project", dropna=False, sort=False):
-        base = int(rows["ordinal"].min())
-        n = int(rows["ordinal"].max()) - base + 1
-        sets: dict[int, Bitmap] = {}
-        vectors: dict[int, np.ndarray] = {}
-        following: dict[int, str | None] = {}
-        ids: dict[int, str] = {}
-        for seq, g in rows.groupby("seq", sort=True):
-            seq = int(seq)
-            at = g["ordinal"].to_numpy() - base
-            sets[seq] = Bitmap.of(at)
-            # of several rows of a key that differ, the one with the greatest hash counts
-            vectors[seq] = np.full(n, np.iinfo(np.int64).min, np.int64)
-            np.maximum.at(vectors[seq], at, g["value"].to_numpy())
-            ids[seq], following[seq] = g["generation_id"].iloc[0], g["next_generation_id"].iloc[0]
-        none = Bitmap({})
-        for seq in sorted(sets):
-            cur = sets[seq]
-            if seq > 1:
-                prev = sets.get(seq - 1, none)
-                found.append(_named(first, base, cur.and_not(prev).ordinals(), ids[seq], "added"))
-                if seq - 1 in sets:
-                    both = cur.and_(prev).ordinals()
-                    differ = both[vectors[seq][both] != vectors[seq - 1][both]]
-                    found.append(_named(first, base, differ, ids[seq], "changed"))
-            if isinstance(following[seq], str):
-                gone = cur.and_not(sets.get(seq + 1, none)).ordinals()
-                found.append(_named(first, base, gone, following[seq], "removed"))
-        del sets, vectors
-    columns = ["project", "generation_id", "k0", "k1", "k2", "change_kind"]
-    out = pd.concat(found)[columns] if found else pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
-    return pa.Table.from_pandas(out, schema=pa.schema([(c, pa.string()) for c in columns]), preserve_index=False)
-
-
-def _named(first: pd.DataFrame, base: int, ordinals: np.ndarray, generation: str, kind: str) -> pd.DataFrame:
-    rows = first.iloc[ordinals + base][["project", "k0", "k1", "k2"]]
-    return rows.assign(generation_id=generation, change_kind=kind)
-
-
-def snapshot_changes(snapshots: DataFrame, generations: DataFrame, keys: list[str], values: list[Column], rows_per_shard: int = 100_000) -> DataFrame:
+    born = np.full(table.num_rows, np.iinfo(np.int64).max)
+    np.minimum.at(born, row, seq)
+    by_key = pa.compute.sort_indices(table.append_column("born", pa.array(born)), [(c, "ascending") for c in ("born", "project", "k0", "k1", "k2")]).to_numpy()
+    ordinal_of = np.empty(table.num_rows, np.int64)
+    ordinal_of[by_key] = np.arange(table.num_rows)
+    ordinal = ordinal_of[row]
+    last = table.column("last").to_numpy()[by_key]
+
+    order = np.lexsort((value, seq))  # of several values of a key the greatest is written last
+    bounds = np.flatnonzero(np.r_[True, np.diff(seq[order]) > 0, True])
+    spans = {int(seq[order[i]]): order[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)} if len(seq) else {}
+
+    def aligned(s: int) -> tuple[Bitmap, np.ndarray]:
+        """The bitmap of generation number s and its values by ordinal."""
+        rows = spans.get(s, np.empty(0, np.int64))
+        vector = np.zeros(table.num_rows, np.int64)
+        vector[ordinal[rows]] = value[rows]
+        return Bitmap.of(ordinal[rows]), vector
+
+    out: list[tuple[np.ndarray, int, str]] = []
+    before = (Bitmap({}), None)
+    before_s = None
+    for s in sorted(spans):
+        if before_s != s - 1:
+            before = (Bitmap({}), None)
+        now = aligned(s)
+        if s > 1:
+            out.append((now[0].and_not(before[0]).ordinals(), s, "added"))
+            both = now[0].and_(before[0]).ordinals()
+            if len(both):
+                out.append((both[now[1][both] != before[1][both]], s, "changed"))
+        after = Bitmap.of(ordinal[spans[s + 1]]) if s + 1 in spans else Bitmap({})
+        gone = now[0].and_not(after).ordinals()
+        out.append((gone[last[gone] > s], s + 1, "removed"))
+        before, before_s = now, s
+    ordinals = np.concatenate([o for o, _, _ in out]) if out else np.empty(0, np.int64)
+    named = table.select(["project", "k0", "k1", "k2"]).take(pa.array(by_key[ordinals]))
+    seqs = np.concatenate([np.full(len(o), s, np.int32) for o, s, _ in out]) if out else np.empty(0, np.int32)
+    kinds = np.concatenate([np.full(len(o), k, object) for o, _, k in out]) if out else np.empty(0, object)
+    return named.append_column("seq", pa.array(seqs, pa.int32())).append_column("change_kind", pa.array(kinds, pa.string()))
+
+
+#: Up to so many generations (about 20 MB) their table is broadcast; beyond, it is shuffled.
+_FEW_GENERATIONS = 200_000
+
+
+def snapshot_changes(snapshots: DataFrame, generations: DataFrame, keys: list[str], values: list[Column], rows_per_shard: int = 400_000) -> DataFrame:
     """Per project and generation but the first, the keys (`k0`, `k1`, `k2`; absent ones '')
     added, removed or changed against the generation before.
 
     `snapshots` has project, generation_id, up to three string `keys` and what `values` read;
-    `generations` comes from `ordered_generations`. Repeated rows count once; null key parts are a
+    `generations` comes from `ordered_generations`. Repeated rows count once; of rows of a key
+    that differ within a generation, one decides, the same on every run. Null key parts are a
     value of their own; null values equal each other. Rows of a generation that `generations`
     lacks, or without a project, are left out. A generation without rows here has lost all keys.
 
-    Repeated rows collapse before they are shuffled; rows are then spread by the hash of project
-    and key, so neither a large project nor a large generation gathers in a task, and a key brings
-    one row per generation. The shard count follows the row count.
+    Rows are gathered per key, repeated ones collapsing before the shuffle, and keys are spread
+    over shards by their hash, so neither a large project nor a large generation meets in a task.
+    The shard count follows the row count.
     """
+    few = generations.count() <= _FEW_GENERATIONS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     parts = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)] + [F.lit("").alias(f"k{i}") for i in range(len(keys), 3)]
     told = [c for v in values for c in (F.isnull(v), v)]  # a hash alone passes over nulls
     rows = snapshots.select("project", "generation_id", *parts, F.xxhash64(*told).alias("value"))
-    rows = rows.groupBy("project", "generation_id", "k0", "k1", "k2").agg(F.max("value").alias("value"))
     shards = max(1, -(-snapshots.count() // rows_per_shard))
-    rows = (
-        rows.join(generations, ["project", "generation_id"])
+    by_key = (
+        rows.join(small(generations), ["project", "generation_id"])
+        .groupBy("project", "k0", "k1", "k2")
+        .agg(F.max("last").alias("last"), F.collect_set(F.struct("seq", "value")).alias("held"))
         .withColumn("shard", F.pmod(F.xxhash64("project", "k0", "k1", "k2"), F.lit(shards)).cast("int"))
     )
-    return rows.groupBy("shard").applyInArrow(_shard, _OUT)
+    found = by_key.groupBy("shard").applyInArrow(_shard, _OUT)
+    return found.join(small(generations.select("project", "seq", "generation_id")), ["project", "seq"]).drop("seq")

@@ -11,7 +11,7 @@ from skein.operators.nested import object_bridge, object_store
 from skein.operators.orphans import References, orphan_references, record_states
 from skein.operators.snapshots import json_form, ordered_generations, snapshot_changes
 from skein.operators.tablediff import as_number, table_diff
-from skein.session import table
+from skein.session import materialize, table
 
 HOT_SHARE = 0.02
 _QUANTILES = {"q25": 0.25, "median": 0.5, "q90": 0.9}
@@ -138,7 +138,7 @@ select ref_table, ref_field, month, case when reason = 'orphaned' then 'inherite
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = table(spark, sf_dir, "node_snapshots"), table(spark, sf_dir, "edge_snapshots")
-    order = ordered_generations(nodes, table(spark, sf_dir, "generation_catalog"))
+    order = materialize(ordered_generations(nodes, table(spark, sf_dir, "generation_catalog")), "generations")
     form = json_form(F.col("properties_json"))
     of_nodes = snapshot_changes(nodes, order, ["qualified_name"], [*map(F.col, ("label", "name", "file_path", "start_line", "end_line")), form])
     of_edges = snapshot_changes(edges, order, ["source_qn", "target_qn", "type"], [form])
