@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,10 +42,11 @@ def qn_top_package(qn: Column) -> Column:
 
 #: Languages by extension (fixed values).
 LANGUAGES = {
-    "py": "Python", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "go": "Go",
-    "rs": "Rust", "java": "Java", "kt": "Kotlin", "scala": "Scala", "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "hpp": "C++", "cs": "C#", "rb": "Ruby",
-    "php": "PHP", "swift": "Swift", "lua": "Lua", "sh": "Shell", "sql": "SQL", "html": "HTML", "css": "CSS", "md": "Markdown", "json": "JSON", "yaml": "YAML",
-    "yml": "YAML", "toml": "TOML", "r": "R", "jl": "Julia", "dart": "Dart", "ex": "Elixir", "exs": "Elixir", "hs": "Haskell", "vue": "Vue",
+    "py": "Python", "go": "Go", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "rs": "Rust", "java": "Java", "cpp": "C++",
+    "cc": "C++", "cxx": "C++", "c": "C", "h": "C", "cs": "C#", "php": "PHP", "lua": "Lua", "scala": "Scala", "kt": "Kotlin", "rb": "Ruby", "sh": "Bash",
+    "bash": "Bash", "zig": "Zig", "ex": "Elixir", "exs": "Elixir", "hs": "Haskell", "ml": "OCaml", "mli": "OCaml", "html": "HTML", "css": "CSS",
+    "yaml": "YAML", "yml": "YAML", "toml": "TOML", "hcl": "HCL", "tf": "HCL", "sql": "SQL", "erl": "Erlang", "swift": "Swift", "dart": "Dart",
+    "groovy": "Groovy", "pl": "Perl", "r": "R", "scss": "SCSS", "vue": "Vue", "svelte": "Svelte",
 }
 
 
@@ -55,12 +57,20 @@ def language(path: Column) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    """Below a test folder, or named as a test or a specification."""
-    return F.coalesce(graph_path(path).rlike(r"(^|/)(test|tests|__tests__)/|\.(test|spec)\."), F.lit(False))
+    """Below a test folder, or named as a test or a specification; case apart."""
+    return F.coalesce(F.lower(graph_path(path)).rlike(r"(^|/)(test|tests|__tests__)/|\.(test|spec)\."), F.lit(False))
+
+
+def is_test_file(path: Column) -> Column:
+    """By the naming habits of many languages: test folders, prefixes and endings."""
+    p = F.coalesce(path, F.lit(""))
+    return p.rlike(r"(^|/)(__tests__|tests|test|spec)/|(^|/)test_[^/]*$|_test\.(go|py|rs|cpp|lua)$|\.(test|spec)\.(ts|js|tsx)|Test\.(java|kt|cs|php)$|Spec\.scala$|_spec\.rb$")
 
 
 def is_test_name(name: Column) -> Column:
-    return F.coalesce(name.rlike(r"^(test|Test|it_|should)|(_test|Test|_spec)$"), F.lit(False))
+    """A function's name that test runners look for."""
+    hooks = ("test", "it", "describe", "beforeAll", "afterAll", "beforeEach", "afterEach", "@testset", "@test")
+    return F.coalesce(name.rlike(r"^(Test|Benchmark|Example)([A-Z]|$)|^test_|^test[A-Z]") | name.isin(*hooks), F.lit(False))
 
 
 def owner_qn(qn: Column) -> Column:
@@ -114,9 +124,19 @@ def route_path(path: Column) -> Column:
     return out
 
 
+def _accented() -> tuple[str, str]:
+    """Letters that decompose to one ASCII letter with marks, and those letters."""
+    pairs = []
+    for cp in range(0xC0, 0x1F00):
+        base = unicodedata.normalize("NFD", chr(cp))
+        if len(base) > 1 and base[0].isascii() and base[0].islower() and all(unicodedata.combining(c) for c in base[1:]):
+            pairs.append((chr(cp), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def slug(title: Column, limit: int = 200) -> Column:
     """Lower case, accents off, anything else than letters and digits a single dash."""
-    plain = F.translate(F.lower(title), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    plain = F.regexp_replace(F.translate(F.lower(title), *_accented()), r"[\u0300-\u036f]", "")
     return F.substring(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, limit)
 
 

@@ -137,7 +137,8 @@ def layers(g: PropertyGraph, top: int = 10) -> DataFrame:
     b = boundaries(g, top)
     io = b.select(F.explode(F.array(F.struct(F.col("source").alias("c"), F.lit(0).cast("bigint").alias("i"), F.col("n_calls").alias("o")), F.struct(F.col("target").alias("c"), F.col("n_calls").alias("i"), F.lit(0).cast("bigint").alias("o")))).alias("x")).select("x.*")
     t = io.groupBy(F.col("c").alias("community")).agg(F.sum("i").alias("calls_in"), F.sum("o").alias("calls_out"))
-    layer = F.when(F.col("calls_in") == 0, "entry").when(F.col("calls_out") == 0, F.when(F.col("calls_in") > 3, "core").otherwise("leaf")).when(F.col("calls_in") > 2 * F.col("calls_out"), "core").otherwise("internal")
+    i, o = F.col("calls_in"), F.col("calls_out")
+    layer = F.when((i > o) & (i > 3), "core").when((o == 0) & (i > 0), "leaf").when((i == 0) & (o > 0), "entry").otherwise("internal")
     return t.withColumn("layer", layer)
 
 
@@ -166,7 +167,7 @@ def dead_code(g: PropertyGraph, top: int = 50) -> DataFrame:
     """Callables without a caller: tests last, exported ones last, then by id."""
     called = g.calls.select(F.col("target_id").alias("id")).distinct()
     f = g.nodes.where(F.col("label").isin("Function", "Method")).join(called, "id", "left_anti")
-    return f.select("id", "name", is_test_path(F.col("file_path")).alias("is_test"), truthy(prop("is_exported")).alias("is_exported")).orderBy("is_test", "is_exported", "id").limit(top)
+    return f.select("id", "name", is_test_path(F.col("file_path")).alias("is_test"), (truthy(prop("is_exported")) | truthy(prop("exported"))).alias("is_exported")).orderBy("is_test", "is_exported", "id").limit(top)
 
 
 def top_ranked(g: PropertyGraph, label: str, top: int = 50) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import hop_risk, is_test_path, risk_score, truthy
-from skein.operators.reach import min_hops, links
 from skein.plans.graph import PropertyGraph, prop
 
 
@@ -24,13 +23,12 @@ def note_states(notes: DataFrame) -> DataFrame:
 
 
 def facts(g: PropertyGraph, notes: DataFrame) -> DataFrame:
-    """Per node: degree, complexity, active notes, and the flags that rules ask for."""
+    """Per node: degree, complexity, notes, and the flags that rules ask for."""
     d = g.degrees().select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
-    active = notes.where("status <> 'deprecated'")
-    n = note_links(active).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("n_notes"))
+    n = note_links(notes).groupBy(F.col("node_id").alias("id")).agg(F.count(F.lit(1)).alias("n_notes"))
     base = g.nodes.select(
         "id", "project", "label", "name", F.coalesce(prop("complexity").try_cast("double"), F.lit(0.0)).alias("complexity"),
-        is_test_path(F.col("file_path")).alias("is_test"), truthy(prop("is_exported")).alias("is_exported"),
+        is_test_path(F.col("file_path")).alias("is_test"), (truthy(prop("is_exported")) | truthy(prop("exported"))).alias("is_exported"),
     )
     out = base.join(d, "id", "left").join(n, "id", "left")
     return out.withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("n_notes", F.coalesce("n_notes", F.lit(0)))
@@ -46,18 +44,20 @@ def _level(value: Column, *steps: tuple[int, str]) -> Column:
 def risks(f: DataFrame) -> DataFrame:
     """The five rules, one row per node and rule it breaks, with a severity."""
     d = F.col("degree")
-    call = F.col("label").isin("Function", "Method")
+    module, function = F.col("label").isin(*MODULES), F.col("label") == "Function"
     rules = [
-        ("high_coupling", _level(d, (40, "medium"), (60, "high"), (80, "critical"))),
-        ("dead_code_candidate", F.when(call & (d == 0) & ~F.col("is_exported") & ~F.col("is_test"), "low")),
+        ("high_coupling", F.when(module, _level(d, (40, "medium"), (60, "high"), (80, "critical")))),
+        ("dead_code_candidate", F.when(function & (d == 0) & ~F.col("is_exported") & ~F.col("is_test"), "low")),
         ("fragile_interface", F.when(F.col("label") == "Interface", _level(d, (10, "medium"), (30, "high")))),
-        ("central_function", F.when(call, _level(d, (20, "medium"), (30, "high"), (50, "critical")))),
-        ("no_documentation", F.when(F.col("n_notes") == 0, _level(d, (30, "medium")))),
+        ("central_function", F.when(function, _level(d, (20, "medium"), (30, "high"), (50, "critical")))),
+        ("no_documentation", F.when(module & (d >= 30) & (F.col("n_notes") == 0), "high")),
     ]
     broken = F.filter(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("severity")) for r, s in rules]), lambda x: x["severity"].isNotNull())
     return f.withColumn("r", F.explode(broken)).select("id", "name", "label", "degree", "r.rule", "r.severity")
 
 
+#: What stands for a module: a graph without Module nodes has files.
+MODULES = ("Module", "File")
 SEVERITY = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
@@ -67,9 +67,9 @@ def top_risks(f: DataFrame, top: int = 200) -> DataFrame:
 
 
 def hotspots(f: DataFrame, top: int = 100, least: int = 20) -> DataFrame:
-    """Nodes of degree `least` and more by risk."""
+    """Modules of degree `least` and more by risk."""
     score = F.round(risk_score(F.col("degree"), F.col("complexity"), F.col("n_notes")), 6)
-    return f.where(F.col("degree") >= least).select("id", "name", "degree", score.alias("risk")).orderBy(F.desc("risk"), "id").limit(top)
+    return f.where(F.col("label").isin(*MODULES) & (F.col("degree") >= least)).select("id", "name", "degree", score.alias("risk")).orderBy(F.desc("risk"), "id").limit(top)
 
 
 def undocumented(f: DataFrame) -> DataFrame:
@@ -107,18 +107,24 @@ def module_context(g: PropertyGraph, notes: DataFrame, f: DataFrame) -> DataFram
 
 
 def edit_context(g: PropertyGraph, notes: DataFrame, f: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For nodes about to be edited (`id`): callers and callees (imports for files), active notes,
-    how many nodes an edit reaches within two hops, their greatest risk, and a verdict."""
+    """For nodes about to be edited (`id`): callers and callees (imports for files), direct
+    dependents, active bugs, refactor plans, decisions and conventions, the risk by active bugs and
+    plans, its level, and whether an edit is safe: low risk and no bug, plan or convention."""
     picked = g.nodes.join(nodes.distinct(), "id", "left_semi").select("id", "name", F.when(F.col("label").isin("File", "Module"), "IMPORTS").otherwise("CALLS").alias("type"))
     e = g.edges.where(F.col("type").isin("CALLS", "IMPORTS"))
-    into = e.select(F.col("target_id").alias("id"), "type").join(picked.select("id", "type"), ["id", "type"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_in"))
+    into = e.select(F.col("target_id").alias("id"), "type", "source_id").join(picked.select("id", "type"), ["id", "type"], "left_semi")
+    into = into.groupBy("id", "source_id").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.sum("n").alias("n_in"), F.count(F.lit(1)).alias("n_dependents"))
     out = e.select(F.col("source_id").alias("id"), "type").join(picked.select("id", "type"), ["id", "type"], "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("n_out"))
-    blast = min_hops(picked.select(F.col("id").alias("node")), links(g, "CALLS", "IMPORTS", direction="in"), 2).groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n_blast"))
-    r = f.select("id", F.round(risk_score(F.col("degree"), F.col("complexity"), F.col("n_notes")), 6).alias("risk"), "n_notes")
-    joined = reduce(lambda a, b: a.join(b, "id", "left"), [picked.drop("type"), into, out, blast, r])
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_in", "n_out", "n_blast")]
-    verdict = F.when(F.col("risk") >= 0.7, "careful").when((F.col("n_notes") == 0) & (F.col("risk") >= 0.4), "read_first").otherwise("safe")
-    return joined.select("id", "name", *zero, "n_notes", "risk", verdict.alias("verdict"))
+    kinds = {"BugNote": "n_bugs", "RefactorPlan": "n_refactors", "ADR": "n_adrs", "Convention": "n_conventions"}
+    active = note_links(notes).join(notes.where(F.col("status") == "active").select(F.col("id").alias("note_id"), F.col("label").alias("kind")), "note_id")
+    counts = active.groupBy(F.col("node_id").alias("id")).agg(*[F.sum((F.col("kind") == k).cast("bigint")).alias(n) for k, n in kinds.items()])
+    joined = reduce(lambda a, b: a.join(b, "id", "left"), [picked.drop("type"), into, out, counts, f.select("id", "degree", "complexity")])
+    for c in ("n_in", "n_out", "n_dependents", *kinds.values()):
+        joined = joined.withColumn(c, F.coalesce(c, F.lit(0)))
+    risk = F.round(risk_score(F.col("degree"), F.col("complexity"), F.col("n_bugs") + F.col("n_refactors")), 6)
+    safe = (F.col("risk") < 0.7) & (F.col("n_bugs") + F.col("n_refactors") + F.col("n_conventions") == 0)
+    level = F.when(F.col("risk") >= 0.7, "HIGH").when(F.col("risk") >= 0.4, "MEDIUM").otherwise("LOW")
+    return joined.withColumn("risk", risk).select("id", "name", "n_in", "n_out", "n_dependents", *kinds.values(), "risk", level.alias("level"), safe.alias("safe"))
 
 
 def note_counts(notes: DataFrame) -> DataFrame:
@@ -141,28 +147,28 @@ def notes_of_nodes(notes: DataFrame, keep: int = 3) -> DataFrame:
 def freshness(state: DataFrame) -> DataFrame:
     """Score and label of an index from `stale`, `semantics_changed`, `changed_files`, `git_failed`
     and `age_s`; the first cause that applies decides."""
-    reason = (
-        F.when(F.col("stale"), "stale").when(F.col("semantics_changed"), "semantics").when(F.col("changed_files") > 0, "changed").when(F.col("git_failed"), "unknown").when(F.col("age_s") > 3600, "old").otherwise("fresh")
-    )
+    n, age = F.col("changed_files"), F.col("age_s")
+    reason = F.when(F.col("stale"), "stale").when(F.col("semantics_changed"), "semantics").when(n > 0, "changed").when(F.col("git_failed"), "unverified").when(age > 3600, "old").otherwise("fresh")
     score = (
-        F.when(reason.isin("stale", "semantics"), 0.0).when(reason == "changed", F.greatest(F.lit(0.2), 0.8 - F.col("changed_files") * 0.05)).when(reason == "unknown", 0.5).when(reason == "old", 0.7).otherwise(1.0)
+        F.when(F.col("stale") | F.col("semantics_changed"), 0.0).when(n > 50, 0.2).when(n > 10, 0.4).when(n > 0, 0.6).when(age > 86400, 0.5).when(age > 3600, 0.8).otherwise(1.0)
     )
-    label = F.when(score >= 0.9, "fresh").when(score >= 0.6, "recent").when(score >= 0.2, "aging").otherwise("stale")
-    return state.withColumn("reason", reason).withColumn("score", F.round(score, 6)).withColumn("label", label)
+    label = F.when(score >= 0.9, "FRESH").when(score >= 0.7, "RECENT").when(score >= 0.5, "STALE").when(score >= 0.3, "OLD").otherwise("CRITICAL")
+    return state.withColumn("reason", reason).withColumn("score", score).withColumn("label", label)
 
 
 def node_status(g: PropertyGraph) -> DataFrame:
-    """What a node is at a glance: test, structural, entry, exported, dead, single or normal."""
-    d = g.degrees("CALLS")
-    n = g.nodes.join(d, "id", "left")
-    i, o = F.coalesce("in_degree", F.lit(0)), F.coalesce("out_degree", F.lit(0))
+    """What a node is at a glance: test, structural, entry, exported, dead, single or normal; the
+    first that applies."""
+    n = g.nodes.join(g.degrees("CALLS"), "id", "left")
+    path = F.lower(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"\\", "/"))
+    calls, callable_ = F.coalesce("in_degree", F.lit(0)), F.col("label").isin("Function", "Method", "Constructor")
     status = (
-        F.when(is_test_path(F.col("file_path")), "test")
-        .when(~F.col("label").isin("Function", "Method"), "structural")
-        .when(truthy(prop("is_entry_point")), "entry")
-        .when((i == 0) & truthy(prop("is_exported")), "exported")
-        .when(i == 0, "dead")
-        .when(i == 1, "single")
+        F.when(path.rlike(r"(^|/)(__tests__|tests?|specs?|fixtures)(/|$)|\.(test|spec)\.[^/]+$"), "test")
+        .when(F.col("label").isin("File", "Module", "Package", "Namespace", "Class", "Interface", "Trait", "Enum"), "structural")
+        .when((F.col("label") == "Route") | truthy(prop("is_entry_point")) | truthy(prop("is_entry")), "entry")
+        .when(truthy(prop("is_exported")) | truthy(prop("exported")), "exported")
+        .when(callable_ & (calls == 0), "dead")
+        .when(callable_ & (calls == 1), "single")
         .otherwise("normal")
     )
     return n.select("id", status.alias("status"))

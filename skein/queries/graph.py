@@ -14,7 +14,7 @@ from skein.session import table
 HUB = 1  # the node with most edges in every test set
 QNS = ["src/shared/logging.ts::logEvent", "src/shared/config.ts::readSetting", "nowhere::nothing"]
 _P = "trim(regexp_replace(replace(coalesce(file_path, ''), '\\', '/'), '^[A-Za-z]:/', '/'), '/')"
-_TEST = f"regexp_matches({_P}, '(^|/)(test|tests|__tests__)/|\\.(test|spec)\\.')"
+_TEST = f"regexp_matches(lower({_P}), '(^|/)(test|tests|__tests__)/|\\.(test|spec)\\.')"
 _FOLDERS = f"case when label in ('Directory', 'Folder') then string_split({_P}, '/') else string_split({_P}, '/')[:-2] end"
 _COMM = f"case when {_P} = '' then '(virtual)/' || label when len({_FOLDERS}) = 0 then '(root)' else array_to_string(({_FOLDERS})[1:3], '/') end"
 SCOPES = f", sc as (select id, {_COMM} community, split_part({_COMM}, '/', 1) \"domain\" from n)\n"
@@ -162,7 +162,7 @@ def src_edges_url(g):
     return g.edges.where(prop("url_path").contains("/api")).select("id")
 
 
-@_q("select id, case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'mjs' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end as \"language\" from n where label = 'File'")
+@_q("select id, case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end as \"language\" from n where label = 'File'")
 def src_language(g):
     return g.nodes.where("label = 'File'").select("id", norm.language(F.col("file_path")).alias("language"))
 
@@ -314,7 +314,7 @@ def agg_domains(g):
     return N.domains(g)
 
 
-@_q("select lang as \"language\", count(*) n_files from (select case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'mjs' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end lang from n where label = 'File') where lang is not null group by 1 order by 2 desc, 1 limit 10")
+@_q("select lang as \"language\", count(*) n_files from (select case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end lang from n where label = 'File') where lang is not null group by 1 order by 2 desc, 1 limit 10")
 def agg_languages(g):
     return N.languages(g)
 
@@ -337,7 +337,7 @@ def agg_boundaries(g):
     return N.boundaries(g)
 
 
-@_q(_BOUND + "select community, i::bigint calls_in, o::bigint calls_out, case when i = 0 then 'entry' when o = 0 then case when i > 3 then 'core' else 'leaf' end when i > 2 * o then 'core' else 'internal' end as layer from (select c community, sum(i) i, sum(o) o from (select \"source\" c, 0 i, n_calls o from b union all select target, n_calls, 0 from b) group by 1)")
+@_q(_BOUND + "select community, i::bigint calls_in, o::bigint calls_out, case when i > o and i > 3 then 'core' when o = 0 and i > 0 then 'leaf' when i = 0 and o > 0 then 'entry' else 'internal' end as layer from (select c community, sum(i) i, sum(o) o from (select \"source\" c, 0 i, n_calls o from b union all select target, n_calls, 0 from b) group by 1)")
 def agg_layers(g):
     return N.layers(g)
 
@@ -372,7 +372,7 @@ def top_ranked(g):
     return N.top_ranked(g, "Function")
 
 
-@_q(f"select id, name, {_TEST} is_test, coalesce({j('n', 'is_exported')} in ('true', '1'), false) is_exported from n where label in ('Function', 'Method') and id not in (select target_id from calls) order by 3, 4, 1 limit 50")
+@_q(f"select id, name, {_TEST} is_test, coalesce({j('n', 'is_exported')} in ('true', '1'), false) or coalesce({j('n', 'exported')} in ('true', '1'), false) is_exported from n where label in ('Function', 'Method') and id not in (select target_id from calls) order by 3, 4, 1 limit 50")
 def top_dead(g):
     return N.dead_code(g)
 

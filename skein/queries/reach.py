@@ -75,7 +75,8 @@ def set_dedupe_hops(g, notes):
 
 @_q()
 def g_shortest_path(g, notes):
-    return R.shortest_path(g, 1000, 1200)
+    ends = g.nodes.where("label = 'Method'").agg(F.min("id"), F.max("id")).first()
+    return R.shortest_path(g, ends[0], ends[1])
 
 
 @_q(_walk("1, 2", 8, True) + "select node, min(hop) depth, any_value(name) name, any_value(file_path) file_path, any_value(start_line) start_line from least join n on n.id = node group by 1")
@@ -113,15 +114,15 @@ def g_components(g, notes):
 NOTES = """, notes as (select * exclude (rn) from (select *, row_number() over (partition by id order by updated_at desc nulls last, project desc) rn from human_nodes where id is not null) where rn = 1),
 links as (select distinct id note_id, x node_id from (select id, unnest(cbm_node_ids) x from notes) where x > 0),
 deg as (select id, count(*) d from (select source_id id from e union all select target_id from e) group by 1),
-facts as (select n.id id, n.project project, n.label, n.name, n.file_path, coalesce(try_cast(""" + j("n", "complexity") + f""" as double), 0) complexity, {_TEST} is_test, coalesce({j('n', 'is_exported')} in ('true', '1'), false) is_exported,
- coalesce(d, 0) degree, coalesce(c, 0) n_notes from n left join deg on deg.id = n.id left join (select node_id, count(*) c from links l join notes on notes.id = l.note_id where status <> 'deprecated' group by 1) k on k.node_id = n.id),
+facts as (select n.id id, n.project project, n.label, n.name, n.file_path, coalesce(try_cast(""" + j("n", "complexity") + f""" as double), 0) complexity, {_TEST} is_test, coalesce({j('n', 'is_exported')} in ('true', '1'), false) or coalesce({j('n', 'exported')} in ('true', '1'), false) is_exported,
+ coalesce(d, 0) degree, coalesce(c, 0) n_notes from n left join deg on deg.id = n.id left join (select node_id, count(*) c from links l group by 1) k on k.node_id = n.id),
 scored as (select *, least(least(degree / 100.0, 1.0) * 0.5 + least(complexity / 20.0, 1.0) * 0.3 + case when degree > 0 and n_notes = 0 then 0.2 else 0 end, 1.0) risk from facts)
 """
-_RULES = """, broken as (select id, name, label, degree, 'high_coupling' rule, case when degree >= 80 then 'critical' when degree >= 60 then 'high' when degree >= 40 then 'medium' end severity from facts
- union all select id, name, label, degree, 'dead_code_candidate', case when label in ('Function', 'Method') and degree = 0 and not is_exported and not is_test then 'low' end from facts
+_RULES = """, broken as (select id, name, label, degree, 'high_coupling' rule, case when label in ('Module', 'File') then case when degree >= 80 then 'critical' when degree >= 60 then 'high' when degree >= 40 then 'medium' end end severity from facts
+ union all select id, name, label, degree, 'dead_code_candidate', case when label = 'Function' and degree = 0 and not is_exported and not is_test then 'low' end from facts
  union all select id, name, label, degree, 'fragile_interface', case when label = 'Interface' then case when degree >= 30 then 'high' when degree >= 10 then 'medium' end end from facts
- union all select id, name, label, degree, 'central_function', case when label in ('Function', 'Method') then case when degree >= 50 then 'critical' when degree >= 30 then 'high' when degree >= 20 then 'medium' end end from facts
- union all select id, name, label, degree, 'no_documentation', case when n_notes = 0 and degree >= 30 then 'medium' end from facts)
+ union all select id, name, label, degree, 'central_function', case when label = 'Function' then case when degree >= 50 then 'critical' when degree >= 30 then 'high' when degree >= 20 then 'medium' end end from facts
+ union all select id, name, label, degree, 'no_documentation', case when label in ('Module', 'File') and n_notes = 0 and degree >= 30 then 'high' end from facts)
 """
 
 
@@ -135,7 +136,7 @@ def r_risk_counts(g, notes):
     return P.risks(P.facts(g, notes)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_q(NOTES + "select id, name, degree, round(risk, 6) risk from scored where degree >= 20 order by round(risk, 6) desc, id limit 100")
+@_q(NOTES + "select id, name, degree, round(risk, 6) risk from scored where label in ('Module', 'File') and degree >= 20 order by round(risk, 6) desc, id limit 100")
 def r_hotspots(g, notes):
     return P.hotspots(P.facts(g, notes))
 
@@ -168,9 +169,13 @@ def r_module_context(g, notes):
 
 @_q(
     NOTES
-    + ", pick as (select id, case when label in ('File', 'Module') then 'IMPORTS' else 'CALLS' end type from n where id % 50 = 0), ci as (select * from e where type in ('CALLS', 'IMPORTS')), b1 as (select p.id start, source_id node from pick p join ci on target_id = p.id), b2 as (select start, node from b1 union select start, source_id from b1 join ci on target_id = node)"
-    " select s.id id, s.name, coalesce((select count(*) from e where e.target_id = s.id and e.type = p.type), 0) n_in, coalesce((select count(*) from e where e.source_id = s.id and e.type = p.type), 0) n_out, coalesce((select count(*) from b2 where start = s.id), 0) n_blast, n_notes, round(risk, 6) risk,"
-    " case when round(risk, 6) >= 0.7 then 'careful' when n_notes = 0 and round(risk, 6) >= 0.4 then 'read_first' else 'safe' end verdict from scored s join pick p on p.id = s.id"
+    + """, pick as (select id, case when label in ('File', 'Module') then 'IMPORTS' else 'CALLS' end type from n where id % 50 = 0),
+ k as (select node_id, sum((label = 'BugNote')::bigint)::bigint b, sum((label = 'RefactorPlan')::bigint)::bigint r, sum((label = 'ADR')::bigint)::bigint a, sum((label = 'Convention')::bigint)::bigint c from links join notes on id = note_id where status = 'active' group by 1),
+ v as (select s.id, s.name, coalesce((select count(*) from e where e.target_id = s.id and e.type = p.type), 0) n_in, coalesce((select count(*) from e where e.source_id = s.id and e.type = p.type), 0) n_out,
+  coalesce((select count(distinct source_id) from e where e.target_id = s.id and e.type = p.type), 0) n_dependents, coalesce(b, 0) n_bugs, coalesce(r, 0) n_refactors, coalesce(a, 0) n_adrs, coalesce(c, 0) n_conventions,
+  round(least(least(degree / 100.0, 1.0) * 0.5 + least(complexity / 20.0, 1.0) * 0.3 + case when degree > 0 and coalesce(b, 0) + coalesce(r, 0) = 0 then 0.2 else 0 end, 1.0), 6) risk
+  from scored s join pick p on p.id = s.id left join k on k.node_id = s.id)
+ select *, case when risk >= 0.7 then 'HIGH' when risk >= 0.4 then 'MEDIUM' else 'LOW' end as level, risk < 0.7 and n_bugs + n_refactors + n_conventions = 0 safe from v"""
 )
 def r_edit_context(g, notes):
     return P.edit_context(g, notes, P.facts(g, notes), g.nodes.where("id % 50 = 0").select("id"))
@@ -192,8 +197,12 @@ def agg_notes_by_node(g, notes):
 
 
 @_q(
-    f", d as (select id, sum(i) i from (select target_id id, 1 i from calls union all select source_id, 0 from calls) group by 1) select n.id id, case when {_TEST} then 'test' when label not in ('Function', 'Method') then 'structural' when coalesce({j('n', 'is_entry_point')} in ('true', '1'), false) then 'entry'"
-    f" when coalesce(i, 0) = 0 and coalesce({j('n', 'is_exported')} in ('true', '1'), false) then 'exported' when coalesce(i, 0) = 0 then 'dead' when i = 1 then 'single' else 'normal' end status from n left join d on d.id = n.id"
+    """, d as (select target_id id, count(*) i from calls group by 1) select n.id id, case when regexp_matches(lower(replace(coalesce(file_path, ''), '\\', '/')), '(^|/)(__tests__|tests?|specs?|fixtures)(/|$)|\\.(test|spec)\\.[^/]+$') then 'test'
+ when label in ('File', 'Module', 'Package', 'Namespace', 'Class', 'Interface', 'Trait', 'Enum') then 'structural' when label = 'Route' or """
+    + " or ".join(f"coalesce({j('n', k)} in ('true', '1'), false)" for k in ("is_entry_point", "is_entry"))
+    + " then 'entry' when "
+    + " or ".join(f"coalesce({j('n', k)} in ('true', '1'), false)" for k in ("is_exported", "exported"))
+    + " then 'exported' when label in ('Function', 'Method', 'Constructor') and coalesce(i, 0) = 0 then 'dead' when label in ('Function', 'Method', 'Constructor') and i = 1 then 'single' else 'normal' end status from n left join d on d.id = n.id"
 )
 def fn_status(g, notes):
     return P.node_status(g)
@@ -212,9 +221,9 @@ def str_freshness(spark, sf_dir):
 _TABLE["str_freshness"] = (
     str_freshness,
     """with s as (select p.name project, p.root_path is null git_failed, coalesce((select count(distinct file_path) from nodes where nodes.project = p.name and nodes.indexed_at > p.indexed_at), 0) changed_files, epoch(date_trunc('second', (select max(indexed_at) from nodes))) - epoch(date_trunc('second', p.indexed_at)) age from projects p),
- r as (select *, case when changed_files > 0 then 'changed' when git_failed then 'unknown' when age > 3600 then 'old' else 'fresh' end reason from s),
- k as (select *, round(case reason when 'changed' then greatest(0.2, 0.8 - changed_files * 0.05) when 'unknown' then 0.5 when 'old' then 0.7 else 1.0 end, 6)::double score from r)
- select project, changed_files, reason, score, case when score >= 0.9 then 'fresh' when score >= 0.6 then 'recent' when score >= 0.2 then 'aging' else 'stale' end as label from k""",
+ r as (select *, case when changed_files > 0 then 'changed' when git_failed then 'unverified' when age > 3600 then 'old' else 'fresh' end reason from s),
+ k as (select *, (case when changed_files > 50 then 0.2 when changed_files > 10 then 0.4 when changed_files > 0 then 0.6 when age > 86400 then 0.5 when age > 3600 then 0.8 else 1.0 end)::double score from r)
+ select project, changed_files, reason, score, case when score >= 0.9 then 'FRESH' when score >= 0.7 then 'RECENT' when score >= 0.5 then 'STALE' when score >= 0.3 then 'OLD' else 'CRITICAL' end as label from k""",
 )
 
 
