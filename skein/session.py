@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIRS: list[tuple[SparkSession, str]] = []
 
@@ -65,6 +66,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def evaluated(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """`df` with a column that is computed once per row: a generator keeps the optimizer from
+    writing the expression out again inside every lambda that refers to it."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def size_of(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes; for files, their length."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
