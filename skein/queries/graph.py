@@ -185,7 +185,7 @@ def sf_qn(g):
     return L.search(g, qn="billing/.*::load", case_sensitive=True).select("id")
 
 
-@_q("select id from n where file_path ilike 'src/%\\_guard%.ts' escape '\\'")
+@_q("select id from n where file_path ilike 'src%\\_guard%.ts' escape '\\'")
 def sf_file(g):
     return L.search(g, file="src/**/*_guard*.ts").select("id")
 
