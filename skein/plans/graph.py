@@ -8,12 +8,27 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import table
+from skein.session import materialize, shared_dir, table
 
 NODE = ("id", "project", "label", "name", "qualified_name", "file_path", "start_line", "end_line", "properties_json")
 EDGE = ("id", "project", "source_id", "target_id", "type", "properties_json")
 
 
+#: Snapshots by application and state of the files they were made from.
+_SNAPSHOTS: dict[tuple, PropertyGraph] = {}
+
+
+def _revision(spark: SparkSession, sf_dir: str) -> tuple:
+    """The files of the node and edge tables with their lengths and times."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in ("nodes", "edges"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        for f in p.getFileSystem(conf).listStatus(p):
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return (spark.sparkContext.applicationId, *sorted(seen))
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """`nodes` has the columns NODE, one row per id; `edges` the columns EDGE, one row per id."""
@@ -23,8 +38,23 @@ class PropertyGraph:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> PropertyGraph:
-        """The graph in being: of each node id its latest delivery, unless that is a deletion; of
-        each edge id one row. Rows without an id, and edges without an endpoint, are left out."""
+        """The graph in being, from the delivered tables in a folder, as a snapshot: it is written
+        to the shared folder once for each state of the files (their names, lengths and times), so
+        queries read settled tables. Without a shared folder it is worked out in each query."""
+        try:
+            at = _revision(spark, sf_dir)
+            shared_dir(spark)
+        except Exception:
+            return cls.settled(spark, sf_dir)
+        if at not in _SNAPSHOTS:
+            g = cls.settled(spark, sf_dir)
+            _SNAPSHOTS[at] = cls(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
+        return _SNAPSHOTS[at]
+
+    @classmethod
+    def settled(cls, spark: SparkSession, sf_dir: str) -> PropertyGraph:
+        """Of each node id its latest delivery, unless that is a deletion; of each edge id one row.
+        Rows without an id, and edges without an endpoint, are left out."""
         n = table(spark, sf_dir, "nodes").where("id is not null")
         state = n.groupBy("id").agg(F.max(F.struct("indexed_at", "deleted_at", *NODE[1:])).alias("s"))
         nodes = state.where("s.deleted_at is null").select("id", *[f"s.{c}" for c in NODE[1:]])

@@ -10,6 +10,7 @@ from skein.operators import derive as D
 from skein.operators import lookup as L
 from skein.operators import reach as R
 from skein.operators import reports as P
+from skein.operators import resolve as V
 from skein.operators import similarity as S
 from skein.operators import textsearch as T
 from skein.plans.graph import PropertyGraph, prop
@@ -315,6 +316,50 @@ def join_cross_repo(g):
     return D.cross_project(g)
 
 
+@_g(
+    f", st as (select e.id site_id, s.project, s.file_path, {j('e', 'callee')} nm, e.type kind from e join n s on s.id = source_id where {j('e', 'callee')} is not null), h as (select project, file_path, name, min(id) a from n where label in ('Function', 'Method') group by 1, 2, 3),"
+    " o as (select project, name, min(id) b from n where label in ('Function', 'Method') group by 1, 2 having count(*) = 1) select site_id, kind type, coalesce(a, b) target_id from st left join h on h.project = st.project and h.file_path = st.file_path and h.name = nm left join o on o.project = st.project and o.name = nm where coalesce(a, b) is not null"
+)
+def d_usages(g):
+    src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), "file_path")
+    sites = g.edges.withColumn("name", prop("callee")).where("name is not null").join(src, "source_id").select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "name", "type")
+    return V.usages(sites, g.nodes.where("label in ('Function', 'Method')"))
+
+
+@_g()
+def d_calls_v2(g):
+    """The named calls of the graph, through imports, their own file, or candidates by name."""
+    src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), "file_path")
+    sites = g.edges.withColumn("callee", prop("callee")).where("callee is not null").join(src, "source_id")
+    sites = sites.select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "callee", F.when(F.col("callee").contains("."), "member_call").otherwise("identifier_call").alias("call_kind"))
+    t = g.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("local_name"))
+    files = g.nodes.where("label = 'File'").select("project", "file_path")
+    one = g.edges.where("type = 'IMPORTS'").drop("project").join(src.withColumnRenamed("p", "project"), "source_id").join(t, "target_id")
+    imports = one.select("project", "file_path", "local_name", F.concat(F.lit("./"), "local_name").alias("source_module"), F.col("local_name").alias("imported_name"), F.lit("named").alias("import_kind")).distinct()
+    x = g.nodes.where(prop("is_exported").isin("true", "1") & (F.col("label") != "File"))
+    none = F.lit(None).cast("string")
+    exports = x.select("project", "file_path", F.col("name").alias("exported_name"), F.col("name").alias("local_name"), none.alias("source_module"), none.alias("imported_name"), F.lit("local_named").alias("export_kind"))
+    return V.resolve_sites(sites, imports, exports, g.nodes.where("label in ('Function', 'Method')").select("id", "project", "file_path", "name"), files)
+
+
+@_g(f"select e.project, upper(coalesce({j('e', 'method')}, 'ANY')) as \"method\", regexp_replace({j('e', 'callee')}, ':[A-Za-z_]\\w*', '{{}}', 'g') path, count(*) n_calls from e where type = 'HTTP_CALLS' and {j('e', 'callee')} is not null group by 1, 2, 3")
+def d_routes(g):
+    h = g.edges.where("type = 'HTTP_CALLS'").select("project", prop("method").alias("method"), prop("callee").alias("path"))
+    return V.route_nodes(h)
+
+
+@_g(
+    ", m as (select distinct o.id owner, o.label kind, c.project, c.name from e join n o on o.id = source_id and o.label in ('Class', 'Interface') join n c on c.id = target_id and c.label = 'Method' where e.type = 'DEFINES')"
+    " select c.owner class_id, i.owner interface_id from m c join m i on c.kind = 'Class' and i.kind = 'Interface' and c.project = i.project and c.name = i.name group by 1, 2 having count(*) = (select count(*) from m x where x.owner = i.owner)"
+)
+def d_semantic_rel(g):
+    """Classes that have all methods of an interface; interfaces without methods bind nobody."""
+    own = g.edges.where("type = 'DEFINES'").select(F.col("source_id").alias("owner_id"), "target_id")
+    o = g.nodes.where("label in ('Class', 'Interface')").select(F.col("id").alias("owner_id"), F.col("label").alias("kind"))
+    m = g.nodes.where("label = 'Method'").select(F.col("id").alias("target_id"), "project", "name")
+    return D.implements(own.join(o, "owner_id").join(m, "target_id").select("owner_id", "kind", "project", "name"))
+
+
 # --- communities and capped selections
 
 
