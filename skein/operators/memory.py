@@ -32,8 +32,8 @@ def create(existing: DataFrame, new: DataFrame) -> DataFrame:
 
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     base = new.withColumn("slug", slug(F.col("title")))
-    stem = F.regexp_replace("slug", r"-\d+$", "")
-    used = existing.select("project", "slug").union(existing.select("project", stem.alias("slug"))).groupBy("project", "slug").agg(F.count(F.lit(1)).alias("used"))
+    forms = F.array_distinct(F.array("slug", F.regexp_replace("slug", r"-\d+$", "")))
+    used = existing.select("project", F.explode(forms).alias("slug")).groupBy("project", "slug").agg(F.count(F.lit(1)).alias("used"))
     n = F.row_number().over(Window.partitionBy("project", "slug").orderBy("title")) + F.coalesce("used", F.lit(0))
     named = base.join(used, ["project", "slug"], "left").withColumn("n", n)
     named = named.withColumn("slug", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("slug"))).drop("n", "used")

@@ -108,7 +108,10 @@ class Planner:
         return df
 
     def vars_of(self, p: S.Path) -> dict[str, str]:
-        return {n.var: "node" for n in p.nodes} | {r.var: "path" if r.low is not None else "edge" for r in p.rels}
+        nodes, rels = {n.var for n in p.nodes}, [r.var for r in p.rels]
+        if nodes & set(rels) or len(set(rels)) < len(rels):
+            raise S.QueryError("a path names one relationship twice, or as a node too")
+        return dict.fromkeys(nodes, "node") | {r.var: "path" if r.low is not None else "edge" for r in p.rels}
 
     def match(self, m: S.Match) -> None:
         for i, p in enumerate(m.paths):

@@ -97,7 +97,7 @@ def _attribute(key: str) -> Column:
 
 def vault(spark: SparkSession, root: str) -> DataFrame:
     """(path, frontmatter, body) of the Markdown files below a folder."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root).select(F.input_file_name().alias("file"), F.col("value"))
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.input_file_name().alias("file"), F.col("value"))
     return split_note(files)
 
 
