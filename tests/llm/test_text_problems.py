@@ -161,6 +161,14 @@ def test_forms_against_brute_force(spark):
     assert got[-1] is None
 
 
+def test_repeated_rows_and_ids(spark):
+    df = spark.createDataFrame([(1, "é x"), (1, "é x"), (1, "ｅ"), (None, "é"), (2, "ab"), (2, "ab")], "id bigint, text string")
+    got = sorted(((r["id"], r["form"]) for r in visual_forms(df, "id", "text").collect()), key=str)
+    assert got == sorted([(1, "é x"), (1, "é x"), (1, "e"), (None, "é"), (2, "ab"), (2, "ab")], key=str)
+    twice = spark.createDataFrame([(1, "abc"), (1, "abc"), (2, "аbc"), (2, "аbc"), (3, "x"), (3, "ｘ")], "id bigint, text string")
+    assert [tuple(r) for r in same_looking(twice, "id", "text").collect()] == [(1, 2)]
+
+
 def test_what_a_reader_sees_stays_apart(spark):
     apart = ["resume", "résumé", "Resume", "x2", "x²", "x₂", "ﬁn", "fin", "a b", "ab", "ß", "ss", "1", "l", "①"]
     forms = [form(t) for t in apart]
