@@ -192,9 +192,11 @@ SECTIONS = ("PURPOSE", "STACK", "ARCHITECTURE", "PATTERNS", "TRADEOFFS", "PHILOS
 def doc_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, section, body): the parts under the six known second-level headings."""
     names = "|".join(SECTIONS)
-    parts = F.regexp_extract_all(F.concat(F.lit("\n"), F.col(text_col)), F.lit(rf"\n## ({names})[ \t\r]*(?=\n|$)((?:(?!\n## (?:{names})[ \t\r]*(?:\n|$))[\s\S])*)"), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("part"))
-    return rows.select("id", F.regexp_extract("part", r"## (\w+)", 1).alias("section"), F.btrim(F.regexp_replace("part", r"^\n## \w+[ \t\r]*", ""), F.lit(" \n")).alias("body"))
+    # split before each known heading: no repeated group, so long texts are safe
+    parts = F.split(F.concat(F.lit("\n"), F.col(text_col)), rf"\n(?=## (?:{names})[ \t\r]*(?:\n|$))")
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("part")).where(F.col("part").rlike(rf"^## (?:{names})[ \t\r]*(\n|$)"))
+    body = F.regexp_replace("part", r"^## \w+[ \t\r]*", "")
+    return rows.select("id", F.regexp_extract("part", r"^## (\w+)", 1).alias("section"), F.btrim(body, F.lit(" \n")).alias("body"))
 
 
 def render_sections(sections: DataFrame) -> DataFrame:

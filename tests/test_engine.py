@@ -324,6 +324,8 @@ def test_wikilinks_and_sections(spark):
     sec = T.doc_sections(doc, "id", "t")
     assert {r["section"]: r["body"] for r in sec.collect()} == {"PURPOSE": "why\n\n## Other\nx", "STACK": "spark"}
     assert T.render_sections(sec).first()["text"].startswith("## PURPOSE\n\nwhy")
+    long = spark.createDataFrame([(1, "## STACK\n" + "x\n" * 200_000)], "id bigint, t string")
+    assert len(T.doc_sections(long, "id", "t").first()["body"]) == 399_999
 
 
 # --- sources and sinks
