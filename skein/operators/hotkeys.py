@@ -9,6 +9,7 @@ broadcasting the right rows of the proven few heavy keys.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -151,12 +152,8 @@ def _select(cells: DataFrame, names: list[str], qs: list[float], salts: int) ->
 def hot_keys(df: DataFrame, key: str, share: float, value: Column | None = None, quantiles: dict[str, float] | None = None) -> DataFrame:
     """`key_profile` rows of the non-null keys holding at least `share` of all rows of `df`
     (rows with a null key count towards all). At most 1/share rows."""
-    profile = key_profile(df, [key], value, quantiles)
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    # one aggregate row: the cross side is bounded by construction
-    return profile.join(F.broadcast(total), F.lit(True)).where(
-        F.col(f"`{key}`").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("total_rows"))
-    )
+    least = math.ceil(share * df.count() - 1e-6)  # a share that is met exactly counts
+    return key_profile(df, [key], value, quantiles).where(F.col(f"`{key}`").isNotNull() & (F.col("n_rows") >= F.lit(least)))
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, fraction: float = 0.002) -> DataFrame:

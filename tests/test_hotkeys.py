@@ -69,6 +69,9 @@ def test_empty_and_clashing_columns(spark):
 def test_hot_keys_count_nulls_in_the_total(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] + [(None,)] * 97, "k string")
     assert [r["k"] for r in hot_keys(df, "k", 0.02).collect()] == ["a"]
+    for n in (50, 150, 350, 1150):  # exactly a fiftieth, whatever the rounding
+        exact = spark.createDataFrame([("a",)] * (n // 50) + [(None,)] * (n - n // 50), "k string")
+        assert [r["k"] for r in hot_keys(exact, "k", 0.02).collect()] == ["a"]
 
 
 def test_split_join_is_a_left_join(spark):
