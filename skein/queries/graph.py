@@ -377,7 +377,7 @@ def top_dead(g):
     return N.dead_code(g)
 
 
-@_q(", r as (select id, name, case when lower(name) = 'guard' then 0 when lower(qualified_name) = 'guard' or lower(file_path) = 'guard' then 1 when starts_with(lower(name), 'guard') then 2 when contains(lower(name), 'guard') then 3 when contains(lower(qualified_name), 'guard') then 4 when contains(lower(file_path), 'guard') then 5 end rank from n) select id, name, rank from r where (rank, id) > (3, 1500) order by rank, id limit 60")
+@_q(", r as (select id, name, case when lower(name) = 'guard' then 0 when lower(qualified_name) = 'guard' or lower(file_path) = 'guard' then 1 when starts_with(lower(name), 'guard') then 2 when contains(lower(name), 'guard') then 3 when contains(lower(qualified_name), 'guard') then 4 when contains(lower(file_path), 'guard') then 5 end rank from n) select id, name, rank from r where rank is not null and (rank, id) > (3, 1500) order by rank, id limit 60")
 def page_search(g):
     return L.after(L.ranked_search(g, "Guard").select("id", "name", "rank"), 60, rank=3, id=1500)
 
