@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,114 +12,150 @@ from pyspark.sql import functions as F
 from skein.operators.reach import components
 from skein.session import materialize
 
-#: Up to so many nodes a component is clustered in one task.
-SMALL = 8_000
-
-
-def leiden(edges: dict[int, dict[int, float]], gamma: float = 1.0, max_levels: int = 64) -> dict[int, int]:
-    """Communities of an undirected weighted graph: queue-driven local moves, refinement inside the
-    communities, aggregation, until nothing merges. Nodes are taken in ascending order and the
-    first best community wins, so the result depends on the graph alone."""
-    graph = {u: dict(vs) for u, vs in sorted(edges.items())}
-    members = {u: [u] for u in graph}
-    final = {u: u for u in graph}
-    loops: dict[int, float] = defaultdict(float)
-
-    def moves(start: dict[int, int], within: dict[int, int] | None) -> dict[int, int]:
-        comm = dict(start)
-        degree = {u: sum(vs.values()) + 2 * loops[u] for u, vs in graph.items()}
-        total = sum(degree.values()) or 1.0
-        weight: dict[int, float] = defaultdict(float)
-        for u, c in comm.items():
-            weight[c] += degree[u]
-        queue, queued, left = deque(graph), set(graph), 100 * len(graph)
-        while queue and left:
-            u = queue.popleft()
-            queued.discard(u)
-            left -= 1
-            old = comm[u]
-            near: dict[int, float] = defaultdict(float)
-            for v, w in graph[u].items():
-                if within is None or within[v] == within[u]:
-                    near[comm[v]] += w
-            weight[old] -= degree[u]
-            best, gain = old, near.get(old, 0.0) - gamma * degree[u] * weight[old] / total
-            for c in sorted(near):
-                g = near[c] - gamma * degree[u] * weight[c] / total
-                if g > gain + 1e-12:
-                    best, gain = c, g
-            weight[best] += degree[u]
-            if best != old:
-                comm[u] = best
-                for v in sorted(graph[u]):
-                    if comm[v] != best and v not in queued:
-                        queue.append(v)
-                        queued.add(v)
-        return comm
-
-    for _ in range(max_levels):
-        comm = moves({u: u for u in graph}, None)
-        for u, c in comm.items():
-            for m in members[u]:
-                final[m] = c
-        fine = moves({u: u for u in graph}, comm)
-        if len(set(fine.values())) == len(graph):
-            break
-        grown: dict[int, dict[int, float]] = {c: defaultdict(float) for c in sorted(set(fine.values()))}
-        inner: dict[int, float] = defaultdict(float)
-        packed: dict[int, list[int]] = defaultdict(list)
-        for u, vs in graph.items():
-            packed[fine[u]] += members[u]
-            inner[fine[u]] += loops[u]
-            for v, w in vs.items():
-                if fine[u] == fine[v]:
-                    inner[fine[u]] += w / 2
-                else:
-                    grown[fine[u]][fine[v]] += w
-        graph, members, loops = {u: dict(v) for u, v in grown.items()}, packed, inner
+#: Up to so many edges, what is left of a graph is clustered in one task, by the same rule.
+SMALL = 250_000
+
+
+def _mix(n: int) -> tuple[int, int]:
+    """Factor and offset by which round `n` spreads ids; products stay within 63 bits."""
+    return 1103515245 + 2 * (n * 40503 % 65536), n * 12345 % 65536
+
+
+def _moved(edges: pd.DataFrame, nodes: pd.DataFrame, total: int, n: int) -> pd.DataFrame | None:
+    """`nodes(node, k, within, comm)` after one round over `edges(a, b, w)`, or None if no move
+    gains. See `communities` for the rule; all numbers are whole, so joins give the same."""
+    of = nodes.set_index("node")
+    e = edges.assign(c=of["comm"].reindex(edges["b"]).to_numpy(), same=of["within"].reindex(edges["a"]).to_numpy() == of["within"].reindex(edges["b"]).to_numpy())
+    votes = e[e["same"]].groupby(["a", "c"], as_index=False)["w"].sum()
+    votes["k"], votes["own"] = of["k"].reindex(votes["a"]).to_numpy(), of["comm"].reindex(votes["a"]).to_numpy()
+    weight = nodes.groupby("comm")["k"].sum()
+    home = votes[votes["c"] == votes["own"]].set_index("a")["w"]
+    v = votes[votes["c"] != votes["own"]].copy()
+    stay = home.reindex(v["a"]).fillna(0).astype("int64").to_numpy()
+    v["gain"] = (v["w"] - stay) * total - v["k"] * (weight.reindex(v["c"]).to_numpy() - weight.reindex(v["own"]).to_numpy() + v["k"])
+    v = v[v["gain"] > 0].sort_values(["a", "gain", "c"], ascending=[True, False, True]).drop_duplicates("a")
+    if v.empty:
+        return None
+    factor, offset = _mix(n)
+    v["h"] = (v["a"] % 2147483647 * factor + offset) % 2147483629
+    v = v.sort_values(["gain", "h", "a"], ascending=False)
+    v["r"] = np.arange(len(v))
+    into, out = v.groupby("c")["r"].min(), v.groupby("own")["r"].min()
+    open_ = lambda c: (into.reindex(c).fillna(len(v)).to_numpy() < out.reindex(c).fillna(len(v)).to_numpy())
+    v = v[open_(v["c"]) & ~open_(v["own"])]
+    before = v.groupby("c")["k"].cumsum() + v.groupby("own")["k"].cumsum() - 2 * v["k"]
+    v = v[v["gain"] - v["k"] * before > 0].set_index("a")["c"]
+    return nodes.assign(comm=v.reindex(nodes["node"]).fillna(nodes.set_index("node")["comm"]).astype("int64").to_numpy())
+
+
+def _settled(edges: pd.DataFrame, nodes: pd.DataFrame, total: int) -> pd.DataFrame:
+    n = 0
+    while (new := _moved(edges, nodes, total, n)) is not None:
+        nodes, n = new, n + 1
+    return nodes
+
+
+def _clustered(edges: pd.DataFrame, nodes: pd.DataFrame, total: int) -> dict[int, int]:
+    """Community of every node of `nodes(node, k, comm)`: the levels that are left, in one task."""
+    final = {u: u for u in nodes["node"]}
+    while True:
+        nodes = _settled(edges, nodes.assign(within=0), total)
+        fine = _settled(edges, nodes.assign(within=nodes["comm"], comm=nodes["node"]), total)
+        comm, part = dict(zip(nodes["node"], nodes["comm"], strict=True)), dict(zip(fine["node"], fine["comm"], strict=True))
+        if fine["comm"].nunique() == len(fine):
+            return {u: comm[c] for u, c in final.items()}
+        final = {u: part[c] for u, c in final.items()}
+        nodes = fine.groupby("comm", as_index=False).agg(k=("k", "sum"), within=("within", "first")).rename(columns={"comm": "node", "within": "comm"})
+        e = edges.assign(a=edges["a"].map(part), b=edges["b"].map(part))
+        edges = e[e["a"] != e["b"]].groupby(["a", "b"], as_index=False)["w"].sum()
+
+
+def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
+    """Communities of an undirected graph with whole weights, given by neighbours, by the rule of
+    `communities` in one task; a community is named after its least node."""
+    rows = [(u, v, int(w)) for u, vs in sorted(edges.items()) for v, w in vs.items() if u != v]
+    if not rows:
+        return {u: u for u in edges}
+    e = pd.DataFrame(rows, columns=["a", "b", "w"])
+    nodes = e.groupby("a", as_index=False)["w"].sum().set_axis(["node", "k"], axis=1)
+    final = {u: u for u in edges} | _clustered(e, nodes.assign(comm=nodes["node"]), int(e["w"].sum()))
     names: dict[int, int] = {}
     for u in sorted(final):
         names.setdefault(final[u], u)
     return {u: names[c] for u, c in final.items()}
 
 
-def communities(links: DataFrame, rounds: int = 12) -> DataFrame:
+def _settled_by_joins(edges: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """As `_settled`, one round after another as joins."""
+    n = 0
+    while True:
+        w = nodes.groupBy("comm").agg(F.sum("k").alias("weight"))
+        at = nodes.join(w, "comm").select(F.col("node").alias("a"), "k", "within", F.col("comm").alias("own"), F.col("weight").alias("held"))
+        far = nodes.select(F.col("node").alias("b"), F.col("within").alias("wb"), F.col("comm").alias("c"))
+        votes = edges.join(far, "b").join(at, "a").where("within = wb").groupBy("a", "c").agg(F.sum("w").alias("w"), F.first("k").alias("k"), F.first("own").alias("own"), F.first("held").alias("held"))
+        stay = F.coalesce(F.sum(F.when(F.col("c") == F.col("own"), F.col("w"))).over(Window.partitionBy("a")), F.lit(0))
+        v = votes.withColumn("stay", stay).where("c <> own").join(w.withColumnRenamed("comm", "c"), "c")
+        v = v.withColumn("gain", (F.col("w") - F.col("stay")) * F.lit(total) - F.col("k") * (F.col("weight") - F.col("held") + F.col("k"))).where("gain > 0")
+        factor, offset = _mix(n)
+        h = F.pmod(F.pmod("a", F.lit(2147483647)) * F.lit(factor) + F.lit(offset), F.lit(2147483629))
+        best = v.groupBy("a", "own", "k").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("m")).select("a", "own", "k", F.col("m.gain").alias("gain"), (-F.col("m.c")).alias("c")).withColumn("key", F.struct("gain", h.alias("h"), "a"))
+        best = materialize(best, "moves")
+        if best.isEmpty():
+            return nodes
+        n += 1
+        ends = best.select(F.explode(F.array(F.struct(F.col("c").alias("x"), F.lit(True).alias("in")), F.struct(F.col("own").alias("x"), F.lit(False).alias("in")))).alias("p"), "key")
+        ends = ends.groupBy(F.col("p.x").alias("x")).agg(F.max(F.when(F.col("p.in"), F.col("key"))).alias("i"), F.max(F.when(~F.col("p.in"), F.col("key"))).alias("o"))
+        open_ = ends.where("i is not null and (o is null or i > o)").select("x")
+        ok = best.join(open_.withColumnRenamed("x", "c"), "c", "left_semi").join(open_.withColumnRenamed("x", "own"), "own", "left_anti")
+        before = lambda p: F.sum("k").over(Window.partitionBy(p).orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
+        ok = ok.withColumn("i", before("c")).withColumn("o", before("own")).where("gain - k * (i + o) > 0")
+        nodes = materialize(nodes.join(ok.select(F.col("a").alias("node"), F.col("c").alias("new")), "node", "left").select("node", "k", "within", F.coalesce("new", "comm").alias("comm")), "nodes")
+
+
+def communities(links: DataFrame) -> DataFrame:
     """(node, community) of `links(src, dst)`, direction and self-links aside, parallel links
-    adding weight; a community is named after its least node.
-
-    Components of up to `SMALL` nodes are clustered by `leiden`, one group each. Larger ones go
-    through rounds of joins: every node takes the label most of its neighbours' weight has, the
-    least of several, halves of the nodes by turns, until nothing changes or `rounds` are over.
+    adding weight; a community is connected and named after its least node.
+
+    Leiden by rounds, until nothing merges. In a round every node seeks the neighbouring community
+    that adds most to the modularity of the whole graph. A community then either takes nodes or
+    gives them, whichever has the better move, and of its moves those are made that gain even if
+    all better ones are made too: so every round adds to the modularity. When no move gains, nodes
+    start alone again and move within their communities; these parts are the next level's nodes,
+    the communities its start. Rounds are joins while there are more than `SMALL` edges and one
+    task's vectors then; the numbers are whole, so both make the same moves.
     """
-    e = links.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    e = materialize(e, "weighted")
-    comp = materialize(components(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components")
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    tagged = e.join(comp.select(F.col("node").alias("a"), "component"), "a").join(sizes, "component")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph: dict[int, dict[int, float]] = defaultdict(dict)
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"], strict=True):
-            graph[int(a)][int(b)] = graph[int(b)][int(a)] = float(w)
-        got = leiden(graph)
-        return pd.DataFrame({"node": list(got), "community": list(got.values())})
-
-    small = tagged.where(F.col("n") <= SMALL).groupBy("component").applyInPandas(run, "node bigint, community bigint")
-    large = tagged.where(F.col("n") > SMALL).select("a", "b", "w")
-    if large.isEmpty():
-        return small
-    both = materialize(large.unionByName(large.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "both")
-    lab = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    for n in range(rounds):
-        votes = both.join(lab.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("w", -F.col("community"))).alias("m")).select("node", (-F.col("m.col2")).alias("new"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == n % 2
-        step = materialize(lab.join(best, "node").select("node", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"), F.col("community").alias("was")), "labels")
-        lab = step.select("node", "community")
-        if n % 2 and step.where("community <> was").isEmpty():
+    e = links.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
+    whole = materialize(e, "weighted")
+    edges = whole.unionByName(whole.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    nodes = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("comm", F.col("node"))
+    total = edges.agg(F.sum("w")).first()[0]
+    if total is None:
+        return nodes.select("node", F.col("comm").alias("community"))
+    nodes = materialize(nodes, "nodes")
+    final = nodes.select("node", F.col("node").alias("part"))
+    while edges.count() > 2 * SMALL:
+        nodes = _settled_by_joins(edges, nodes.withColumn("within", F.lit(0).cast("bigint")), total)
+        fine = _settled_by_joins(edges, nodes.select("node", "k", F.col("comm").alias("within"), F.col("node").alias("comm")), total)
+        if fine.where("comm <> node").isEmpty():
             break
-    least = lab.groupBy("community").agg(F.min("node").alias("name"))
-    return small.unionByName(lab.join(least, "community").select("node", F.col("name").alias("community")))
+        part = fine.select(F.col("node").alias("part"), F.col("comm").alias("p"))
+        final = materialize(final.join(part, "part").select("node", F.col("p").alias("part")), "parts")
+        edges = edges.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").where("pa <> pb").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.sum("w").alias("w"))
+        edges = materialize(edges, "edges")
+        nodes = materialize(fine.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"), F.first("within").alias("comm")), "nodes")
+    else:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            e, n = pdf[pdf["edge"]], pdf[~pdf["edge"]]
+            got = _clustered(e[["a", "b", "w"]], n[["a", "w", "b"]].set_axis(["node", "k", "comm"], axis=1), total)
+            return pd.DataFrame({"part": list(got), "community": list(got.values())})
+
+        left = edges.select("a", "b", "w", F.lit(True).alias("edge")).unionByName(nodes.select(F.col("node").alias("a"), F.col("comm").alias("b"), F.col("k").alias("w"), F.lit(False).alias("edge")))
+        nodes = left.groupBy().applyInPandas(run, "part bigint, community bigint").withColumnsRenamed({"part": "node", "community": "comm"})
+    final = materialize(final.join(nodes.select(F.col("node").alias("part"), F.col("comm").alias("community")), "part").select("node", "community"), "communities")
+    of = lambda x: final.toDF(x, f"c{x}")
+    inner = whole.join(of("a"), "a").join(of("b"), "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return final.select("node").join(components(inner), "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
 def cluster_report(members: DataFrame, links: DataFrame, names: DataFrame, top: int = 12, keep: int = 5) -> DataFrame:

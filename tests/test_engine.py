@@ -244,6 +244,19 @@ def test_communities_small_and_large_agree(spark, monkeypatch):
     assert C.communities(links.where("false")).count() == 0
 
 
+def test_communities_are_leiden_by_joins_too(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(90), rng.randrange(90)) for _ in range(160)} | {(15 * c + rng.randrange(15), 15 * c + rng.randrange(15)) for c in range(6) for _ in range(40)}
+    links = spark.createDataFrame([p for p in sorted(pairs) if p[0] != p[1]], "src bigint, dst bigint")
+    one = C.communities(links)
+    monkeypatch.setattr(C, "SMALL", 1)
+    many = C.communities(links)
+    assert rows(one) == rows(many) and C.modularity(many, links).first()[0] > 0.4
+    member = {r["node"]: r["community"] for r in many.collect()}
+    inside = links.join(many.toDF("src", "a"), "src").join(many.toDF("dst", "b"), "dst").where("a = b").select("src", "dst")
+    assert all(member[r["node"]] == r["component"] for r in R.components(inside).collect())
+
+
 def test_dual_cap_keeps_caps_and_bridges(spark):
     star = [(i, "p", 0, i, "CALLS", None) for i in range(1, 20)] + [(100, "p", 0, 50, "CONTAINS", None), (101, "p", 1, 2, "CALLS", None), (102, "p", 1, 2, "CALLS", None)]
     e = spark.createDataFrame(star, EDGE)
