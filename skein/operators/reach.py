@@ -134,20 +134,41 @@ def type_dependents(g: PropertyGraph, types: DataFrame, max_hops: int = 10) -> D
 
 
 def call_chains(g: PropertyGraph, starts: DataFrame, targets: DataFrame, max_hops: int = 8, keep: int = 5, width: int = 500) -> DataFrame:
-    """Up to `keep` shortest call chains from `starts(node)` to `targets(node)`, without repeated
-    nodes; of the open paths of a level only the `width` first, by their nodes, are followed: the
-    search is a report with stated bounds."""
-    steps = links(g, "CALLS")
-    at = starts.select(F.array("node").alias("path"), F.col("node").alias("end"))
+    """The `keep` shortest call chains from `starts(node)` to the first of `targets(node)` they
+    meet, without repeated nodes, by length and nodes.
+
+    For each length the nodes are known from which a target is that many calls away, so only open
+    paths that can end in time are followed. The `width` first of them, by their nodes, are enough
+    if they lead to as many chains as are wanted, since all that comes from others is later; else
+    the level is searched again with eight times as many, until there are enough or none is left out.
+    """
+    steps = materialize(links(g, "CALLS").where("src <> dst"), "steps")
+    ends = targets.select("node").distinct()
+    away = [materialize(ends, "away")]
     found: list[DataFrame] = []
-    for hop in range(max_hops + 1):
-        at = materialize(at, "paths")
-        done = at.join(targets.select(F.col("node").alias("end")).distinct(), "end", "left_semi")
-        found.append(done.select("path", F.lit(hop).alias("hops")))
-        if reduce(DataFrame.unionByName, found).count() >= keep or at.isEmpty():
+    need = keep
+    for hops in range(max_hops + 1):
+        if hops:
+            back = steps.join(away[-1].select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            away.append(materialize(back.join(away[0], "node", "left_anti"), "away"))
+        begin = starts.select("node").distinct().join(away[hops], "node", "left_semi").select(F.array("node").alias("path"), F.col("node").alias("end"))
+        most = max(width, need)
+        while True:
+            at, cut = materialize(begin.orderBy("path").limit(need), "paths") if hops == 0 else begin, False
+            for left in range(hops - 1, -1, -1):
+                more = at.join(steps, at["end"] == steps["src"]).where(~F.expr("array_contains(path, dst)")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
+                more = more.join(away[left].select(F.col("node").alias("end")), "end", "left_semi").select("path", "end")
+                at = materialize(more.orderBy("path").limit(most + 1), "paths")
+                if at.count() > most:
+                    at, cut = at.orderBy("path").limit(most), True
+            n = at.count()
+            if not cut or n >= need:
+                break
+            most *= 8
+        found.append(at.select("path", F.lit(hops).alias("hops")))
+        need -= n
+        if need <= 0 or away[hops].isEmpty():
             break
-        rest = at.join(targets.select(F.col("node").alias("end")).distinct(), "end", "left_anti").orderBy("path").limit(width)
-        at = rest.join(steps, rest["end"] == steps["src"]).where(~F.expr("array_contains(path, dst)")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
     return reduce(DataFrame.unionByName, found).orderBy("hops", "path").limit(keep)
 
 

@@ -143,6 +143,27 @@ def test_call_chain(small):
     assert [r["path"] for r in R.call_chains(small, ids(1), ids(3)).collect()] == [[1, 2, 3]]
 
 
+def test_call_chains_are_the_shortest_whatever_the_width(spark):
+    rng = random.Random(8)
+    calls = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(70)})
+    g = graph(spark, [(i, "Function", f"f{i}", None) for i in range(30)], [(a, b, "CALLS", None) for a, b in calls])
+    starts, targets = range(0, 30, 2), (5, 21)
+
+    def chains(path):
+        if path[-1] in targets:
+            yield path
+        elif len(path) <= 4:
+            for a, b in calls:
+                if a == path[-1] and b not in path:
+                    yield from chains([*path, b])
+
+    every = sorted((c for s in starts for c in chains([s])), key=lambda c: (len(c), c))
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "node bigint")
+    assert len(every) > 12
+    for keep in (5, len(every) - 1):
+        assert [r["path"] for r in R.call_chains(g, ids(starts), ids(targets), 4, keep, 2).collect()] == every[:keep]
+
+
 # --- normal forms
 
 
