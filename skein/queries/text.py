@@ -194,14 +194,12 @@ def fn_tfidf(g):
 
 @_g()
 def s_semantic(g):
-    """Functions alike by their words: exact cosine pairs of at least 0.75, nearer paths weighing
-    more, the ten best of each function."""
+    """Functions alike by their words: every pair with a cosine of at least 0.75, exact, nearer
+    paths weighing more."""
     p = g.nodes.select("id", "file_path")
     hit = S.cosine_join(_function_vectors(g), 0.75).join(p.withColumnsRenamed({"id": "a", "file_path": "pa"}), "a").join(p.withColumnsRenamed({"id": "b", "file_path": "pb"}), "b")
     hit = hit.where(F.regexp_extract("pa", r"\.(\w+)$", 1) == F.regexp_extract("pb", r"\.(\w+)$", 1))
-    scored = materialize(hit.select("a", "b", F.round(F.col("cosine") * norm.proximity(F.col("pa"), F.col("pb")), 6).alias("score")), "scored")
-    by = lambda k, o: F.row_number().over(S.Window.partitionBy(k).orderBy(F.desc("score"), o))
-    return scored.withColumn("ra", by("a", "b")).withColumn("rb", by("b", "a")).where("ra <= 10 and rb <= 10").select("a", "b", "score")
+    return hit.select("a", "b", F.round(F.col("cosine") * norm.proximity(F.col("pa"), F.col("pb")), 6).alias("score"))
 
 
 @_n()

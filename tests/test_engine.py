@@ -20,6 +20,7 @@ from skein.operators import textsearch as T
 from skein.plans import syntax
 from skein.plans.cypher import query
 from skein.plans.graph import PropertyGraph
+from skein.queries.text import s_semantic
 from skein.queries.upkeep import architecture
 from skein.sources import readers, sinks
 from skein.streaming import changes as X
@@ -303,6 +304,11 @@ def test_similar_sets_against_brute_force(spark):
     assert all(sets[i] == sets[c] for i, c in of.items())
 
 
+def test_semantic_links_all_equal_functions(spark):
+    g = graph(spark, [(i, "Function", "loadThing", None) for i in range(30)] + [(30, "Function", "other", None), (31, "Function", "else", None)], [])
+    assert {(r["a"], r["b"]) for r in s_semantic(g).collect()} == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
 def test_near_duplicates_of_texts(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = [(1, text), (2, text), (3, text.replace("w59", "other")), (4, "too short"), (5, None), (6, ""), (7, " ".join(f"z{i}" for i in range(60)))]
