@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.norm import route_path
@@ -19,7 +19,6 @@ BUILTINS = (
     "startsWith", "endsWith", "replace", "replaceAll", "split", "match", "matchAll", "trim", "trimStart", "trimEnd", "padStart", "padEnd", "repeat", "substring",
     "substr", "toLowerCase", "toUpperCase", "parse", "stringify",
 )
-CANDIDATES = 5
 
 
 def resolve_sites(sites: DataFrame, imports: DataFrame, exports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,9 +31,8 @@ def resolve_sites(sites: DataFrame, imports: DataFrame, exports: DataFrame, defs
     exported_name, local_name, source_module, imported_name, export_kind)`) to a definition
     (`defs(id, project, file_path, name)`). What exports leave missing, ambiguous or unknown stays
     unresolved: a name that was imported is not guessed. Other names resolve within the file, then,
-    unless they are built-in methods, to the project's definitions of the name: up to CANDIDATES
-    by id, each with an equal share of confidence, at most 0.3 for members; the search by name is a
-    report of candidates with that stated bound.
+    unless they are built-in methods, to all of the project's definitions of the name, each with an
+    equal share of confidence, at most 0.3 for members.
     """
     member = F.col("call_kind") == "member_call"
     head, tail = F.substring_index("callee", ".", 1), F.substring_index("callee", ".", -1)
@@ -57,11 +55,10 @@ def resolve_sites(sites: DataFrame, imports: DataFrame, exports: DataFrame, defs
     here = defs.groupBy("project", "file_path", F.col("name").alias("tail")).agg(F.min("id").alias("target_id"))
     local = rest.where(~F.col("member")).join(here, ["project", "file_path", "tail"]).select("site_id", "target_id", F.lit("same_file").alias("kind"), F.lit(0.9).alias("confidence"))
     open_ = rest.join(local.select("site_id"), "site_id", "left_anti").where(~(F.col("member") & F.col("tail").isin(*BUILTINS)))
-    by = Window.partitionBy("project", "tail").orderBy("id")
-    few = defs.select("id", "project", F.col("name").alias("tail")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= CANDIDATES)
-    few = few.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("project", "tail")))
+    all_ = defs.select("id", "project", F.col("name").alias("tail"))
+    every = all_.join(all_.groupBy("project", "tail").agg(F.count(F.lit(1)).alias("n")), ["project", "tail"])
     share = F.when(F.col("member"), F.least(F.lit(0.3), 1.0 / F.col("n"))).otherwise(1.0 / F.col("n"))
-    named = open_.join(few, ["project", "tail"]).select("site_id", F.col("id").alias("target_id"), F.lit("name").alias("kind"), F.round(share, 6).alias("confidence"))
+    named = open_.join(every, ["project", "tail"]).select("site_id", F.col("id").alias("target_id"), F.lit("name").alias("kind"), F.round(share, 6).alias("confidence"))
     return reduce(DataFrame.unionByName, [by_import, local, named])
 
 

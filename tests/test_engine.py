@@ -239,6 +239,15 @@ def test_guard_and_aspects(small):
     assert set(architecture(small, ["languages", "overview"])) > {"languages", "layers"}
 
 
+def test_sites_have_all_candidates_of_a_name(spark):
+    sites = spark.createDataFrame([(1, "p", "a.ts", "load", "identifier_call"), (2, "p", "a.ts", "x.load", "member_call")], "site_id bigint, project string, file_path string, callee string, call_kind string")
+    imports = spark.createDataFrame([], "project string, file_path string, local_name string, source_module string, imported_name string, import_kind string")
+    exports = spark.createDataFrame([], "project string, file_path string, exported_name string, local_name string, source_module string, imported_name string, export_kind string")
+    defs = spark.createDataFrame([(i, "p", f"f{i}.ts", "load") for i in range(8)] + [(9, "q", "a.ts", "load")], "id bigint, project string, file_path string, name string")
+    got = rows(V.resolve_sites(sites, imports, exports, defs, defs.select("project", "file_path")))
+    assert got == [(s, i, "name", 0.125) for s in (1, 2) for i in range(8)]
+
+
 # --- communities
 
 
