@@ -194,13 +194,11 @@ def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = 200_000)
     `out_cap` out of it or `in_cap` into it, and nodes stay connected where the caps allow.
 
     By project, in the order of type and id: first the edges that join two parts not joined yet,
-    then others, as long as both ends have room. A project of more than `small` edges is first cut
-    to the `out_cap` and `in_cap` foremost edges of each node by windows, which already keeps the
-    caps; its edges then stay as they are.
+    then others, as long as both ends have room. Which edge has room depends on all before it, so
+    a project is one task at any size; `small` changes nothing any more.
     """
     order = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("type")], F.lit(3))
     e = edges.groupBy("project", "source_id", "target_id", "type").agg(F.min("id").alias("id")).withColumn("o", order)
-    sized = e.join(e.groupBy("project").agg(F.count(F.lit(1)).alias("n")), "project")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "id"])
@@ -231,8 +229,5 @@ def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = 200_000)
             rows = later
         return pd.DataFrame({"id": sorted(kept)})
 
-    few = sized.where(F.col("n") <= small).groupBy("project").applyInPandas(run, "id bigint")
-    by_s = F.row_number().over(Window.partitionBy("project", "source_id").orderBy("o", "id"))
-    by_t = F.row_number().over(Window.partitionBy("project", "target_id").orderBy("o", "id"))
-    many = sized.where(F.col("n") > small).withColumn("rs", by_s).where(F.col("rs") <= out_cap).withColumn("rt", by_t).where(F.col("rt") <= in_cap).select("id")
-    return edges.join(few.unionByName(many), "id", "left_semi")
+    kept = e.select("project", "o", "id", "source_id", "target_id").groupBy("project").applyInPandas(run, "id bigint")
+    return edges.join(kept, "id", "left_semi")

@@ -296,6 +296,12 @@ def test_dual_cap_keeps_caps_and_bridges(spark):
         assert sum(r["source_id"] == 0 for r in kept) == 3 and any(r["id"] == 100 for r in kept) and sum(r["source_id"] == 1 for r in kept) == 1
 
 
+def test_dual_cap_is_the_same_at_any_size(spark):
+    rng = random.Random(4)
+    e = spark.createDataFrame([(i, "p", int(40 * rng.random() ** 2), rng.randrange(40), rng.choice(("CALLS", "IMPORTS", "DEFINES"))) for i in range(300)], "id bigint, project string, source_id bigint, target_id bigint, type string")
+    assert rows(C.dual_cap(e, 3, 3, 10**6)) == rows(C.dual_cap(e, 3, 3, 1))
+
+
 # --- similarity and text
 
 
