@@ -190,7 +190,8 @@ def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool =
     Null, empty and broken texts, and texts of scalars, give no rows; of a repeated key the last
     value counts; repeated records repeat their rows. Objects in an outermost array have depth 1
     and the parent path ''. `nested_only` leaves out the outermost objects and, before parsing,
-    the texts that can't hold another: those without a second brace, written out or escaped.
+    the texts that can't hold another: those without a second brace, written out or escaped, unless
+    they are an array or a string, which may hold JSON.
     No shuffle: records are parsed where they are read, equal texts of a batch once.
     """
     picked = None
@@ -200,7 +201,7 @@ def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool =
     opening = r"(\{|\\+u007[bB]).*?(\{|\\+u007[bB])" if nested_only else r"\{|\\+u007[bB]"
     wanted = F.col("text").rlike("(?s)" + opening)
     if nested_only:
-        wanted = wanted | F.col("text").rlike(r"^\s*\[")
+        wanted = wanted | F.col("text").rlike(r'^\s*[\["]')
     out = picked.where(wanted).mapInArrow(_flatten, BRIDGE)
     return out.where("depth > 0") if nested_only else out
 

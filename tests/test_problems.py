@@ -229,6 +229,12 @@ def test_nested_odd_texts(spark):
     assert object_bridge(("t", df.where("false"), "id", "j")).count() == 0
 
 
+def test_nested_array_in_a_string_is_as_without(spark):
+    df = spark.createDataFrame([(1, '[{"a":1}]'), (2, json.dumps('[{"a":1}]')), (3, '"{"'), (4, '"x"')], "id bigint, j string")
+    got = sorted((r["src_id"], r["parent_path"], r["child_path"]) for r in object_bridge(("t", df, "id", "j"), nested_only=True).collect())
+    assert got == [(1, "", "[0]"), (2, "", "[0]")]
+
+
 def test_equal_objects_are_stored_once(spark):
     df = spark.createDataFrame([(1, '{"a":{"x":1,"y":2},"b":[{"y":2,"x":1.0}]}'), (2, '{"c":{"x":1,"y":2}}'), (2, '{"c":{"x":1,"y":2}}')], "id bigint, j string")
     bridge = object_bridge(("t", df, "id", "j"))
