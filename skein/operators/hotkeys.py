@@ -1,9 +1,10 @@
 """Per-key results when a few keys hold most rows.
 
-`key_profile` counts rows and selects exact quantiles for every key without ever bringing the
-values of one key together: rows first collapse to (key, value) cells with map-side combine, and
-ranks are then located in value histograms whose bins are refined 16 bits at a time, only inside
-the bins that still hold a wanted rank. `split_join` joins a skewed side to a unique one by
+`hot_keys` finds the heavy keys, and `key_profile` counts rows and selects exact quantiles for
+every key, without ever bringing the rows of one key together. Both refine histograms of mergeable
+counts 16 bits at a time, only inside the bins that can still hold what is sought: keys are sought
+in bins of their hash, ranks in bins of the values' order, after rows have collapsed to (key,
+value) cells with map-side combine. `split_join` joins a skewed side to a unique one by
 broadcasting the right rows of the proven few heavy keys.
 """
 
@@ -81,6 +82,8 @@ def key_profile(
         .groupBy(*names, "v")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    if quantiles:
+        cells = materialize(cells, "cells")  # read by the totals and by every level
     totals = cells.groupBy(*names).agg(
         F.sum("c").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n_values"),
@@ -149,11 +152,36 @@ def _select(cells: DataFrame, names: list[str], qs: list[float], salts: int) ->
     return reduce(DataFrame.unionByName, done)
 
 
-def hot_keys(df: DataFrame, key: str, share: float, value: Column | None = None, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """`key_profile` rows of the non-null keys holding at least `share` of all rows of `df`
-    (rows with a null key count towards all). At most 1/share rows."""
-    least = math.ceil(share * df.count() - 1e-6)  # a share that is met exactly counts
-    return key_profile(df, [key], value, quantiles).where(F.col(f"`{key}`").isNotNull() & (F.col("n_rows") >= F.lit(least)))
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
+    """(field, hot_key, n_rows): for each of `keys` the values, as text, that hold at least `share`
+    of all rows of `df`; at most 1/share rows a key. Null is no value, but its rows count towards
+    all; an empty `df` gives no rows; columns of any name may stand beside the keys.
+
+    Exact, by refining histograms: the rows are counted by the first 16 bits of the value's hash,
+    and only bins that hold enough rows are counted again by the next 16, until every bin left
+    holds one hash. Last the values within these bins are counted themselves, so values that share
+    a hash are told apart. Counts merge before each shuffle, and at most 1/share bins a key, a
+    proven bound, are broadcast to the next level.
+    """
+    one = [F.struct(F.lit(k).alias("field"), F.col(f"`{k}`").cast("string").alias("hot_key")) for k in keys]
+    rows = df.select(F.explode(F.array(*one)).alias("x")).select("x.*").withColumn("h", F.when(F.col("hot_key").isNotNull(), F.xxhash64("hot_key")))
+    open_, least = None, 1
+    for level in range(_LEVELS):
+        within = rows if open_ is None else _inside(rows, open_, level - 1)
+        hist = within.groupBy("field", _prefix(F.col("h"), level).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        if open_ is None:
+            hist = materialize(hist, "bins")
+            total = hist.where(F.col("field") == keys[0]).agg(F.sum("c")).first()[0] or 0
+            least = max(1, math.ceil(share * total - 1e-6))  # a share that is met exactly counts
+        open_ = materialize(hist.where(F.col("bin").isNotNull() & (F.col("c") >= least)).select("field", "bin", (F.col("lo") == F.col("hi")).alias("one")), "bins")
+        if open_.where("not one").isEmpty():
+            break
+    return _inside(rows, open_, level).groupBy("field", "hot_key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
+
+
+def _inside(rows: DataFrame, bins: DataFrame, level: int) -> DataFrame:
+    few = F.broadcast(bins.select(F.col("field").alias("in_field"), "bin"))
+    return rows.join(few, (F.col("field") == F.col("in_field")) & (_prefix(F.col("h"), level) == F.col("bin")), "left_semi")
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, fraction: float = 0.002) -> DataFrame:

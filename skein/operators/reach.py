@@ -1,8 +1,9 @@
 """Reachability, shortest paths, impact, call chains and nesting depth over a property graph.
 
 Frontiers grow level by level; each level is one join of the last frontier with the edges and one
-anti-join with what is known, cut by a written table. A level's rows are distinct nodes, so work
-follows the part of the graph that is reached, and cycles end by themselves.
+anti-join with what is known. Walks of a few hops are one plan, whose levels share their exchanges;
+longer ones cut each level by a written table. A level's rows are distinct nodes, so work follows
+the part of the graph that is reached, and cycles end by themselves.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import hop_risk, is_test_path
-from skein.plans.graph import PropertyGraph
+from skein.operators.cycles import SMALL, longest, strong_components
+from skein.plans.graph import PropertyGraph, prop
 from skein.session import materialize
 
 
@@ -25,24 +27,50 @@ def links(g: PropertyGraph, *types: str, direction: str = "out") -> DataFrame:
     return (out if direction == "out" else back if direction == "in" else out.unionByName(back)).distinct()
 
 
-def min_hops(starts: DataFrame, steps: DataFrame, max_hops: int) -> DataFrame:
-    """(start, node, hop): the fewest hops, 1 to `max_hops`, from each of `starts(node)` to every
-    node it reaches by `steps(src, dst)`; a start reaches itself only over a cycle."""
-    frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
-    found: list[DataFrame] = []
-    for hop in range(1, max_hops + 1):
-        new = frontier.join(steps, frontier["at"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
+#: Walks of at most so many hops are one plan.
+_FEW_HOPS = 3
+
+
+def _levels(first: DataFrame, steps: DataFrame, key: list[str], max_hops: int | None) -> DataFrame:
+    """(*key, node, hop) of all that is reached from `first(*key, at)`, at its least hop."""
+    frontier, found = first, []
+    if max_hops is not None and max_hops <= _FEW_HOPS:
+        for hop in range(1, max_hops + 1):
+            new = frontier.join(steps, frontier["at"] == steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
+            found.append(new.withColumn("hop", F.lit(hop)))
+            frontier = new.withColumnRenamed("node", "at")
         if found:
-            known = reduce(DataFrame.unionByName, found).select("start", "node")
-            new = new.join(known, ["start", "node"], "left_anti")
+            return reduce(DataFrame.unionByName, found).groupBy(*key, "node").agg(F.min("hop").alias("hop"))
+    steps = materialize(steps, "steps")
+    hop, known = 0, None
+    while max_hops is None or hop < max_hops:
+        hop += 1
+        new = frontier.join(steps, frontier["at"] == steps["src"]).select(*key, F.col("dst").alias("node")).distinct()
+        if known is not None:
+            new = new.join(known.select(*key, "node"), [*key, "node"], "left_anti")
         new = materialize(new, "frontier")
         if new.isEmpty():
             break
         found.append(new.withColumn("hop", F.lit(hop)))
-        frontier = new.select("start", F.col("node").alias("at"))
-    if not found:
-        return starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).where(F.lit(False))
-    return reduce(DataFrame.unionByName, found)
+        if len(found) > 16:  # keeps the union of levels short, however long the walk
+            found = [materialize(reduce(DataFrame.unionByName, found), "reached")]
+        known = reduce(DataFrame.unionByName, found)
+        frontier = new.withColumnRenamed("node", "at")
+    return known if known is not None else first.select(*key, F.col("at").alias("node"), F.lit(0).alias("hop")).where(F.lit(False))
+
+
+def min_hops(starts: DataFrame, steps: DataFrame, max_hops: int | None) -> DataFrame:
+    """(start, node, hop): the fewest hops, 1 to `max_hops`, from each of `starts(node)` to every
+    node it reaches by `steps(src, dst)`; a start reaches itself only over a cycle. Without
+    `max_hops` the walk ends when nothing is new."""
+    first = starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
+    return _levels(first, steps, ["start"], max_hops)
+
+
+def least_hops(starts: DataFrame, steps: DataFrame, max_hops: int | None) -> DataFrame:
+    """(node, hop): as `min_hops`, from the nearest of all starts: one frontier for all of them, so
+    the work follows what is reached, not the number of starts."""
+    return _levels(starts.select(F.col("node").alias("at")).distinct(), steps, [], max_hops)
 
 
 def bfs(g: PropertyGraph, starts: DataFrame, types: tuple[str, ...] = ("CALLS",), max_hops: int = 3, direction: str = "out") -> DataFrame:
@@ -52,6 +80,15 @@ def bfs(g: PropertyGraph, starts: DataFrame, types: tuple[str, ...] = ("CALLS",)
     return hops.join(g.nodes.select(F.col("id").alias("node"), "name", "label", "file_path"), "node")
 
 
+def bfs_edges(g: PropertyGraph, starts: DataFrame, types: tuple[str, ...] = ("CALLS",), max_hops: int = 3, direction: str = "out") -> DataFrame:
+    """The edges of `types` among the starts and all that they reach: id, ends, type, and the
+    confidence in the edge's properties."""
+    near = least_hops(starts, links(g, *types, direction=direction), max_hops).select("node").union(starts.select("node")).distinct()
+    e = g.edges.where(F.col("type").isin(*types))
+    inner = e.join(near.withColumnRenamed("node", "source_id"), "source_id", "left_semi").join(near.withColumnRenamed("node", "target_id"), "target_id", "left_semi")
+    return inner.select("id", "source_id", "target_id", "type", prop("confidence").try_cast("double").alias("confidence"))
+
+
 #: The edge types that the modes of a trace follow (fixed values).
 TRACE_MODES = {
     "calls": ("CALLS",),
@@ -82,54 +119,87 @@ def impact(g: PropertyGraph, changed: DataFrame, max_hops: int = 4) -> DataFrame
     """Of changed files (`project`, `file_path`): the callers of their symbols, by fewest hops, in
     risk groups."""
     symbols = g.nodes.where(~F.col("label").isin("File", "Folder")).join(changed.distinct(), ["project", "file_path"], "left_semi").select(F.col("id").alias("node"))
-    hops = min_hops(symbols.select(F.col("node")), links(g, "CALLS", direction="in"), max_hops)
-    least = hops.groupBy("node").agg(F.min("hop").alias("hop")).join(symbols, "node", "left_anti").join(g.nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    symbols = materialize(symbols, "changed")
+    hops = least_hops(symbols, links(g, "CALLS", direction="in"), max_hops)
+    least = hops.join(symbols, "node", "left_anti").join(g.nodes.select(F.col("id").alias("node")), "node", "left_semi")
     return least.groupBy(hop_risk(F.col("hop")).alias("risk")).agg(F.count(F.lit(1)).alias("n_symbols"), F.min("hop").alias("nearest"))
 
 
-def shortest_path(g: PropertyGraph, source: int, target: int, max_hops: int = 6) -> DataFrame:
-    """One shortest path, edges taken in either direction: `position`, `node`, `edge_id`. Of all
-    edges by which a level first reaches a node the one with the smallest id leads to it, so the
-    path is the same on every run. No path within `max_hops` gives no rows; from a node to itself
-    one row."""
+def shortest_path(g: PropertyGraph, source: int, target: int, max_hops: int = 6) -> tuple[DataFrame, DataFrame]:
+    """One shortest path, edges taken in either direction, and how the search went.
+
+    The path: `position`, `node`, `edge_id`. Of all edges that lead to a node from the level before
+    it the one with the smallest id is taken, seen from the target, so the path is the same on
+    every run; from a node to itself it is one row. The second table is one row: `status` ('found',
+    'not_found' if everything that can be reached was seen, 'max_hops' if not), `hops` and
+    `visited_nodes`. An end that is no node gives a path without rows and the status 'no_node'.
+
+    The search grows from both ends, the smaller frontier first, so it sees two small balls rather
+    than one large one, over doubled edges that are written once.
+    """
     spark = g.nodes.sparkSession
-    e = g.edges.select("id", "source_id", "target_id")
-    both = e.select(F.col("id").alias("edge_id"), F.col("source_id").alias("src"), F.col("target_id").alias("dst")).unionByName(e.select(F.col("id").alias("edge_id"), F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
-    both = both.where("src <> dst")
-    levels = [spark.createDataFrame([(source, None, None)], "node bigint, parent bigint, edge_id bigint")]
-    known = levels[0].select("node")
-    reached = source == target
-    while not reached and len(levels) <= max_hops:
-        step = both.join(levels[-1].select(F.col("node").alias("src")), "src").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
-        level = materialize(step.groupBy(F.col("dst").alias("node")).agg(F.min_by("src", "edge_id").alias("parent"), F.min("edge_id").alias("edge_id")), "level")
-        if level.isEmpty():
+    told = lambda status, hops, n: spark.createDataFrame([(status, hops, n)], "status string, hops int, visited_nodes bigint")
+    none = spark.createDataFrame([], "position int, node bigint, edge_id bigint")
+    one = lambda n: spark.createDataFrame([(n,)], "node bigint")
+    if g.nodes.where(F.col("id").isin(source, target)).count() < len({source, target}):
+        return none, told("no_node", None, 0)
+    if source == target:
+        return one(source).select(F.lit(0).alias("position"), "node", F.lit(None).cast("bigint").alias("edge_id")), told("found", 0, 1)
+    ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
+    both = materialize(g.edges.where("source_id <> target_id").select("id", F.explode(ends).alias("x")).groupBy("x.src", "x.dst").agg(F.min("id").alias("edge_id")), "both")
+    sides = {"s": [one(source)], "t": [one(target)]}
+    known = {k: v[0] for k, v in sides.items()}
+    size, seen, met = {"s": 1, "t": 1}, 2, None
+    while sum(map(len, sides.values())) - 2 < max_hops:
+        k, o = ("s", "t") if size["s"] <= size["t"] else ("t", "s")
+        step = both.join(F.broadcast(sides[k][-1].withColumnRenamed("node", "src")) if size[k] < 100_000 else sides[k][-1].withColumnRenamed("node", "src"), "src", "left_semi")
+        level = materialize(step.select(F.col("dst").alias("node")).distinct().join(known[k], "node", "left_anti"), "level")
+        size[k] = level.count()
+        seen += size[k]
+        if not size[k]:
+            return none, told("not_found", None, seen)
+        sides[k].append(level)
+        known[k] = known[k].unionByName(level)
+        meet = materialize(level.join(sides[o][-1], "node", "left_semi"), "met")
+        if not meet.isEmpty():
+            met = meet
             break
-        levels.append(level)
-        known = known.unionByName(level.select("node"))
-        reached = not level.where(F.col("node") == target).isEmpty()
-    if not reached:
-        return levels[0].select(F.lit(0).alias("position"), "node", "edge_id").where(F.lit(False))
-    at = spark.createDataFrame([(target,)], "node bigint")
-    rows = []
-    for n in range(len(levels) - 1, -1, -1):
-        hit = at.join(levels[n], "node").select("node", "parent", "edge_id")
-        rows.append(hit.select(F.lit(n).alias("position"), "node", "edge_id"))
-        at = hit.select(F.col("parent").alias("node"))
-    return reduce(DataFrame.unionByName, rows)
-
-
-def callers_multi(g: PropertyGraph, targets: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Every caller of `targets(node)` over up to `max_hops` calls with its least depth."""
-    hops = min_hops(targets, links(g, "CALLS", direction="in"), max_hops)
-    least = hops.groupBy("node").agg(F.min("hop").alias("depth"))
-    return least.join(g.nodes.select(F.col("id").alias("node"), "name", "file_path", "start_line"), "node")
-
-
-def type_dependents(g: PropertyGraph, types: DataFrame, max_hops: int = 10) -> DataFrame:
-    """Files that refer, directly or over other types, to one of `types(node)`."""
-    refs = links(g, "USAGE", "INHERITS", "IMPLEMENTS", direction="in")
-    near = min_hops(types, refs, max_hops).select("node").union(types.select("node")).distinct()
-    users = refs.join(near, refs["src"] == near["node"]).select(F.col("dst").alias("id")).distinct()
+    if met is None:
+        return none, told("max_hops", None, seen)
+    # of each level on the target's side, the nodes from which the source is as near as can be
+    good = {len(sides["t"]) - 1: met}
+    for i in range(len(sides["t"]) - 2, -1, -1):
+        good[i] = materialize(sides["t"][i].join(both.join(good[i + 1].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "good")
+    before = [good[i] for i in range(1, len(sides["t"]))] + [sides["s"][i] for i in range(len(sides["s"]) - 2, -1, -1)]
+    at, rows = target, []
+    for level in before:  # as many steps as the path has
+        edge = both.where(F.col("dst") == at).join(level.withColumnRenamed("node", "src"), "src", "left_semi").agg(F.min(F.struct("edge_id", "src")).alias("m")).first()["m"]
+        rows.append((at, edge["edge_id"]))
+        at = edge["src"]
+    path = [(0, at, None), *[(i + 1, n, e) for i, (n, e) in enumerate(reversed(rows))]]
+    return spark.createDataFrame(path, "position int, node bigint, edge_id bigint"), told("found", len(rows), seen)
+
+
+def callers_multi(g: PropertyGraph, targets: DataFrame, max_hops: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Every caller of `targets(node)` over up to `max_hops` calls with its least depth; and one
+    row that tells whether these are all: `complete`, `n_callers`, `n_open` (callers of the last
+    level that are called by others not seen) and `reason` ('max_hops', else null)."""
+    back = materialize(links(g, "CALLS", direction="in"), "calls")
+    least = materialize(least_hops(targets, back, max_hops), "callers")
+    last = least.where(F.col("hop") == max_hops).select(F.col("node").alias("src"))
+    known = least.select("node").union(targets.select("node")).distinct()
+    further = back.join(last, "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_anti").agg(F.count_distinct("src").alias("n_open"))
+    done = least.agg(F.count(F.lit(1)).alias("n_callers")).join(F.broadcast(further), F.lit(True))
+    state = done.select((F.col("n_open") == 0).alias("complete"), "n_callers", "n_open", F.when(F.col("n_open") > 0, "max_hops").alias("reason"))
+    named = least.withColumnRenamed("hop", "depth").join(g.nodes.select(F.col("id").alias("node"), "name", "file_path", "start_line"), "node")
+    return named, state
+
+
+def type_dependents(g: PropertyGraph, types: DataFrame) -> DataFrame:
+    """Files that refer, directly or over other types, to one of `types(node)`; the walk ends when
+    nothing is new."""
+    refs = materialize(links(g, "USAGE", "INHERITS", "IMPLEMENTS", direction="in"), "refs")
+    users = least_hops(types, refs, None).select(F.col("node").alias("id"))
     return g.nodes.join(users, "id", "left_semi").groupBy("project", "file_path").agg(F.count(F.lit(1)).alias("n_symbols"))
 
 
@@ -172,60 +242,35 @@ def call_chains(g: PropertyGraph, starts: DataFrame, targets: DataFrame, max_hop
     return reduce(DataFrame.unionByName, found).orderBy("hops", "path").limit(keep)
 
 
-def components(steps: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(steps: DataFrame) -> DataFrame:
     """(node, component): connected components of `steps(src, dst)`, by hooking every node to the
-    least label around it and halving label chains each round; the component is its least node."""
+    least label around it and halving label chains each round, until nothing changes; the
+    component is its least node."""
     both = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = materialize(both, "both")
     lab = materialize(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(lab.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
         hooked = lab.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("to"))
         jump = lab.select(F.col("node").alias("to"), F.col("component").alias("root"))
         new = materialize(hooked.join(jump, "to", "left").select("node", F.least("to", F.coalesce("root", "to")).alias("component"), F.col("component").alias("was")), "labels")
-        changed = not new.where("component <> was").isEmpty()
         lab = new.select("node", "component")
-        if not changed:
-            break
-    return lab
+        if new.where("component <> was").isEmpty():
+            return lab
 
 
-def loop_depth(g: PropertyGraph, own: DataFrame, cap: int = 256) -> DataFrame:
+def loop_depth(g: PropertyGraph, own: DataFrame, small: int = SMALL) -> DataFrame:
     """Transitive loop depth: a function's own depth (`own(id, depth)`) plus the largest of what
-    it calls. Calls inside a cycle add nothing and mark their functions `recursive`.
-
-    Nodes that lie on a cycle are those left when functions without open callees are taken away
-    round by round; every round is one join, and depths are final when a function is taken. What
-    is left takes the depths of its callees outside the cycle only.
-    """
-    calls = links(g, "CALLS").where("src <> dst")
-    selfs = links(g, "CALLS").where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loops"))
+    it calls. Calls inside a cycle add nothing, and functions on a cycle, of one call or more, are
+    `recursive`; functions that only lead to a cycle are not."""
+    calls = links(g, "CALLS")
+    selfs = calls.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loops"))
     ids = own.select("id")
-    calls = materialize(calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "calls")
-    todo = materialize(own.select("id", "depth"), "todo")
-    done: list[DataFrame] = []
-    for _ in range(cap):
-        waiting = calls.join(todo.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        ready = todo.join(waiting, "id", "left_anti")
-        if done:
-            known = reduce(DataFrame.unionByName, done)
-            best = calls.join(known.select(F.col("id").alias("dst"), "total"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("total").alias("below"))
-            ready = ready.join(best, "id", "left")
-        else:
-            ready = ready.withColumn("below", F.lit(0))
-        ready = materialize(ready.select("id", (F.col("depth") + F.coalesce("below", F.lit(0))).alias("total"), F.lit(False).alias("recursive")), "ready")
-        if ready.isEmpty():
-            break
-        done.append(ready)
-        if len(done) > 12:
-            done = [materialize(reduce(DataFrame.unionByName, done), "ready")]
-        todo = materialize(todo.join(ready, "id", "left_anti"), "todo")
-    known = reduce(DataFrame.unionByName, done) if done else None
-    left = todo
-    if known is not None:
-        best = calls.join(known.select(F.col("id").alias("dst"), "total"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("total").alias("below"))
-        left = left.join(best, "id", "left").withColumn("total", F.col("depth") + F.coalesce("below", F.lit(0)))
-        out = known.unionByName(left.select("id", "total", F.lit(True).alias("recursive")))
-    else:
-        out = left.select("id", F.col("depth").alias("total"), F.lit(True).alias("recursive"))
-    return out.join(selfs, "id", "left").select("id", "total", (F.col("recursive") | F.coalesce("loops", F.lit(False))).alias("recursive"))
+    calls = calls.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    calls = materialize(calls.select("src", "dst"), "calls")
+    rings = materialize(strong_components(calls, small), "rings")
+    ring = lambda x: rings.toDF(x, f"r_{x}")
+    across = calls.join(ring("src"), "src", "left").join(ring("dst"), "dst", "left").where("not coalesce(r_src = r_dst, false)").select("src", "dst")
+    total = longest(own, materialize(across, "across"), small)
+    out = total.join(selfs, "id", "left").join(rings.select(F.col("node").alias("id"), F.lit(True).alias("ring")), "id", "left")
+    return out.select("id", "total", F.coalesce("loops", "ring", F.lit(False)).alias("recursive"))

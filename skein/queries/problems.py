@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.changefeed import ChangeTable
-from skein.operators.hotkeys import hot_keys, key_profile
+from skein.operators.hotkeys import hot_keys, key_profile, split_join
 from skein.operators.nested import object_bridge, object_store
 from skein.operators.orphans import References, orphan_references, record_states
 from skein.operators.snapshots import json_form, ordered_generations, snapshot_changes
@@ -25,12 +25,7 @@ def _weight():
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "edges")
-    parts = [
-        hot_keys(edges, k, HOT_SHARE, _weight(), _QUANTILES).select(F.lit(k).alias("field"), F.col(k).cast("string").alias("hot_key"))
-        for k in ("target_id", "type")
-    ]
-    return parts[0].unionByName(parts[1])
+    return hot_keys(table(spark, sf_dir, "edges"), ["target_id", "type"], HOT_SHARE).select("field", "hot_key")
 
 
 def _profile(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
@@ -71,7 +66,7 @@ select t.k as {key}, n_rows, n_values, sum_value, min_value, max_value, q25, med
 # --- p2: references to records that do not exist
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf_dir: str, inherited: bool) -> DataFrame:
     states = record_states(table(spark, sf_dir, "nodes"), "id", "indexed_at", "deleted_at", "project", "qualified_name")
     qn = F.col("qualified_name")
     inside = F.substring_index(qn, "::", -1)
@@ -79,9 +74,11 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         qn.contains("::"),
         F.when(inside.contains("."), F.regexp_replace(qn, r"\.[^.]*$", "")).otherwise(F.regexp_replace(qn, r"::(?!.*::).*$", "")),
     )
-    held = states.where(container.isNotNull()).select(F.col("node_id").alias("child"), "project", container.alias("container"))
-    holders = states.where(qn.isNotNull()).select(F.col("node_id").alias("parent"), "project", qn.alias("container"))
-    links = held.join(holders, ["project", "container"], "left").select("child", "parent")
+    # a name without a project is its own place
+    place = lambda name: F.concat_ws("\u0001", F.coalesce("project", F.lit("\u0002")), name)
+    held = states.where(container.isNotNull()).select(F.col("node_id").alias("child"), place(container).alias("place"))
+    holders = states.where(qn.isNotNull() & F.col("project").isNotNull()).select(F.col("node_id").alias("parent"), place(qn).alias("place"))
+    links = split_join(held, holders, "place").select("child", "parent") if inherited else None
     edges, notes = table(spark, sf_dir, "edges"), table(spark, sf_dir, "human_nodes")
     return orphan_references(
         states,
@@ -92,12 +89,13 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).where("kind = 'direct'").select("ref_table", "ref_field", "ref_id", "node_id", "reason").distinct()
+    """The direct orphans, which are the cascade's first round; later rounds add inherited ones."""
+    return _orphans(spark, sf_dir, inherited=False).select("ref_table", "ref_field", "ref_id", "node_id", "reason").distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _orphans(spark, sf_dir)
+        _orphans(spark, sf_dir, inherited=True)
         .select("ref_table", "ref_field", "ref_id", "node_id", F.date_format("ref_time", "yyyy-MM").alias("month"), "kind", "reason")
         .distinct()
         .groupBy("ref_table", "ref_field", "month", "kind", "reason")

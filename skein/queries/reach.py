@@ -9,7 +9,7 @@ from skein.operators import reach as R
 from skein.operators import reports as P
 from skein.plans.graph import PropertyGraph, prop
 from skein.queries.cypher import GRAPH, j
-from skein.queries.graph import _TEST
+from skein.queries.graph import _P, _TEST
 from skein.session import table
 
 _TABLE: dict = {}
@@ -43,6 +43,14 @@ def g_bfs(g, notes):
     return R.bfs(g, g.nodes.where("id % 100 = 0").select(F.col("id").alias("node")), max_hops=3)
 
 
+@_q(
+    _walk("select id from n where id % 100 = 0", 3)
+    + f", near as (select node from least union select id from n where id % 100 = 0) select id, source_id, target_id, type, try_cast({j('calls', 'confidence')} as double) confidence from calls where source_id in (select node from near) and target_id in (select node from near)"
+)
+def g_bfs_edges(g, notes):
+    return R.bfs_edges(g, g.nodes.where("id % 100 = 0").select(F.col("id").alias("node")), max_hops=3)
+
+
 @_q(
     _walk("select min(id) from n where name = 'logEvent'", 2).replace(", w as", ", w0 as").replace("from w join", "from w0 join").replace("w.start", "w0.start").replace("= w.node", "= w0.node").replace("least as", "l0 as").replace("from w group", "from w0 group")
     + _walk("select min(id) from n where name = 'logEvent'", 2, True)
@@ -52,36 +60,62 @@ def g_trace(g, notes):
     return R.trace(g, "logEvent", max_hops=2)
 
 
-_CHANGED = "select id from n where project = 'atlas-core' and starts_with(trim(regexp_replace(replace(coalesce(file_path, ''), '\\', '/'), '^[A-Za-z]:/', '/'), '/'), 'src/billing/') and label not in ('File', 'Folder')"
+_SHARED = "project = 'atlas-core' and (%s = 'src/shared' or starts_with(%s, 'src/shared/'))" % ((_P,) * 2)
+_CHANGED = f"select id from n where {_SHARED} and label not in ('File', 'Folder')"
 
 
 @_q(_walk(_CHANGED, 4, True) + f"select case hop when 1 then 'CRITICAL' when 2 then 'HIGH' when 3 then 'MEDIUM' else 'LOW' end risk, count(*) n_symbols, min(hop) nearest from (select node, min(hop) hop from least where node not in ({_CHANGED}) and node in (select id from n) group by 1) group by 1")
 def g_impact(g, notes):
-    changed = g.nodes.where((F.col("project") == "atlas-core") & in_scope(graph_path(F.col("file_path")), "src/billing")).select("project", "file_path")
+    changed = g.nodes.where((F.col("project") == "atlas-core") & in_scope(graph_path(F.col("file_path")), "src/shared")).select("project", "file_path")
     return R.impact(g, changed)
 
 
-
-
 @_q(_walk("1", 3, True) + "select case hop when 1 then 'CRITICAL' when 2 then 'HIGH' when 3 then 'MEDIUM' else 'LOW' end risk, count(*) n from (select node, min(hop) hop from least group by 1) group by 1")
 def agg_impact(g, notes):
-    return P.impact_summary(R.min_hops(_ids(g, 1), R.links(g, "CALLS", direction="in"), 3))
+    return P.impact_summary(R.least_hops(_ids(g, 1), R.links(g, "CALLS", direction="in"), 3))
 
 
 @_q(_walk("1, 2, 3", 3, True) + "select node, min(hop) hop from least group by 1")
 def set_dedupe_hops(g, notes):
-    return R.min_hops(_ids(g, 1, 2, 3), R.links(g, "CALLS", direction="in"), 3).groupBy("node").agg(F.min("hop").alias("hop"))
+    return R.least_hops(_ids(g, 1, 2, 3), R.links(g, "CALLS", direction="in"), 3)
 
 
-@_q()
+_PATH = """, b as (select x src, y dst, min(id) edge_id from (select source_id x, target_id y, id from e union all select target_id, source_id, id from e) where x <> y group by 1, 2),
+ s as (select min(id) a, max(id) z from n where label = 'Method'), w as (select a node, 0 hop from s union select dst, hop + 1 from w join b on src = node where hop < 6), least as (select node, min(hop) hop from w group by 1)
+"""
+
+
+def _far_ends(g):
+    return g.nodes.where("label = 'Method'").agg(F.min("id"), F.max("id")).first()
+
+
+@_q(
+    _PATH
+    + """, p as (select node, hop as "position", (select arg_min(b.edge_id, b.edge_id) from b join least l on l.node = b.src and l.hop = least.hop - 1 where b.dst = least.node) edge_id from least where node = (select z from s)
+  union all select q.src, p."position" - 1, (select min(b2.edge_id) from b b2 join least l2 on l2.node = b2.src and l2.hop = p."position" - 2 where b2.dst = q.src) from p join (select b.dst, b.edge_id, b.src from b) q on q.dst = p.node and q.edge_id = p.edge_id)
+ select "position", node, edge_id from p"""
+)
 def g_shortest_path(g, notes):
-    ends = g.nodes.where("label = 'Method'").agg(F.min("id"), F.max("id")).first()
-    return R.shortest_path(g, ends[0], ends[1])
+    return R.shortest_path(g, *_far_ends(g))[0]
+
+
+@_q(_PATH + "select case when h is null then 'max_hops' else 'found' end status, h hops from (select (select hop from least where node = (select z from s)) h)")
+def g_path_status(g, notes):
+    return R.shortest_path(g, *_far_ends(g))[1].select("status", "hops")
 
 
 @_q(_walk("1, 2", 8, True) + "select node, min(hop) depth, any_value(name) name, any_value(file_path) file_path, any_value(start_line) start_line from least join n on n.id = node group by 1")
 def g_callers_multi(g, notes):
-    return R.callers_multi(g, _ids(g, 1, 2))
+    return R.callers_multi(g, _ids(g, 1, 2))[0]
+
+
+@_q(
+    _walk("1, 2", 2, True)
+    + ", l2 as (select node, min(hop) hop from least group by 1), far as (select count(distinct target_id) k from calls where target_id in (select node from l2 where hop = 2) and source_id not in (select node from l2) and source_id not in (1, 2))"
+    " select k = 0 complete, (select count(*) from l2) n_callers, k n_open, case when k > 0 then 'max_hops' end reason from far"
+)
+def g_callers_state(g, notes):
+    return R.callers_multi(g, _ids(g, 1, 2), 2)[1]
 
 
 @_q(
@@ -89,22 +123,30 @@ def g_callers_multi(g, notes):
     " select project, file_path, count(*) n_symbols from n where id in (select t from refs where s in (select node from near)) group by 1, 2"
 )
 def g_type_dependents(g, notes):
-    return R.type_dependents(g, g.nodes.where("label = 'Interface' and project = 'atlas-core'").select(F.col("id").alias("node")), 40)
+    return R.type_dependents(g, g.nodes.where("label = 'Interface' and project = 'atlas-core'").select(F.col("id").alias("node")))
 
 
-@_q()
+@_q(
+    ", ch(path, node) as (select [id], id from n where starts_with(name, 'load') union select list_append(ch.path, c.target_id), c.target_id from ch join (select distinct source_id, target_id from calls) c on c.source_id = ch.node where ch.node <> 1 and len(ch.path) <= 4 and not list_contains(ch.path, c.target_id))"
+    " select len(path) - 1 hops, array_to_string(path, '>') path from ch where node = 1 order by len(path), ch.path limit 5"
+)
 def g_call_chain(g, notes):
     starts = g.nodes.where(F.col("name").startswith("load")).select(F.col("id").alias("node"))
     return R.call_chains(g, starts, _ids(g, 1), max_hops=4).select("hops", F.array_join("path", ">").alias("path"))
 
 
-@_q()
+@_q(
+    f""", o as (select id, coalesce(try_cast({j('n', 'metrics.branches.loop')} as int), 0) depth from n where label in ('Function', 'Method')), c as (select distinct source_id s, target_id t from calls where source_id in (select id from o) and target_id in (select id from o)),
+ r as (select s, t from c union select r.s, c.t from r join c on c.s = r.t), ring as (select s id from r where s = t), x as (select s, t from c where not exists (select 1 from r where r.s = c.t and r.t = c.s)),
+ tot as (select id, depth total from o union select x.s, o.depth + tot.total from tot join x on x.t = tot.id join o on o.id = x.s)
+ select id, max(total) total, id in (select id from ring) recursive from tot group by 1"""
+)
 def g_complexity(g, notes):
     own = g.nodes.where(F.col("label").isin("Function", "Method")).select("id", F.coalesce(prop("metrics.branches.loop").try_cast("int"), F.lit(0)).alias("depth"))
     return R.loop_depth(g, own)
 
 
-@_q()
+@_q(", b as (select source_id s, target_id t from calls union select target_id, source_id from calls), cc(node, component) using key (node) as (select s, s from b group by 1 union select b.s, min(cc.component) from b join cc on cc.node = b.t join recurring.cc as r on r.node = b.s where cc.component < r.component group by 1) select node, component from cc")
 def g_components(g, notes):
     return R.components(R.links(g, "CALLS"))
 

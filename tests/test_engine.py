@@ -13,6 +13,7 @@ from skein.functions import norm
 from skein.operators import community as C
 from skein.operators import derive as D
 from skein.operators import memory as M
+from skein.operators import cycles as Y
 from skein.operators import reach as R
 from skein.operators import resolve as V
 from skein.operators import similarity as S
@@ -124,14 +125,84 @@ def test_random_graphs_against_brute_force(spark):
 
 
 def test_shortest_path_and_components(spark, small):
-    got = R.shortest_path(small, 4, 2).orderBy("position").collect()
-    assert [r["node"] for r in got] == [4, 3, 2]
-    assert R.shortest_path(small, 1, 5).count() == 0
-    assert [r["node"] for r in R.shortest_path(small, 5, 5).collect()] == [5]
+    path = lambda a, b, **k: [r["node"] for r in R.shortest_path(small, a, b, **k)[0].orderBy("position").collect()]
+    assert path(4, 2) == [4, 3, 2]
+    assert path(1, 5) == [] and path(5, 5) == [5]
+    assert R.shortest_path(small, 1, 10**9)[1].first()["status"] == "no_node"
+    assert R.shortest_path(small, 4, 2, max_hops=1)[1].first()["status"] == "max_hops"
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "src bigint, dst bigint")
     assert {r["component"] for r in R.components(chain).collect()} == {0, 100}
 
 
+def brute_path(edges, a, b, hops):
+    """Levels from the source; then back from the target by the least edge id."""
+    near = {}
+    for i, s, t in edges:
+        for x, y in ((s, t), (t, s)):
+            if s != t:
+                near.setdefault(x, []).append((i, y))
+    level, at = {a: 0}, [a]
+    while at:
+        new = {y for x in at for _, y in near.get(x, []) if y not in level}
+        level |= {y: level[at[0]] + 1 for y in new}
+        at = sorted(new)
+    if level.get(b, hops + 1) > hops:
+        return None
+    out = [b]
+    while out[-1] != a:
+        out.append(min((i, y) for i, y in near[out[-1]] if level.get(y) == level[out[-1]] - 1)[1])
+    return out[::-1]
+
+
+def test_shortest_paths_against_brute_force(spark):
+    rng = random.Random(21)
+    edges = [(i, rng.randrange(25), rng.randrange(25)) for i in range(34)]
+    g = PropertyGraph(spark.createDataFrame([(i, "p") for i in range(25)], "id bigint, project string"), spark.createDataFrame([(i, s, t, "CALLS") for i, s, t in edges], "id bigint, source_id bigint, target_id bigint, type string"))
+    for a, b in [(0, 1), (2, 9), (3, 17), (20, 4)]:
+        path, state = R.shortest_path(g, a, b)
+        got = [r["node"] for r in path.orderBy("position").collect()]
+        want = brute_path(edges, a, b, 6)
+        assert got == (want or []) and (state.first()["status"] == "found") == (want is not None)
+
+
+def test_cycles_and_longest_ways_are_the_same_by_joins_and_in_one_task(spark):
+    rng = random.Random(6)
+    pairs = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(18)})
+    reach = {a: {b for x, b in pairs if x == a} for a in range(12)}
+    while True:
+        more = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+        if more == reach:
+            break
+        reach = more
+    ring = {a: max(b for b in r if a in reach[b]) for a, r in reach.items() if any(b != a and a in reach[b] for b in r)}
+    df = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    for small in (0, 1000):
+        assert {r["node"]: r["component"] for r in Y.strong_components(df, small).collect()} == ring
+    dag = [(a, b) for a, b in pairs if a < b]
+    own = {i: i % 3 for i in range(12)}
+    total = {}
+    for i in range(11, -1, -1):
+        total[i] = own[i] + max([total[b] for a, b in dag if a == i], default=0)
+    for small in (0, 1000):
+        got = Y.longest(spark.createDataFrame(list(own.items()), "id bigint, depth int"), spark.createDataFrame(dag, "src bigint, dst bigint"), small)
+        assert {r["id"]: r["total"] for r in got.collect()} == total
+
+
+def test_a_long_chain_of_calls_is_no_cycle(spark):
+    g = graph(spark, [(i, "Function", f"f{i}", None) for i in range(600)], [(i, i + 1, "CALLS", None) for i in range(599)])
+    got = {r["id"]: (r["total"], r["recursive"]) for r in R.loop_depth(g, g.nodes.select("id", F.lit(1).alias("depth"))).collect()}
+    assert got == {i: (600 - i, False) for i in range(600)}
+
+
+def test_callers_tell_whether_they_are_all(spark):
+    g = graph(spark, [(i, "Function", f"f{i}", None) for i in range(6)], [(i + 1, i, "CALLS", None) for i in range(5)])
+    start = g.nodes.where("id = 0").select(F.col("id").alias("node"))
+    got, state = R.callers_multi(g, start, 3)
+    assert {r["node"]: r["depth"] for r in got.collect()} == {1: 1, 2: 2, 3: 3}
+    assert tuple(state.first()) == (False, 3, 1, "max_hops")
+    assert tuple(R.callers_multi(g, start, 9)[1].first()) == (True, 5, 0, None)
+
+
 def test_loop_depth(spark):
     g = graph(spark, [(i, "Function", f"f{i}", None) for i in range(1, 7)], [(1, 2, "CALLS", None), (2, 3, "CALLS", None), (4, 5, "CALLS", None), (5, 4, "CALLS", None), (5, 3, "CALLS", None), (6, 6, "CALLS", None)])
     own = g.nodes.select("id", F.lit(1).alias("depth"))

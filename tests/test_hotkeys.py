@@ -61,17 +61,17 @@ def test_ordinal_keeps_order(spark):
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert key_profile(empty, ["k"], F.col("v"), QS).count() == 0
-    assert hot_keys(empty, "k", 0.02).count() == 0
+    assert hot_keys(empty, ["k"], 0.02).count() == 0
     df = spark.createDataFrame([("a", 1.0, 7, 8)], "k string, v double, n_rows int, c int")
     assert key_profile(df, ["k"], F.col("v"), QS).first()["n_rows"] == 1
 
 
 def test_hot_keys_count_nulls_in_the_total(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)] + [(None,)] * 97, "k string")
-    assert [r["k"] for r in hot_keys(df, "k", 0.02).collect()] == ["a"]
+    assert [r["hot_key"] for r in hot_keys(df, ["k"], 0.02).collect()] == ["a"]
     for n in (50, 150, 350, 1150):  # exactly a fiftieth, whatever the rounding
         exact = spark.createDataFrame([("a",)] * (n // 50) + [(None,)] * (n - n // 50), "k string")
-        assert [r["k"] for r in hot_keys(exact, "k", 0.02).collect()] == ["a"]
+        assert [r["hot_key"] for r in hot_keys(exact, ["k"], 0.02).collect()] == ["a"]
 
 
 def test_split_join_is_a_left_join(spark):
