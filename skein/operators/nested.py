@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.hotkeys import split_join
+from skein.session import materialize
+
 BRIDGE = "src_table string, src_id bigint, parent_path string, child_path string, depth int, ordinal int, parent_hash string, object_hash string, fields string"
 _ARROW = pa.schema(
     [("src_table", pa.string()), ("src_id", pa.int64()), ("parent_path", pa.string()), ("child_path", pa.string()), ("depth", pa.int32()), ("ordinal", pa.int32()), ("parent_hash", pa.string()), ("object_hash", pa.string()), ("fields", pa.string())]
@@ -99,6 +102,37 @@ def _scalar(v: object) -> object:
     return v
 
 
+def digest(form: str) -> str:
+    return hashlib.blake2b(form.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _written(node: dict, hash_of: dict[int, str]) -> str:
+    """An object's canonical form as `json.dumps` writes it, without recursion."""
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(True, "}")]
+    for i, (k, v) in enumerate(sorted(((str(k), v) for k, v in node.items()), reverse=True)):
+        todo += [(False, v), (True, json.dumps(k) + ":")]
+        if i < len(node) - 1:
+            todo.append((True, ","))
+    todo.append((True, "{"))
+    while todo:
+        text, v = todo.pop()
+        if text:
+            out.append(v)
+        elif isinstance(v, dict):
+            out.append('{"#":"' + hash_of[id(v)] + '"}')
+        elif isinstance(v, list):
+            todo.append((True, "]"))
+            for i, x in enumerate(reversed(v)):
+                todo.append((False, x))
+                if i < len(v) - 1:
+                    todo.append((True, ","))
+            todo.append((True, "["))
+        else:
+            out.append(json.dumps(_scalar(v)))
+    return "".join(out)
+
+
 def occurrences(value: object) -> list[tuple[str, str, int, int, str, str, str]]:
     """(parent_path, child_path, depth, ordinal, parent_hash, object_hash, fields) of every object
     in `value`, outermost first; a parent precedes its children. The outermost value, if an
@@ -122,35 +156,19 @@ def occurrences(value: object) -> list[tuple[str, str, int, int, str, str, str]]
             order[up]["n"] = order[up].get("n", 0) + 1
             entry["ordinal"] = order[up]["n"] - 1
     hash_of: dict[int, str] = {}
-    for entry in reversed(order):  # children before parents
 
-        def form(v: object) -> object:
-            out: list = []
-            work = [(v, out)]
-            while work:
-                x, into = work.pop()
-                if isinstance(x, dict):
-                    into.append({"#": hash_of[id(x)]})
-                elif isinstance(x, list):
-                    here: list = []
-                    into.append(here)
-                    for y in x:
-                        if isinstance(y, list):
-                            slot: list = []
-                            here.append(slot)
-                            work.append((y, slot))
-                        else:
-                            here.append({"#": hash_of[id(y)]} if isinstance(y, dict) else _scalar(y))
-                else:
-                    into.append(_scalar(x))
-            return out[0]
+    def form(v: object) -> object:
+        if isinstance(v, dict):
+            return {"#": hash_of[id(v)]}
+        return [form(x) for x in v] if isinstance(v, list) else _scalar(v)
 
+    for entry in reversed(order):  # children before parents
         try:
             fields = json.dumps({str(k): form(v) for k, v in entry["node"].items()}, sort_keys=True, separators=(",", ":"))
         except RecursionError:  # arrays nested thousands deep inside one field
-            fields = repr(sorted(map(str, entry["node"])))
+            fields = _written(entry["node"], hash_of)
         entry["fields"] = fields
-        entry["hash"] = hash_of[id(entry["node"])] = hashlib.blake2b(fields.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        entry["hash"] = hash_of[id(entry["node"])] = digest(fields)
     return [
         (order[e["parent"]]["path"] if e["parent"] >= 0 else "", e["path"], e["depth"] if not isinstance(value, list) else e["depth"] + 1, e["ordinal"], order[e["parent"]]["hash"] if e["parent"] >= 0 else "", e["hash"], e["fields"])
         for e in order
@@ -161,39 +179,55 @@ def _clean(s: str) -> str:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, list] = {}
+_ROW = pa.struct([(f.name, f.type) for f in _ARROW if f.name not in ("src_table", "src_id")])
+_TREES = pa.schema([("src_table", pa.string()), ("src_id", pa.int64()), ("root_hash", pa.string()), ("rows", pa.list_(_ROW))])
+_ROWS = ", ".join(f"{c}: {t}" for c, t in (x.strip().split() for x in BRIDGE.split(",")[2:]))
+_NAMES = [f.name for f in _ROW]
+
+
+def _tree(text: str) -> tuple[str, list[dict]]:
+    """The identity of a text's value, and its objects; no objects for text that is no JSON."""
+    value = parse(text)
+    rows = [tuple(_clean(x) if isinstance(x, str) else x for x in r) for r in occurrences(value)]
+    if isinstance(value, dict):
+        root = rows[0][5]
+    else:  # an outermost array is its objects, with their places
+        root = digest(json.dumps([r[:6] for r in rows])) if rows else ""
+    return root, [dict(zip(_NAMES, r, strict=True)) for r in rows]
+
+
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, tuple[str, list[dict]]] = {}
+    told: set[str] = set()
     for batch in batches:
-        cols: list[list] = [[] for _ in _ARROW]
+        cols: list[list] = [[] for _ in _TREES]
+        size = 0
         for src, rid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows = cache.get(text)
-            if rows is None:
-                rows = [tuple(_clean(x) if isinstance(x, str) else x for x in r) for r in occurrences(parse(text))]
-                if len(cache) > 20_000:
-                    cache.clear()
+            got = known.get(text)
+            if got is None:
+                got = _tree(text)
+                if len(known) > 20_000:
+                    known.clear()
                 if len(text) < 4_000:
-                    cache[text] = rows
-            for r in rows:
-                for col, x in zip(cols, (src, rid, *r), strict=True):
-                    col.append(x)
-            if len(cols[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
-                cols = [[] for _ in _ARROW]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+                    known[text] = got
+            root, rows = got
+            if not rows:
+                continue
+            new = root not in told
+            if new:
+                if len(told) > 200_000:
+                    told.clear()
+                told.add(root)
+                size += len(rows)
+            for col, x in zip(cols, (src, rid, root, rows if new else None), strict=True):
+                col.append(x)
+            if size > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TREES, strict=True)], schema=_TREES)
+                cols, size = [[] for _ in _TREES], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TREES, strict=True)], schema=_TREES)
 
 
-def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool = False) -> DataFrame:
-    """Every occurrence of an object in the JSON of `sources`, each a (table name, DataFrame, id
-    column, text column): `src_table`, `src_id`, `parent_path`, `child_path`, `depth`, `ordinal`,
-    `parent_hash`, `object_hash` and `fields`, the object's canonical form.
-
-    Null, empty and broken texts, and texts of scalars, give no rows; of a repeated key the last
-    value counts; repeated records repeat their rows. Objects in an outermost array have depth 1
-    and the parent path ''. `nested_only` leaves out the outermost objects and, before parsing,
-    the texts that can't hold another: those without a second brace, written out or escaped, unless
-    they are an array or a string, which may hold JSON.
-    No shuffle: records are parsed where they are read, equal texts of a batch once.
-    """
+def _texts(sources: tuple, nested_only: bool) -> DataFrame:
     picked = None
     for name, df, rid, text in sources:
         part = df.select(F.lit(name).alias("src_table"), F.col(f"`{rid}`").cast("bigint").alias("src_id"), F.col(f"`{text}`").alias("text"))
@@ -202,11 +236,49 @@ def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool =
     wanted = F.col("text").rlike("(?s)" + opening)
     if nested_only:
         wanted = wanted | F.col("text").rlike(r'^\s*[\["]')
-    out = picked.where(wanted).mapInArrow(_flatten, BRIDGE)
+    return picked.where(wanted)
+
+
+def object_graph(*sources: tuple[str, DataFrame, str, str], nested_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The JSON of `sources`, each a (table name, DataFrame, id column, text column), as records and
+    trees: `records(src_table, src_id, root_hash, n_rows)` names for each record the identity of
+    its outermost value, with the number of equal rows, and `trees(root_hash, rows)` holds each
+    distinct outermost value once, as its objects in document order: `parent_path`, `child_path`,
+    `depth`, `ordinal`, `parent_hash`, `object_hash` and `fields`, the canonical form.
+
+    Null, empty and broken texts, and values without an object, give neither. Of a repeated key
+    the last value counts. Objects in an outermost array have depth 1 and the parent path ''. A
+    record with several texts has a row for each that differs in value; key order and spacing make
+    none. `nested_only` may leave out, before parsing, values whose only object is the outermost
+    one: those without a second brace, written out or escaped, unless they are an array or a
+    string, which may hold JSON.
+    """
+    parsed = materialize(_texts(sources, nested_only).mapInArrow(_grow, f"src_table string, src_id bigint, root_hash string, rows array<struct<{_ROWS}>>"), "trees")
+    records = parsed.groupBy("src_table", "src_id", "root_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    trees = parsed.where("rows is not null").groupBy("root_hash").agg(F.first("rows").alias("rows"))
+    return records, trees
+
+
+def occurrences_of(records: DataFrame, trees: DataFrame, *columns: str) -> DataFrame:
+    """The bridge rows of all records: `src_table`, `src_id`, `root_hash`, and `columns` of the
+    trees' rows, one for each object of each record. A value that very many records share is
+    joined by `split_join`; its tree is stored and sent once."""
+    few = trees.select("root_hash", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias("rows"))
+    return split_join(records, few, "root_hash").select("src_table", "src_id", "root_hash", F.explode("rows").alias("r")).select("src_table", "src_id", "root_hash", "r.*")
+
+
+def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool = False) -> DataFrame:
+    """Every occurrence of an object in the JSON of `sources` (see `object_graph`), one row each:
+    `src_table`, `src_id`, `root_hash` and the columns of the trees. `nested_only` leaves out the
+    outermost objects."""
+    out = occurrences_of(*object_graph(*sources, nested_only=nested_only), *_NAMES)
     return out.where("depth > 0") if nested_only else out
 
 
-def object_store(bridge: DataFrame) -> DataFrame:
-    """Each distinct object of a bridge once: `object_hash`, `fields`, and `n_occurrences`. The
-    counts combine before the shuffle, so a frequent object costs one row per partition."""
-    return bridge.groupBy("object_hash").agg(F.min("fields").alias("fields"), F.count(F.lit(1)).alias("n_occurrences"))
+def object_store(records: DataFrame, trees: DataFrame) -> DataFrame:
+    """Each distinct object once: `object_hash`, `fields`, and `n_occurrences`, how often it occurs
+    in the distinct records. Records are counted per outermost value first, so a value that many
+    records share is one row."""
+    n = records.groupBy("root_hash").agg(F.count(F.lit(1)).alias("n"))
+    each = trees.join(n, "root_hash").select("n", F.explode("rows").alias("r"))
+    return each.groupBy(F.col("r.object_hash").alias("object_hash")).agg(F.min("r.fields").alias("fields"), F.sum("n").alias("n_occurrences"))

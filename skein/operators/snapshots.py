@@ -44,7 +44,8 @@ class Bitmap:
     def of(cls, ordinals: np.ndarray) -> Bitmap:
         ordinals = np.unique(np.asarray(ordinals, np.int64))
         high = ordinals // _SPAN
-        return cls({int(h): cls._pack(ordinals[high == h] % _SPAN) for h in np.unique(high)})
+        names, at = np.unique(high, return_index=True)
+        return cls({int(h): cls._pack(part % _SPAN) for h, part in zip(names, np.split(ordinals, at[1:]), strict=True)} if len(names) else {})
 
     def _each(self, other: Bitmap, arrays, bits) -> Bitmap:
         out = {}
@@ -102,7 +103,7 @@ def _shard(table: pa.Table) -> pa.Table:
     """
     lists = table.column("held").combine_chunks()
     row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
-    seq, value = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("seq", "value"))
+    seq, value, check = (lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("seq", "value", "check"))
     # the shard's dictionary: a key's ordinal is its rank by first appearance, then by key, so
     # later generations never renumber it
     born = np.full(table.num_rows, np.iinfo(np.int64).max)
@@ -113,29 +114,33 @@ def _shard(table: pa.Table) -> pa.Table:
     ordinal = ordinal_of[row]
     last = table.column("last").to_numpy()[by_key]
 
-    order = np.lexsort((value, seq))  # of several values of a key the greatest is written last
+    order = np.lexsort((check, value, seq))  # of several values of a key the greatest is written last
     bounds = np.flatnonzero(np.r_[True, np.diff(seq[order]) > 0, True])
     spans = {int(seq[order[i]]): order[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)} if len(seq) else {}
 
-    def aligned(s: int) -> tuple[Bitmap, np.ndarray]:
-        """The bitmap of generation number s and its values by ordinal."""
-        rows = spans.get(s, np.empty(0, np.int64))
-        vector = np.zeros(table.num_rows, np.int64)
-        vector[ordinal[rows]] = value[rows]
-        return Bitmap.of(ordinal[rows]), vector
+    def aligned(s: int) -> tuple[Bitmap, np.ndarray, np.ndarray]:
+        """The bitmap of generation number s, the ordinals it holds, and their values in step: two
+        hashes, 128 bits. Both follow the generation's rows, not the shard's."""
+        rows = spans[s]
+        rows = rows[np.argsort(ordinal[rows], kind="stable")]
+        held = ordinal[rows]
+        last_of = np.r_[held[1:] != held[:-1], True]  # of equal ordinals the last row counts
+        rows = rows[last_of]
+        return Bitmap.of(ordinal[rows]), ordinal[rows], np.stack([value[rows], check[rows]])
 
     out: list[tuple[np.ndarray, int, str]] = []
-    before = (Bitmap({}), None)
-    before_s = None
+    none = (Bitmap({}), np.empty(0, np.int64), np.empty((2, 0), np.int64))
+    before, before_s = none, None
     for s in sorted(spans):
         if before_s != s - 1:
-            before = (Bitmap({}), None)
+            before = none
         now = aligned(s)
         if s > 1:
             out.append((now[0].and_not(before[0]).ordinals(), s, "added"))
             both = now[0].and_(before[0]).ordinals()
             if len(both):
-                out.append((both[now[1][both] != before[1][both]], s, "changed"))
+                a, b = (x[2][:, np.searchsorted(x[1], both)] for x in (now, before))
+                out.append((both[(a != b).any(axis=0)], s, "changed"))
         after = Bitmap.of(ordinal[spans[s + 1]]) if s + 1 in spans else Bitmap({})
         gone = now[0].and_not(after).ordinals()
         out.append((gone[last[gone] > s], s + 1, "removed"))
@@ -169,12 +174,13 @@ def snapshot_changes(snapshots: DataFrame, generations: DataFrame, keys: list[st
     small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     parts = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)] + [F.lit("").alias(f"k{i}") for i in range(len(keys), 3)]
     told = [c for v in values for c in (F.isnull(v), v)]  # a hash alone passes over nulls
-    rows = snapshots.select("project", "generation_id", *parts, F.xxhash64(*told).alias("value"))
+    # 128 bits: a key whose values differ passes for unchanged with odds of one to 2^128
+    rows = snapshots.select("project", "generation_id", *parts, F.xxhash64(*told).alias("value"), F.xxhash64(F.lit(1), *told).alias("check"))
     shards = max(1, -(-snapshots.count() // rows_per_shard))
     by_key = (
         rows.join(small(generations), ["project", "generation_id"])
         .groupBy("project", "k0", "k1", "k2")
-        .agg(F.max("last").alias("last"), F.collect_set(F.struct("seq", "value")).alias("held"))
+        .agg(F.max("last").alias("last"), F.collect_set(F.struct("seq", "value", "check")).alias("held"))
         .withColumn("shard", F.pmod(F.xxhash64("project", "k0", "k1", "k2"), F.lit(shards)).cast("int"))
     )
     found = by_key.groupBy("shard").applyInArrow(_shard, _OUT)

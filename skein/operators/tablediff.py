@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def as_number(text: Column) -> Column:
-    """Text of uneven form (blanks, leading zeros, a decimal point) as a double; empty text and
-    null are no value; text that is no number is no value either."""
-    return F.nullif(F.trim(text.cast("string")), F.lit("")).try_cast("double")
+def number_form(value: Column) -> Column:
+    """One text for a number, or for text that holds one in uneven form (blanks, leading zeros, a
+    decimal point); empty text and null are no value. Text that is no number stands for itself,
+    without outer blanks, so it differs from no value and from every number."""
+    text = F.trim(value.cast("string"))
+    return F.coalesce(text.try_cast("double").cast("string"), F.nullif(text, F.lit("")))
 
 
 def table_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """One row per key whose rows differ: the keys, `presence` ('only_left', 'only_right', 'both')
-    and `differences`, an array of (field, left_value, right_value) with values as text.
+    """One row per key whose rows differ: the keys, `presence` ('only_left', 'only_right', 'both'),
+    `n_left` and `n_right`, how many rows of the key either side has, and `differences`, an array
+    of (field, left_value, right_value) with values as text.
 
     `fields` names each compared field and its normalised expression on either side; normalised
     values compare null-safely, so null equals null and differs from anything else. Keys compare
@@ -30,7 +33,7 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[
     def side(df: DataFrame, which: int, tag: str) -> DataFrame:
         row = F.struct(F.lit(0).alias("_"), *[e[which].alias(f) for f, e in fields.items()])
         picked = df.select(*[F.col(f"`{k}`").alias(f"{tag}{n}") for k, n in zip(keys, names, strict=True)], row.alias("row"))
-        return picked.groupBy(*[f"{tag}{n}" for n in names]).agg(F.max("row").alias(f"{tag}row"))
+        return picked.groupBy(*[f"{tag}{n}" for n in names]).agg(F.max("row").alias(f"{tag}row"), F.count(F.lit(1)).alias(f"{tag}n"))
 
     a, b = side(left, 0, "l"), side(right, 1, "r")
     on = reduce(lambda x, y: x & y, [F.col(f"l{n}").eqNullSafe(F.col(f"r{n}")) for n in names])
@@ -49,6 +52,8 @@ def table_diff(left: DataFrame, right: DataFrame, keys: list[str], fields: dict[
     out = both.select(
         *[F.when(F.col("lrow").isNotNull(), F.col(f"l{n}")).otherwise(F.col(f"r{n}")).alias(k) for k, n in zip(keys, names, strict=True)],
         presence.alias("presence"),
+        F.coalesce("ln", F.lit(0)).alias("n_left"),
+        F.coalesce("rn", F.lit(0)).alias("n_right"),
         F.when(presence == "both", F.filter(cells, lambda c: c.isNotNull())).otherwise(F.filter(cells, lambda c: F.lit(False))).alias("differences"),
     )
     return out.where((F.col("presence") != "both") | (F.size("differences") > 0))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators.changefeed import ChangeTable
+from skein.operators.changefeed import ChangeTable, Effect, Effects
 from skein.operators.hotkeys import hot_keys, key_profile, split_join
-from skein.operators.nested import object_bridge, object_store
+from skein.operators.nested import object_graph, object_store, occurrences_of
 from skein.operators.orphans import References, orphan_references, record_states
 from skein.operators.snapshots import json_form, ordered_generations, snapshot_changes
-from skein.operators.tablediff import as_number, table_diff
+from skein.operators.tablediff import number_form, table_diff
 from skein.session import materialize, table
 
 HOT_SHARE = 0.02
@@ -148,8 +148,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P3 = """
-with g as (select project, generation_id, row_number() over (partition by project order by since, generation_id) seq, lead(generation_id) over (partition by project order by since, generation_id) nxt
- from (select distinct project, generation_id from node_snapshots) join (select generation_id, min(first_published_at) since from generation_catalog group by 1) using (generation_id)),
+with g as (select project, generation_id, row_number() over (partition by project order by since nulls first, generation_id) seq, lead(generation_id) over (partition by project order by since nulls first, generation_id) nxt
+ from (select distinct project, generation_id from node_snapshots) left join (select generation_id, min(first_published_at) since from generation_catalog group by 1) using (generation_id)),
 forms as (select j, case when json_valid(j) then list_sort(list_transform(json_keys(j), lambda k: k || '=' || json_extract(j, '$."' || k || '"')::varchar))::varchar else j end form
  from (select properties_json j from node_snapshots union select properties_json from edge_snapshots)),
 r as (select 'node' record_kind, project, generation_id, qualified_name a, '' b, '' c, row(label, name, file_path, start_line, end_line, form)::varchar v from node_snapshots left join forms on j is not distinct from properties_json
@@ -169,7 +169,7 @@ def _copy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = ("project", "qualified_name", "label", "name", "start_line", "end_line")
     state = nodes.groupBy("id").agg(F.max(F.struct("indexed_at", "deleted_at", *kept)).alias("s")).select(*[f"s.{c}" for c in kept])
     exact = {c: (F.col(c), F.col(c)) for c in ("label", "name")}
-    lines = {c: (F.col(c).cast("double"), as_number(F.col(c))) for c in ("start_line", "end_line")}
+    lines = {c: (number_form(F.col(c)), number_form(F.col(c))) for c in ("start_line", "end_line")}
     return table_diff(state, table(spark, sf_dir, "nodes_copy"), ["project", "qualified_name"], exact | lines)
 
 
@@ -179,14 +179,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _copy_diff(spark, sf_dir).select("project", "qualified_name", "presence", F.explode_outer("differences").alias("d")).select("project", "qualified_name", "presence", "d.field", "d.left_value", "d.right_value")
+    kept = ["project", "qualified_name", "presence", "n_left", "n_right"]
+    return _copy_diff(spark, sf_dir).select(*kept, F.explode_outer("differences").alias("d")).select(*kept, "d.field", "d.left_value", "d.right_value")
 
 
 _P4_BOTH = """
-with l as (select project, qualified_name, label, name, start_line::double start_line, end_line::double end_line from
+with ls as (select project, qualified_name, label, name, start_line::double::varchar start_line, end_line::double::varchar end_line from
   (select *, row_number() over (partition by id order by indexed_at desc, deleted_at desc nulls last) rn from nodes) where rn = 1),
-r as (select distinct project, qualified_name, label, name, try_cast(nullif(trim(start_line), '') as double) start_line, try_cast(nullif(trim(end_line), '') as double) end_line from nodes_copy),
-b as (select coalesce(l.project, r.project) project, coalesce(l.qualified_name, r.qualified_name) qualified_name, l.qualified_name lq, r.qualified_name rq,
+rs as (select project, qualified_name, label, name, coalesce(try_cast(trim(start_line) as double)::varchar, nullif(trim(start_line), '')) start_line, coalesce(try_cast(trim(end_line) as double)::varchar, nullif(trim(end_line), '')) end_line from nodes_copy),
+l as (select *, count(*) n_left from ls group by all), r as (select *, count(*) n_right from rs group by all),
+b as (select coalesce(n_left, 0) n_left, coalesce(n_right, 0) n_right, coalesce(l.project, r.project) project, coalesce(l.qualified_name, r.qualified_name) qualified_name, l.qualified_name lq, r.qualified_name rq,
  l.label ll, r.label rl, l.name ln, r.name rn, l.start_line ls, r.start_line rs, l.end_line le, r.end_line re from l full join r on l.project = r.project and l.qualified_name = r.qualified_name)
 """
 _P4 = (
@@ -199,7 +201,23 @@ _P4 = (
 # --- p6: applying a stream of inserts, updates, deletes
 
 
+#: What the actions of the publication feed do to a generation.
+PUBLICATION = Effects(
+    {"status": "string", "pinned": "bigint"},
+    {
+        "PUBLISH": Effect({"status": "ACTIVE", "pinned": 0}, {"status": "ACTIVE"}),
+        "DELETE": Effect(None, None),
+        "MARK_DELETING": Effect(None, {"status": "DELETING"}),
+        "RECOVER": Effect(None, {"status": "ACTIVE"}),
+        "PIN": Effect(None, {"pinned": 1}),
+        "UNPIN": Effect(None, {"pinned": 0}),
+    },
+)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed comes in four batches, by history_id as they were written down; the first two are
+    compacted when the second is there, and so are the others."""
     feed = table(spark, sf_dir, "publication_history").select(
         F.col("project").alias("scope"),
         F.col("cas_revision").alias("seq"),
@@ -207,8 +225,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper(F.trim("action")).alias("action"),
         F.col("history_id").alias("tie"),
     )
-    changes = ChangeTable(spark)
-    changes.append(feed)
+    low, high = feed.agg(F.min("tie"), F.max("tie")).first()
+    batch = F.least(F.lit(3), F.floor((F.col("tie") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1))) if low is not None else F.lit(0)
+    changes = ChangeTable(spark, PUBLICATION, fan_in=2)
+    for n in range(4):
+        changes.append(feed.where(F.coalesce(batch, F.lit(0)) == n))
     return changes.read().select(F.col("scope").alias("project"), F.col("record").alias("generation_id"), "status", "pinned")
 
 
@@ -233,15 +254,35 @@ def _json_sources(spark: SparkSession, sf_dir: str):
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_bridge(*_json_sources(spark, sf_dir), nested_only=True).select("src_table", "src_id", "parent_path", "child_path").distinct()
+    """A record with several texts may hold a path in more than one of them; it counts once."""
+    records, trees = object_graph(*_json_sources(spark, sf_dir), nested_only=True)
+    below = trees.select("root_hash", F.filter("rows", lambda r: r["depth"] > 0).alias("rows")).where(F.size("rows") > 0)
+    return occurrences_of(records, below, "parent_path", "child_path").drop("root_hash").distinct()
 
 
 def p7_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_bridge(*_json_sources(spark, sf_dir)).drop("fields").distinct()
+    return occurrences_of(*object_graph(*_json_sources(spark, sf_dir)), "parent_path", "child_path", "depth", "ordinal", "parent_hash", "object_hash")
 
 
 def p7_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_store(object_bridge(*_json_sources(spark, sf_dir)))
+    return object_store(*object_graph(*_json_sources(spark, sf_dir)))
+
+
+def p7_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects the records of each table hold at each depth."""
+    rows = occurrences_of(*object_graph(*_json_sources(spark, sf_dir)), "child_path", "depth").drop("root_hash").distinct()
+    return rows.groupBy("src_table", "depth").agg(F.count(F.lit(1)).alias("n_objects"))
+
+
+_JSON = """
+with recursive t as (select distinct 'nodes' src_table, id src_id, properties_json j from nodes union select 'edges', id, properties_json from edges union select 'human_nodes', id, frontmatter_json from human_nodes),
+v as (select src_table, src_id, json(j) j from t where json_valid(j) union select src_table, src_id, json(j->>'$') from v where json_type(j) = 'VARCHAR' and json_valid(j->>'$')),
+w as (select src_table, src_id, '' held, '' path, 0 depth, null::varchar parent, j from v where json_type(j) in ('OBJECT', 'ARRAY')
+ union all select src_table, src_id, case when json_type(x) = 'OBJECT' then p else held end, p, depth + (json_type(x) = 'OBJECT')::int, held, x from (
+  select src_table, src_id, held, depth, case when path = '' then k else path || '.' || k end p, json_extract(j, '/' || replace(replace(k, '~', '~0'), '/', '~1')) x from (select *, unnest(json_keys(j)) k from w where json_type(j) = 'OBJECT')
+  union all select src_table, src_id, held, depth, path || '[' || i || ']', json_extract(j, '/' || i) from (select *, unnest(range(json_array_length(j)::bigint)) i from w where json_type(j) = 'ARRAY'))
+ where json_type(x) in ('OBJECT', 'ARRAY'))
+"""
 
 
 def queries() -> dict:
@@ -259,6 +300,7 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p7_bridge": p7_bridge,
         "p7_objects": p7_objects,
+        "p7_shapes": p7_shapes,
     }
 
 
@@ -275,10 +317,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _P3,
         "p4_found": _P4,
         "p4_values": _P4_BOTH
-        + """select project, qualified_name, presence, u.field field, u.left_value left_value, u.right_value right_value from (select project, qualified_name,
+        + """select project, qualified_name, presence, n_left, n_right, u.field field, u.left_value left_value, u.right_value right_value from (select project, qualified_name, n_left, n_right,
             case when rq is null then 'only_left' when lq is null then 'only_right' else 'both' end presence, unnest(case when rq is null or lq is null then [null] else list_filter([
             case when ll is distinct from rl then {'field': 'label', 'left_value': ll, 'right_value': rl} end, case when ln is distinct from rn then {'field': 'name', 'left_value': ln, 'right_value': rn} end,
-            case when ls is distinct from rs then {'field': 'start_line', 'left_value': ls::varchar, 'right_value': rs::varchar} end,
-            case when le is distinct from re then {'field': 'end_line', 'left_value': le::varchar, 'right_value': re::varchar} end], lambda x: x is not null) end) u from b)""",
+            case when ls is distinct from rs then {'field': 'start_line', 'left_value': ls, 'right_value': rs} end,
+            case when le is distinct from re then {'field': 'end_line', 'left_value': le, 'right_value': re} end], lambda x: x is not null) end) u from b)""",
         "p6_found": _P6,
+        "p7_found": _JSON + "select distinct src_table, src_id, parent parent_path, path child_path from w where json_type(j) = 'OBJECT' and parent is not null",
+        "p7_shapes": _JSON + "select src_table, depth, count(*) n_objects from (select distinct src_table, src_id, path, depth from w where json_type(j) = 'OBJECT') group by 1, 2",
     }

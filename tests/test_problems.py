@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators.changefeed import ChangeTable
-from skein.operators.nested import _iterative, object_bridge, object_store, occurrences, parse
+from skein.operators.nested import _iterative, digest, object_bridge, object_graph, object_store, occurrences, parse
 from skein.operators.orphans import References, cascade, orphan_references, record_states
 from skein.operators.snapshots import Bitmap, json_form, ordered_generations, snapshot_changes
-from skein.operators.tablediff import as_number, table_diff
+from skein.operators.tablediff import number_form, table_diff
+from skein.queries.problems import PUBLICATION
 
 T0 = datetime(2025, 1, 1)
 
@@ -123,7 +124,7 @@ def test_bitmaps_match_sets():
 def test_table_diff_cases(spark):
     a = spark.createDataFrame([("p", "x", "L", 1), ("p", "x", "L", 1), ("p", "y", None, 2), ("p", "z", "L", 3), (None, "n", "L", 1), ("p", "w", "l", None)], "project string, qn string, label string, line int").withColumn("presence", F.lit(0))
     b = spark.createDataFrame([("p", "x", "L", " 01.0"), ("p", "y", "M", "2"), (None, "n", "L", "1"), ("q", "z", "L", "3"), ("p", "w", "L", "")], "project string, qn string, label string, line string").withColumn("row", F.lit(0))
-    fields = {"label": (F.col("label"), F.col("label")), "line": (F.col("line").cast("double"), as_number(F.col("line")))}
+    fields = {"label": (F.col("label"), F.col("label")), "line": (number_form(F.col("line")), number_form(F.col("line")))}
     got = {(r["project"], r["qn"]): (r["presence"], [tuple(d) for d in r["differences"]]) for r in table_diff(a, b, ["project", "qn"], fields).collect()}
     assert got == {
         ("p", "y"): ("both", [("label", None, "M")]), ("p", "z"): ("only_left", []), ("q", "z"): ("only_right", []), ("p", "w"): ("both", [("label", "l", "L")]),
@@ -133,8 +134,15 @@ def test_table_diff_cases(spark):
 
 
 def test_numbers_in_text(spark):
-    df = spark.createDataFrame([("7",), (" 7 ",), ("007",), ("7.0",), ("",), (None,), ("x",)], "t string")
-    assert [r[0] for r in df.select(as_number(F.col("t"))).collect()] == [7, 7, 7, 7, None, None, None]
+    df = spark.createDataFrame([("7",), (" 7 ",), ("007",), ("7.0",), ("",), (None,), (" x ",)], "t string")
+    assert [r[0] for r in df.select(number_form(F.col("t"))).collect()] == ["7.0"] * 4 + [None, None, "x"]
+
+
+def test_text_that_is_no_number_is_a_difference_and_rows_are_counted(spark):
+    a = spark.createDataFrame([("a", None), ("b", 3), ("c", 4)], "k string, line int")
+    b = spark.createDataFrame([("a", "abc"), ("b", "3x"), ("c", "4"), ("c", "04"), ("c", "9")], "k string, line string")
+    got = {r["k"]: (r["n_left"], r["n_right"], [tuple(d) for d in r["differences"]]) for r in table_diff(a, b, ["k"], {"line": (number_form(F.col("line")), number_form(F.col("line")))}).collect()}
+    assert got == {"a": (1, 1, [("line", None, "abc")]), "b": (1, 1, [("line", "3.0", "3x")]), "c": (1, 3, [("line", "4.0", "9.0")])}
 
 
 # --- change feed
@@ -164,25 +172,46 @@ def test_feed_against_brute_force_in_any_order(spark):
     events = [(f"s{s}", seq, f"r{rng.randrange(5)}", rng.choice(acts)) for s in range(4) for seq in rng.sample(range(-50, 400), 90)]
     sent = events + rng.sample(events, 80)
     rng.shuffle(sent)
-    for fan_in in (2, 7, 1024):
-        t = ChangeTable(spark, fan_in=fan_in)
-        for part in (sent[:150], sent[150:]):
+    for fan_in, width in ((2, 7), (9, 1024)):
+        t = ChangeTable(spark, PUBLICATION, fan_in=fan_in, width=width)
+        for part in (sent[:150], sent[150:300], sent[300:]):
             t.append(spark.createDataFrame([(*e, i) for i, e in enumerate(part)], "scope string, seq bigint, record string, action string, tie bigint"))
+        assert len(t.runs) == (2 if fan_in == 2 else 3)
         assert {tuple(r) for r in t.read().collect()} == brute_feed(events)
+        again = ChangeTable(spark, PUBLICATION, t.path, fan_in, width)
+        assert again.runs == t.runs and {tuple(r) for r in again.read().collect()} == brute_feed(events)
+        again.compact()
+        assert len(again.runs) == 1 and {tuple(r) for r in again.read().collect()} == brute_feed(events)
+
+
+def test_compaction_keeps_tombstones_and_drops_what_is_void(spark):
+    feed = lambda *rows: spark.createDataFrame([("s", *r, i) for i, r in enumerate(rows)], "scope string, seq bigint, record string, action string, tie bigint")
+    t = ChangeTable(spark, PUBLICATION, fan_in=9, width=4)
+    t.append(feed((1, "a", "PUBLISH"), (2, "a", "PIN"), (9, "a", "DELETE"), (3, "b", "PUBLISH")))
+    t.append(feed((9, "a", "DELETE"), (10, "b", "PIN")))
+    t.compact()
+    stored = sorted((r["seq"], r["record"]) for r in t._stored(t.runs).collect())
+    assert stored == [(3, "b"), (9, "a"), (10, "b")]
+    t.append(feed((5, "a", "PUBLISH"), (2, "a", "PIN")))  # late, and before the tombstone
+    assert [tuple(r) for r in t.read().collect()] == [("s", "b", "ACTIVE", 1)]
+    t.compact(settled=9)
+    assert sorted(r["seq"] for r in t._stored(t.runs).collect()) == [3, 10]
 
 
 def test_feed_of_one_hot_record_nulls_and_nothing(spark):
-    t = ChangeTable(spark, fan_in=16)
+    t = ChangeTable(spark, PUBLICATION, width=16)
     t.append(spark.createDataFrame([("s", i, "r", "PIN" if i else "PUBLISH", i) for i in range(2000)] + [(None, 1, "r", "PUBLISH", 1), ("s", None, "q", "PUBLISH", 1), ("s", 9999, None, "PUBLISH", 1)], "scope string, seq bigint, record string, action string, tie bigint"))
     assert [tuple(r) for r in t.read().collect()] == [("s", "r", "ACTIVE", 1)]
-    e = ChangeTable(spark)
+    e = ChangeTable(spark, PUBLICATION)
+    assert e.read().count() == 0
     e.append(spark.createDataFrame([], "scope string, seq bigint, record string, action string, tie bigint"))
     assert e.read().count() == 0
 
 
-def test_feed_conflicts_go_to_the_least_tie(spark):
-    t = ChangeTable(spark)
+def test_feed_conflicts_go_to_the_earliest_run_then_the_least_tie(spark):
+    t = ChangeTable(spark, PUBLICATION)
     t.append(spark.createDataFrame([("s", 1, "a", "PUBLISH", 2), ("s", 1, "b", "PUBLISH", 1)], "scope string, seq bigint, record string, action string, tie bigint"))
+    t.append(spark.createDataFrame([("s", 1, "c", "PUBLISH", 0)], "scope string, seq bigint, record string, action string, tie bigint"))
     assert [r["record"] for r in t.read().collect()] == ["b"]
 
 
@@ -236,13 +265,44 @@ def test_nested_array_in_a_string_is_as_without(spark):
 
 
 def test_equal_objects_are_stored_once(spark):
-    df = spark.createDataFrame([(1, '{"a":{"x":1,"y":2},"b":[{"y":2,"x":1.0}]}'), (2, '{"c":{"x":1,"y":2}}'), (2, '{"c":{"x":1,"y":2}}')], "id bigint, j string")
+    df = spark.createDataFrame([(1, '{"a":{"x":1,"y":2},"b":[{"y":2,"x":1.0}]}'), (2, '{"c":{"x":1,"y":2}}'), (2, '{ "c":{"y":2,"x":1}}'), (3, "{}"), (4, "1")], "id bigint, j string")
+    records, trees = object_graph(("t", df, "id", "j"))
+    store = {r["fields"]: r["n_occurrences"] for r in object_store(records, trees).collect()}
+    assert store['{"x":1,"y":2}'] == 3 and len(store) == 4
+    assert sorted((r["src_id"], r["n_rows"]) for r in records.collect()) == [(1, 1), (2, 2), (3, 1)]
     bridge = object_bridge(("t", df, "id", "j"))
-    store = {r["fields"]: r["n_occurrences"] for r in object_store(bridge).collect()}
-    assert store['{"x":1,"y":2}'] == 4 and len(store) == 3
     assert {r["parent_hash"] for r in bridge.where("depth = 1").collect()} <= {r["object_hash"] for r in bridge.where("depth = 0").collect()}
 
 
+def test_records_come_back_from_bridge_and_store(spark):
+    rng = random.Random(9)
+
+    def value(d):
+        r = rng.random()
+        if d == 0 or r < 0.3:
+            return rng.choice([1, "x", None, True, 1.5, "\u00e9", [[1], []]])
+        return [value(d - 1) for _ in range(rng.randrange(3))] if r < 0.55 else {rng.choice("abc"): value(d - 1) for _ in range(rng.randrange(4))}
+
+    docs = {i: {"r": value(4), "s": value(3)} for i in range(60)}
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()], "id bigint, j string")
+    records, trees = object_graph(("t", df, "id", "j"))
+    store = {r["object_hash"]: json.loads(r["fields"]) for r in object_store(records, trees).collect()}
+
+    def whole(h):
+        fill = lambda v: whole(v["#"]) if isinstance(v, dict) else [fill(x) for x in v] if isinstance(v, list) else v
+        return {k: fill(v) for k, v in store[h].items()}
+
+    assert {r["src_id"]: whole(r["root_hash"]) for r in records.collect()} == docs
+
+
+def test_deep_arrays_of_different_values_differ():
+    texts = ['{"x":' + "[" * 20_000 + v + "]" * 20_000 + ',"y":{}}' for v in ("1", "2", "1.0")]
+    a, b, c = (occurrences(parse(t))[0] for t in texts)
+    assert a[5] != b[5] and a[5] == c[5] and "[[[1]]]" in a[6]
+    flat = occurrences({"b": [1, {"k": [2.0]}, "\u00e9"], "a": None})[0]
+    assert flat[6] == '{"a":null,"b":[1,{"#":"' + digest('{"k":[2]}') + '"},"\\u00e9"]}'
+
+
 def test_iterative_parser_agrees():
     texts = ['{"a":[1,2,{"b":null}],"c":"x\\u00e9"}', "[]", "{}", "[1,]", '{"a":1,}', '{"a" 1}', "1 2", '"x', '{"a":{"b":[[],[{}]]}}', "[,1]", "", "tru", "-0.5e3", '{"a":1}}']
     for t in texts:
