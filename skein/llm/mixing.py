@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from skein.session import materialize
 
 _UNIT = "doc_id bigint, source string, n_tokens bigint, base int, p double"
+_COLUMNS = ["doc_id", "source", "n_tokens", "base", "p"]
 _EPS = 1e-9
+#: Up to so many sources (some MB) what is known of each is broadcast; beyond, it is shuffled.
+FEW_SOURCES = 100_000
 #: Units of a block and source, of sizes from the largest to the smallest, that stay fractional
 #: until the landing: rounding a dozen of mixed sizes together meets the expected size closely.
 RESERVE = 12
@@ -68,81 +71,89 @@ def landing(units: list[list[float]]) -> None:
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, float]:
     """How often each source is taken: shares times the greatest total that lets no source exceed
-    its repeats. A source with a target but no text makes the total 0."""
-    wanted = [(s, share, cap) for s, share, cap in targets if s is not None and share and cap]
+    its repeats. Sources with a target but no text are left out, and the others keep their shares
+    against each other; `shares` reports both."""
+    wanted = [(s, share, cap) for s, share, cap in targets if s is not None and share and cap and totals.get(s)]
     if not wanted:
         return {}
-    total = min(cap * totals.get(s, 0) / share for s, share, cap in wanted)
-    return {s: min(float(cap), share * total / totals[s]) for s, share, cap in wanted if total and totals.get(s)}
+    total = min(cap * totals[s] / share for s, share, cap in wanted)
+    return {s: min(float(cap), share * total / totals[s]) for s, share, cap in wanted}
 
 
 def mix(sized: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7, block: int = 100_000) -> DataFrame:
     """The chosen documents of `sized(doc_id, source, n_tokens)` with their `repeats`: each source
     reaches its target share of all tokens, at the greatest total that `max_repeats` allows.
 
-    `targets` lists (source, target_share, max_repeats), one per source; the list is small, being
-    a setting. Documents of other sources, without a source or without tokens are not chosen.
-    Every document of a source is taken floor(r) times, and once more by the cube method with
-    probability r - floor(r), balanced on the source's tokens and documents. Repeated rows are
-    units of their own. An empty source with a target gives an empty mix.
+    `targets` lists (source, target_share, max_repeats), one per source; the list is a setting, and
+    so is what is kept per source on the driver. Documents of other sources, without a source or
+    without tokens are not chosen. Every document of a source is taken floor(r) times, and once
+    more by the cube method with probability r - floor(r), balanced on the source's tokens and
+    documents. Repeated rows are units of their own. A source without text is left out (see
+    `plan`); if no source has text the mix is empty.
 
     Each partition flies the units it reads, a source's in blocks, whatever share a source has,
     the largest first; two units and `RESERVE` more of mixed sizes stay fractional per source and
-    block. They meet in ever fewer groups of `block` units, and in the last group the rest, about
-    a dozen units a source, is rounded together.
+    block. In each later round a source's open units meet in as few groups as `block` asks for;
+    where one group holds them all they are rounded together, else about a dozen a group go on. So
+    a source's open units shrink by a factor of thousands a round, however many sources there are.
     """
-    known = sized.where(F.col("source").isin([s for s, _, _ in targets if s is not None]) & (F.col("n_tokens") > 0))
+    spark = sized.sparkSession
+    names = spark.createDataFrame([(s,) for s in dict.fromkeys(s for s, _, _ in targets if s is not None)], "source string")
+    known = sized.where(F.col("n_tokens") > 0).join(names, "source", "left_semi").select("doc_id", "source", "n_tokens")
     totals = {r["source"]: r["t"] for r in known.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     rates = plan(totals, targets)
     if not rates:
         return sized.select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats")).where(F.lit(False))
-    rate = F.create_map(*[F.lit(x) for s, r in rates.items() for x in (s, float(r))])[F.col("source")]
-    units = (
-        known.where(F.col("source").isin(*rates))
-        .withColumn("r", rate)
-        .select("doc_id", "source", "n_tokens", F.floor("r").cast("int").alias("base"), (F.col("r") - F.floor("r")).alias("p"))
+    few = F.broadcast if len(rates) <= FEW_SOURCES else (lambda df: df)
+    units = known.join(few(spark.createDataFrame([(s, float(r)) for s, r in rates.items()], "source string, r double")), "source").select(
+        "doc_id", "source", "n_tokens", F.floor("r").cast("int").alias("base"), (F.col("r") - F.floor("r")).alias("p")
     )
 
-    def fly(last: bool, salt: int):
+    def fly(salt: int, whole: bool):
+        """Fly the units of a source that meet; `whole` takes a task's units at once and lands the
+        sources whose units are all there."""
+
+        def flush(held: list[pd.DataFrame]) -> pd.DataFrame:
+            t = pd.concat(held).sort_values(["source", "n_tokens", "doc_id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
+            p = t["p"].to_numpy(copy=True)
+            sizes, ids = t["n_tokens"].to_numpy(), t["doc_id"].to_numpy()
+            for (source, part), rows in t.groupby(["source", "part"] if whole else ["source", "base"]).indices.items():
+                work = [[p[i], float(sizes[i])] for i in rows]
+                kept = set((np.geomspace(1, len(work), RESERVE) - 1).astype(int).tolist())
+                flight([w for i, w in enumerate(work) if i not in kept], random.Random(f"{seed}/{salt}/{source}/{part}/{ids[rows[0]]}"))
+                if whole and t["parts"].iat[rows[0]] == 1:
+                    landing(work)
+                p[rows] = [w[0] for w in work]
+            t["p"] = p
+            return t[_COLUMNS]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
             n = 0
-
-            def flush() -> pd.DataFrame:
-                t = pd.concat(held).sort_values(["source", "n_tokens", "doc_id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-                p = t["p"].to_numpy(copy=True)
-                for source, rows in t.groupby("source").indices.items():
-                    work = [[p[i], float(t["n_tokens"].iat[i])] for i in rows]
-                    kept = set((np.geomspace(1, len(work), RESERVE) - 1).astype(int).tolist())
-                    flight([w for i, w in enumerate(work) if i not in kept], random.Random(f"{seed}/{salt}/{source}/{t['doc_id'].iat[rows[0]]}"))
-                    if last:
-                        landing(work)
-                    p[rows] = [w[0] for w in work]
-                t["p"] = p
-                return t
-
             for batch in batches:
                 held.append(batch)
                 n += len(batch)
-                if n >= block and not last:
-                    yield flush()
+                if n >= block and not whole:
+                    yield flush(held)
                     held, n = [], 0
             if n:
-                yield flush()
+                yield flush(held)
 
         return run
 
     done: list[DataFrame] = []
-    state, level = materialize(units.mapInPandas(fly(False, 0), _UNIT), "units"), 0
+    state, level = materialize(units.mapInPandas(fly(0, False), _UNIT), "units"), 0
     while True:
         done.append(state.where("p = 0 or p = 1"))
         open_ = state.where("p > 0 and p < 1")
-        n, level = open_.count(), level + 1
-        if not n:
+        left, level = {r["source"]: r["n"] for r in open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}, level + 1
+        if not left:
             break
-        groups = -(-n // block)
-        spread = open_.repartition(groups, F.pmod(F.xxhash64("doc_id"), F.lit(groups))) if groups > 1 else open_.coalesce(1)
-        state = materialize(spread.mapInPandas(fly(groups == 1, level), _UNIT), "units")
+        parts = spark.createDataFrame([(s, -(-n // block)) for s, n in left.items()], "source string, parts bigint")
+        groups = -(-2 * sum(left.values()) // block)
+        spread = open_.join(few(parts), "source").withColumn("part", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.col("parts")))
+        spread = spread.repartition(groups, "source", "part") if groups > 1 else spread.coalesce(1)
+        state = materialize(spread.mapInPandas(fly(level, True), _UNIT), "units")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -54,7 +54,7 @@ def _merge(table: pa.Table, capacity: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.add.reduceat(sizes[order], starts).astype(np.int32)), merged], names=["size", "members"])
 
 
-def pack(items: DataFrame, capacity: int, full: float = 0.985, block: int = 100_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int, block: int = 100_000) -> DataFrame:
     """Windows of at most `capacity` tokens holding all of `items(doc_id, n_tokens)`: one row per
     window with `size` and `members`, an array of (doc_id, part, start_token, n_tokens).
 
@@ -62,11 +62,13 @@ def pack(items: DataFrame, capacity: int, full: float = 0.985, block: int = 100_
     full windows and a rest. Items without tokens, without a size or without an id need no place
     and get none. Repeated items are placed as often as they come. Ties go to the earlier item.
 
-    Each partition best-fits blocks of at most `block` items where they are read. Windows filled
-    to the share `full` are done; the others are, in round after round, spread over as many groups
-    as `block` asks for, fewer each time, and best-fitted again as items. The rounds end with the
-    round of a single group, or when merging no longer saves a fiftieth of the open windows. No
-    group exceeds `block` items, and no window's list exceeds `capacity` members.
+    Each partition best-fits blocks of at most `block` items where they are read. Best fit leaves
+    no two windows of a block that would go into one, so what can still be merged are few small
+    windows among those with room for the smallest. Windows without that room are done; the others
+    are ranged by size, `block` a group and the smallest together, and best-fitted again as items,
+    round after round, until not even the two smallest windows left go into one. No group exceeds
+    `block` items by more than the ranges' unevenness, and no window's list exceeds `capacity`
+    members.
     """
     cuts = F.expr(
         f"transform(sequence(0, cast((n_tokens - 1) div {capacity} as int)), i -> named_struct('doc_id', cast(doc_id as bigint), 'part', i, "
@@ -74,15 +76,15 @@ def pack(items: DataFrame, capacity: int, full: float = 0.985, block: int = 100_
     )
     parts = items.where("n_tokens > 0 and doc_id is not null").select(F.explode(cuts).alias("m")).select(F.col("m.n_tokens").alias("size"), F.array("m").alias("members"))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch], most: int = block) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             while batch.num_rows:
-                room = block - n
+                room = most - n
                 held.append(batch.slice(0, room))
                 n += held[-1].num_rows
                 batch = batch.slice(room)
-                if n == block:
+                if n == most:
                     yield _merge(pa.Table.from_batches(held), capacity)
                     held, n = [], 0
         if n:
@@ -90,17 +92,17 @@ def pack(items: DataFrame, capacity: int, full: float = 0.985, block: int = 100_
 
     done: list[DataFrame] = []
     open_ = materialize(parts.mapInArrow(fit, _BIN), "bins")
-    before = None
     while True:
-        done.append(open_.where(F.col("size") >= full * capacity))
-        open_ = open_.where(F.col("size") < full * capacity)
-        n = open_.count()
-        if n < 2 or (before is not None and (before[1] == 1 or n > 0.98 * before[0])):
+        two = [r["size"] for r in open_.select("size").orderBy("size").limit(2).collect()]
+        if len(two) < 2 or sum(two) > capacity:
             break
-        groups = -(-n // block)
-        before = (n, groups)
-        group = F.pmod(F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["part"]), F.lit(groups))
-        open_ = materialize(open_.repartition(groups, group).mapInArrow(fit, _BIN), "bins")
+        roomy = F.col("size") <= capacity - two[0]
+        done.append(open_.where(~roomy))
+        open_ = open_.where(roomy)
+        groups = -(-open_.count() // block)
+        # sorted, so the two smallest are in one block however uneven the ranges are
+        spread = open_.coalesce(1) if groups == 1 else open_.repartitionByRange(groups, "size", F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["part"]))
+        open_ = materialize(spread.sortWithinPartitions("size").mapInArrow(lambda batches: fit(batches, 2 * block), _BIN), "bins")
     out = open_
     for d in done:
         out = out.unionByName(d)

@@ -9,7 +9,7 @@ from skein.llm.handwritten import classify
 from skein.llm.mixing import mix, shares
 from skein.llm.packing import pack, windows
 from skein.llm.tokens import token_counts
-from skein.llm.visual import same_looking, visual_forms
+from skein.llm.visual import look_classes, same_looking, visual_forms
 from skein.session import materialize, table
 
 
@@ -22,7 +22,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).select("file_id", "kind", *[F.round(c, 6).alias(c) for c in ("shape_ratio", "literal_share", "literal_ratio")])
+    return _files(spark, sf_dir).select("file_id", "kind", *[F.round(c, 6).alias(c) for c in ("shape_ratio", "rule_reuse", "literal_share", "literal_ratio")], "n_rules", "n_shared")
 
 
 def p5_handwritten_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_forms(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -105,6 +109,7 @@ def queries() -> dict:
         "p9_mix": p9_mix,
         "p9_shares": p9_shares,
         "p10_found": p10_found,
+        "p10_classes": p10_classes,
         "p10_forms": p10_forms,
     }
 

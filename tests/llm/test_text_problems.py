@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from skein.llm import queries as Q
 from skein.llm import visual
-from skein.llm.handwritten import classify, features, grammar_ratio, re_pair
+from skein.llm.handwritten import classify, expansions, features, grammar_ratio, re_pair, shared_rules
 from skein.llm.mixing import flight, landing, mix, plan, shares
 from skein.llm.packing import best_fit, pack, windows
 from skein.llm.tokens import token_counts
-from skein.llm.visual import same_looking, visual_forms
+from skein.llm.visual import look_classes, same_looking, visual_forms
 
 # --- tokens and packing
 
@@ -77,6 +77,14 @@ def test_packing_edge_cases(spark):
     assert pack(same, 8).count() == 3
 
 
+def test_packing_ends_only_when_nothing_fits_together(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        df = spark.createDataFrame([(i, rng.choice([3, 30, 51, 55, 70])) for i in range(500)], "doc_id bigint, n_tokens bigint").repartition(6)
+        sizes = sorted(r["size"] for r in pack(df, 100, block=40).collect())
+        assert len(sizes) < 2 or sizes[0] + sizes[1] > 100
+
+
 # --- mixing
 
 
@@ -102,7 +110,7 @@ def test_flight_is_fair():
 
 def test_plan_obeys_the_tightest_source():
     assert plan({"a": 100, "b": 50}, [("a", 0.5, 2), ("b", 0.5, 1)]) == {"a": 0.5, "b": 1.0}
-    assert plan({"a": 100}, [("a", 0.5, 2), ("b", 0.5, 1)]) == {}
+    assert plan({"a": 100}, [("a", 0.5, 2), ("b", 0.5, 1)]) == {"a": 2.0}
     assert plan({}, []) == {}
 
 
@@ -127,13 +135,26 @@ def test_mix_reaches_its_shares(spark, block):
 
 def test_mix_without_a_source_is_empty(spark):
     df = spark.createDataFrame([(1, "a", 5)], "doc_id bigint, source string, n_tokens bigint")
-    assert mix(df, [("a", 0.5, 2), ("b", 0.5, 2)]).count() == 0
+    assert [tuple(r) for r in mix(df, [("a", 0.5, 2), ("b", 0.5, 2)]).collect()] == [(1, "a", 5, 2)]
     assert mix(df.where("false"), [("a", 1.0, 2)]).count() == 0
+    told = {r["source"]: r["actual_share"] for r in shares(mix(df, [("a", 0.5, 2), ("b", 0.5, 2)]), spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")).collect()}
+    assert told == {"a": 1.0, "b": 0.0}
+
+
+@pytest.mark.parametrize(("n_sources", "each", "block"), [(60, 12, 300), (3000, 3, 200)])
+def test_mix_ends_with_very_many_sources(spark, n_sources, each, block):
+    """More open units than a block holds, however often they meet."""
+    rng = random.Random(5)
+    docs = [(s * each + i, f"s{s}", rng.randrange(1, 100)) for s in range(n_sources) for i in range(each)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    rows = mix(df, [(f"s{s}", 1 / n_sources, 2) for s in range(n_sources)], block=block).collect()
+    assert 0 < len(rows) <= len(docs) and {r["repeats"] for r in rows} <= {1, 2}
+    assert len({r["source"] for r in rows}) > 0.7 * n_sources
 
 
 # --- visual forms
 
-TABLE = {cp: "".join(map(chr, out)) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and (out := visual._simple(cp)) is not None}
+TABLE = {cp: "".join(map(chr, out)) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and (out := visual._simple(cp, visual._SAME)) is not None}
 
 
 def form(text):
@@ -141,6 +162,16 @@ def form(text):
     return unicodedata.normalize("NFC", text.translate(TABLE))
 
 
+def test_look_alikes_hold_the_public_table(spark):
+    """The written list against ICU's letters of other scripts: what it has agrees, and the mapping
+    has them all."""
+    public = visual._confusable(spark)
+    assert len(public) > 200 and all(visual._SAME.get(c, base) == base for c, base in public.items())
+    whole = {r["cp"]: "".join(p["ch"] for p in r["parts"]) for r in visual.mapping(spark).collect()}
+    assert all(whole[c] == chr(base) for c, base in public.items())
+    assert not any(chr(c).isdigit() for c in public)
+
+
 CASES = [
     "plain text\nwith\ttabs", "", "naïve", "naïve", "ｆｕｌｌ　ｗｉｄｔｈ１２", "zero​width⁠﻿", "soft­hyphen", "thin no break space",
     "hy‐phen‑s", "раypal", "ΑΒΕ abc", "ȩ́ ȩ́", "Å Å Å", "x² x2", "ﬁ fi", "Å", "한글", "한", "ガ ｶﾞ", "a\x07b", "́start", "µ μ",
@@ -183,6 +214,15 @@ def test_same_looking_pairs(spark):
     assert same_looking(df.where("false"), "doc_id", "text").count() == 0
 
 
+def test_a_form_of_very_many_variants_is_linear(spark):
+    signs = ["a", "а"]
+    texts = ["".join(signs[n >> i & 1] for i in range(12)) for n in range(4096)]
+    df = spark.createDataFrame([*enumerate(texts), (9000, texts[5]), (9001, "other"), (9001, "other"), (9002, None)], "id bigint, text string")
+    got = {r["id"]: (r["class_id"], r["text_id"], r["n_texts"]) for r in look_classes(df, "id", "text").collect()}
+    assert got == {i: (0, i, 4096) for i in range(4096)} | {9000: (0, 5, 4096), 9001: (9001, 9001, 1)}
+    assert look_classes(df.where("false"), "id", "text").count() == 0
+
+
 # --- hand-written files
 
 
@@ -198,6 +238,12 @@ def test_re_pair_round_trip():
         assert all(uses[r] >= 1 for r in rules)  # an early rule may end up inside one later rule
         left = [tuple(seq[i : i + 2]) for i in range(len(seq) - 1)]
         assert len(seq) <= 3 or all(left.count(p) == 1 or p[0] == p[1] for p in left)
+    for _ in range(300):
+        text = "".join(rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(60)))
+        seq, rules, _ = re_pair(list(text))
+        assert "".join(expand(seq, rules)) == text
+        left = [tuple(seq[i : i + 2]) for i in range(len(seq) - 1)]
+        assert len(seq) <= 3 or all(left.count(p) == 1 or p[0] == p[1] for p in left)
     assert grammar_ratio(list("ab" * 200)) < 0.1 < 0.8 < grammar_ratio([rng.randrange(10**9) for _ in range(200)])
 
 
@@ -206,19 +252,21 @@ MINIFIED = "!function(a,b){a.x=b}(this,1);" * 19
 FILES = [
     ("src/own.ts", 3000, 100, CODE, None), ("src/generator_tool.ts", 3000, 100, "// Tells whether a file was generated: looks for the words DO NOT EDIT\n" + CODE, None),
     ("src/a.ts", 3000, 100, "// Code generated by protoforge v1.2; DO NOT EDIT.\n" + CODE, "generated"), ("src/b.ts", 3000, 100, "// Generated (toolx 6.1). hand edits get lost.\n" + CODE, "generated"),
-    ("src/c.ts", 3000, 100, "// First scaffolded with rowcast, rewritten by hand since; edit freely.\n" + CODE, None), ("src/d.pb.go", 3000, 100, CODE, "generated"),
+    ("src/c.ts", 3000, 100, "// First scaffolded with left-pad, rewritten by hand since; edit freely.\n" + CODE, None), ("src/d.pb.go", 3000, 100, CODE, "generated"),
     ("src/__generated__/e.ts", 3000, 100, CODE, "generated"), ("a\\node_modules\\x\\f.ts", 3000, 100, CODE, "vendored"), ("src/vendors/g.ts", 3000, 100, CODE, None),
     ("src/h.ts", 3000, 100, "/*! Copied unchanged from left-pad@1.2.3; keep in step with upstream */\n" + CODE, "vendored"), ("src/i.ts", 3000, 100, "// Copyright 2025 the atlas team\n" + CODE, None),
     ("src/j.js", 90000, 3, MINIFIED, "minified"), ("src/k.js", 90000, 900, "const d = [\n" + "  0.1234, 0.98765, 0.3456, 0.8712, 0.55341,\n" * 3 + "".join(f"  0.{(i * 7919) % 99991:05d}, 0.{(i * 104729) % 99991:05d},\n" for i in range(20)), "data"),
-    ("src/l.ts", 531, 13, "const limits = [99, 13, 87, 37];\n" + CODE, None), ("src/m.ts", 100, 5, None, None), ("src/known.ts", 100, 5, CODE, "vendored"), (None, None, None, "", None),
+    ("src/l.ts", 531, 13, "const limits = [99, 13, 87, 37];\n" + CODE, None), ("src/m.ts", 100, 5, None, None), ("src/known.ts", 100, 5, CODE, "vendored"),
+    ("src/n.ts", 3000, 100, "// " + "licence " * 120 + "code generated by x; do not edit\n" + CODE, "generated"), ("src/o.ts", 3000, 100, "// wrapper around left-pad; our own code\n" + CODE, None),
+    ("src/p.ts", 3000, 100, "// own-thing 1.2.3\n" + CODE, None), (None, None, None, "", None),
 ]
 
 
 def test_kinds_of_files(spark):
-    rows = [(i, p, s, "ABC " if p == "src/known.ts" else f"h{i}") for i, (p, s, *_) in enumerate(FILES)]
-    files = spark.createDataFrame(rows * 2, "id bigint, file_path string, size bigint, content_hash string").withColumn("kind", F.lit("x"))
+    rows = [(i, p, s, "ABC " if p == "src/known.ts" else f"h{i}", "pr") for i, (p, s, *_) in enumerate(FILES)]
+    files = spark.createDataFrame(rows * 2, "id bigint, file_path string, size bigint, content_hash string, project string").withColumn("kind", F.lit("x"))
     heads = spark.createDataFrame([(i, n, h) for i, (_, _, n, h, _) in enumerate(FILES) if h is not None], "file_id bigint, n_lines bigint, head string")
-    known = spark.createDataFrame([("abc",), (None,)], "content_hash string")
+    known = spark.createDataFrame([("abc", None), (None, "left-pad"), (None, "")], "content_hash string, package string")
     got = {r["file_id"]: r["kind"] for r in classify(files, heads, known).collect()}
     assert got == {i: f[4] for i, f in enumerate(FILES)}
     assert classify(files.where("false"), heads, known).count() == 0
@@ -226,7 +274,15 @@ def test_kinds_of_files(spark):
 
 def test_features_of_odd_heads():
     for h in (None, "", "\n\n", "x" * 600, "/* open comment", "0x1f, " * 90):
-        assert len(features(h)) == 5
+        assert len(features(h)) == 7
+
+
+def test_rules_shared_across_projects(spark):
+    rules = re_pair(list("abcdefghijk" * 3))[1]
+    assert max(map(len, (e.split() for e in expansions(rules, 8)))) >= 8
+    read = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"]), (3, ["y"]), (4, []), (5, None)], "file_id bigint, rules array<string>")
+    of = spark.createDataFrame([(1, "p"), (2, "q"), (3, "p"), (4, "q"), (5, "q")], "file_id bigint, project string")
+    assert sorted(map(tuple, shared_rules(read, of).collect())) == [(1, 2, 1), (2, 1, 1), (3, 1, 0)]
 
 
 # --- the registered queries on the smallest tables
