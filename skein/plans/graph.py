@@ -40,12 +40,9 @@ class PropertyGraph:
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> PropertyGraph:
         """The graph in being, from the delivered tables in a folder, as a snapshot: it is written
         to the shared folder once for each state of the files (their names, lengths and times), so
-        queries read settled tables. Without a shared folder it is worked out in each query."""
-        try:
-            at = _revision(spark, sf_dir)
-            shared_dir(spark)
-        except Exception:
-            return cls.settled(spark, sf_dir)
+        queries read settled tables. A cluster that names no shared folder is an error."""
+        at = _revision(spark, sf_dir)
+        shared_dir(spark)
         if at not in _SNAPSHOTS:
             g = cls.settled(spark, sf_dir)
             _SNAPSHOTS[at] = cls(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
