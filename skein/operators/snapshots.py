@@ -76,8 +76,7 @@ class Bitmap:
 def json_form(text: Column) -> Column:
     """A form of JSON text in which key order and spacing don't count; text that is no JSON, null
     included, stands for itself."""
-    value = F.to_json(F.try_parse_json(text))
-    return F.when(value.isNotNull(), F.concat(F.lit("j"), value)).otherwise(F.concat(F.lit("t"), text))
+    return F.coalesce(F.concat(F.lit("j"), F.to_json(F.try_parse_json(text))), F.concat(F.lit("t"), text))
 
 
 def ordered_generations(deliveries: DataFrame, catalog: DataFrame) -> DataFrame:
