@@ -11,7 +11,7 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -179,52 +179,64 @@ def _clean(s: str) -> str:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-_ROW = pa.struct([(f.name, f.type) for f in _ARROW if f.name not in ("src_table", "src_id")])
-_TREES = pa.schema([("src_table", pa.string()), ("src_id", pa.int64()), ("root_hash", pa.string()), ("rows", pa.list_(_ROW))])
-_ROWS = ", ".join(f"{c}: {t}" for c, t in (x.strip().split() for x in BRIDGE.split(",")[2:]))
-_NAMES = [f.name for f in _ROW]
+_NAMES = [f.name for f in _ARROW][2:]
+_KINDS = dict(x.strip().split() for x in BRIDGE.split(","))
 
 
-def _tree(text: str) -> tuple[str, list[dict]]:
-    """The identity of a text's value, and its objects; no objects for text that is no JSON."""
+def _trees(columns: tuple[str, ...]) -> tuple[pa.Schema, str]:
+    """The form of parsed records whose trees keep `columns`, for Arrow and for Spark."""
+    row = pa.struct([_ARROW.field(c) for c in columns])
+    arrow = pa.schema([("src_table", pa.string()), ("src_id", pa.int64()), ("root_hash", pa.string()), ("rows", pa.list_(row))])
+    return arrow, "src_table string, src_id bigint, root_hash string, rows array<struct<" + ", ".join(f"{c}: {_KINDS[c]}" for c in columns) + ">>"
+
+
+def _tree(text: str, places: list[int], least: int) -> tuple[str, list[dict]]:
+    """The identity of a text's value, and the wanted columns of its objects from depth `least`
+    on; no identity for text that is no JSON or holds no object."""
     value = parse(text)
-    rows = [tuple(_clean(x) if isinstance(x, str) else x for x in r) for r in occurrences(value)]
-    if isinstance(value, dict):
-        root = rows[0][5]
-    else:  # an outermost array is its objects, with their places
-        root = digest(json.dumps([r[:6] for r in rows])) if rows else ""
-    return root, [dict(zip(_NAMES, r, strict=True)) for r in rows]
-
-
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[str, list[dict]]] = {}
-    told: set[str] = set()
-    for batch in batches:
-        cols: list[list] = [[] for _ in _TREES]
-        size = 0
-        for src, rid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            got = known.get(text)
-            if got is None:
-                got = _tree(text)
-                if len(known) > 20_000:
-                    known.clear()
-                if len(text) < 4_000:
-                    known[text] = got
-            root, rows = got
-            if not rows:
-                continue
-            new = root not in told
-            if new:
-                if len(told) > 200_000:
-                    told.clear()
-                told.add(root)
-                size += len(rows)
-            for col, x in zip(cols, (src, rid, root, rows if new else None), strict=True):
-                col.append(x)
-            if size > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TREES, strict=True)], schema=_TREES)
-                cols, size = [[] for _ in _TREES], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _TREES, strict=True)], schema=_TREES)
+    rows = occurrences(value)
+    if not rows:
+        return "", []
+    # an outermost array is its objects, with their places
+    root = rows[0][5] if isinstance(value, dict) else digest(json.dumps([r[:6] for r in rows]))
+    return root, [{_NAMES[i]: _clean(r[i]) if isinstance(r[i], str) else r[i] for i in places} for r in rows if r[2] >= least]
+
+
+def _grow(columns: tuple[str, ...], least: int):
+    schema, _ = _trees(columns)
+    places = [_NAMES.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, list[dict]]] = {}
+        told: set[str] = set()
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            size = 0
+            for src, rid, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                got = known.get(text)
+                if got is None:
+                    got = _tree(text, places, least)
+                    if len(known) > 20_000:
+                        known.clear()
+                    if len(text) < 4_000:
+                        known[text] = got
+                root, rows = got
+                if not rows:
+                    continue
+                new = root not in told
+                if new:
+                    if len(told) > 200_000:
+                        told.clear()
+                    told.add(root)
+                    size += len(rows)
+                for col, x in zip(cols, (src, rid, root, rows if new else None), strict=True):
+                    col.append(x)
+                if size > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                    cols, size = [[] for _ in schema], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    return run
 
 
 def _texts(sources: tuple, nested_only: bool) -> DataFrame:
@@ -239,40 +251,40 @@ def _texts(sources: tuple, nested_only: bool) -> DataFrame:
     return picked.where(wanted)
 
 
-def object_graph(*sources: tuple[str, DataFrame, str, str], nested_only: bool = False) -> tuple[DataFrame, DataFrame]:
+def object_graph(*sources: tuple[str, DataFrame, str, str], columns: Sequence[str] = tuple(_NAMES), nested_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """The JSON of `sources`, each a (table name, DataFrame, id column, text column), as records and
     trees: `records(src_table, src_id, root_hash, n_rows)` names for each record the identity of
     its outermost value, with the number of equal rows, and `trees(root_hash, rows)` holds each
-    distinct outermost value once, as its objects in document order: `parent_path`, `child_path`,
-    `depth`, `ordinal`, `parent_hash`, `object_hash` and `fields`, the canonical form.
+    distinct outermost value once, as its objects in document order, with the asked `columns` of:
+    `parent_path`, `child_path`, `depth`, `ordinal`, `parent_hash`, `object_hash` and `fields`, the
+    canonical form. Columns that aren't asked for are never written or shuffled.
 
     Null, empty and broken texts, and values without an object, give neither. Of a repeated key
     the last value counts. Objects in an outermost array have depth 1 and the parent path ''. A
     record with several texts has a row for each that differs in value; key order and spacing make
-    none. `nested_only` may leave out, before parsing, values whose only object is the outermost
-    one: those without a second brace, written out or escaped, unless they are an array or a
+    none. `nested_only` leaves out the outermost objects and values that hold no other, those
+    without a second brace, written out or escaped, before parsing, unless they are an array or a
     string, which may hold JSON.
     """
-    parsed = materialize(_texts(sources, nested_only).mapInArrow(_grow, f"src_table string, src_id bigint, root_hash string, rows array<struct<{_ROWS}>>"), "trees")
+    columns = tuple(columns)
+    parsed = materialize(_texts(sources, nested_only).mapInArrow(_grow(columns, int(nested_only)), _trees(columns)[1]), "trees")
     records = parsed.groupBy("src_table", "src_id", "root_hash").agg(F.count(F.lit(1)).alias("n_rows"))
     trees = parsed.where("rows is not null").groupBy("root_hash").agg(F.first("rows").alias("rows"))
     return records, trees
 
 
-def occurrences_of(records: DataFrame, trees: DataFrame, *columns: str) -> DataFrame:
-    """The bridge rows of all records: `src_table`, `src_id`, `root_hash`, and `columns` of the
+def occurrences_of(records: DataFrame, trees: DataFrame) -> DataFrame:
+    """The bridge rows of all records: `src_table`, `src_id`, `root_hash`, and the columns of the
     trees' rows, one for each object of each record. A value that very many records share is
     joined by `split_join`; its tree is stored and sent once."""
-    few = trees.select("root_hash", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in columns])).alias("rows"))
-    return split_join(records, few, "root_hash").select("src_table", "src_id", "root_hash", F.explode("rows").alias("r")).select("src_table", "src_id", "root_hash", "r.*")
+    return split_join(records.drop("n_rows"), trees, "root_hash").select("src_table", "src_id", "root_hash", F.explode("rows").alias("r")).select("src_table", "src_id", "root_hash", "r.*")
 
 
 def object_bridge(*sources: tuple[str, DataFrame, str, str], nested_only: bool = False) -> DataFrame:
     """Every occurrence of an object in the JSON of `sources` (see `object_graph`), one row each:
     `src_table`, `src_id`, `root_hash` and the columns of the trees. `nested_only` leaves out the
     outermost objects."""
-    out = occurrences_of(*object_graph(*sources, nested_only=nested_only), *_NAMES)
-    return out.where("depth > 0") if nested_only else out
+    return occurrences_of(*object_graph(*sources, nested_only=nested_only))
 
 
 def object_store(records: DataFrame, trees: DataFrame) -> DataFrame:

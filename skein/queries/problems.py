@@ -255,22 +255,21 @@ def _json_sources(spark: SparkSession, sf_dir: str):
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record with several texts may hold a path in more than one of them; it counts once."""
-    records, trees = object_graph(*_json_sources(spark, sf_dir), nested_only=True)
-    below = trees.select("root_hash", F.filter("rows", lambda r: r["depth"] > 0).alias("rows")).where(F.size("rows") > 0)
-    return occurrences_of(records, below, "parent_path", "child_path").drop("root_hash").distinct()
+    graph = object_graph(*_json_sources(spark, sf_dir), columns=("parent_path", "child_path"), nested_only=True)
+    return occurrences_of(*graph).drop("root_hash").distinct()
 
 
 def p7_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences_of(*object_graph(*_json_sources(spark, sf_dir)), "parent_path", "child_path", "depth", "ordinal", "parent_hash", "object_hash")
+    return occurrences_of(*object_graph(*_json_sources(spark, sf_dir), columns=("parent_path", "child_path", "depth", "ordinal", "parent_hash", "object_hash")))
 
 
 def p7_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return object_store(*object_graph(*_json_sources(spark, sf_dir)))
+    return object_store(*object_graph(*_json_sources(spark, sf_dir), columns=("object_hash", "fields")))
 
 
 def p7_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many objects the records of each table hold at each depth."""
-    rows = occurrences_of(*object_graph(*_json_sources(spark, sf_dir)), "child_path", "depth").drop("root_hash").distinct()
+    rows = occurrences_of(*object_graph(*_json_sources(spark, sf_dir), columns=("child_path", "depth"))).drop("root_hash").distinct()
     return rows.groupBy("src_table", "depth").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
