@@ -40,20 +40,42 @@ def qn_top_package(qn: Column) -> Column:
     return F.when(F.size(parts) > 1, parts[1]).otherwise("")
 
 
-#: Languages by extension (fixed values).
+#: Languages and the extensions of their files, and files known by their whole name (fixed values).
 LANGUAGES = {
-    "py": "Python", "go": "Go", "js": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "rs": "Rust", "java": "Java", "cpp": "C++",
-    "cc": "C++", "cxx": "C++", "c": "C", "h": "C", "cs": "C#", "php": "PHP", "lua": "Lua", "scala": "Scala", "kt": "Kotlin", "rb": "Ruby", "sh": "Bash",
-    "bash": "Bash", "zig": "Zig", "ex": "Elixir", "exs": "Elixir", "hs": "Haskell", "ml": "OCaml", "mli": "OCaml", "html": "HTML", "css": "CSS",
-    "yaml": "YAML", "yml": "YAML", "toml": "TOML", "hcl": "HCL", "tf": "HCL", "sql": "SQL", "erl": "Erlang", "swift": "Swift", "dart": "Dart",
-    "groovy": "Groovy", "pl": "Perl", "r": "R", "scss": "SCSS", "vue": "Vue", "svelte": "Svelte",
+    "Python": "py pyi pyw", "Go": "go", "JavaScript": "js jsx mjs cjs", "TypeScript": "ts tsx mts cts", "Rust": "rs", "Java": "java",
+    "C++": "cc ccm cpp cppm cxx hh hpp hxx ixx", "C": "c h", "C#": "cs", "PHP": "php", "Lua": "lua", "Scala": "scala sc", "Kotlin": "kt kts",
+    "Ruby": "rb rake gemspec", "Bash": "sh bash", "Zig": "zig", "Elixir": "ex exs", "Haskell": "hs", "OCaml": "ml mli", "HTML": "html htm",
+    "CSS": "css", "YAML": "yaml yml", "TOML": "toml", "HCL": "hcl tf", "SQL": "sql", "Erlang": "erl", "Swift": "swift", "Dart": "dart",
+    "Groovy": "groovy gradle", "Perl": "pl pm", "R": "r", "SCSS": "scss", "Vue": "vue", "Svelte": "svelte", "Clojure": "clj cljc cljs",
+    "CMake": "cmake", "COBOL": "cbl cob", "Common Lisp": "cl lisp lsp", "CUDA": "cu cuh", "Dockerfile": "dockerfile", "DotEnv": "env", "Elm": "elm",
+    "Emacs Lisp": "el", "F#": "fs fsi fsx", "FORM": "frm prc", "Fortran": "f03 f08 f90 f95", "GLSL": "frag glsl vert", "GraphQL": "gql graphql",
+    "INI": "cfg conf ini", "JSON": "json", "Julia": "jl", "Lean": "lean", "Magma": "mag magma", "Makefile": "mk", "Markdown": "md mdx",
+    "MATLAB": "m matlab mlx", "Meson": "meson", "Nix": "nix", "Protobuf": "proto", "Verilog": "sv v", "Vim Script": "vim vimrc",
+    "Just": "just justfile", "BitBake": "bb bbappend bbclass inc", "Wolfram": "wl wls", "XML": "xml xsd xsl svg", "Ada": "adb ads", "Agda": "agda",
+    "Astro": "astro", "AWK": "awk", "Beancount": "beancount", "BibTeX": "bib", "Bicep": "bicep", "Starlark": "bzl", "Cairo": "cairo",
+    "Cap'n Proto": "capnp", "Apex": "cls", "Crystal": "cr", "CSV": "csv", "D": "d", "Diff": "diff", "Pascal": "dpr pas", "DeviceTree": "dts dtsi",
+    "FunC": "fc", "Fish": "fish", "Fennel": "fnl", "HLSL": "fx hlsl hlsli", "GDScript": "gd", "Gleam": "gleam", "GN": "gn gni",
+    "Go Template": "gotmpl tpl", "Hare": "ha", "Hyprlang": "hl", "ISPC": "ispc", "Jinja2": "j2 jinja jinja2", "Janet": "janet", "JSON5": "json5",
+    "Jsonnet": "jsonnet", "KDL": "kdl", "Kconfig": "kconfig", "Linker Script": "ld", "Liquid": "liquid", "LLVM": "ll", "Luau": "luau",
+    "Mermaid": "mmd", "Mojo": "mojo", "Move": "move", "NASM": "nasm asm", "Nickel": "ncl", "Odin": "odin", "Pkl": "pkl", "Pony": "pony",
+    "PowerShell": "ps1 psm1", "Prisma": "prisma", "PureScript": "purs", "QML": "qml", "Racket": "rkt", "RON": "ron", "ReScript": "res resi",
+    "Scheme": "scm ss", "Slang": "slang", "Smali": "smali", "Solidity": "sol", "SOQL": "soql", "Squirrel": "nut", "Tcl": "tcl", "Teal": "tl",
+    "Templ": "templ", "Thrift": "thrift", "TLA+": "tla", "Typst": "typ", "VHDL": "vhd vhdl", "WGSL": "wgsl", "WIT": "wit",
+}
+LANGUAGE_OF_FILE = {
+    "dockerfile": "Dockerfile", "makefile": "Makefile", "gnumakefile": "Makefile", "cmakelists.txt": "CMake", "justfile": "Just", "build": "Starlark", "build.bazel": "Starlark",
+    "workspace": "Starlark", "workspace.bazel": "Starlark", "kconfig": "Kconfig", "meson.build": "Meson", "gemfile": "Ruby", "rakefile": "Ruby", "go.mod": "Go Module", "hyprland.conf": "Hyprlang",
+    "ssh_config": "SSH Config", "sshd_config": "SSH Config",
 }
 
 
 def language(path: Column) -> Column:
-    """By the lower-case extension; null if unknown."""
-    ext = F.regexp_extract(F.lower(path), r"\.([a-z0-9]+)$", 1)
-    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext]
+    """By the whole name, else by the extension, both in lower case; null if unknown."""
+    name = F.lower(F.regexp_extract(F.regexp_replace(path, r"\\", "/"), r"([^/]*)$", 1))
+    ext = F.regexp_extract(name, r"\.([a-z0-9]+)$", 1)
+    by_name = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF_FILE.items() for x in kv])
+    by_ext = F.create_map(*[F.lit(x) for lang, exts in LANGUAGES.items() for e in exts.split() for x in (e, lang)])
+    return F.coalesce(by_name[name], by_ext[ext])
 
 
 def is_test_path(path: Column) -> Column:
@@ -67,6 +89,11 @@ def is_test_file(path: Column) -> Column:
     return p.rlike(r"(^|/)(__tests__|tests|test|spec)/|(^|/)test_[^/]*$|_test\.(go|py|rs|cpp|lua)$|\.(test|spec)\.(ts|js|tsx)|Test\.(java|kt|cs|php)$|Spec\.scala$|_spec\.rb$")
 
 
+def sounds_like_test(qn: Column) -> Column:
+    """Whether a qualified name speaks of tests or of what stands in for the real thing."""
+    return F.coalesce(qn.rlike(r"Test|test|Mock|mock|Stub|stub|Fake|fake|Fixture|spec"), F.lit(False))
+
+
 def is_test_name(name: Column) -> Column:
     """A function's name that test runners look for."""
     hooks = ("test", "it", "describe", "beforeAll", "afterAll", "beforeEach", "afterEach", "@testset", "@test")
@@ -164,6 +191,11 @@ def url_path(url: Column) -> Column:
     return F.when(rest == "", F.when(url.startswith("/"), url).otherwise("/")).otherwise(rest)
 
 
+def duration_ns(start: Column, end: Column) -> Column:
+    """Nanoseconds between two times written as text; null if either is no number."""
+    return end.try_cast("bigint") - start.try_cast("bigint")
+
+
 def proximity(a: Column, b: Column) -> Column:
     """1 to 1.1 by the share of leading folders two paths have in common."""
     fa, fb = (F.slice(F.split(graph_path(x), "/"), 1, F.greatest(F.size(F.split(graph_path(x), "/")) - 1, F.lit(0))) for x in (a, b))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.norm import qn_package
 from skein.operators.reach import components
 from skein.session import materialize
 
@@ -160,19 +162,26 @@ def communities(links: DataFrame) -> DataFrame:
 
 def cluster_report(members: DataFrame, links: DataFrame, names: DataFrame, top: int = 12, keep: int = 5) -> DataFrame:
     """The `top` largest communities of two nodes and more: size, cohesion (links within against
-    all that touch it) and the `keep` names of highest degree."""
+    all that touch it), the `keep` names of highest degree, its `keep` commonest packages, and the
+    commonest as its label. `names(node, name, label, qualified_name)`."""
     m = materialize(members.select("node", "community"), "members")
-    ends = links.where("src <> dst").join(m.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(m.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
+    links = materialize(links.where("src <> dst"), "links")
+    ends = links.join(m.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(m.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
     inner = ends.where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.count(F.lit(1)).alias("within"))
     outer = ends.where("cs <> cd").select(F.explode(F.array("cs", "cd")).alias("community")).groupBy("community").agg(F.count(F.lit(1)).alias("across"))
     sizes = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    d = links.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    few = sizes.orderBy(F.desc("n"), "community").limit(top)
-    ranked = m.join(few.select("community"), "community", "left_semi").join(d, "node", "left").join(names, "node").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "node")))
+    d = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    few = F.broadcast(materialize(sizes.orderBy(F.desc("n"), "community").limit(top), "largest"))
+    named = m.join(few.select("community"), "community", "left_semi").join(names, "node")
+    ranked = named.join(d, "node", "left").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "node")))
     best = ranked.where(F.col("r") <= keep).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("top_names"))
-    out = few.join(inner, "community", "left").join(outer, "community", "left").join(best, "community", "left")
+    package = F.coalesce(F.nullif(qn_package(F.col("qualified_name")), F.lit("")), F.substring_index(F.coalesce("qualified_name", F.lit("")), "/", 2))
+    common = named.groupBy("community", package.alias("package")).agg(F.count(F.lit(1)).alias("c")).where("package <> ''")
+    common = common.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("c"), "package"))).where(F.col("r") <= keep)
+    packages = common.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "package"))), lambda x: x["package"]), ", ").alias("packages"), F.min_by("package", "r").alias("label"))
+    out = few.join(inner, "community", "left").join(outer, "community", "left").join(best, "community", "left").join(packages, "community", "left")
     w, a = F.coalesce("within", F.lit(0)), F.coalesce("across", F.lit(0))
-    return out.select("community", "n", w.alias("within"), a.alias("across"), F.round(w / F.nullif(w + a, F.lit(0)), 6).alias("cohesion"), "top_names")
+    return out.select("community", "n", w.alias("within"), a.alias("across"), F.round(w / F.nullif(w + a, F.lit(0)), 6).alias("cohesion"), "top_names", "packages", "label")
 
 
 def modularity(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,45 +198,124 @@ def modularity(members: DataFrame, links: DataFrame) -> DataFrame:
 PRIORITY = {"CONTAINS": 0, "CONTAINS_FILE": 0, "CONTAINS_FOLDER": 0, "DEFINES": 0, "INHERITS": 1, "IMPLEMENTS": 1, "IMPORTS": 1, "CALLS": 2}
 
 
-def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = 200_000) -> DataFrame:
+def _chosen(rows: list[tuple], forest: bool) -> list[int]:
+    """The ids that stay of `rows` (id, source, target, part of source, part of target, room of
+    source, room of target), taken in turn: while both ends have room and, for a `forest`, the edge
+    joins two parts that are not joined yet."""
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    outs: dict = {}
+    ins: dict = {}
+    kept = []
+    for i, s, t, ca, cb, rs, rt in rows:
+        if outs.setdefault(s, rs) <= 0 or ins.setdefault(t, rt) <= 0:
+            continue
+        a, b = find(ca), find(cb)
+        if forest and a == b:
+            continue
+        parent[a] = b
+        outs[s] -= 1
+        ins[t] -= 1
+        kept.append(i)
+    return kept
+
+
+_OPEN = ["project", "o", "id", "source_id", "target_id", "ca", "cb", "rs", "rt"]
+
+
+def _rounds(pend: DataFrame, out_cap: int, in_cap: int, forest: bool, small: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, rest) of `pend` with the columns _OPEN: what `_chosen` keeps, and what it leaves for
+    want of a second part, both with the rooms and parts before them.
+
+    In a round those edges are kept that are sure of their place: of a forest the first edge of a
+    part, since no earlier one leaves the part; and everywhere edges that have room even if all
+    earlier ones at their ends are kept. The very first edge always is one, so rounds end. Hubs are
+    ranked to their cap only. With `small` edges or fewer left, they are taken in turn in one task.
+    """
+    kept, rest = [], []
+    key = F.struct("o", "id")
+    while True:
+        if forest:
+            rest.append(pend.where("ca = cb"))
+            pend = pend.where("ca <> cb")
+        n = pend.count()
+        if not n:
+            break
+        if n <= small:
+
+            def run(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values(["o", "id"])
+                ends = [list(zip(pdf["project"], pdf[c], strict=True)) for c in ("source_id", "target_id")]
+                return pd.DataFrame({"id": pd.Series(_chosen(list(zip(pdf["id"], *ends, pdf["ca"], pdf["cb"], pdf["rs"], pdf["rt"], strict=True)), forest), dtype="int64")})
+
+            ids = materialize(pend.groupBy().applyInPandas(run, "id bigint"), "kept")
+            kept.append(pend.join(ids, "id", "left_semi").select(*_OPEN))
+            rest.append(pend.join(ids, "id", "left_anti").select(*_OPEN))
+            break
+        ranked = lambda end, cap, room: pend.withColumn("r", F.row_number().over(Window.partitionBy("project", end).orderBy("o", "id"))).where(F.col("r") <= cap).where(F.col("r") <= F.col(room))
+        sure = ranked("source_id", out_cap, "rs").join(ranked("target_id", in_cap, "rt").select("id"), "id", "left_semi")
+        if forest:
+            first = pend.select(F.explode(F.array("ca", "cb")).alias("c"), key.alias("k")).groupBy("c").agg(F.min("k").alias("k"))
+            sure = sure.join(first.toDF("ca", "ka"), "ca").join(first.toDF("cb", "kb"), "cb").where((key == F.col("ka")) | (key == F.col("kb")))
+        sure = materialize(sure.select(*_OPEN), "kept")
+        kept.append(sure)
+        pend = materialize(_after_keeping(pend.join(sure.select("id"), "id", "left_anti"), sure, forest), "open")
+    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else pend
+    return union(kept), union(rest)
+
+
+def _after_keeping(pend: DataFrame, kept: DataFrame, forest: bool) -> DataFrame:
+    """Open edges with the rooms that are left, without those that have none, and, for a forest,
+    with the parts as the kept edges have joined them."""
+    out, into = kept.groupBy("project", "source_id").agg(F.count(F.lit(1)).alias("us")), kept.groupBy("project", "target_id").agg(F.count(F.lit(1)).alias("ut"))
+    left = _null_safe(_null_safe(pend, out, ["project", "source_id"]), into, ["project", "target_id"])
+    left = left.withColumn("rs", F.col("rs") - F.coalesce("us", F.lit(0))).withColumn("rt", F.col("rt") - F.coalesce("ut", F.lit(0))).where("rs > 0 and rt > 0")
+    if forest:
+        to = materialize(components(kept.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))), "parts")
+        left = left.join(to.toDF("ca", "na"), "ca", "left").join(to.toDF("cb", "nb"), "cb", "left").withColumn("ca", F.coalesce("na", "ca")).withColumn("cb", F.coalesce("nb", "cb"))
+    return left.select(*_OPEN)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
+
+
+def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = SMALL) -> DataFrame:
     """Edges of `edges(project, id, source_id, target_id, type)` such that no node keeps more than
     `out_cap` out of it or `in_cap` into it, and nodes stay connected where the caps allow.
 
     By project, in the order of type and id: first the edges that join two parts not joined yet,
-    then others, as long as both ends have room. Which edge has room depends on all before it, so
-    a project is one task at any size; `small` changes nothing any more.
+    then others, as long as both ends have room. Projects of up to `small` edges are a task each;
+    larger ones go by rounds of joins (see `_rounds`), which keep the same edges.
     """
     order = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("type")], F.lit(3))
+    part = lambda end: F.concat_ws("\u0001", F.coalesce("project", F.lit("")), F.col(end).cast("string"))
     e = edges.groupBy("project", "source_id", "target_id", "type").agg(F.min("id").alias("id")).withColumn("o", order)
+    e = materialize(e.select("project", "o", "id", "source_id", "target_id", part("source_id").alias("ca"), part("target_id").alias("cb"), F.lit(out_cap).alias("rs"), F.lit(in_cap).alias("rt")), "edges")
+    large = materialize(e.groupBy("project").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("project", F.lit(True).alias("large")), "large")
+    sized = materialize(_null_safe(e, large, ["project"]), "sized")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["o", "id"])
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        outs: dict[int, int] = defaultdict(int)
-        ins: dict[int, int] = defaultdict(int)
-        kept: list[int] = []
-        rows = list(zip(pdf["id"], pdf["source_id"], pdf["target_id"], strict=True))
-        for forest in (True, False):
-            later = []
-            for i, s, t in rows:
-                if outs[s] >= out_cap or ins[t] >= in_cap:
-                    continue
-                a, b = find(s), find(t)
-                if forest and a == b:
-                    later.append((i, s, t))
-                    continue
-                parent[a] = b
-                outs[s] += 1
-                ins[t] += 1
-                kept.append(i)
-            rows = later
-        return pd.DataFrame({"id": sorted(kept)})
-
-    kept = e.select("project", "o", "id", "source_id", "target_id").groupBy("project").applyInPandas(run, "id bigint")
+        rows = list(zip(pdf["id"], pdf["source_id"], pdf["target_id"], pdf["ca"], pdf["cb"], pdf["rs"], pdf["rt"], strict=True))
+        kept = set(_chosen(rows, True))
+        outs, ins = Counter(r[1] for r in rows if r[0] in kept), Counter(r[2] for r in rows if r[0] in kept)
+        rest = [(i, s, t, ca, cb, rs - outs[s], rt - ins[t]) for i, s, t, ca, cb, rs, rt in rows if i not in kept]
+        return pd.DataFrame({"id": sorted(kept | set(_chosen(rest, False)))}, dtype="int64")
+
+    kept = sized.where("large is null").groupBy("project").applyInPandas(run, "id bigint")
+    if not large.isEmpty():
+        tree, rest = _rounds(sized.where("large").select(*_OPEN), out_cap, in_cap, True, small)
+        tree = materialize(tree, "forest")
+        # rooms as they were before the forest, less what the whole forest took
+        whole = sized.where("large").select("id", F.col("rs").alias("rs0"), F.col("rt").alias("rt0"))
+        rest = rest.join(whole, "id").withColumn("rs", F.col("rs0")).withColumn("rt", F.col("rt0")).select(*_OPEN)
+        more, _ = _rounds(materialize(_after_keeping(rest, tree, False), "rest"), out_cap, in_cap, False, small)
+        kept = kept.unionByName(tree.select("id")).unionByName(more.select("id"))
     return edges.join(kept, "id", "left_semi")

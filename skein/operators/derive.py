@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.norm import camel_words, graph_path, is_test_file, is_test_name, route_path
+from skein.functions.norm import graph_path, is_test_file, is_test_name, route_path, sounds_like_test
 from skein.plans.graph import PropertyGraph, prop
-from skein.session import evaluated, materialize
+from skein.session import materialize
 
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Source endings behind the emitted ones that an import may name (fixed values).
@@ -48,7 +48,7 @@ def module_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
     return every.drop("base").join(best, ["project", "file_path", "source_module"], "left")
 
 
-def resolve_exports(exports: DataFrame, wanted: DataFrame, max_depth: int = 10) -> DataFrame:
+def resolve_exports(exports: DataFrame, wanted: DataFrame) -> DataFrame:
     """Where the names of `wanted(file_path, name)` are defined: `status` resolved, ambiguous,
     missing or unknown, and `target_file`, `target_name` if resolved.
 
@@ -56,8 +56,8 @@ def resolve_exports(exports: DataFrame, wanted: DataFrame, max_depth: int = 10)
     local exports (no source), renamed re-exports, and `export *` (kind star_re_export, null name);
     `source_file` is the resolved module, null where a re-export's module isn't known. A module
     with two local exports of one name is invalid: its names are ambiguous. `default` never passes
-    a star; an explicit export hides what stars would bring. Rounds follow re-exports up to
-    `max_depth`; a cycle adds nothing.
+    a star; an explicit export hides what stars would bring. Rounds follow re-exports until nothing
+    is new, however long the way; a cycle adds nothing.
     """
     local = exports.where(F.col("export_kind").isin("local_named", "local_alias", "type_only_default", "local_default"))
     twice = local.groupBy("file_path", "exported_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("file_path").distinct()
@@ -65,7 +65,7 @@ def resolve_exports(exports: DataFrame, wanted: DataFrame, max_depth: int = 10)
     ends: list[DataFrame] = []
     seen = open_
     ask = ["want_file", "want_name"]
-    for _ in range(max_depth):
+    while True:
         bad = open_.join(twice.select(F.col("file_path").alias("at_file")), "at_file", "left_semi")
         ends.append(bad.select(*ask, F.lit("ambiguous").alias("s"), F.lit(None).cast("string").alias("tf"), F.lit(None).cast("string").alias("tn")))
         good = open_.join(twice.select(F.col("file_path").alias("at_file")), "at_file", "left_anti")
@@ -95,35 +95,55 @@ def resolve_exports(exports: DataFrame, wanted: DataFrame, max_depth: int = 10)
 
 
 #: How much each way of resolving a call is trusted (fixed values).
-CONFIDENCE = {"import_map": 0.95, "same_module": 0.90, "unique_name": 0.75, "suffix_match": 0.55, "fuzzy": 0.30}
+CONFIDENCE = {"import_map": 0.95, "import_map_suffix": 0.85, "same_module": 0.90, "unique_name": 0.75, "qualified_tail": 0.90, "suffix_match": 0.55, "fuzzy": 0.40, "fuzzy_many": 0.30}
+_WAYS = tuple(CONFIDENCE)
 
 
 def resolve_calls(sites: DataFrame, defs: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """The definition each call site means: `sites(site_id, project, file_path, callee)`, `defs(id,
-    project, file_path, name)`, `imports(project, file_path, local_name, target_id)`.
-
-    The first way that finds one decides: the file's imports, the same file, a name that is
-    unique in the project, the definition with the longest common folders, each with its
-    confidence, which shrinks with the number of candidates beyond three. Candidates of a name are
-    counted before they are joined; a name with very many definitions is resolved from one row per
-    (project, folder, name). Sites of unknown names get no row.
+    project, file_path, name, qualified_name)`, `imports(project, file_path, local_name,
+    target_id)`; a callee is a name or names joined by dots.
+
+    The first way that finds one decides: the file's imports by the whole callee; what an import
+    of its first name's file defines under its last; the same file; a name that is unique in the
+    project; the only definition whose qualified name ends with the whole callee; of several, the
+    one with the longest common folders, tests behind all others; and the same without letter
+    case, one or several. Confidence shrinks with the number of candidates beyond three. Candidates
+    of a name are counted before they are joined; a name with very many definitions is resolved
+    from one row per (project, folder, name). Sites of unknown names get no row.
     """
-    d = defs.select("id", "project", "file_path", F.col("name").alias("callee"))
+    last = lambda c: F.regexp_extract(c, r"([^.]*)$", 1)
+    sites = sites.select("site_id", "project", "file_path", "callee", last(F.col("callee")).alias("last"))
+    d = defs.select("id", "project", "file_path", F.col("name").alias("last"), "qualified_name")
+    one = F.lit(1).cast("bigint")
     found = []
+    told = lambda df, way, n=one: found.append(df.select("site_id", "id", F.lit(way).alias("strategy"), F.lit(_WAYS.index(way)).alias("o"), n.alias("n")))
     if imports is not None:
-        i = imports.groupBy("project", "file_path", F.col("local_name").alias("callee")).agg(F.min("target_id").alias("id"))
-        found.append(sites.join(i, ["project", "file_path", "callee"]).select("site_id", "id", F.lit("import_map").alias("strategy"), F.lit(0).alias("o"), F.lit(1).cast("bigint").alias("n")))
-    same = d.groupBy("project", "file_path", "callee").agg(F.min("id").alias("id"))
-    found.append(sites.join(same, ["project", "file_path", "callee"]).select("site_id", "id", F.lit("same_module").alias("strategy"), F.lit(1).alias("o"), F.lit(1).cast("bigint").alias("n")))
-    names = d.groupBy("project", "callee").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    by_name = sites.join(names, ["project", "callee"])
-    found.append(by_name.where("n = 1").select("site_id", "id", F.lit("unique_name").alias("strategy"), F.lit(2).alias("o"), "n"))
+        i = imports.groupBy("project", "file_path", "local_name").agg(F.min("target_id").alias("id"))
+        told(sites.join(i.withColumnRenamed("local_name", "callee"), ["project", "file_path", "callee"]), "import_map")
+        at = i.join(d.select("id", F.col("file_path").alias("module")), "id").select("project", "file_path", F.col("local_name").alias("head"), "module")
+        inside = d.groupBy("project", F.col("file_path").alias("module"), "last").agg(F.min("id").alias("id"))
+        far = sites.where("contains(callee, '.')").withColumn("head", F.substring_index("callee", ".", 1)).join(at, ["project", "file_path", "head"])
+        told(far.join(inside, ["project", "module", "last"]).groupBy("site_id").agg(F.min("id").alias("id")), "import_map_suffix")
+    same = d.groupBy("project", "file_path", "last").agg(F.min("id").alias("id"))
+    told(sites.join(same, ["project", "file_path", "last"]), "same_module")
+    names = d.groupBy("project", "last").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    by_name = sites.join(names, ["project", "last"])
+    told(by_name.where("n = 1"), "unique_name")
+    tails = F.transform(F.sequence(F.lit(2), F.size("parts")), lambda k: F.array_join(F.slice("parts", F.size("parts") - k + 1, k), "."))
+    ends = d.withColumn("parts", F.split(F.regexp_replace("qualified_name", "::", "."), r"\.")).where(F.size("parts") > 1)
+    ends = ends.select("id", "project", F.explode(tails).alias("callee")).groupBy("project", "callee").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    told(sites.where("contains(callee, '.')").join(ends, ["project", "callee"]), "qualified_tail")
     folder = F.regexp_replace(graph_path(F.col("file_path")), r"(^|/)[^/]*$", "")
     up = lambda df: df.withColumn("parts", F.split(folder, "/")).withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("parts")))).withColumn("above", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
-    heads = up(d).groupBy("project", "callee", "depth", "above").agg(F.min("id").alias("id"))
-    many = by_name.where("n > 1").select("site_id", "project", "file_path", "callee", "n")
-    deep = up(many).join(heads, ["project", "callee", "depth", "above"]).groupBy("site_id", "n").agg(F.max_by("id", "depth").alias("id"))
-    found.append(deep.select("site_id", "id", F.lit("suffix_match").alias("strategy"), F.lit(3).alias("o"), "n"))
+    heads = up(d.withColumn("test", sounds_like_test(F.col("qualified_name")).cast("int"))).groupBy("project", "last", "depth", "above").agg(F.min(F.struct("test", "id")).alias("h"))
+    many = by_name.where("n > 1").select("site_id", "project", "file_path", "last", "n")
+    deep = up(many).join(heads, ["project", "last", "depth", "above"]).groupBy("site_id", "n").agg(F.max(F.struct((1 - F.col("h.test")).alias("plain"), "depth", (-F.col("h.id")).alias("i"))).alias("b"))
+    told(deep.select("site_id", (-F.col("b.i")).alias("id"), "n"), "suffix_match", F.col("n"))
+    loose = d.groupBy("project", F.lower("last").alias("last")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    by_loose = sites.withColumn("last", F.lower("last")).join(loose, ["project", "last"])
+    told(by_loose.where("n = 1"), "fuzzy")
+    told(by_loose.where("n > 1"), "fuzzy_many", F.col("n"))
     best = reduce(DataFrame.unionByName, found).groupBy("site_id").agg(F.min(F.struct("o", "strategy", "id", "n")).alias("b")).select("site_id", "b.id", "b.strategy", "b.n")
     base = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])[F.col("strategy")]
     return best.select("site_id", "id", "strategy", F.round(base * F.least(F.lit(1.0), 3.0 / F.col("n")), 6).alias("confidence"))
@@ -178,16 +198,48 @@ def coupling(commits: DataFrame, most_files: int = 20, least: int = 3, score: fl
     return full.withColumn("score", F.col("n") / F.least("ca", "cb")).where(F.col("score") >= score).select("a", "b", "n", F.round("score", 6).alias("score"), "last_at")
 
 
+def plain_name(name: Column) -> Column:
+    """A name without case and separators."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+
+
+def contained(keys: DataFrame, symbols: DataFrame, same: float, part: float, least: int = 4) -> DataFrame:
+    """(key_id, symbol_id, confidence) within a project: symbols named like a key (`same`), or with
+    the key's name inside theirs (`part`, keys of `least` characters and more), names without case
+    and separators.
+
+    Exact, and no key is held against every symbol: of a symbol only the parts that are as long as
+    some key of its project are listed, and these meet the keys in an equi-join.
+    """
+    k = keys.select(F.col("id").alias("key_id"), "project", plain_name(F.col("name")).alias("text")).where("text <> ''")
+    s = symbols.select(F.col("id").alias("symbol_id"), "project", plain_name(F.col("name")).alias("whole")).where("whole <> ''")
+    lengths = k.where(F.length("text") >= least).select("project", F.length("text").alias("n")).distinct().groupBy("project").agg(F.collect_list("n").alias("lengths"))
+    parts = F.flatten(F.transform("lengths", lambda n: F.when(n < F.length("whole"), F.transform(F.sequence(F.lit(1), F.length("whole") - n + 1), lambda i: F.substring("whole", i, n))).otherwise(F.array().cast("array<string>"))))
+    inside = s.join(lengths, "project").select("symbol_id", "project", F.explode(F.array_distinct(parts)).alias("text"), F.lit(part).alias("confidence"))
+    every = s.select("symbol_id", "project", F.col("whole").alias("text"), F.lit(same).alias("confidence")).unionByName(inside)
+    return k.join(every, ["project", "text"]).select("key_id", "symbol_id", "confidence")
+
+
 def config_links(keys: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(key_id, symbol_id, confidence): settings and the symbols named after them, in one project:
-    the same words 0.85, the key's words in a row within the symbol's 0.75. Keys of one word link
-    by equality only. Joined on word runs, so no key is held against every symbol."""
-    k = keys.select("id", "project", F.array_join(camel_words(F.col("name")), " ").alias("run"), F.size(camel_words(F.col("name"))).alias("k")).where("k > 0")
-    s = evaluated(symbols, "w", camel_words(F.col("name"))).select("id", "project", "w").where(F.size("w") > 0)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.transform(F.sequence(i, F.size("w")), lambda j: F.array_join(F.slice("w", i, j - i + 1), " "))))
-    s = s.select(F.col("id").alias("symbol_id"), "project", F.size("w").alias("n"), F.explode(F.array_distinct(runs)).alias("run"))
-    hit = k.withColumnRenamed("id", "key_id").join(s, ["project", "run"])
-    return hit.where((F.col("k") == F.col("n")) | (F.col("k") > 1)).select("key_id", "symbol_id", F.when(F.col("k") == F.col("n"), 0.85).otherwise(0.75).alias("confidence"))
+    """Settings and the symbols named after them: `keys(id, project, name)`."""
+    return contained(keys, symbols, 0.85, 0.75)
+
+
+def dependency_links(dependencies: DataFrame, imports: DataFrame) -> DataFrame:
+    """Declared dependencies and the imports that use them: `dependencies(id, project, name)`,
+    `imports(id, project, name)`."""
+    return contained(dependencies, imports, 0.95, 0.80)
+
+
+def file_links(values: DataFrame, files: DataFrame) -> DataFrame:
+    """(value_id, file_id, confidence): values of settings, `values(id, project, value)`, that name
+    a file of the project, by its whole path or else by its last part."""
+    v = values.select(F.col("id").alias("value_id"), "project", graph_path(F.col("value")).alias("path")).where("path <> ''")
+    f = files.select(F.col("id").alias("file_id"), "project", graph_path(F.col("file_path")).alias("path")).where("path <> ''")
+    last = F.substring_index("path", "/", -1)
+    whole = v.join(f, ["project", "path"]).select("value_id", "file_id", F.lit(0.90).alias("confidence"))
+    base = v.select("value_id", "project", last.alias("base")).join(f.select("file_id", "project", last.alias("base")), ["project", "base"]).select("value_id", "file_id", F.lit(0.70).alias("confidence"))
+    return whole.unionByName(base).groupBy("value_id", "file_id").agg(F.max("confidence").alias("confidence"))
 
 
 def cross_project(g: PropertyGraph, sends: str = "EMITS", receives: str = "LISTENS_ON") -> DataFrame:
@@ -198,6 +250,12 @@ def cross_project(g: PropertyGraph, sends: str = "EMITS", receives: str = "LISTE
     return side(sends, "from_project").join(side(receives, "to_project"), "name").where("from_project <> to_project").groupBy("from_project", "to_project").agg(F.count_distinct("name").alias("n_channels"))
 
 
+def both_ways(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(source, target, direction) of links between projects, once each way."""
+    out = links.select(F.col(a).alias("source"), F.col(b).alias("target"), F.lit("forward").alias("direction"))
+    return out.unionByName(links.select(F.col(b).alias("source"), F.col(a).alias("target"), F.lit("backward").alias("direction")))
+
+
 def route_matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """(call_id, route_id): `calls(call_id, project, method, path)` to `routes(route_id, project,
     method, path)` of other projects by canonical path and method; a route for ANY method serves
@@ -211,14 +269,26 @@ def route_matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 def implements(methods: DataFrame) -> DataFrame:
     """(class_id, interface_id): classes whose methods include all those of an interface:
-    `methods(owner_id, kind, project, name)`, kind 'Class' or 'Interface'. Relational division: the
-    common names are counted and held against the interface's own number."""
-    m = methods.select("owner_id", "kind", "project", "name").distinct()
+    `methods(owner_id, kind, project, name)`, kind 'Class' or 'Interface'. Relational division: an
+    interface meets only the classes that have its rarest method, so a method that all have brings
+    nobody together; their common names are then held against the interface's own number."""
+    m = materialize(methods.select("owner_id", "kind", "project", "name").distinct(), "methods")
     c = m.where("kind = 'Class'").select(F.col("owner_id").alias("class_id"), "project", "name")
     i = m.where("kind = 'Interface'").select(F.col("owner_id").alias("interface_id"), "project", "name")
-    need = i.groupBy("interface_id").agg(F.count(F.lit(1)).alias("need"))
-    have = c.join(i, ["project", "name"]).groupBy("class_id", "interface_id").agg(F.count(F.lit(1)).alias("have"))
-    return have.join(need, "interface_id").where("have = need").select("class_id", "interface_id")
+    held = c.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n"))
+    rare = i.join(held, ["project", "name"], "left").groupBy("interface_id", "project").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "name")).alias("r"), F.count(F.lit(1)).alias("need"))
+    met = rare.where("r.n > 0").select("interface_id", "project", F.col("r.name").alias("name"), "need").join(c, ["project", "name"]).select("interface_id", "class_id", "need")
+    have = met.join(i.select("interface_id", "name"), "interface_id").join(c.select("class_id", "name"), ["class_id", "name"])
+    return have.groupBy("class_id", "interface_id", "need").agg(F.count(F.lit(1)).alias("have")).where("have = need").select("class_id", "interface_id")
+
+
+def relations(g: PropertyGraph, wanted: DataFrame, kind: str) -> DataFrame:
+    """(source_id, target_id, type) of relations told by name: `wanted(source_id, project, name)`
+    to the definition of that name, of several the one with the least id: INHERITS to classes and
+    interfaces, DECORATES to callables."""
+    labels = {"INHERITS": ("Class", "Interface"), "DECORATES": ("Function", "Method", "Class")}[kind]
+    one = g.nodes.where(F.col("label").isin(*labels)).groupBy("project", "name").agg(F.min("id").alias("target_id"))
+    return wanted.join(one, ["project", "name"]).where("source_id <> target_id").select("source_id", "target_id", F.lit(kind).alias("type")).distinct()
 
 
 def stale_derived(g: PropertyGraph, marker: str = "cross_file") -> DataFrame:

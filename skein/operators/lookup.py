@@ -15,17 +15,26 @@ CONTAINERS = ("Module", "Package", "File", "Folder")
 
 
 def listed(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Rows whose column is one of `values`; the list comes with the call and is sent as it is."""
+    """Rows whose column is one of `values`; the list comes with the call, and up to `FEW_VALUES`
+    it is broadcast."""
     kind = dict(df.dtypes)[column]
     wanted = df.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(values)], f"`{column}` {kind}")
-    return df.join(F.broadcast(wanted), column, "left_semi")
+    return df.join(_small(wanted, len(values)), column, "left_semi")
+
+
+#: Up to so many values a list is broadcast; beyond, it is shuffled.
+FEW_VALUES = 100_000
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW_VALUES else df
 
 
 def ids_by_qns(g: PropertyGraph, project: str, qns: Sequence[str]) -> DataFrame:
     """(qualified_name, id) for each asked name; 0 where there is none."""
     wanted = g.nodes.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(qns)], "qualified_name string")
     found = g.nodes.where(F.col("project") == project).select("qualified_name", "id")
-    return F.broadcast(wanted).join(found, "qualified_name", "left").groupBy("qualified_name").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"))
+    return _small(wanted, len(qns)).join(found, "qualified_name", "left").groupBy("qualified_name").agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"))
 
 
 def qn_suffix(g: PropertyGraph, suffix: str) -> DataFrame:
@@ -167,3 +176,16 @@ def after(df: DataFrame, size: int, **last) -> DataFrame:
     names = list(last)
     behind = F.struct(*names) > F.struct(*[F.lit(v).alias(n) for n, v in last.items()])
     return df.where(behind).orderBy(*names).limit(size)
+
+
+def call_sites_state(sites: DataFrame, limit: int) -> DataFrame:
+    """One row on a listing of call sites cut at `limit`: whether there are sites at all, whether
+    it is cut, how many it shows and how many there are."""
+    n = sites.agg(F.count(F.lit(1)).alias("n_sites"))
+    return n.select((F.col("n_sites") > 0).alias("available"), (F.col("n_sites") > limit).alias("truncated"), F.least("n_sites", F.lit(limit)).cast("bigint").alias("n_shown"), "n_sites")
+
+
+def architecture_documents(g: PropertyGraph, top: int = 20) -> DataFrame:
+    """The first files, by path, that by name or folder tell of the architecture."""
+    told = F.lower("file_path").rlike(r"(^|/)(readme|architecture|design)|(^|/)docs?/")
+    return g.nodes.where((F.col("label") == "File") & told).select("id", "file_path").orderBy("file_path", "id").limit(top)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.norm import community_key, domain_key, graph_path, in_scope, is_test_path, language, qn_package, truthy
 from skein.plans.graph import PropertyGraph, prop
+from skein.session import materialize
 
 
 def sides(g: PropertyGraph, *types: str) -> DataFrame:
@@ -92,6 +93,12 @@ def schema_keys(df: DataFrame, kind: str, keep: int = 50) -> DataFrame:
     return keys.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= keep).select("kind", "key", "n")
 
 
+def schema_samples(g: PropertyGraph, keep: int = 3) -> DataFrame:
+    """(label, rank, id, name): the first nodes of each label, by id, as examples."""
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+    return g.nodes.select("label", "id", "name").withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
 def patterns(g: PropertyGraph) -> DataFrame:
     """How often each (label)-[type]->(label) occurs."""
     lab = g.nodes.select("id", "label")
@@ -113,9 +120,15 @@ def languages(g: PropertyGraph, top: int = 10) -> DataFrame:
 
 
 def packages(g: PropertyGraph, top: int = 15) -> DataFrame:
-    """Packages by their definitions; where the graph has no Package nodes, a name's own part."""
-    p = g.nodes.where(~F.col("label").isin("File", "Folder", "Package")).select(qn_package(F.col("qualified_name")).alias("package")).where("package <> ''")
-    return p.groupBy("package").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "package").limit(top)
+    """Packages by their definitions: by Package nodes, whose folders hold the definitions, if the
+    graph has any; else by the definitions' own qualified names."""
+    nodes = g.nodes.where("label = 'Package' and name <> ''")
+    if nodes.isEmpty():
+        p = g.nodes.where(~F.col("label").isin("File", "Folder", "Package")).select(qn_package(F.col("qualified_name")).alias("package")).where("package <> ''")
+        return p.groupBy("package").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "package").limit(top)
+    held = g.edges.where(F.col("type").isin("CONTAINS", "DEFINES", "CONTAINS_PACKAGE")).groupBy(F.col("source_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    one = nodes.join(held, "id", "left").groupBy(F.col("name").alias("package")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return one.orderBy(F.desc("n"), "package").limit(top)
 
 
 def hotspots_calls(g: PropertyGraph, top: int = 10) -> DataFrame:
@@ -133,13 +146,17 @@ def boundaries(g: PropertyGraph, top: int = 10) -> DataFrame:
 
 
 def layers(g: PropertyGraph, top: int = 10) -> DataFrame:
-    """A layer per community that takes part in the `top` boundaries, from its calls in and out."""
+    """A layer per community that takes part in the `top` boundaries, from its calls in and out;
+    communities that hold routes are the api, and those of flagged entry points the entry, whatever
+    their calls."""
     b = boundaries(g, top)
     io = b.select(F.explode(F.array(F.struct(F.col("source").alias("c"), F.lit(0).cast("bigint").alias("i"), F.col("n_calls").alias("o")), F.struct(F.col("target").alias("c"), F.col("n_calls").alias("i"), F.lit(0).cast("bigint").alias("o")))).alias("x")).select("x.*")
     t = io.groupBy(F.col("c").alias("community")).agg(F.sum("i").alias("calls_in"), F.sum("o").alias("calls_out"))
+    flagged = g.nodes.where((F.col("label") == "Route") | truthy(prop("is_entry_point")) | truthy(prop("is_entry"))).select(community_key(F.col("file_path"), F.col("label")).alias("community"), (F.col("label") == "Route").alias("route"))
+    marks = flagged.groupBy("community").agg(F.max("route").alias("route"), F.max(~F.col("route")).alias("start"))
     i, o = F.col("calls_in"), F.col("calls_out")
-    layer = F.when((i > o) & (i > 3), "core").when((o == 0) & (i > 0), "leaf").when((i == 0) & (o > 0), "entry").otherwise("internal")
-    return t.withColumn("layer", layer)
+    layer = F.when(F.col("route"), "api").when(F.col("start"), "entry").when((i > o) & (i > 3), "core").when((o == 0) & (i > 0), "leaf").when((i == 0) & (o > 0), "entry").otherwise("internal")
+    return t.join(marks, "community", "left").select("community", "calls_in", "calls_out", layer.alias("layer"))
 
 
 def file_tree(g: PropertyGraph) -> DataFrame:
@@ -152,10 +169,19 @@ def file_tree(g: PropertyGraph) -> DataFrame:
 
 
 def entry_points(g: PropertyGraph, top: int = 20) -> DataFrame:
-    """Callables outside tests that nothing calls and that call something."""
-    d = g.degrees("CALLS").where("in_degree = 0 and out_degree > 0")
-    f = g.nodes.where(F.col("label").isin("Function", "Method") & ~is_test_path(F.col("file_path")))
-    return f.join(d, "id").select("id", "name", "out_degree").orderBy(F.desc("out_degree"), "id").limit(top)
+    """Where a program begins: callables outside tests that are flagged as entry points, first; then
+    those that nothing calls and that call something, by how many calls they make."""
+    d = g.degrees("CALLS")
+    f = g.nodes.where(F.col("label").isin("Function", "Method") & ~is_test_path(F.col("file_path"))).join(d, "id", "left")
+    f = f.withColumn("flagged", truthy(prop("is_entry_point")) | truthy(prop("is_entry"))).where("flagged or (in_degree = 0 and out_degree > 0)")
+    return f.select("id", "name", "flagged", F.coalesce("out_degree", F.lit(0)).alias("out_degree")).orderBy(F.desc("flagged"), F.desc("out_degree"), "id").limit(top)
+
+
+def routes(g: PropertyGraph, top: int = 20) -> DataFrame:
+    """Routes outside tests with method and path, and how many handle or call them."""
+    r = g.nodes.where((F.col("label") == "Route") & ~is_test_path(F.col("file_path")))
+    n = g.edges.where(F.col("type").isin("HANDLES", "HTTP_CALLS", "ASYNC_CALLS")).groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("n_uses"))
+    return r.join(n, "id", "left").select("id", F.upper(prop("method")).alias("method"), F.coalesce(prop("path"), F.col("name")).alias("path"), F.coalesce("n_uses", F.lit(0)).alias("n_uses")).orderBy("path", "method", "id").limit(top)
 
 
 def direct_callers(sites: DataFrame) -> DataFrame:
@@ -163,6 +189,17 @@ def direct_callers(sites: DataFrame) -> DataFrame:
     return sites.groupBy("target_id", "owner_qn", "file_path").agg(F.count(F.lit(1)).alias("n_calls"), F.min("line").alias("first_line"))
 
 
+def callers_by_name(g: PropertyGraph, sites: DataFrame) -> DataFrame:
+    """Per project and name of a callee: how many definitions bear it, how many owners and sites
+    call any of them, and why a count by name is not certain: 'several_definitions', 'anonymous'
+    (a site without an owner), else null."""
+    named = g.nodes.where(F.col("label").isin("Function", "Method")).select(F.col("id").alias("target_id"), "project", "name")
+    n = named.groupBy("project", "name").agg(F.count(F.lit(1)).alias("n_definitions"))
+    called = direct_callers(sites).join(named, "target_id").groupBy("project", "name").agg(F.sum("n_calls").alias("n_sites"), F.count_distinct("owner_qn", "file_path").alias("n_callers"), F.max(F.col("owner_qn").isNull()).alias("open"))
+    reason = F.when(F.col("n_definitions") > 1, "several_definitions").when(F.col("open"), "anonymous")
+    return called.join(n, ["project", "name"]).select("project", "name", "n_definitions", "n_callers", "n_sites", reason.alias("reason"))
+
+
 def dead_code(g: PropertyGraph, top: int = 50) -> DataFrame:
     """Callables without a caller: tests last, exported ones last, then by id."""
     called = g.calls.select(F.col("target_id").alias("id")).distinct()
@@ -177,18 +214,40 @@ def top_ranked(g: PropertyGraph, label: str, top: int = 50) -> DataFrame:
 
 
 def label_quota(g: PropertyGraph, size: int) -> DataFrame:
-    """`size` nodes shared among labels by water-filling: a label gets an equal share, what small
-    labels leave goes to the larger ones; within a label by degree. The label counts are a handful
-    of rows; the share is found from them as a running sum."""
+    """(place, label, id, degree, why): `size` nodes that stand for the graph, of all labels.
+
+    Labels share `size` by water-filling: each gets an equal share, what small labels leave goes to
+    the larger ones, an odd rest to the largest; within a label by degree. The labels are then put
+    in turn, larger ones first. A twentieth of the places, 1 to 50, goes to callables that are
+    dead, each in the place of the last of its label; and the first file of each domain that has
+    nobody yet takes the place of the last node of a domain that has several. `why` is 'degree',
+    'dead' or 'domain'. What is chosen is `size` rows, a setting; only they are looked at together.
+    """
     counts = g.nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     by = Window.orderBy("n", "label")  # over label counts only
     c = counts.withColumn("pos", F.row_number().over(by)).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("below", F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    level = c.where(F.col("below") + F.col("n") * (F.col("k") - F.col("pos") + 1) >= size).orderBy("pos").limit(1).select(((F.lit(size) - F.col("below")) / (F.col("k") - F.col("pos") + 1)).cast("int").alias("level"))
-    quota = c.join(F.broadcast(level), F.lit(True), "left").select("label", F.least("n", F.coalesce("level", F.col("n"))).alias("quota"))
-    d = g.degrees().select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
-    n = g.nodes.select("id", "label").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    left, many = F.lit(size) - F.col("below"), F.col("k") - F.col("pos") + 1
+    level = c.where(F.col("below") + F.col("n") * many >= size).orderBy("pos").limit(1).select(F.floor(left / many).cast("int").alias("level"), F.pmod(left, many).cast("int").alias("odd"), F.col("pos").alias("from"))
+    largest = F.row_number().over(Window.orderBy(F.desc("n"), "label"))
+    q = c.withColumn("large", largest).join(F.broadcast(level), F.lit(True), "left")
+    quota = q.select("label", "large", F.when(F.col("level").isNull() | (F.col("pos") < F.col("from")), F.col("n")).otherwise(F.col("level") + (F.col("large") <= F.col("odd")).cast("int")).alias("quota"))
+    d = g.degrees().select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"), "in_degree")
+    calls = g.degrees("CALLS").select("id", F.col("in_degree").alias("calls_in"))
+    n = g.nodes.select("id", "label", "file_path", domain_key(F.col("file_path"), F.col("label")).alias("domain"), (truthy(prop("is_exported")) | truthy(prop("exported")) | truthy(prop("is_entry_point"))).alias("open")).join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("degree"), "id"))
-    return n.withColumn("rank", rank).where(F.col("rank") <= size).join(F.broadcast(quota), "label").where("rank <= quota").select("label", "rank", "id", "degree")
+    picked = n.withColumn("rank", rank).where(F.col("rank") <= size).join(F.broadcast(quota), "label").where("rank <= quota")
+    chosen = materialize(picked.withColumn("place", F.row_number().over(Window.orderBy("rank", "large"))).select("place", "label", "domain", "id", "degree", F.lit("degree").alias("why")), "chosen")
+    reserve = min(50, max(1, size // 20))
+    dead = n.where(F.col("label").isin("Function", "Method") & ~F.col("open") & ~is_test_path(F.col("file_path"))).join(calls.where("calls_in > 0"), "id", "left_anti")
+    dead = dead.join(chosen.select("id"), "id", "left_anti").orderBy("id").limit(reserve).withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("id")))
+    last = chosen.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("place"))))
+    swap = last.select("label", "r", "place").join(dead.select("label", "r", "domain", "id", "degree"), ["label", "r"]).select("place", "label", "domain", "id", "degree", F.lit("dead").alias("why"))
+    chosen = materialize(chosen.join(swap.select("place"), "place", "left_anti").unionByName(swap), "chosen")
+    first = n.where("label = 'File'").groupBy("domain").agg(F.min_by(F.struct("label", "domain", "id", "degree"), "id").alias("f")).select("f.*")
+    missing = first.join(chosen.select("domain").distinct(), "domain", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("domain")))
+    spare = chosen.where("why = 'degree'").withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("place"))).where("k > 1").withColumn("r", F.row_number().over(Window.orderBy(F.desc("place"))))
+    swap = spare.select("r", "place").join(missing, "r").select("place", "label", "domain", "id", "degree", F.lit("domain").alias("why"))
+    return chosen.join(swap.select("place"), "place", "left_anti").unionByName(swap).select("place", "label", "id", "degree", "why")
 
 
 def edge_pages(g: PropertyGraph, size: int) -> DataFrame:

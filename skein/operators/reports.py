@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.norm import hop_risk, is_test_path, risk_score, truthy
 from skein.plans.graph import PropertyGraph, prop
+from skein.session import materialize
 
 
 def note_links(notes: DataFrame) -> DataFrame:
@@ -176,3 +177,77 @@ def node_status(g: PropertyGraph) -> DataFrame:
 
 def impact_summary(hops: DataFrame) -> DataFrame:
     return hops.groupBy("node").agg(F.min("hop").alias("hop")).groupBy(hop_risk(F.col("hop")).alias("risk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def snippet(g: PropertyGraph, wanted: str, project: str | None = None, neighbors: int = 0) -> DataFrame:
+    """(how, id, qualified_name, label, file_path, start_line, end_line, callers, callees) of a
+    symbol: by its qualified name, else by its ending behind a dot or colon, else by its name; the
+    first way that finds any decides. One row is the symbol; of several, definitions go before
+    files, callables before types and longer bodies before shorter ones, and if that leaves one,
+    it is the symbol; else `how` is 'suggestion'. With `neighbors` up to so many names of callers
+    and callees stand beside it. No row means that nothing bears the name."""
+    n = g.nodes if project is None else g.nodes.where(F.col("project") == project)
+    qn = F.col("qualified_name")
+    way = F.when(qn == wanted, 0).when(qn.endswith("." + wanted) | qn.endswith("::" + wanted), 1).when(F.col("name") == wanted, 2)
+    found = n.withColumn("way", way).where("way is not null")
+    kind = F.when(F.col("label").isin("Function", "Method"), 0).when(F.col("label").isin("File", "Module", "Folder", "Package"), 2).otherwise(1)
+    span = F.coalesce(F.col("end_line") - F.col("start_line"), F.lit(-1))
+    found = materialize(found.select("way", kind.alias("kind"), span.alias("span"), "id", "qualified_name", "label", "file_path", "start_line", "end_line"), "found")
+    best = found.agg(F.min("way").alias("way"))
+    here = found.join(F.broadcast(best), "way")
+    top = here.agg(F.min(F.struct("kind", (-F.col("span")).alias("span"))).alias("t"), F.count(F.lit(1)).alias("all"))
+    tied = here.join(F.broadcast(top), (F.col("kind") == F.col("t.kind")) & (F.col("span") == -F.col("t.span")))
+    n_tied = tied.agg(F.count(F.lit(1)).alias("tied"))
+    ways = F.element_at(F.array(*[F.lit(x) for x in ("exact", "suffix", "name")]), F.col("way") + 1)
+    cols = ["id", "qualified_name", "label", "file_path", "start_line", "end_line"]
+    one = tied.join(F.broadcast(n_tied), F.lit(True)).where("tied = 1").select(ways.alias("how"), *cols)
+    many = here.join(F.broadcast(n_tied), F.lit(True)).where("tied > 1").select(F.lit("suggestion").alias("how"), *cols)
+    out = one.unionByName(many)
+    if not neighbors:
+        return out.select("*", F.lit(None).cast("array<string>").alias("callers"), F.lit(None).cast("array<string>").alias("callees"))
+    names = g.nodes.select(F.col("id").alias("other"), "name")
+    ids = out.where("how <> 'suggestion'").select("id")
+    for column, at, other in (("callers", "target_id", "source_id"), ("callees", "source_id", "target_id")):
+        near = g.calls.select(F.col(at).alias("id"), F.col(other).alias("other")).join(ids, "id", "left_semi").join(names, "other").select("id", "name").distinct()
+        few = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("name"))).where(F.col("r") <= neighbors)
+        out = out.join(few.groupBy("id").agg(F.sort_array(F.collect_list("name")).alias(column)), "id", "left")
+    return out.select("how", *cols, "callers", "callees")
+
+
+#: The labels among which a module's name is sought, stage by stage (fixed values).
+MODULE_STAGES = (("Module",), ("File",), ("Class", "Interface"))
+
+
+def find_module(g: PropertyGraph, project: str, wanted: str, suggestions: int = 10) -> DataFrame:
+    """(how, stage, id, name, label, file_path) of the module that `wanted` means: a part of name,
+    qualified name or path, in any letter case, sought stage by stage; within the first stage that
+    finds any an exact match goes before parts. One row is it ('found'), several are 'ambiguous',
+    and if no stage finds any, modules that hold the first half of the text are 'suggestion's."""
+    low = wanted.replace("\\", "/").removeprefix("./").lower()
+    stage = None
+    for i, labels in enumerate(MODULE_STAGES):
+        stage = F.when(F.col("label").isin(*labels), i) if stage is None else stage.when(F.col("label").isin(*labels), i)
+    form = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", "/")), r"^\./", "")
+    texts = [form(F.col(c)) for c in ("name", "qualified_name", "file_path")]
+    any_of = lambda test: reduce(lambda a, b: a | b, [test(t) for t in texts])
+    n = g.nodes.where(F.col("project") == project).withColumn("stage", stage).where("stage is not null")
+    hit = n.where(any_of(lambda t: t.contains(low))).withColumn("exact", any_of(lambda t: t == low))
+    hit = materialize(hit.select("stage", "exact", "id", "name", "label", "file_path"), "modules")
+    first = hit.agg(F.min(F.struct("stage", (~F.col("exact")).alias("part"))).alias("f"))
+    best = hit.join(F.broadcast(first), (F.col("stage") == F.col("f.stage")) & (F.col("exact") != F.col("f.part")))
+    count = best.agg(F.count(F.lit(1)).alias("k"))
+    out = best.join(F.broadcast(count), F.lit(True)).select(F.when(F.col("k") == 1, "found").otherwise("ambiguous").alias("how"), "stage", "id", "name", "label", "file_path")
+    half = low[: max(3, len(low) // 2)]
+    near = n.where(any_of(lambda t: t.contains(half))).join(F.broadcast(count), F.lit(True)).where("k = 0").orderBy("id").limit(suggestions)
+    return out.unionByName(near.select(F.lit("suggestion").alias("how"), "stage", "id", "name", "label", "file_path"))
+
+
+def recommendations(f: DataFrame, notes: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(project, advice, n) of what a project's reader should do next: 'reindex' where the index is
+    not fresh (`fresh(project, label)`), 'document' central nodes without a note, 'fix' active
+    bugs, 'plan' active refactor plans, 'start_notes' where nothing is noted yet. n is how many."""
+    central = f.where("degree >= 20 and n_notes = 0").groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit("document").alias("advice"), "n")
+    active = lambda kind, advice: notes.where((F.col("status") == "active") & (F.col("label") == kind)).groupBy("project").agg(F.count(F.lit(1)).alias("n")).select("project", F.lit(advice).alias("advice"), "n")
+    none = f.select("project").distinct().join(notes.select("project").distinct(), "project", "left_anti").select("project", F.lit("start_notes").alias("advice"), F.lit(1).cast("bigint").alias("n"))
+    old = fresh.where(~F.col("label").isin("FRESH", "RECENT")).select("project", F.lit("reindex").alias("advice"), F.lit(1).cast("bigint").alias("n"))
+    return reduce(DataFrame.unionByName, [central, active("BugNote", "fix"), active("RefactorPlan", "plan"), none, old])

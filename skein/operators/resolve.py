@@ -77,14 +77,6 @@ def route_flows(calls: DataFrame, handlers: DataFrame) -> DataFrame:
     return c.join(h, "path").where((F.col("m") == F.col("hm")) | (F.col("hm") == "ANY")).select("caller_id", "handler_id").distinct()
 
 
-def guarded(df: DataFrame, ceiling: int = 100_000) -> DataFrame:
-    """`df`, or an error if it has `ceiling` rows or more: for readers that must not be flooded.
-    Only ceiling rows are looked at."""
-    if df.limit(ceiling).count() >= ceiling:
-        raise ValueError(f"the result has {ceiling} rows or more; narrow the query or set a LIMIT")
-    return df
-
-
 def usages(sites: DataFrame, defs: DataFrame) -> DataFrame:
     """(site_id, type, target_id): what code uses, throws, reads or writes, by name within its file
     or unique in its project: `sites(site_id, project, file_path, name, type)`."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,11 +16,25 @@ from skein.session import evaluated, materialize
 
 #: Short forms in names and what they stand for (fixed values).
 ABBREVIATIONS = {
-    "err": "error", "exc": "exception", "ctx": "context", "cfg": "config", "conf": "config", "req": "request", "res": "response", "resp": "response",
-    "msg": "message", "db": "database", "conn": "connection", "auth": "authentication", "btn": "button", "str": "string", "num": "number", "idx": "index",
-    "len": "length", "buf": "buffer", "ptr": "pointer", "src": "source", "dst": "destination", "dir": "directory", "tmp": "temporary", "init": "initialize",
-    "fn": "function", "func": "function", "cb": "callback", "param": "parameter", "arg": "argument", "val": "value", "var": "variable", "env": "environment",
-    "util": "utility", "mgr": "manager", "svc": "service", "repo": "repository", "impl": "implementation", "spec": "specification", "async": "asynchronous",
+    "err": "error", "exc": "exception", "ex": "exception", "ctx": "context", "cfg": "config", "conf": "configuration", "env": "environment",
+    "opt": "option", "opts": "options", "req": "request", "res": "response", "resp": "response", "rsp": "response", "hdr": "header",
+    "hdrs": "headers", "str": "string", "fmt": "format", "msg": "message", "txt": "text", "lbl": "label", "desc": "description", "buf": "buffer",
+    "arr": "array", "vec": "vector", "lst": "list", "dict": "dictionary", "tbl": "table", "stk": "stack", "que": "queue", "fn": "function",
+    "func": "function", "cb": "callback", "proc": "procedure", "ctor": "constructor", "dtor": "destructor", "db": "database", "col": "column",
+    "stmt": "statement", "txn": "transaction", "trx": "transaction", "repo": "repository", "auth": "authentication", "authz": "authorization",
+    "perm": "permission", "cred": "credential", "tok": "token", "pwd": "password", "val": "value", "num": "number", "int": "integer",
+    "bool": "boolean", "flt": "float", "dbl": "double", "idx": "index", "iter": "iterator", "elem": "element", "cnt": "count", "len": "length",
+    "sz": "size", "pos": "position", "off": "offset", "cap": "capacity", "init": "initialize", "deinit": "deinitialize", "alloc": "allocate",
+    "dealloc": "deallocate", "del": "delete", "rm": "remove", "impl": "implementation", "iface": "interface", "abs": "abstract",
+    "decl": "declaration", "param": "parameter", "arg": "argument", "attr": "attribute", "prop": "property", "ret": "return", "src": "source",
+    "dst": "destination", "tgt": "target", "orig": "original", "prev": "previous", "cur": "current", "tmp": "temporary", "temp": "temporary",
+    "conn": "connection", "sess": "session", "sock": "socket", "addr": "address", "url": "uniform", "srv": "server", "cli": "client",
+    "svc": "service", "ep": "endpoint", "mgr": "manager", "ctrl": "controller", "hdlr": "handler", "sched": "scheduler", "disp": "dispatcher",
+    "reg": "registry", "chan": "channel", "sem": "semaphore", "mtx": "mutex", "wg": "waitgroup", "sig": "signal", "evt": "event",
+    "sub": "subscriber", "pub": "publisher", "spec": "specification", "mock": "mock", "stub": "stub", "assert": "assertion", "log": "logging",
+    "lvl": "level", "dbg": "debug", "wrn": "warning", "inf": "info", "ts": "timestamp", "dur": "duration", "ttl": "timetolive", "ver": "version",
+    "ns": "namespace", "pkg": "package", "mod": "module", "lib": "library", "dep": "dependency", "ref": "reference", "ptr": "pointer",
+    "obj": "object", "doc": "document", "cmd": "command", "ops": "operations", "util": "utility", "hlp": "helper", "ext": "extension",
 }
 
 
@@ -74,7 +89,9 @@ def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
 
     Exact, by prefix filtering: items are put in order from rare to frequent, and sets that are
     similar enough must share one of the first `size - ceil(threshold * size) + 1`; only such
-    pairs, of sizes that can agree, are compared. No candidate is dropped.
+    pairs, of sizes that can agree, are compared. Sets meet within classes of size whose
+    neighbours alone can agree, so an item that very many sets share is spread over them. No
+    candidate is dropped.
     """
     items = classes.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
     freq = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
@@ -86,8 +103,12 @@ def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
     prefix = ranked.where(F.col("r") + F.coalesce("own", F.lit(0)) <= keep).select("item", "class_id", "n")
     a = prefix.select("item", F.col("class_id").alias("a"), F.col("n").alias("na"))
     b = prefix.select("item", F.col("class_id").alias("b"), F.col("n").alias("nb"))
+    step = -math.log(max(threshold, 1e-3)) or 1e-6
+    size_class = lambda n: F.floor(F.log(F.col(n).cast("double")) / step + 1e-9).cast("bigint")
+    a = a.withColumn("size", size_class("na"))
+    b = b.withColumn("size", F.explode(F.array(size_class("nb") - 1, size_class("nb"), size_class("nb") + 1)))
     fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    pairs = a.join(b, "item").where(fits).select("a", "b").distinct()
+    pairs = a.join(b, ["item", "size"]).where(fits).select("a", "b").distinct()
     full = pairs.join(classes.select(F.col("class_id").alias("a"), F.col("items").alias("x")), "a").join(classes.select(F.col("class_id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return full.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-12)
@@ -152,6 +173,20 @@ def random_index(docs: DataFrame, window: int = 5, dims: int = 768) -> DataFrame
     return summed.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("token"))))
 
 
+def blended_index(docs: DataFrame, window: int = 5, dims: int = 768, alpha: float = 0.3, beta: float = 0.7) -> DataFrame:
+    """(token, position, x): `random_index` in two passes. The second adds up the first pass's
+    vectors of a token's neighbours, so tokens with like company come near each other; the result
+    is `alpha` of the first and `beta` of the second, at unit length."""
+    first = materialize(random_index(docs, window, dims), "index")
+    at = docs.select(F.posexplode("tokens").alias("i", "token"), "tokens")
+    near = at.select("token", F.explode(F.array_except(F.sequence(F.greatest(F.lit(0), F.col("i") - window), F.least(F.size("tokens") - 1, F.col("i") + window)), F.array("i"))).alias("j"), "tokens")
+    pairs = near.select("token", F.col("tokens")[F.col("j")].alias("context")).groupBy("token", "context").agg(F.count(F.lit(1)).alias("n"))
+    company = pairs.join(first.withColumnRenamed("token", "context"), "context").groupBy("token", "position").agg(F.sum(F.col("n") * F.col("x")).alias("y"))
+    unit = company.withColumn("y", F.col("y") / F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("token"))))
+    both = first.join(unit, ["token", "position"], "full_outer").select("token", "position", (F.lit(alpha) * F.coalesce("x", F.lit(0.0)) + F.lit(beta) * F.coalesce("y", F.lit(0.0))).alias("x"))
+    return both.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("token")))).where("x <> 0")
+
+
 def diffuse(vectors: DataFrame, links: DataFrame, alpha: float = 0.3) -> DataFrame:
     """(id, v): (1 - alpha) * own vector + alpha * mean of the neighbours', at unit length; a node
     without neighbours keeps its direction. `vectors(id, v)`, `links(src, dst)`."""
@@ -206,14 +241,38 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def keyword_search(rows: DataFrame, keywords: Sequence[Sequence[float]], top: int = 16) -> DataFrame:
-    """Rows by the least cosine to any of at most 32 keyword vectors: a row must fit all of them.
-    One pass with built-in expressions; only the top is sorted out."""
+#: How many keywords one question may have.
+MOST_KEYWORDS = 32
+
+
+def keyword_search(rows: DataFrame, keywords: Sequence[Sequence[float]], top: int = 16, labels: Sequence[str] | None = None) -> DataFrame:
+    """Rows of `rows(id, v)` by the least cosine to any of the keyword vectors, at most
+    `MOST_KEYWORDS`, more being an error: a row must fit all of them. `labels` asks for rows of
+    some `label` only. One pass with built-in expressions; only the top is sorted out."""
+    if len(keywords) > MOST_KEYWORDS:
+        raise ValueError(f"{len(keywords)} keywords; at most {MOST_KEYWORDS} can be asked for at once")
+    if labels is not None:
+        rows = rows.where(F.col("label").isin(*labels))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     v = F.transform("v", lambda x: x.cast("double"))
     sims = []
-    for key in list(keywords)[:32]:
+    for key in keywords:
         q = F.array(*[F.lit(float(x)) for x in key])
         dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         sims.append(dot / (norm(v) * float(np.linalg.norm(np.array(key, np.float64)))))
+    if not sims:
+        return rows.select("id", F.lit(None).cast("double").alias("score")).where(F.lit(False))
     return rows.select("id", F.round(F.array_min(F.array(*sims)), 6).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+
+
+def quantized(v: Column) -> Column:
+    """A unit vector as bytes: each part times 127, rounded."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: F.round(F.when(norm > 0, x.cast("double") / norm * 127).otherwise(0.0)).cast("tinyint"))
+
+
+def cosine_i8(a: Column, b: Column) -> Column:
+    """The cosine of two vectors of bytes; 0 where one has no length or the dimensions differ."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("bigint") * q.cast("bigint")), F.lit(0).cast("bigint"), lambda s, t: s + t)
+    square = dot(a, a).cast("double") * dot(b, b).cast("double")
+    return F.when((F.size(a) == F.size(b)) & (square > 0), dot(a, b) / F.sqrt(square)).otherwise(0.0)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import camel_words, graph_path
@@ -95,6 +96,18 @@ def search_notes(notes: DataFrame, text: str, top: int = 50) -> DataFrame:
     return hits.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
+def interleaved(hits: dict[str, DataFrame], top: int) -> DataFrame:
+    """(source, id, r, total): the hits of each source, `id` in order, in turn: the first of each,
+    then the second, up to `top` rows. Only `top` rows a source are ranked; `total` counts all."""
+    parts = []
+    for name, df in hits.items():
+        ids = df.select("id").distinct()
+        total = ids.agg(F.count(F.lit(1)).alias("total"))
+        few = ids.orderBy("id").limit(top).withColumn("r", F.row_number().over(Window.orderBy("id")))
+        parts.append(few.join(F.broadcast(total), F.lit(True)).select(F.lit(name).alias("source"), "id", "r", "total"))
+    return reduce(DataFrame.unionByName, parts).orderBy("r", "source", "id").limit(top)
+
+
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """The lines of each text with their numbers from 1."""
     return docs.select("*", F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("line_no", F.col("n") + 1).drop("n", text)
@@ -110,12 +123,23 @@ def grep(docs: DataFrame, pattern: str, literal: bool = False) -> DataFrame:
 
 
 def literal_hits(docs: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """Every line and column at which one of a few literal texts begins first in its line."""
-    at = F.filter(F.array(*[F.struct(F.lit(w).alias("literal"), F.instr("line", F.lit(w)).alias("column")) for w in wanted]), lambda x: x["column"] > 0)
-    any_of = F.lit(False)
-    for w in wanted:
-        any_of = any_of | F.col("text").contains(w)
-    found = lines(docs.where(any_of)).withColumn("hit", F.explode(at))
+    """Every line and column, from 1, at which one of a few literal texts stands, the hits of one
+    text in a line not overlapping. Empty texts stand nowhere."""
+    wanted = [w for w in dict.fromkeys(wanted) if w]
+    if not wanted:
+        return docs.select("doc_id", F.lit(0).alias("line_no"), F.lit("").alias("literal"), F.lit(0).alias("column")).where(F.lit(False))
+
+    def hits(w: str) -> Column:
+        parts = F.split("line", re.escape(w).replace(r"\ ", " "), -1)
+        ends = F.aggregate(
+            F.slice(parts, 1, F.size(parts) - 1), F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("n")),
+            lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["n"] + F.length(p) + 1)).alias("at"), (acc["n"] + F.length(p) + len(w)).alias("n")),
+        )["at"]
+        return F.transform(ends, lambda c: F.struct(F.lit(w).alias("literal"), c.alias("column")))
+
+    any_of = reduce(lambda a, b: a | b, [F.col("text").contains(w) for w in wanted])
+    here = reduce(lambda a, b: a | b, [F.col("line").contains(w) for w in wanted])
+    found = lines(docs.where(any_of)).where(here).withColumn("hit", F.explode(F.concat(*[hits(w) for w in wanted])))
     return found.select("doc_id", "line_no", "hit.literal", "hit.column")
 
 
@@ -130,25 +154,26 @@ def score_hits(g: PropertyGraph, hits: DataFrame) -> DataFrame:
     return n.select("id", "name", (F.coalesce("in_degree", F.lit(0)) + bonus - malus).alias("score"))
 
 
-_LINK = re.compile(r"\[\[([^\]|\[]+)(?:\|([^\]]+))?\]\]")
+#: A link and its other name, as notes write them, and what the heading above a link makes of it,
+#: in order: the first row of which a word stands in the heading (fixed values).
+LINK = r"\[\[([^\]|\[]+)(?:\|([^\]]+))?\]\]"
+HEADING_WORDS = [
+    (("décision", "decision"), "DECIDES"),
+    (("bug",), "AFFECTS"),
+    (("à faire", "todo", "refactor"), "TODO_FOR"),
+    (("explication", "explique", "contexte"), "EXPLAINS"),
+]
+#: What a target is by its form, in order (fixed values).
+TARGET_FORMS = [(r"[0-9]+", "code"), (r".*[/\\].*", "path"), (r"[a-z0-9][a-z0-9-]*", "human")]
+_LINK = re.compile(LINK)
 
 
 def _edge_type(heading: str) -> str:
-    if "décision" in heading or "decision" in heading:
-        return "DECIDES"
-    if "bug" in heading:
-        return "AFFECTS"
-    if any(w in heading for w in ("à faire", "todo", "refactor")):
-        return "TODO_FOR"
-    return "EXPLAINS" if any(w in heading for w in ("explication", "explique", "contexte")) else "MENTIONS"
+    return next((kind for words_, kind in HEADING_WORDS if any(w in heading for w in words_)), "MENTIONS")
 
 
 def link_kind(target: str) -> str:
-    if target.isascii() and target.isdigit():
-        return "code"
-    if "/" in target or "\\" in target:
-        return "path"
-    return "human" if re.fullmatch(r"[a-z0-9][a-z0-9-]*", target) else "unknown"
+    return next((kind for form, kind in TARGET_FORMS if re.fullmatch(form, target, re.S)), "unknown")
 
 
 def wikilinks_of(markdown: str | None) -> list[tuple[str, str | None, str, str]]:
@@ -199,6 +224,19 @@ def doc_sections(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", F.regexp_extract("part", r"^## (\w+)", 1).alias("section"), F.btrim(body, F.lit(" \n")).alias("body"))
 
 
+def section_problems(sections: DataFrame) -> DataFrame:
+    """(id, problem): what keeps (id, section, body) rows from being a decision document: an
+    'unknown' section, a section that is 'empty', or one that is 'repeated'."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("id", "section"))
+    problem = F.when(~F.coalesce(F.col("section").isin(*SECTIONS), F.lit(False)), "unknown").when(F.coalesce(F.trim("body"), F.lit("")) == "", "empty").when(n > 1, "repeated")
+    return sections.withColumn("problem", problem).where("problem is not null").select("id", "section", "problem").distinct()
+
+
+def merge_sections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, section, body): the sections of `new` over those of `old`; others are kept."""
+    return old.join(new.select("id", "section"), ["id", "section"], "left_anti").select("id", "section", "body").unionByName(new.select("id", "section", "body"))
+
+
 def render_sections(sections: DataFrame) -> DataFrame:
     """Documents put together again from (id, section, body), sections in their order."""
     order = F.create_map(*[x for i, s in enumerate(SECTIONS) for x in (F.lit(s), F.lit(i))])[F.col("section")]

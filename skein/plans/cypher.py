@@ -389,9 +389,10 @@ def _find(e: Any, kind: type, test=lambda _: True) -> list:
     return out
 
 
-def query(graph: PropertyGraph, text: str, compat: bool = False) -> DataFrame:
+def query(graph: PropertyGraph, text: str, compat: bool = False, ceiling: int | None = None) -> DataFrame:
     """The result of a graph query. `compat` renders every cell as text, with '' for null and
-    whole numbers without a fraction."""
+    whole numbers without a fraction. With a `ceiling` a result of that many rows or more is an
+    error: for readers that must not be flooded."""
     branches, every = S.parse(text)
     parts = [Planner(graph).run(b) for b in branches]
     out = parts[0]
@@ -403,7 +404,14 @@ def query(graph: PropertyGraph, text: str, compat: bool = False) -> DataFrame:
         out = out.distinct()
     if compat:
         out = out.select(*[_text(out[f"`{c}`"], t).alias(c) for c, t in out.dtypes])
-    return out
+    return out if ceiling is None else guarded(out, ceiling)
+
+
+def guarded(df: DataFrame, ceiling: int = 100_000) -> DataFrame:
+    """`df`, or an error if it has `ceiling` rows or more. Only ceiling rows are looked at."""
+    if df.limit(ceiling).count() >= ceiling:
+        raise S.QueryError(f"the result has {ceiling} rows or more; narrow the query or set a LIMIT")
+    return df
 
 
 def _text(c: Column, kind: str) -> Column:

@@ -60,14 +60,14 @@ TABLE: dict[str, tuple[str, str]] = {
         f"select f.id id, f.name shown, case when {CX} > 15 then 'high' when {CX} > 5 then 'mid' else 'low' end as level from n f where label = 'Function'",
     ),
     "proj_star": (
-        "MATCH (c:Class)-[r:INHERITS]->(d:Class) RETURN *",
+        "MATCH (c:Function)-[r:INHERITS]->(d:Function) RETURN *",
         """select c.name c_name, c.qualified_name c_qualified_name, c.label c_label, c.file_path c_file_path, e.type r, d.name d_name, d.qualified_name d_qualified_name, d.label d_label, d.file_path d_file_path
-        from e join n c on c.id = e.source_id join n d on d.id = e.target_id where e.type = 'INHERITS' and c.label = 'Class' and d.label = 'Class'""",
+        from e join n c on c.id = e.source_id join n d on d.id = e.target_id where e.type = 'INHERITS' and c.label = 'Function' and d.label = 'Function'""",
     ),
     "proj_default": ("MATCH (i:Interface)", 'select name i_name, qualified_name i_qualified_name, label i_label from n where label = \'Interface\''),
     "proj_with": (
-        "MATCH (c:Class)-[:DEFINES]->(m) WITH c, count(m) AS members WHERE members > 1 RETURN c.name AS name, c.file_path AS path, members",
-        "select c.name name, c.file_path path, count(*) members from e join n c on c.id = e.source_id join n m on m.id = e.target_id where e.type = 'DEFINES' and c.label = 'Class' group by c.id, c.name, c.file_path having count(*) > 1",
+        "MATCH (c:File)-[:DEFINES]->(m) WITH c, count(m) AS members WHERE members > 1 RETURN c.name AS name, c.file_path AS path, members",
+        "select c.name name, c.file_path path, count(*) members from e join n c on c.id = e.source_id join n m on m.id = e.target_id where e.type = 'DEFINES' and c.label = 'File' group by c.id, c.name, c.file_path having count(*) > 1",
     ),
     "proj_property": (
         "MATCH (f:Function) WHERE f.in_degree > 3 RETURN f.id AS id, f.in_degree AS fan_in, f.out_degree AS fan_out, f.is_exported AS exported",
@@ -110,8 +110,8 @@ TABLE: dict[str, tuple[str, str]] = {
         "select a.id a, b.id b, c.id c from e join n a on a.id = source_id and a.label = 'File' join n b on b.id = target_id and b.label = 'Function' join calls k on k.source_id = b.id join n c on c.id = k.target_id and c.label = 'Method' where e.type = 'DEFINES'",
     ),
     "join_reverse": (
-        "MATCH (b:Method {name: 'load'}) MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS a, b.id AS b",
-        "select a.id a, b.id b from calls join n a on a.id = source_id and a.label = 'Function' join n b on b.id = target_id and b.label = 'Method' and b.name = 'load'",
+        "MATCH (b:Method {name: '^(load|save|read).*'}) MATCH (a:Function)-[:CALLS]->(b) RETURN a.id AS a, b.id AS b",
+        "select a.id a, b.id b from calls join n a on a.id = source_id and a.label = 'Function' join n b on b.id = target_id and b.label = 'Method' and regexp_matches(b.name, '^(load|save|read).*')",
     ),
     "join_cross": ("MATCH (a:Interface), (b:Interface) WHERE a.id < b.id AND a.name = b.name RETURN a.id AS a, b.id AS b", "select a.id a, b.id b from n a, n b where a.label = 'Interface' and b.label = 'Interface' and a.id < b.id and a.name = b.name"),
     # aggregates

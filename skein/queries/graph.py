@@ -79,9 +79,9 @@ def src_by_ids(g):
     return L.listed(g.nodes.select("id", "name"), "id", [1, 2, 3, 999999999]).select("id", "name")
 
 
-@_q("select id, qualified_name from n where ends_with(qualified_name, '.load') or qualified_name = 'load'")
+@_q("select id, qualified_name from n where ends_with(qualified_name, '.ts::logEvent') or qualified_name = 'ts::logEvent'")
 def src_qn_suffix(g):
-    return L.qn_suffix(g, "load").select("id", "qualified_name")
+    return L.qn_suffix(g, "ts::logEvent").select("id", "qualified_name")
 
 
 @_q("select id, start_line from n where file_path = 'src/shared/config.ts' and start_line <= 40 and end_line >= 10 and label not in ('Module', 'Package', 'File', 'Folder')")
@@ -109,9 +109,26 @@ def src_by_name_or_path(g):
     return L.by_name_or_path(g, "Guard", ["Class", "File"]).select("id")
 
 
-@_q(f"select id from n where label = 'Route' and upper({j('n', 'method')}) = 'GET' and {j('n', 'path')} = '/health'")
+def _with_routes(g):
+    """The graph with routes in place of interfaces: odd ids GET, even ones POST, half of them of
+    one path, and some whose properties are no JSON."""
+    told = F.to_json(F.struct(F.when(F.col("id") % 2 == 1, "get").otherwise("POST").alias("method"), F.when(F.col("id") % 4 < 2, "/health").otherwise(F.concat(F.lit("/"), "name")).alias("path")))
+    route = F.col("label") == "Interface"
+    nodes = g.nodes.withColumn("properties_json", F.when(route & (F.col("id") % 5 == 0), "broken{").when(route, told).otherwise(F.col("properties_json"))).withColumn("label", F.when(route, "Route").otherwise(F.col("label")))
+    return PropertyGraph(nodes, g.edges)
+
+
+@_q("select id from n where label = 'Interface' and id % 2 = 1 and id % 4 < 2 and id % 5 <> 0")
 def src_route(g):
-    return L.routes(g, "get", "/health").select("id")
+    return L.routes(_with_routes(g), "get", "/health").select("id")
+
+
+@_q(
+    f"""select n.id id, case when id % 5 <> 0 then case when id % 2 = 1 then 'GET' else 'POST' end end as \"method\", case when id % 5 = 0 then name when id % 4 < 2 then '/health' else '/' || name end path, coalesce(u, 0) n_uses
+ from n left join (select target_id t, count(*) u from e where type in ('HANDLES', 'HTTP_CALLS', 'ASYNC_CALLS') group by 1) x on t = n.id where label = 'Interface' and not {_TEST} order by path, 2 nulls first, id limit 20"""
+)
+def agg_routes(g):
+    return N.routes(_with_routes(g))
 
 
 SITES = f", src as (select id sid, project sp, regexp_replace(qualified_name, '(::(anonymous#[0-9]+|<anonymous>))+$', '') owner_qn, file_path from n where not {_TEST}), sites as (select e.id site_id, sp project, owner_qn, file_path, source_id, target_id, try_cast({j('e', 'line')} as int) line from e join src on sid = source_id where type = 'CALLS')\n"
@@ -122,6 +139,21 @@ def src_call_sites(g):
     return L.call_sites(g)
 
 
+@_q(SITES + "select true available, (select count(*) from sites) > 100 truncated, 100::bigint n_shown, (select count(*) from sites) n_sites")
+def src_call_sites_state(g):
+    return L.call_sites_state(L.call_sites(g), 100)
+
+
+@_q(
+    SITES
+    + """, f as (select id, project, name from n where label in ('Function', 'Method')), k as (select project, name, count(*) n_definitions from f group by 1, 2),
+ dc as (select target_id, owner_qn, file_path, count(*) c from sites group by 1, 2, 3), x as (select f.project, f.name, sum(c)::bigint n_sites, count(distinct case when owner_qn is not null and dc.file_path is not null then (owner_qn, dc.file_path) end) n_callers, bool_or(owner_qn is null) op from dc join f on f.id = dc.target_id group by 1, 2)
+ select x.project, x.name, n_definitions, n_callers, n_sites, case when n_definitions > 1 then 'several_definitions' when op then 'anonymous' end reason from x join k on k.project = x.project and k.name = x.name"""
+)
+def agg_callers_by_name(g):
+    return N.callers_by_name(g, L.call_sites(g))
+
+
 @_q("select distinct file_path from n where file_path <> ''")
 def src_list_files(g):
     return g.nodes.select("file_path").where("file_path <> ''").distinct()
@@ -137,9 +169,11 @@ def src_list_modules(g):
     return g.nodes.where("label = 'File'").select("id", "file_path").orderBy("id").limit(200)
 
 
-@_q("select id, file_path from n where label = 'File' and regexp_matches(lower(file_path), '(^|/)(readme|architecture|design)|(^|/)docs?/') order by file_path, id limit 20")
+@_q("select id, 'docs/' || file_path file_path from n where label = 'File' and id % 3 = 0 order by 2, id limit 20")
 def src_arch_docs(g):
-    return g.nodes.where("label = 'File'").where(F.lower("file_path").rlike(r"(^|/)(readme|architecture|design)|(^|/)docs?/")).select("id", "file_path").orderBy("file_path", "id").limit(20)
+    """The first documents on architecture, every third file being put below docs."""
+    nodes = g.nodes.withColumn("file_path", F.when(F.col("id") % 3 == 0, F.concat(F.lit("docs/"), "file_path")).otherwise(F.col("file_path")))
+    return L.architecture_documents(PropertyGraph(nodes, g.edges))
 
 
 @_t("select distinct name from projects where name is not null union select distinct project from nodes where project is not null")
@@ -147,9 +181,21 @@ def src_projects(spark, sf_dir):
     return table(spark, sf_dir, "projects").select("name").union(table(spark, sf_dir, "nodes").select("project")).where("name is not null").distinct()
 
 
-@_q("select id, target_id from e where source_id = 1000")
+@_q("select id, target_id from e where source_id = (select min(source_id) from calls)")
 def src_edges_source(g):
-    return g.edges.where("source_id = 1000").select("id", "target_id")
+    one = g.calls.agg(F.min("source_id")).first()[0]
+    return g.edges.where(F.col("source_id") == one).select("id", "target_id")
+
+
+@_q("select id, target_id from calls where source_id = (select min(source_id) from calls)")
+def src_edges_source_type(g):
+    one = g.calls.agg(F.min("source_id")).first()[0]
+    return g.calls.where(F.col("source_id") == one).select("id", "target_id")
+
+
+@_q("select id, source_id, target_id from e where type = 'IMPLEMENTS'")
+def src_edges_type(g):
+    return g.edges.where("type = 'IMPLEMENTS'").select("id", "source_id", "target_id")
 
 
 @_q("select id, source_id from e where target_id = 1 and type = 'CALLS'")
@@ -157,12 +203,15 @@ def src_edges_target(g):
     return g.edges.where((F.col("target_id") == HUB) & (F.col("type") == "CALLS")).select("id", "source_id")
 
 
-@_q(f"select id from e where contains({j('e', 'url_path')}, '/api')")
+@_q("select id from e where type = 'HTTP_CALLS' and id % 2 = 0")
 def src_edges_url(g):
-    return g.edges.where(prop("url_path").contains("/api")).select("id")
+    """Edges by a part of their URL, HTTP calls being given one."""
+    told = F.to_json(F.struct(F.concat(F.when(F.col("id") % 2 == 0, "/api/").otherwise("/web/"), "target_id").alias("url_path")))
+    e = g.edges.withColumn("properties_json", F.when(F.col("type") == "HTTP_CALLS", told).otherwise(F.col("properties_json")))
+    return e.where(prop("url_path").contains("/api/")).select("id")
 
 
-@_q("select id, case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end as \"language\" from n where label = 'File'")
+@_q("select id, case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'jsx' then 'JavaScript' when 'mjs' then 'JavaScript' when 'cjs' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end as \"language\" from n where label = 'File'")
 def src_language(g):
     return g.nodes.where("label = 'File'").select("id", norm.language(F.col("file_path")).alias("language"))
 
@@ -309,12 +358,17 @@ def agg_schema_patterns(g):
     return N.patterns(g)
 
 
+@_q("select label, row_number() over (partition by label order by id) rank, id, name from n qualify rank <= 3")
+def agg_schema_samples(g):
+    return N.schema_samples(g)
+
+
 @_q(SCOPES + "select \"domain\", count(*) node_count, count(*) filter (label = 'File') file_count, coalesce(min(id) filter (label = 'File'), min(id)) representative_id from sc join n using (id) group by 1")
 def agg_domains(g):
     return N.domains(g)
 
 
-@_q("select lang as \"language\", count(*) n_files from (select case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end lang from n where label = 'File') where lang is not null group by 1 order by 2 desc, 1 limit 10")
+@_q("select lang as \"language\", count(*) n_files from (select case lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) when 'py' then 'Python' when 'js' then 'JavaScript' when 'jsx' then 'JavaScript' when 'mjs' then 'JavaScript' when 'cjs' then 'JavaScript' when 'ts' then 'TypeScript' when 'tsx' then 'TypeScript' when 'go' then 'Go' when 'java' then 'Java' when 'c' then 'C' when 'css' then 'CSS' end lang from n where label = 'File') where lang is not null group by 1 order by 2 desc, 1 limit 10")
 def agg_languages(g):
     return N.languages(g)
 
@@ -347,11 +401,24 @@ def agg_file_tree(g):
     return N.file_tree(g)
 
 
-@_q(DEG + f"select n.id id, name, o out_degree from n join (select id, sum(i) i, sum(o)::bigint o from ends where type = 'CALLS' group by 1) d on d.id = n.id where i = 0 and o > 0 and label in ('Function', 'Method') and not {_TEST} order by o desc, n.id limit 20")
+@_q(DEG + f"select n.id id, name, false flagged, o out_degree from n join (select id, sum(i) i, sum(o)::bigint o from ends where type = 'CALLS' group by 1) d on d.id = n.id where i = 0 and o > 0 and label in ('Function', 'Method') and not {_TEST} order by o desc, n.id limit 20")
 def agg_entry_points(g):
     return N.entry_points(g)
 
 
+@_q(DEG + f"select n.id id, name, n.id % 40 = 0 flagged, coalesce(o, 0) out_degree from n left join (select id, sum(i) i, sum(o)::bigint o from ends where type = 'CALLS' group by 1) d on d.id = n.id where (n.id % 40 = 0 or (i = 0 and o > 0)) and label in ('Function', 'Method') and not {_TEST} order by 3 desc, 4 desc, n.id limit 20")
+def agg_entry_points_flagged(g):
+    """Entry points where some nodes carry the flag."""
+    nodes = g.nodes.withColumn("properties_json", F.when(F.col("id") % 40 == 0, '{"is_entry_point":true}').otherwise(F.col("properties_json")))
+    return N.entry_points(PropertyGraph(nodes, g.edges))
+
+
+@_q("select name package, coalesce(sum(k), 0)::bigint n from n left join (select source_id, count(*) k from e where type in ('CONTAINS', 'DEFINES', 'CONTAINS_PACKAGE') group by 1) x on source_id = id where label = 'Class' and name <> '' group by 1 order by 2 desc, 1 limit 15")
+def agg_packages_nodes(g):
+    """Packages by their nodes, classes standing for them."""
+    return N.packages(PropertyGraph(g.nodes.withColumn("label", F.when(F.col("label") == "Class", "Package").otherwise(F.col("label"))), g.edges))
+
+
 @_q(SITES + "select target_id, owner_qn, file_path, count(*) n_calls, min(line) first_line from sites group by 1, 2, 3")
 def agg_direct_callers(g):
     return N.direct_callers(L.call_sites(g))
@@ -387,9 +454,26 @@ def page_scope(g):
     return N.edge_pages(g, 100)
 
 
-@_q(None)
+_QUOTA = DEG + f""", deg as (select n.id, label, coalesce(d, 0) degree, {_COMM} comm, split_part({_COMM}, '/', 1) dom, coalesce(ci, 0) ci, coalesce({j('n', 'is_exported')} in ('true', '1'), false) or coalesce({j('n', 'exported')} in ('true', '1'), false) or coalesce({j('n', 'is_entry_point')} in ('true', '1'), false) op, {_TEST} te
+  from n left join (select id, count(*) d from ends group by 1) x on x.id = n.id left join (select target_id t, count(*) ci from calls group by 1) y on y.t = n.id),
+ lc as (select label, count(*) c from n group by 1), lp as (select *, row_number() over (order by c, label) pos, row_number() over (order by c desc, label) large, count(*) over () k, coalesce(sum(c) over (order by c, label rows between unbounded preceding and 1 preceding), 0) below from lc),
+ lv as (select floor((200 - below) / (k - pos + 1))::bigint lvl, (200 - below) % (k - pos + 1) odd, pos fr from lp where below + c * (k - pos + 1) >= 200 order by pos limit 1),
+ qt as (select label, large, case when lvl is null or pos < fr then c else lvl + (large <= odd)::int end quota from lp left join lv on true),
+ rk as (select deg.*, row_number() over (partition by label order by degree desc, id) rank from deg),
+ c1 as (select row_number() over (order by rank, large) place, rk.label, dom, id, degree, 'degree' why from rk join qt on qt.label = rk.label where rank <= quota),
+ dd as (select *, row_number() over (partition by label order by id) r from (select * from deg where label in ('Function', 'Method') and not op and not te and ci = 0 and id not in (select id from c1) order by id limit 10)),
+ la as (select *, row_number() over (partition by label order by place desc) r from c1),
+ s1 as (select la.place, dd.label, dd.dom, dd.id, dd.degree, 'dead' why from la join dd on dd.label = la.label and dd.r = la.r),
+ c2 as (select * from c1 where place not in (select place from s1) union all select * from s1),
+ ms as (select *, row_number() over (order by dom) r from (select dom, min(id) id, arg_min(label, id) label, arg_min(degree, id) degree from deg where label = 'File' group by 1) where dom not in (select dom from c2)),
+ sp as (select *, row_number() over (order by place desc) r from (select *, row_number() over (partition by dom order by place) kk from c2 where why = 'degree') where kk > 1),
+ s2 as (select sp.place, ms.label, ms.dom, ms.id, ms.degree, 'domain' why from sp join ms on ms.r = sp.r)
+ select place, label, id, degree, why from (select * from c2 where place not in (select place from s2) union all select * from s2)"""
+
+
+@_q(_QUOTA)
 def quota_labels(g):
-    return N.label_quota(g, 500)
+    return N.label_quota(g, 200)
 
 
 @_q(SCOPES + ", d as (select s.domain sd, t.domain td, count(*) c from e join sc s on s.id = source_id join sc t on t.id = target_id group by 1, 2) select \"domain\", count(*) n_nodes, coalesce((select sum(c) from d where sd = domain and td = domain), 0)::bigint as \"within\", coalesce((select sum(c) from d where sd = domain and td <> domain), 0)::bigint going_out, coalesce((select sum(c) from d where td = domain and sd <> domain), 0)::bigint coming_in from sc group by 1 order by 2 desc, 1 limit 12")

@@ -86,11 +86,29 @@ def s_grep(spark, sf_dir):
     return T.grep(table(spark, sf_dir, "documents").select("doc_id", "text"), "export (class|function) [a-z]+Guard").select("doc_id", "line_no", "line")
 
 
-@_t(_LINES + "select doc_id, line_no, literal, instr(line, literal)::int as \"column\" from l, (select unnest(['retry budget', 'façade', 'return']) literal) where instr(line, literal) > 0")
+@_t(
+    _LINES
+    + """, w as (select unnest(['retry budget', 'façade', 'return']) literal), h as (select doc_id, line_no, literal, string_split(line, literal) p from l, w where instr(line, literal) > 0),
+ i as (select doc_id, line_no, literal, p, unnest(range(1, len(p))) k from h) select doc_id, line_no, literal, (1 + list_sum(list_transform(p[1:k], lambda x: len(x))) + (k - 1) * len(literal))::int as \"column\" from i"""
+)
 def s_literal(spark, sf_dir):
     return T.literal_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), ["retry budget", "façade", "return"])
 
 
+@_t(
+    GRAPH
+    + f""", h as (select distinct n.id from documents d join n on n.project = d.project and n.qualified_name = d.about_qn where contains(d.text, 'return')), c as (select target_id id, count(*) k from calls group by 1)
+ select n.id id, n.name, (coalesce(k, 0) + case when label in ('Function', 'Method') then 10 when label = 'Route' then 15 else 0 end - case when regexp_matches(lower({_P}), '(^|/)(vendor|vendored|third_party|node_modules)/') then 50 else 0 end - case when contains(lower({_P}), 'test') then 5 else 0 end)::bigint score
+ from n join h on h.id = n.id left join c on c.id = n.id"""
+)
+def s_grep_score(spark, sf_dir):
+    """The symbols that texts with a call are about, by their calls, kind and place."""
+    g = PropertyGraph.from_tables(spark, sf_dir)
+    about = g.nodes.select("id", "project", F.col("qualified_name").alias("about_qn"))
+    hits = T.grep(table(spark, sf_dir, "documents").select("doc_id", "project", "about_qn", "text"), "return").join(about, ["project", "about_qn"])
+    return T.score_hits(g, hits).select("id", "name", F.col("score").cast("bigint").alias("score"))
+
+
 @_g(f"select distinct project, split_part({_P}, '/', 1) top from n where {_P} like '%/%'")
 def s_toplevel(g):
     p = norm.graph_path(F.col("file_path"))
@@ -120,14 +138,46 @@ def fn_slugify(notes):
     return notes.select("id", norm.slug(F.col("title")).alias("slug"))
 
 
-@_t()
-def fn_wikilinks(spark, sf_dir):
-    return T.wikilinks(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _linked(notes):
+    """The notes with a link to each node they name under a heading of their label."""
+    heading = F.when(F.col("label") == "BugNote", "# Bug").when(F.col("label") == "ADR", "# Décision").when(F.col("label") == "RefactorPlan", "## TODO").otherwise("# Notes")
+    links = F.transform(F.coalesce("cbm_node_ids", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("see [["), x.cast("string"), F.lit("|node]] and [["), F.col("slug"), F.lit("]]")))
+    return notes.select("id", F.concat(heading, F.lit("\n"), F.array_join(links, "\n")).alias("text"))
 
 
-@_t()
-def fn_doc_sections(spark, sf_dir):
-    return T.doc_sections(table(spark, sf_dir, "documents"), "doc_id", "text")
+@_n(
+    ", x as (select id, label, slug, unnest(cbm_node_ids) node, generate_subscripts(cbm_node_ids, 1) i from notes), k as (select *, case label when 'BugNote' then 'AFFECTS' when 'ADR' then 'DECIDES' when 'RefactorPlan' then 'TODO_FOR' else 'MENTIONS' end edge_type from x where node is not null and slug is not null)"
+    " select id, target, alias, kind, edge_type, count(*) n from (select id, node::varchar target, 'node' alias, case when node >= 0 then 'code' else 'unknown' end kind, edge_type from k union all select id, trim(slug), null, case when regexp_full_match(trim(slug), '[0-9]+') then 'code' when contains(slug, '/') then 'path' when regexp_full_match(trim(slug), '[a-z0-9][a-z0-9-]*') then 'human' else 'unknown' end, edge_type from k) group by all"
+)
+def fn_wikilinks(notes):
+    return T.wikilinks(_linked(notes), "id", "text").groupBy("id", "target", "alias", "kind", "edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _decisions(notes):
+    """A decision document of three sections from each note."""
+    text = F.concat(F.lit("intro\n## PURPOSE\n\n"), "title", F.lit("\n## NOTES\nno section\n## STACK\n"), F.coalesce("status", F.lit("")), F.lit("\n\n## PHILOSOPHY\n"), F.coalesce("source", F.lit("")))
+    return notes.where("title is not null").select("id", text.alias("text"))
+
+
+@_n(" select id, 'PURPOSE' \"section\", title || chr(10) || '## NOTES' || chr(10) || 'no section' body from notes where title is not null union all select id, 'STACK', coalesce(status, '') from notes where title is not null union all select id, 'PHILOSOPHY', coalesce(source, '') from notes where title is not null")
+def fn_doc_sections(notes):
+    return T.doc_sections(_decisions(notes), "id", "text")
+
+
+@_n(" select id, 'STACK' \"section\", 'empty' problem from notes where title is not null and trim(coalesce(status, '')) = '' union all select id, 'PHILOSOPHY', 'empty' from notes where title is not null and trim(coalesce(source, '')) = '' union all select id, 'STATUS', 'unknown' from notes where title is not null and id % 7 = 0 union all select id, 'PURPOSE', 'repeated' from notes where title is not null and id % 5 = 0")
+def fn_doc_problems(notes):
+    """The sections of decision documents, some with a section too many, that keep them from being valid."""
+    s = T.doc_sections(_decisions(notes), "id", "text")
+    more = s.where("section = 'PURPOSE' and id % 5 = 0").unionByName(s.where("section = 'PURPOSE' and id % 7 = 0").withColumn("section", F.lit("STATUS")))
+    return T.section_problems(s.unionByName(more))
+
+
+@_n(" select id, '## PURPOSE' || chr(10) || chr(10) || title || chr(10) || '## NOTES' || chr(10) || 'no section' || chr(10) || chr(10) || case when id % 2 = 0 then '## STACK' || chr(10) || chr(10) || 'none' else '## STACK' || chr(10) || chr(10) || coalesce(status, '') end || chr(10) || chr(10) || '## PHILOSOPHY' || chr(10) || chr(10) || coalesce(source, '') \"text\" from notes where title is not null")
+def fn_doc_merge(notes):
+    """Decision documents with a new stack section for every second note, written out again."""
+    s = T.doc_sections(_decisions(notes), "id", "text")
+    new = s.where("section = 'STACK' and id % 2 = 0").withColumn("body", F.lit("none"))
+    return T.render_sections(T.merge_sections(s, new))
 
 
 @_g(f"select id, {_CAMEL.format('name')} words from n")
@@ -141,7 +191,11 @@ def fn_idf(g):
     return S.idf(docs).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-@_g()
+_AB = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in S.ABBREVIATIONS.items()) + "}"
+_TOKENS = f"list_concat({_CAMEL.format('name')}, list_filter(list_transform({_CAMEL.format('name')}, lambda x: ({_AB})[x]), lambda x: x is not null))"
+
+
+@_g(f"select id, {_TOKENS} tokens from n")
 def fn_tokenize(g):
     return g.nodes.select("id", S.name_tokens(F.coalesce("name", F.lit(""))).alias("tokens"))
 
@@ -151,7 +205,13 @@ def fn_confidence_band(g):
     return g.calls.select("id", norm.confidence_band(prop("confidence").try_cast("double")).alias("band"))
 
 
-@_g()
+def _near(a: str, b: str) -> str:
+    fold = lambda x: f"string_split(trim(regexp_replace(replace(coalesce({x}, ''), '\\', '/'), '^[A-Za-z]:/', '/'), '/'), '/')[:-2]"
+    same = f"len(list_filter(range(1, least(len({fold(a)}), len({fold(b)})) + 1), lambda i: ({fold(a)})[1:i] = ({fold(b)})[1:i]))"
+    return f"case when greatest(len({fold(a)}), len({fold(b)})) > 0 then 1.0 + 0.1 * {same} / greatest(len({fold(a)}), len({fold(b)})) else 1.0 end"
+
+
+@_g(f"select e.id id, round({_near('a.file_path', 'b.file_path')}, 6)::double proximity from calls e join n a on a.id = source_id join n b on b.id = target_id")
 def fn_proximity(g):
     p = g.nodes.select("id", "file_path")
     both = g.calls.join(p.select(F.col("id").alias("source_id"), F.col("file_path").alias("a")), "source_id").join(p.select(F.col("id").alias("target_id"), F.col("file_path").alias("b")), "target_id")
@@ -164,20 +224,33 @@ def fn_cosine(spark, sf_dir):
     return S.nearest(v, v.where("id % 100 = 0"), 3).select("query_id", "rank", "id")
 
 
-@_t()
+@_t("select b.vec_id id, round(least(list_cosine_similarity(b.embedding::double[], p.embedding::double[]), list_cosine_similarity(b.embedding::double[], q.embedding::double[])), 6) score from embeddings b, (select embedding from embeddings where vec_id = 0) p, (select embedding from embeddings where vec_id = 100) q order by 2 desc, 1 limit 16")
 def s_vector_search(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     keys = [list(r["v"]) for r in v.where("id in (0, 100)").orderBy("id").collect()]  # the keywords of one question
     return S.keyword_search(v, keys)
 
 
+@_t("with u as (select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) * 127)) q from embeddings), z as (select q from u where vec_id = 0) select vec_id id, round(list_dot_product(u.q, z.q) / sqrt(list_dot_product(u.q, u.q) * list_dot_product(z.q, z.q)), 6) cosine from u, z")
+def fn_cosine_i8(spark, sf_dir):
+    """The cosine of every vector, as bytes, to the first one."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), S.quantized(F.col("embedding")).alias("q"))
+    one = v.where("id = 0").select(F.col("q").alias("z"))
+    return v.join(F.broadcast(one), F.lit(True)).select("id", F.round(S.cosine_i8(F.col("q"), F.col("z")), 6).alias("cosine"))
+
+
 @_t()
 def s_minhash(spark, sf_dir):
     sig = S.signatures(table(spark, sf_dir, "documents"), "doc_id", T.words(F.col("text")))
     return sig.select("doc_id", S.signature_hex(F.col("signature")).alias("fp"))
 
 
-@_t()
+@_t(
+    f"""with w as (select doc_id, {_words('text')} ws from documents), s as (select doc_id, list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) items from w where len(ws) >= 5),
+ c as (select items, min(doc_id) class_id from s group by 1), u as (select class_id, len(items) n, unnest(items) item from c), j as (select a.class_id a, b.class_id b, any_value(a.n) na, any_value(b.n) nb, count(*) k from u a join u b on a.item = b.item and a.class_id < b.class_id group by 1, 2),
+ p as (select a, b from j where k >= 0.8 * (na + nb - k)), l as (select class_id, count(*) n_links from (select a class_id from p union all select b from p) group by 1)
+ select w.doc_id, coalesce(c.class_id, w.doc_id) class_id, coalesce(n_links, 0) n_links from w left join s on s.doc_id = w.doc_id left join c on c.items = s.items left join l on l.class_id = c.class_id"""
+)
 def s_similar(spark, sf_dir):
     return S.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", T.words(F.col("text")))
 
@@ -187,24 +260,33 @@ def _function_vectors(g):
     return materialize(S.tfidf(f), "tfidf")
 
 
-@_g()
+_TFIDF = f""", tk as (select id, list_concat({_TOKENS}, {_words('qualified_name')}) ts from n where label in ('Function', 'Method')), tf as (select id, token, count(*) tf from (select id, unnest(ts) token from tk) group by 1, 2), df as (select token, ln((select count(*) from tk) / count(*)) idf from tf group by 1),
+ tw as (select id, token, tf * idf x from tf join df using (token) where idf > 0), tv as (select id, token, x / sqrt(sum(x * x) over (partition by id)) w from tw)
+"""
+
+
+@_g(_TFIDF + "select id, token, round(w, 6) w from tv")
 def fn_tfidf(g):
     return _function_vectors(g).select("id", "token", F.round("w", 6).alias("w"))
 
 
-@_g()
+@_g(
+    _TFIDF
+    + f", hit as (select x.id a, y.id b, sum(x.w * y.w) cosine from tv x join tv y on x.token = y.token and x.id < y.id group by 1, 2 having sum(x.w * y.w) >= 0.75) select a, b, round(cosine * {_near('p.file_path', 'q.file_path')}, 5)::double score from hit join n p on p.id = a join n q on q.id = b where regexp_extract(p.file_path, '\\.(\\w+)$', 1) = regexp_extract(q.file_path, '\\.(\\w+)$', 1)"
+)
 def s_semantic(g):
     """Functions alike by their words: every pair with a cosine of at least 0.75, exact, nearer
     paths weighing more."""
     p = g.nodes.select("id", "file_path")
     hit = S.cosine_join(_function_vectors(g), 0.75).join(p.withColumnsRenamed({"id": "a", "file_path": "pa"}), "a").join(p.withColumnsRenamed({"id": "b", "file_path": "pb"}), "b")
     hit = hit.where(F.regexp_extract("pa", r"\.(\w+)$", 1) == F.regexp_extract("pb", r"\.(\w+)$", 1))
-    return hit.select("a", "b", F.round(F.col("cosine") * norm.proximity(F.col("pa"), F.col("pb")), 6).alias("score"))
+    return hit.select("a", "b", F.round(F.col("cosine") * norm.proximity(F.col("pa"), F.col("pb")), 5).alias("score"))
 
 
 @_n()
 def s_ri(notes):
-    return S.random_index(notes.select("id", T.words(F.col("body_markdown")).alias("tokens")), dims=256).select("token", "position", F.round("x", 6).alias("x"))
+    """Two passes over the words of all notes, in the full 768 dimensions."""
+    return S.blended_index(notes.select("id", T.words(F.col("body_markdown")).alias("tokens"))).select("token", "position", F.round("x", 6).alias("x"))
 
 
 @_g()
@@ -251,25 +333,55 @@ def d_module_path(g):
     return D.module_paths(_file_imports(g), g.nodes.where("label = 'File'").select("project", "file_path"))
 
 
-@_g()
+_XKEY = "concat_ws(':', x.project, x.file_path)"
+_XPORT = f""", fx as (select distinct s.project || ':' || s.file_path f, t.project || ':' || t.file_path src from e join n s on s.id = source_id join n t on t.id = target_id where e.type = 'IMPORTS' and s.label = 'File' and s.file_path <> t.file_path),
+ loc as (select {_XKEY} f, name from n x where coalesce({j('x', 'is_exported')}, '') in ('true', '1') and name is not null), twice as (select distinct f from (select f from loc group by f, name having count(*) > 1)),
+ want as (select distinct {_XKEY} f, y.name nm from n x join n y on y.project = x.project and y.id % 9 = x.id % 9 where x.label = 'File' and y.label = 'Function' and y.id % 3 = 0),
+ w(wf, wn, f) as (select f, nm, f from want union select wf, wn, fx.src from w join fx on fx.f = w.f where not exists (select 1 from twice where twice.f = w.f) and not exists (select 1 from loc where loc.f = w.f and loc.name = w.wn)),
+ en as (select wf, wn, bool_or(exists (select 1 from twice where twice.f = w.f)) amb, count(distinct case when not exists (select 1 from twice where twice.f = w.f) and exists (select 1 from loc where loc.f = w.f and loc.name = w.wn) then f end) k, min(case when not exists (select 1 from twice where twice.f = w.f) and exists (select 1 from loc where loc.f = w.f and loc.name = w.wn) then f end) t from w group by 1, 2)
+"""
+
+
+@_g(_XPORT + "select wf file_path, wn \"name\", case when amb or k > 1 then 'ambiguous' when k = 1 then 'resolved' else 'missing' end status, case when not amb and k = 1 then t end target_file, case when not amb and k = 1 then wn end target_name from en")
 def d_exports(g):
-    """Names of a file that imports it would look up, over its exported definitions."""
-    p = g.nodes.select("id", "file_path", "name", F.coalesce(prop("is_exported"), F.lit("")).isin("true", "1").alias("x"), "project", "label")
+    """Where files find names, when every import is a `export *`: own exports first, then, over any
+    number of files, those of what they import."""
     key = F.concat_ws(":", "project", "file_path")
-    exports = p.where("x").select(key.alias("file_path"), F.col("name").alias("exported_name"), F.col("name").alias("local_name"), F.lit(None).cast("string").alias("imported_name"), F.lit(None).cast("string").alias("source_file"), F.lit("local_named").alias("export_kind"))
-    wanted = p.where("label <> 'File'").select(key.alias("file_path"), "name").distinct()
-    return D.resolve_exports(exports, wanted)
+    p = g.nodes.select("id", "project", "file_path", "name", F.coalesce(prop("is_exported"), F.lit("")).isin("true", "1").alias("x"), "label")
+    none = lambda n: F.lit(None).cast("string").alias(n)
+    local = p.where("x and name is not null").select(key.alias("file_path"), F.col("name").alias("exported_name"), F.col("name").alias("local_name"), none("imported_name"), none("source_file"), F.lit("local_named").alias("export_kind"))
+    at = p.where("project is not null and file_path is not null").select("id", key.alias("f"), "file_path", "label")
+    stars = g.edges.where("type = 'IMPORTS'").select("source_id", "target_id").join(at.where("label = 'File'").toDF("source_id", "f", "pa", "l"), "source_id").join(at.toDF("target_id", "src", "pb", "l2"), "target_id").where("pa <> pb")
+    stars = stars.select(F.col("f").alias("file_path"), none("exported_name"), none("local_name"), none("imported_name"), F.col("src").alias("source_file"), F.lit("star_re_export").alias("export_kind")).distinct()
+    wanted = p.where("label = 'File'").select("project", key.alias("file_path"), (F.col("id") % 9).alias("r")).join(p.where("label = 'Function' and id % 3 = 0").select("project", "name", (F.col("id") % 9).alias("r")), ["project", "r"]).select("file_path", "name").distinct()
+    return D.resolve_exports(local.unionByName(stars), wanted)
+
+
+_SITES = f""", st as (select e.id site_id, s.project, s.file_path, case e.id % 4 when 0 then lower(t.name) when 1 then regexp_replace(regexp_extract(t.qualified_name, '([^/]*)$', 1), '::', '.', 'g') else t.name end callee from calls e join n s on s.id = source_id join n t on t.id = target_id),
+ d as (select id, project, file_path, name, qualified_name from n where label in ('Function', 'Method'))
+"""
 
 
 @_g(
-    f", st as (select e.id site_id, s.project, s.file_path, {j('e', 'callee')} callee from e join n s on s.id = source_id where {j('e', 'callee')} is not null), d as (select id, project, file_path, name callee from n where label in ('Function', 'Method')),"
-    " sm as (select project, file_path, callee, min(id) id from d group by 1, 2, 3), nm as (select project, callee, min(id) id, count(*) c from d group by 1, 2)"
-    " select st.site_id, case when sm.id is not null then 'same_module' when c = 1 then 'unique_name' else 'suffix_match' end strategy from st left join sm on sm.project = st.project and sm.file_path = st.file_path and sm.callee = st.callee join nm on nm.project = st.project and nm.callee = st.callee"
+    _SITES
+    + """, sl as (select *, regexp_extract(callee, '([^.]*)$', 1) last from st), sm as (select distinct project, file_path, name from d), nm as (select project, name, count(*) c from d group by 1, 2), lo as (select project, lower(name) name, count(*) c from d group by 1, 2),
+ dp as (select id, project, string_split(replace(qualified_name, '::', '.'), '.') p from d), tl as (select project, tail from (select id, project, array_to_string(p[len(p) - k + 1:], '.') tail from (select *, unnest(range(2, len(p) + 1)) k from dp)) group by 1, 2 having count(*) = 1)
+ select site_id, case when sm.name is not null then 'same_module' when nm.c = 1 then 'unique_name' when tl.tail is not null and contains(callee, '.') then 'qualified_tail' when nm.c > 1 then 'suffix_match' when lo.c = 1 then 'fuzzy' else 'fuzzy_many' end strategy
+ from sl left join sm on sm.project = sl.project and sm.file_path = sl.file_path and sm.name = sl.last left join nm on nm.project = sl.project and nm.name = sl.last left join tl on tl.project = sl.project and tl.tail = sl.callee left join lo on lo.project = sl.project and lo.name = lower(sl.last)
+ where coalesce(sm.name, nm.name, tl.tail, lo.name) is not null"""
 )
 def d_calls_v1(g):
+    """The calls of the graph as sources write them, by name, in small letters or with the path's
+    last part in front, resolved again."""
+    return D.resolve_calls(_call_sites(g), g.nodes.where("label in ('Function', 'Method')")).select("site_id", "strategy")
+
+
+def _call_sites(g):
     src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), "file_path")
-    sites = g.edges.withColumn("callee", prop("callee")).where("callee is not null").join(src, "source_id").select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "callee")
-    return D.resolve_calls(sites, g.nodes.where("label in ('Function', 'Method')")).select("site_id", "strategy")
+    t = g.nodes.select(F.col("id").alias("target_id"), "name", "qualified_name")
+    tail = F.regexp_replace(F.regexp_extract("qualified_name", r"([^/]*)$", 1), "::", ".")
+    callee = F.when(F.col("id") % 4 == 0, F.lower("name")).when(F.col("id") % 4 == 1, tail).otherwise(F.col("name"))
+    return g.calls.select("id", "source_id", "target_id").join(src, "source_id").join(t, "target_id").select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", callee.alias("callee"))
 
 
 _TF = "regexp_matches(coalesce({0}.file_path, ''), '(^|/)(__tests__|tests|test|spec)/|(^|/)test_[^/]*$|_test\\.(go|py|rs|cpp|lua)$|\\.(test|spec)\\.(ts|js|tsx)|Test\\.(java|kt|cs|php)$|Spec\\.scala$|_spec\\.rb$')"
@@ -286,9 +398,12 @@ def d_structure(g):
     return D.structure(g.nodes.where("label = 'File'"))
 
 
-@_n(f", w as (select id, unnest(list_distinct({_words('title')})) word from notes), c as (select word from w group by 1 having count(*) >= 2) select id, list(word order by word) tags from w where word in (select word from c) group by 1")
-def d_decorator_tags(notes):
-    return D.shared_tags(notes.select("id", T.words(F.col("title")).alias("words")))
+@_g(f", w as (select distinct source_id id, unnest({_CAMEL.format('t.name')}) word from e join n t on t.id = target_id where e.type in ('DECORATES', 'USAGE')), c as (select word from w group by 1 having count(*) >= 2) select id, list(word order by word) tags from w where word in (select word from c) group by 1")
+def d_decorator_tags(g):
+    """The words of what decorates or marks a node, those that at least two nodes share."""
+    t = g.nodes.select(F.col("id").alias("target_id"), norm.camel_words(F.coalesce("name", F.lit(""))).alias("words"))
+    marks = g.edges.where("type in ('DECORATES', 'USAGE')").select(F.col("source_id").alias("id"), "target_id").join(t, "target_id").select("id", F.explode("words").alias("word")).distinct()
+    return D.shared_tags(marks.groupBy("id").agg(F.collect_list("word").alias("words")))
 
 
 @_g(f"select id, source_id, target_id from e where starts_with({j('e', 'resolution')}, 'cross_file')")
@@ -304,9 +419,39 @@ def agg_coupling(spark, sf_dir):
     return D.coupling(li, least=2, score=0.05).select("a", "b", "n", "score")
 
 
-@_g(f", k as (select id, project, {_CAMEL.format('name')} w from n where label = 'Variable'), s as (select id, project, {_CAMEL.format('name')} w from n where label = 'Function') select k.id key_id, s.id symbol_id, (case when len(k.w) = len(s.w) then 0.85 else 0.75 end)::double confidence from k join s on k.project = s.project and (k.w = s.w or (len(k.w) > 1 and contains(' ' || array_to_string(s.w, ' ') || ' ', ' ' || array_to_string(k.w, ' ') || ' '))) where len(k.w) > 0")
+def _plain(x: str) -> str:
+    return f"regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+
+
+_CONTAINED = "select k.id key_id, s.id symbol_id, (case when k.w = s.w then {same} else {part} end)::double confidence from k join s on k.project = s.project and k.w <> '' and (k.w = s.w or (len(k.w) >= 4 and contains(s.w, k.w)))"
+
+
+@_g(f", k as (select id, project, {_plain('name')} w from n where label = 'Class'), s as (select id, project, {_plain('name')} w from n where label in ('Interface', 'Variable', 'Method')) " + _CONTAINED.format(same=0.85, part=0.75))
 def join_config(g):
-    return D.config_links(g.nodes.where("label = 'Variable'"), g.nodes.where("label = 'Function'"))
+    """Classes as settings, and what is named after them."""
+    return D.config_links(g.nodes.where("label = 'Class'"), g.nodes.where("label in ('Interface', 'Variable', 'Method')"))
+
+
+@_g(f", k as (select id, project, {_plain('name')} w from n where label = 'Interface'), s as (select e.id, s.project, {_plain('t.name')} w from e join n s on s.id = source_id join n t on t.id = target_id where e.type = 'IMPORTS') " + _CONTAINED.format(same=0.95, part=0.8))
+def join_dependency(g):
+    """Interfaces as declared dependencies, and the imports that use one of their name."""
+    own = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"))
+    t = g.nodes.select(F.col("id").alias("target_id"), "name")
+    imports = g.edges.where("type = 'IMPORTS'").join(own, "source_id").join(t, "target_id").select("id", F.col("p").alias("project"), "name")
+    return D.dependency_links(g.nodes.where("label = 'Interface'"), imports)
+
+
+@_g(
+    f", v as (select e.id, s.project, case when e.id % 2 = 0 then t.file_path else regexp_extract(replace(t.file_path, '\\', '/'), '([^/]*)$', 1) end file_path from e join n s on s.id = source_id join n t on t.id = target_id where e.type = 'CONFIGURES'), vp as (select id, project, {_P} p from v), f as (select id, project, {_P} p from n where label = 'File')"
+    " select vp.id value_id, f.id file_id, (case when vp.p = f.p then 0.9 else 0.7 end)::double confidence from vp join f on f.project = vp.project and vp.p <> '' and f.p <> '' and regexp_extract(vp.p, '([^/]*)$', 1) = regexp_extract(f.p, '([^/]*)$', 1)"
+)
+def join_config_file(g):
+    """The files that settings name, by path or by last part."""
+    own = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"))
+    t = g.nodes.select(F.col("id").alias("target_id"), "file_path")
+    value = F.when(F.col("id") % 2 == 0, F.col("file_path")).otherwise(F.regexp_extract(F.regexp_replace("file_path", r"\\", "/"), r"([^/]*)$", 1))
+    values = g.edges.where("type = 'CONFIGURES'").select("id", "source_id", "target_id").join(own, "source_id").join(t, "target_id").select("id", F.col("p").alias("project"), value.alias("value"))
+    return D.file_links(values, g.nodes.where("label = 'File'"))
 
 
 @_g(", a as (select distinct t.name, s.project p from e join n t on t.id = target_id join n s on s.id = source_id where e.type = 'EMITS'), b as (select distinct t.name, s.project p from e join n t on t.id = target_id join n s on s.id = source_id where e.type = 'LISTENS_ON') select a.p from_project, b.p to_project, count(distinct a.name) n_channels from a join b on a.name = b.name and a.p <> b.p group by 1, 2")
@@ -314,47 +459,126 @@ def join_cross_repo(g):
     return D.cross_project(g)
 
 
+_HTTP = """, hc as (select e.id call_id, s.id caller, s.project cp, case e.id % 3 when 0 then 'GET' when 1 then 'POST' end m, '/' || lower(t.name) || '/{}' path from e join n s on s.id = source_id join n t on t.id = target_id where e.type = 'HTTP_CALLS'),
+ rt as (select id route_id, project rp, case id % 4 when 0 then 'GET' when 1 then 'POST' else 'ANY' end rm, '/' || lower(name) || '/{}' path from n where label in ('Function', 'Method'))
+"""
+
+
+def _http_calls(g):
+    own = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"))
+    t = g.nodes.select(F.col("id").alias("target_id"), "name")
+    h = g.edges.where("type = 'HTTP_CALLS'").select("id", "source_id", "target_id").join(own, "source_id").join(t, "target_id")
+    return h.select(F.col("id").alias("call_id"), F.col("source_id").alias("caller_id"), F.col("p").alias("project"), F.when(F.col("id") % 3 == 0, "get").when(F.col("id") % 3 == 1, "POST").alias("method"), F.concat(F.lit("/"), F.lower("name"), F.lit("/:id")).alias("path"))
+
+
+def _handlers(g):
+    f = g.nodes.where("label in ('Function', 'Method')")
+    return f.select(F.col("id").alias("route_id"), "project", F.when(F.col("id") % 4 == 0, "GET").when(F.col("id") % 4 == 1, "post").otherwise("ANY").alias("method"), F.concat(F.lit("/"), F.lower("name"), F.lit("/{id}")).alias("path"))
+
+
+@_g(
+    _HTTP
+    + ", b as (select call_id, arg_min(route_id, coalesce(rm <> m, false)::int * 1000000000000 + route_id) route_id from hc join rt on rt.path = hc.path and cp <> rp and (m = rm or rm = 'ANY') group by 1) select call_id \"source\", route_id target, 'forward' direction from b union all select route_id, call_id, 'backward' from b"
+)
+def join_cross_routes(g):
+    """HTTP calls to the functions that serve their route in other projects, both ways."""
+    return D.both_ways(D.route_matches(_http_calls(g), _handlers(g)), "call_id", "route_id")
+
+
+@_g(_HTTP + "select distinct caller caller_id, route_id handler_id from hc join rt on rt.path = hc.path and (coalesce(m, 'ANY') = rm or rm = 'ANY')")
+def d_route_flows(g):
+    return V.route_flows(_http_calls(g), _handlers(g).withColumnRenamed("route_id", "handler_id"))
+
+
 @_g(
-    f", st as (select e.id site_id, s.project, s.file_path, {j('e', 'callee')} nm, e.type kind from e join n s on s.id = source_id where {j('e', 'callee')} is not null), h as (select project, file_path, name, min(id) a from n where label in ('Function', 'Method') group by 1, 2, 3),"
+    """, x as (select project, name, min(id) t from n where label in ('Class', 'Interface') group by 1, 2), y as (select project, name, min(id) t from n where label in ('Function', 'Method', 'Class') group by 1, 2),
+ w as (select a.id s, a.project p, b.name nm, e.type k from e join n a on a.id = source_id join n b on b.id = target_id where e.type in ('INHERITS', 'DECORATES'))
+ select distinct s source_id, t target_id, k as \"type\" from w join x on x.project = w.p and x.name = w.nm where k = 'INHERITS' and s <> t union select distinct s, t, k from w join y on y.project = w.p and y.name = w.nm where k = 'DECORATES' and s <> t"""
+)
+def d_relations(g):
+    """INHERITS and DECORATES found again from the names that sources give."""
+    t = g.nodes.select(F.col("id").alias("target_id"), "name")
+    own = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"))
+    told = g.edges.select("source_id", "target_id", "type").join(own, "source_id").join(t, "target_id").select("source_id", F.col("p").alias("project"), "name", "type")
+    return D.relations(g, told.where("type = 'INHERITS'"), "INHERITS").unionByName(D.relations(g, told.where("type = 'DECORATES'"), "DECORATES"))
+
+
+@_g(
+    f", p as (select distinct project, {_P} f from n where {_P} <> ''), t as (select project, f, regexp_replace(regexp_replace(regexp_replace(f, '\\.(test|spec)(\\.\\w+)$', '\\2'), '_test(\\.\\w+)$', '\\1'), '(^|/)test_([^/]+)$', '\\1\\2') q from (select distinct project, case when id % 2 = 0 then regexp_replace({_P}, '(\\.\\w+)$', '.test\\1') else regexp_replace({_P}, '([^/]+)$', 'test_\\1') end f from n where label = 'File' and {_P} <> ''))"
+    " select t.project, t.f test_path, q tested_path from t join p on p.project = t.project and p.f = q where q <> t.f and regexp_matches(t.f, '(^|/)(__tests__|tests|test|spec)/|(^|/)test_[^/]*$|_test\\.(go|py|rs|cpp|lua)$|\\.(test|spec)\\.(ts|js|tsx)')"
+)
+def d_tests_files(g):
+    """Test files, one made up for every file, and what they test."""
+    p = norm.graph_path(F.col("file_path"))
+    f = g.nodes.where("label = 'File'").where(p != "")
+    made = F.when(F.col("id") % 2 == 0, F.regexp_replace(p, r"(\.\w+)$", ".test$1")).otherwise(F.regexp_replace(p, r"([^/]+)$", "test_$1"))
+    tests = f.select("project", made.alias("file_path")).distinct()
+    return D.tests_files(tests.unionByName(g.nodes.select("project", "file_path"))).join(tests.select("project", F.col("file_path").alias("test_path")), ["project", "test_path"], "left_semi")
+
+
+@_g(
+    ", st as (select e.id site_id, s.project, s.file_path, t.name nm, e.type kind from e join n s on s.id = source_id join n t on t.id = target_id where e.type in ('USAGE', 'THROWS', 'DATA_FLOWS')), h as (select project, file_path, name, min(id) a from n where label in ('Function', 'Method') group by 1, 2, 3),"
     " o as (select project, name, min(id) b from n where label in ('Function', 'Method') group by 1, 2 having count(*) = 1) select site_id, kind type, coalesce(a, b) target_id from st left join h on h.project = st.project and h.file_path = st.file_path and h.name = nm left join o on o.project = st.project and o.name = nm where coalesce(a, b) is not null"
 )
 def d_usages(g):
+    """What code uses and throws, found again by name."""
     src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), "file_path")
-    sites = g.edges.withColumn("name", prop("callee")).where("name is not null").join(src, "source_id").select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "name", "type")
+    t = g.nodes.select(F.col("id").alias("target_id"), "name")
+    sites = g.edges.where("type in ('USAGE', 'THROWS', 'DATA_FLOWS')").select("id", "source_id", "target_id", "type").join(src, "source_id").join(t, "target_id").select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "name", "type")
     return V.usages(sites, g.nodes.where("label in ('Function', 'Method')"))
 
 
-@_g()
+_V2 = """, sv as (select e.id site_id, s.project, s.file_path, t.name head, t.name tail, false as member from calls e join n s on s.id = source_id join n t on t.id = target_id where e.id % 3 <> 0
+  union all select e.id, s.project, s.file_path, 'ns', t.name, true from calls e join n s on s.id = source_id join n t on t.id = target_id where e.id % 3 = 0),
+ im as (select distinct s.project, s.file_path, case when e.id % 2 = 0 then t.name else 'ns' end local_name, case when e.id % 2 = 0 then t.name end imported, case when e.id % 2 = 0 then 'named' else 'namespace' end kind, t.file_path module from e join n s on s.id = source_id join n t on t.id = target_id where e.type = 'IMPORTS' and s.project = t.project and s.file_path <> t.file_path),
+ df as (select project, file_path, name, min(id) id from n where label in ('Function', 'Method') group by 1, 2, 3),
+ ex as (select project, file_path, name, count(*) c from n where label in ('Function', 'Method') and name is not null group by 1, 2, 3), bad as (select distinct project, file_path from ex where c > 1),
+ asked as (select sv.site_id, sv.project, im.module, case when kind = 'namespace' then tail when not member then imported end want, kind from sv join im on im.project = sv.project and im.file_path = sv.file_path and im.local_name = sv.head),
+ byi as (select site_id, id target_id, 'import_' || kind kind, 0.95 confidence from asked join ex on ex.project = asked.project and ex.file_path = asked.module and ex.name = asked.want join df on df.project = asked.project and df.file_path = asked.module and df.name = asked.want where (asked.project, asked.module) not in (select project, file_path from bad)),
+ rest as (select * from sv where site_id not in (select site_id from asked)), same as (select site_id, id target_id, 'same_file' kind, 0.9 confidence from rest join df on df.project = rest.project and df.file_path = rest.file_path and df.name = rest.tail where not member),
+ al as (select project, name, id, count(*) over (partition by project, name) c from n where label in ('Function', 'Method'))
+"""
+
+
+@_g(
+    _V2
+    + "select site_id, target_id, kind, confidence::double confidence from byi union all select site_id, target_id, kind, confidence::double from same union all select site_id, al.id, 'name', round(case when member then least(0.3, 1.0 / c) else 1.0 / c end, 6)::double from rest join al on al.project = rest.project and al.name = rest.tail where site_id not in (select site_id from same)"
+)
 def d_calls_v2(g):
-    """The named calls of the graph, through imports, their own file, or candidates by name."""
-    src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), "file_path")
-    sites = g.edges.withColumn("callee", prop("callee")).where("callee is not null").join(src, "source_id")
-    sites = sites.select(F.col("id").alias("site_id"), F.col("p").alias("project"), "file_path", "callee", F.when(F.col("callee").contains("."), "member_call").otherwise("identifier_call").alias("call_kind"))
-    t = g.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("local_name"))
-    files = g.nodes.where("label = 'File'").select("project", "file_path")
-    one = g.edges.where("type = 'IMPORTS'").drop("project").join(src.withColumnRenamed("p", "project"), "source_id").join(t, "target_id")
-    imports = one.select("project", "file_path", "local_name", F.concat(F.lit("./"), "local_name").alias("source_module"), F.col("local_name").alias("imported_name"), F.lit("named").alias("import_kind")).distinct()
-    x = g.nodes.where(prop("is_exported").isin("true", "1") & (F.col("label") != "File"))
+    """The calls of the graph, a third of them as members of a namespace, through named and
+    namespace imports of the files that import each other, their own file, or by name."""
+    src = g.nodes.select(F.col("id").alias("source_id"), F.col("project").alias("p"), F.col("file_path").alias("f"))
+    t = g.nodes.select(F.col("id").alias("target_id"), "name", F.col("project").alias("tp"), F.col("file_path").alias("tf"))
+    both = lambda e: e.select("id", "source_id", "target_id").join(src, "source_id").join(t, "target_id")
+    member = F.col("id") % 3 == 0
+    sites = both(g.calls).select(F.col("id").alias("site_id"), F.col("p").alias("project"), F.col("f").alias("file_path"), F.when(member, F.concat(F.lit("ns."), "name")).otherwise(F.col("name")).alias("callee"), F.when(member, "member_call").otherwise("identifier_call").alias("call_kind"))
+    named = F.col("id") % 2 == 0
+    one = both(g.edges.where("type = 'IMPORTS'")).where("p = tp and f <> tf")
+    # a module is named by its path from the top, seen from the importing file's folder
+    depth = F.size(F.split(norm.graph_path(F.col("f")), "/")) - 1
+    module = F.concat(F.lit("./"), F.array_join(F.array_repeat(F.lit(".."), depth), "/"), F.lit("/"), norm.graph_path(F.col("tf")))
+    imports = one.select(F.col("p").alias("project"), F.col("f").alias("file_path"), F.when(named, F.col("name")).otherwise("ns").alias("local_name"), module.alias("source_module"), F.when(named, F.col("name")).alias("imported_name"), F.when(named, "named").otherwise("namespace").alias("import_kind")).distinct()
+    d = g.nodes.where("label in ('Function', 'Method')").select("id", "project", "file_path", "name")
     none = F.lit(None).cast("string")
-    exports = x.select("project", "file_path", F.col("name").alias("exported_name"), F.col("name").alias("local_name"), none.alias("source_module"), none.alias("imported_name"), F.lit("local_named").alias("export_kind"))
-    return V.resolve_sites(sites, imports, exports, g.nodes.where("label in ('Function', 'Method')").select("id", "project", "file_path", "name"), files)
+    exports = d.where("name is not null").select("project", "file_path", F.col("name").alias("exported_name"), F.col("name").alias("local_name"), none.alias("source_module"), none.alias("imported_name"), F.lit("local_named").alias("export_kind"))
+    return V.resolve_sites(sites, imports, exports, d, g.nodes.select("project", "file_path").distinct())
 
 
-@_g(f"select e.project, upper(coalesce({j('e', 'method')}, 'ANY')) as \"method\", regexp_replace({j('e', 'callee')}, ':[A-Za-z_]\\w*', '{{}}', 'g') path, count(*) n_calls from e where type = 'HTTP_CALLS' and {j('e', 'callee')} is not null group by 1, 2, 3")
+@_g(_HTTP + "select cp project, coalesce(m, 'ANY') as \"method\", path, count(*) n_calls from hc group by 1, 2, 3")
 def d_routes(g):
-    h = g.edges.where("type = 'HTTP_CALLS'").select("project", prop("method").alias("method"), prop("callee").alias("path"))
-    return V.route_nodes(h)
+    return V.route_nodes(_http_calls(g))
 
 
 @_g(
-    ", m as (select distinct o.id owner, o.label kind, c.project, c.name from e join n o on o.id = source_id and o.label in ('Class', 'Interface') join n c on c.id = target_id and c.label = 'Method' where e.type = 'DEFINES')"
+    ", m as (select distinct o.id owner, case when o.id % 2 = 0 then 'Class' else 'Interface' end kind, o.project, c.name from e join n o on o.id = source_id and o.label in ('Class', 'Interface', 'Function') join n c on c.id = target_id where e.type = 'CALLS')"
     " select c.owner class_id, i.owner interface_id from m c join m i on c.kind = 'Class' and i.kind = 'Interface' and c.project = i.project and c.name = i.name group by 1, 2 having count(*) = (select count(*) from m x where x.owner = i.owner)"
 )
 def d_semantic_rel(g):
-    """Classes that have all methods of an interface; interfaces without methods bind nobody."""
-    own = g.edges.where("type = 'DEFINES'").select(F.col("source_id").alias("owner_id"), "target_id")
-    o = g.nodes.where("label in ('Class', 'Interface')").select(F.col("id").alias("owner_id"), F.col("label").alias("kind"))
-    m = g.nodes.where("label = 'Method'").select(F.col("id").alias("target_id"), "project", "name")
+    """Owners that have all that another asks for, the names that classes and functions call
+    standing for methods: even ids as classes, odd ones as interfaces."""
+    own = g.calls.select(F.col("source_id").alias("owner_id"), "target_id").distinct()
+    o = g.nodes.where("label in ('Class', 'Interface', 'Function')").select(F.col("id").alias("owner_id"), "project", F.when(F.col("id") % 2 == 0, "Class").otherwise("Interface").alias("kind"))
+    m = g.nodes.select(F.col("id").alias("target_id"), "name")
     return D.implements(own.join(o, "owner_id").join(m, "target_id").select("owner_id", "kind", "project", "name"))
 
 
@@ -369,7 +593,7 @@ def g_leiden(g):
 @_g()
 def g_clusters(g):
     links = R.links(g, "CALLS")
-    return C.cluster_report(C.communities(links), links, g.nodes.select(F.col("id").alias("node"), "name"))
+    return C.cluster_report(C.communities(links), links, g.nodes.select(F.col("id").alias("node"), "name", "label", "qualified_name"))
 
 
 @_g()
@@ -377,14 +601,25 @@ def cap_dual(g):
     return C.dual_cap(g.edges, 8, 8).select("project", "source_id", "target_id", "type")
 
 
-@_t("""with n as (select distinct id from human_nodes where title ilike '%guard%'), s as (select distinct id from nodes where name ilike '%guard%')
- select 'note' "source", id, r from (select id, row_number() over (order by id) r from n) union all select 'code', id, r from (select id, row_number() over (order by id) r from s) order by r, 1, id limit 40""")
+@_g(
+    NOTES
+    + """, hn as (select id, row_number() over (order by id) r, count(*) over () total from notes where title ilike '%guard%' and coalesce(status, '') <> 'deprecated'), hs as (select id, row_number() over (order by id) r, count(*) over () total from n where name ilike '%guard%')
+ select 'note' "source", id, r, total from hn where r <= 40 union all select 'code', id, r, total from hs where r <= 40 order by r, 1, id limit 40"""
+)
+def _tool_interleave(g):
+    """The SQL of `tool_interleave`, which reads notes beside the graph."""
+
+
 def tool_interleave(spark, sf_dir):
-    """Code and notes in turn: the first of each, the second of each, and so on."""
-    notes = table(spark, sf_dir, "human_nodes").where(F.lower("title").contains("guard")).select("id").distinct().orderBy("id").limit(40)
-    code = table(spark, sf_dir, "nodes").where(F.lower("name").contains("guard")).select("id").distinct().orderBy("id").limit(40)
-    rank = lambda df, s: df.select(F.lit(s).alias("source"), "id", F.row_number().over(S.Window.orderBy("id")).alias("r"))  # noqa: E731 - 40 rows each
-    return rank(notes, "note").unionByName(rank(code, "code")).orderBy("r", "source", "id").limit(40)
+    """Code and notes in turn: the first of each, the second of each, and so on; `total` is how
+    many of the kind there are."""
+    g, notes = PropertyGraph.from_tables(spark, sf_dir), P.note_states(table(spark, sf_dir, "human_nodes"))
+    return T.interleaved(
+        {"note": notes.where(F.lower("title").contains("guard") & (F.coalesce("status", F.lit("")) != "deprecated")).select("id"), "code": g.nodes.where(F.lower("name").contains("guard")).select("id")}, 40
+    )
+
+
+_TABLE["tool_interleave"] = (tool_interleave, _TABLE.pop("_tool_interleave")[1])
 
 
 def queries() -> dict:

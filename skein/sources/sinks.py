@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.plans.graph import PropertyGraph
 from skein.session import materialize
+from skein.sources.readers import human_section
+from skein.streaming.changes import revision
 
 
 def latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
@@ -39,6 +42,11 @@ def delete_nodes(g: PropertyGraph, gone: Column) -> PropertyGraph:
     return PropertyGraph(g.nodes.join(dead, "id", "left_anti"), e.select(*g.edges.columns))
 
 
+def delete_edges(g: PropertyGraph, gone: Column) -> PropertyGraph:
+    """A graph without the edges that `gone` names."""
+    return PropertyGraph(g.nodes, g.edges.where(~gone))
+
+
 def merge_graphs(base: PropertyGraph, other: PropertyGraph) -> PropertyGraph:
     """One graph of two: nodes of one qualified name are one node, with the base's id and the
     other's values; edges of one (source, target, type) are one edge, whose properties the later
@@ -53,10 +61,15 @@ def merge_graphs(base: PropertyGraph, other: PropertyGraph) -> PropertyGraph:
     moved = other.edges.join(to.withColumnsRenamed({"old": "source_id", "new_id": "s"}), "source_id").join(to.withColumnsRenamed({"old": "target_id", "new_id": "t"}), "target_id")
     moved = moved.select("id", "project", F.col("s").alias("source_id"), F.col("t").alias("target_id"), "type", "properties_json", F.lit(1).alias("side"))
     every = base.edges.select("id", "project", "source_id", "target_id", "type", "properties_json", F.lit(0).alias("side")).unionByName(moved)
-    props = F.coalesce(F.from_json("properties_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
-    one = every.withColumn("m", props).groupBy("source_id", "target_id", "type").agg(F.min(F.struct("side", "id", "project")).alias("h"), F.sort_array(F.collect_list(F.struct("side", "id", F.map_entries("m").alias("e")))).alias("ms"))
-    merged = F.aggregate("ms", F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, v: ~F.exists(x["e"], lambda e: e["key"] == k)), F.map_from_entries(x["e"])))
-    edges = one.select(F.col("h.id").alias("id"), F.col("h.project").alias("project"), "source_id", "target_id", "type", F.to_json(merged).alias("properties_json"))
+    key = ["source_id", "target_id", "type"]
+    head = every.groupBy(*key).agg(F.min(F.struct("side", "id", "project")).alias("h"))
+    # key by key, so however many parallel edges there are, only their different keys meet
+    cells = every.select(*key, F.struct("side", "id").alias("at"), F.explode(F.from_json("properties_json", "map<string,string>")).alias("k", "v"))
+    last = cells.groupBy(*key, "k").agg(F.max_by("v", "at").alias("v"))
+    props = last.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("m"))
+    same = [head[c].eqNullSafe(props[c]) for c in key]
+    one = head.join(props, reduce(lambda a, b: a & b, same), "left").select(*[head[c] for c in key], "h", "m")
+    edges = one.select(F.col("h.id").alias("id"), F.col("h.project").alias("project"), *key, F.to_json(F.coalesce("m", F.create_map().cast("map<string,string>"))).alias("properties_json"))
     return PropertyGraph(nodes, edges)
 
 
@@ -74,14 +87,44 @@ def drop_project(spark: SparkSession, path: str, project: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def replace_files(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
+    """A table of rows by file (call sites, imports, exports) after some `files(project,
+    file_path)` were read again: their old rows go, and all of `new` comes; a file that now has no
+    rows has none left."""
+    return old.join(files.select("project", "file_path").distinct(), ["project", "file_path"], "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+#: The tables that hold a project's graph; what a file was once called is kept.
+PROJECT_TABLES = ("nodes", "edges", "file_hashes", "call_sites", "imports", "exports")
+
+
+def clear_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """The tables without the rows of a project, all of PROJECT_TABLES that are given; others, such
+    as an alias history, are as they were."""
+    keep = F.coalesce(F.col("project") != project, F.lit(True))
+    return {name: df.where(keep) if name in PROJECT_TABLES else df for name, df in tables.items()}
+
+
 def export_graph(g: PropertyGraph, path: str) -> None:
-    """The graph as two compressed tables."""
-    g.nodes.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/nodes")
-    g.edges.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/edges")
+    """The graph as two compressed tables, with their row counts and revisions beside them."""
+    for name, df in (("nodes", g.nodes), ("edges", g.edges)):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    _marks(g).write.mode("overwrite").json(f"{path}/marks")
+
+
+def _marks(g: PropertyGraph) -> DataFrame:
+    rows = [revision(df).withColumn("table", F.lit(name)) for name, df in (("nodes", g.nodes), ("edges", g.edges))]
+    return rows[0].unionByName(rows[1])
 
 
 def import_graph(spark: SparkSession, path: str) -> PropertyGraph:
-    return PropertyGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    """A graph from `export_graph`; an export that was cut off or changed since is an error."""
+    g = PropertyGraph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+    told = spark.read.schema("project string, revision string, table string").json(f"{path}/marks")
+    off = _marks(g).select("table", "project", "revision").exceptAll(told.select("table", "project", "revision")).limit(1).count()
+    if off or _marks(g).count() != told.count():
+        raise ValueError(f"the tables at {path} are not those that were exported")
+    return g
 
 
 def integrity(g: PropertyGraph, projects: DataFrame) -> DataFrame:
@@ -107,6 +150,54 @@ def backup(notes: DataFrame, path: str, dry_run: bool = False) -> int:
     return n
 
 
+def restore(spark: SparkSession, path: str, existing: DataFrame, dry_run: bool = False) -> tuple[DataFrame, int]:
+    """Notes with those of a backup put in by id, and how many came new; `dry_run` only counts
+    them. Ids that are there are kept as they are; a line that is no note is an error."""
+    told = spark.read.schema(existing.schema).option("mode", "FAILFAST").json(path)
+    new = told.where("id is not null").join(existing.select("id"), "id", "left_anti").select(*existing.columns)
+    n = new.count()
+    return (existing if dry_run else existing.unionByName(new)), n
+
+
+def keep_human(text: Column, before: Column) -> Column:
+    """A rendered note with what people wrote, between the marks of its old text, put behind it."""
+    kept = human_section(before)
+    marked = F.concat(F.lit("<!-- HUMAN NOTES -->\n"), kept, F.lit("<!-- /HUMAN NOTES -->\n"))
+    return F.when(kept.isNull(), text).otherwise(F.concat(F.regexp_replace(text, r"\n*\z", "\n"), marked))
+
+
+#: How many old texts of a note's file are kept.
+BACKUPS = 5
+
+
+def write_vault(notes: DataFrame, path: str, backups: int = BACKUPS) -> None:
+    """Notes as Markdown files below a folder of the shared file system, written by the executors.
+    A file that differs is first put aside as `name.bak-1`, older ones moving up to `backups`;
+    what people wrote between the marks is kept; files that are the same are left alone."""
+
+    def run(rows) -> None:
+        for r in rows:
+            at = Path(path) / r["path"]
+            old = at.read_text("utf-8") if at.exists() else None
+            text = r["text"]
+            if old is not None and "<!-- HUMAN NOTES -->" in old:
+                kept = old.split("<!-- HUMAN NOTES -->", 1)[1].split("<!-- /HUMAN NOTES -->", 1)[0].lstrip("\r\n")
+                text = text.rstrip("\n") + f"\n<!-- HUMAN NOTES -->\n{kept}<!-- /HUMAN NOTES -->\n"
+            if text == old:
+                continue
+            at.parent.mkdir(parents=True, exist_ok=True)
+            if old is not None:
+                for n in range(backups, 1, -1):
+                    if (older := at.with_name(f"{at.name}.bak-{n - 1}")).exists():
+                        older.replace(at.with_name(f"{at.name}.bak-{n}"))
+                at.replace(at.with_name(f"{at.name}.bak-1"))
+            fresh = at.with_name(f".{at.name}.new")
+            fresh.write_text(text, "utf-8")
+            fresh.replace(at)
+
+    render_notes(notes).groupBy("path").agg(F.max("text").alias("text")).foreachPartition(run)
+
+
 def render_notes(notes: DataFrame) -> DataFrame:
     """(path, text): notes as Markdown files with frontmatter."""
     front = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("type: "), "label"), F.concat(F.lit("status: "), "status"), F.concat(F.lit("tags: ["), F.array_join(F.coalesce("tags", F.array()), ", "), F.lit("]")), F.lit("---"), F.lit(""))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import json
+import time
+from collections import OrderedDict
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import materialize, size_of
+
 
 def incremental(old: DataFrame, new: DataFrame) -> DataFrame:
     """(project, file_path, change) between two states `(project, file_path, mtime_ns, size,
@@ -45,11 +53,132 @@ def poll_seconds(n_files: Column) -> Column:
 def revision(rows: DataFrame) -> DataFrame:
     """(project, revision): a token of each project's rows that changes with any of them and not
     with their order; it is combined before the shuffle."""
-    mark = F.xxhash64(*[x for c in rows.columns for x in (F.isnull(c), F.col(c))])
+    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rows.columns])
+    mark = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
     parts = rows.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("s"))
     return parts.select("project", F.md5(F.concat_ws(":", "n", "x", "s")).alias("revision"))
 
 
+class StaleCursor(ValueError):
+    """A page was asked for by a cursor of another state of the table."""
+
+
+def cursor(token: str, *place: object) -> str:
+    """A place in a listing, bound to the revision it was read at."""
+    return base64.urlsafe_b64encode(json.dumps([token, *place]).encode()).decode()
+
+
+def resumed(text: str, token: str) -> list:
+    """The place a cursor names, if the table is still at the revision `token`; else `StaleCursor`,
+    upon which the reader begins again."""
+    try:
+        was, *place = json.loads(base64.urlsafe_b64decode(text.encode()))
+    except (ValueError, TypeError) as e:
+        raise ValueError("no cursor") from e
+    if was != token:
+        raise StaleCursor(f"the table went from {was} to {token}")
+    return place
+
+
+def rederived(change: DataFrame, old: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows by file after `change(project, file_path, change)`, see `incremental`: those of unchanged
+    files as they were in `old`, those of new and changed files from `derive(files)`, and none of
+    deleted ones. If files were only deleted nothing is derived."""
+    key = ["project", "file_path"]
+    todo = change.where(F.col("change").isin("new", "changed")).select(*key)
+    kept = old.join(change.where("change = 'unchanged'").select(*key), key, "left_semi").select(*old.columns)
+    return kept if todo.isEmpty() else kept.unionByName(derive(todo).select(*old.columns))
+
+
+class Watcher:
+    """What changed below a folder since the last look. The state of the last look lies in the
+    shared folder, so a watcher that is opened again goes on where it was; a look that fails
+    changes nothing. Files are listed by the executors and not read."""
+
+    def __init__(self, spark: SparkSession, root: str, state: str, pattern: str = "*"):
+        self.spark, self.root, self.state, self.pattern = spark, root, state, pattern
+
+    def _seen(self, at: str) -> DataFrame | None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(at)
+        return self.spark.read.parquet(at) if p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+    def look(self) -> DataFrame:
+        """(project, file_path, change) of the files that are new, changed or deleted."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", self.pattern).load(self.root)
+        none = F.lit(None).cast("string")
+        now = files.select(F.lit(self.root).alias("project"), F.col("path").alias("file_path"), F.col("modificationTime").cast("string").alias("mtime_ns"), F.col("length").alias("size"), none.alias("content_hash"))
+        now = materialize(now, "listing")
+        was = self._seen(self.state)
+        out = materialize(incremental(now.where(F.lit(False)) if was is None else materialize(was, "listing"), now).where("change <> 'unchanged'"), "changes")
+        now.write.mode("overwrite").parquet(self.state)
+        return out
+
+    def watch(self, act: Callable[[DataFrame], None], looks: int, pause: float | None = None, quiet: float = 0.5) -> int:
+        """Look `looks` times, `pause` seconds apart (by default by the number of files, see
+        `poll_seconds`), and call `act` with what changed once it has been quiet for `quiet`
+        seconds: changes that come while it waits are told together. Returns how often it acted."""
+        acted = 0
+        for n in range(looks):
+            seen = self.look()
+            if not seen.isEmpty():
+                time.sleep(quiet)
+                while not (more := self.look()).isEmpty():
+                    last = seen.join(more.select("project", "file_path"), ["project", "file_path"], "left_anti")
+                    seen = materialize(last.unionByName(more), "changes")
+                    time.sleep(quiet)
+                act(seen)
+                acted += 1
+            if n + 1 < looks:
+                time.sleep(min(60, 5 + self.spark.read.parquet(self.state).count() // 500) if pause is None else pause)
+        return acted
+
+
+class RevisionCache:
+    """Results kept by key and revision: a result is fresh for `fresh` seconds, then stale for as
+    long again, when it is still served while `refresh` builds it anew, and gone after that. Results
+    that are asked for often stay fresh longer, up to `longest` seconds; a result of another
+    revision is never served. The least recently used go when all take more than `most_bytes`, as
+    Spark estimates their size. Results are tables in the shared folder, so losing an executor
+    loses none."""
+
+    def __init__(self, fresh: float = 30, longest: float = 120, most_bytes: int = 1 << 30, clock: Callable[[], float] = time.monotonic):
+        self.fresh, self.longest, self.most_bytes, self.clock = fresh, longest, most_bytes, clock
+        self.kept: OrderedDict[str, dict] = OrderedDict()
+        self.counts = {"fresh": 0, "stale": 0, "miss": 0}
+
+    def get(self, key: str, token: str, build: Callable[[], DataFrame]) -> DataFrame:
+        entry, now = self.kept.get(key), self.clock()
+        if entry is None or entry["token"] != token or now >= entry["at"] + 2 * entry["ttl"]:
+            self.counts["miss"] += 1
+            return self._put(key, token, build)
+        self.kept.move_to_end(key)
+        entry["hits"] += 1
+        if now < entry["at"] + entry["ttl"]:
+            self.counts["fresh"] += 1
+        else:
+            self.counts["stale"] += 1
+            entry["wanted"] = build
+        return entry["df"]
+
+    def refresh(self) -> int:
+        """Build anew what was served stale; for whoever has time between questions."""
+        due = [(k, e) for k, e in self.kept.items() if e["wanted"] is not None]
+        for key, e in due:
+            self._put(key, e["token"], e["wanted"])
+        return len(due)
+
+    def _put(self, key: str, token: str, build: Callable[[], DataFrame]) -> DataFrame:
+        old = self.kept.pop(key, None)
+        hits = old["hits"] if old is not None and old["token"] == token else 0
+        ttl = min(self.longest, self.fresh * (4 if hits >= 10 else 2 if hits >= 3 else 1))
+        df = materialize(build(), "cached")
+        self.kept[key] = {"df": df, "token": token, "at": self.clock(), "ttl": ttl, "hits": hits, "bytes": size_of(df), "wanted": None}
+        while len(self.kept) > 1 and sum(e["bytes"] for e in self.kept.values()) > self.most_bytes:
+            self.kept.popitem(last=False)
+        return df
+
+
 def apply_batches(stream: DataFrame, path: str, write, checkpoint: str):
     """Run `write(batch, path)` for every micro-batch of a change feed, exactly once per batch id
     with an idempotent `write`."""

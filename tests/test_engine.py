@@ -289,9 +289,21 @@ def test_calls_through_imports(spark):
 
 
 def test_registry_resolution_routes_and_coupling(spark):
-    defs = spark.createDataFrame([(1, "p", "src/a/x.ts", "f"), (2, "p", "src/b/y.ts", "f"), (3, "p", "src/b/z.ts", "one")], "id bigint, project string, file_path string, name string")
-    sites = spark.createDataFrame([(10, "p", "src/b/q.ts", "f"), (11, "p", "src/a/x.ts", "f"), (12, "p", "w.ts", "one"), (13, "p", "w.ts", "no")], "site_id bigint, project string, file_path string, callee string")
-    assert rows(D.resolve_calls(sites, defs)) == [(10, 2, "suffix_match", 0.55), (11, 1, "same_module", 0.9), (12, 3, "unique_name", 0.75)]
+    defs = spark.createDataFrame(
+        [(1, "p", "src/a/x.ts", "f", "src.a.x.f"), (2, "p", "src/b/y.ts", "f", "src.b.y.f"), (3, "p", "src/b/z.ts", "one", "src.b.z.one"), (4, "p", "src/b/test_y.ts", "f", "src.b.test_y.f"), (5, "p", "src/c/v.ts", "Twin", "src.c.v.A.Twin"), (6, "p", "src/c/v.ts", "Twin", "src.c.v.B.Twin")],
+        "id bigint, project string, file_path string, name string, qualified_name string",
+    )
+    asked = {10: ("src/b/q.ts", "f"), 11: ("src/a/x.ts", "f"), 12: ("w.ts", "one"), 13: ("w.ts", "no"), 14: ("w.ts", "B.Twin"), 15: ("w.ts", "ONE"), 16: ("w.ts", "twin"), 17: ("w.ts", "lib.f"), 18: ("w.ts", "own")}
+    sites = spark.createDataFrame([(i, "p", f, c) for i, (f, c) in asked.items()], "site_id bigint, project string, file_path string, callee string")
+    imports = spark.createDataFrame([("p", "w.ts", "lib", 3), ("p", "w.ts", "own", 1)], "project string, file_path string, local_name string, target_id bigint")
+    far = defs.unionByName(defs.where("id = 3").withColumn("id", F.lit(7).cast("bigint")).withColumn("name", F.lit("f")).withColumn("qualified_name", F.lit("src.b.z.f")))
+    assert rows(D.resolve_calls(sites, defs)) == [(10, 2, "suffix_match", 0.55), (11, 1, "same_module", 0.9), (12, 3, "unique_name", 0.75), (14, 6, "qualified_tail", 0.9), (15, 3, "fuzzy", 0.4), (16, 5, "fuzzy_many", 0.3), (17, 1, "suffix_match", 0.55)]
+    got = {r[0]: r[1:] for r in rows(D.resolve_calls(sites, far, imports))}
+    assert got[17] == (7, "import_map_suffix", 0.85) and got[18] == (1, "import_map", 0.95)
+    flows = V.route_flows(spark.createDataFrame([(1, "get", "/u/:id"), (2, None, "/v")], "caller_id bigint, method string, path string"), spark.createDataFrame([(7, "GET", "/u/{x}"), (8, "ANY", "/v"), (9, "POST", "/v")], "handler_id bigint, method string, path string"))
+    assert rows(flows) == [(1, 7), (2, 8)]
+    tests = spark.createDataFrame([("p", "a/x.test.ts"), ("p", "a/x.ts"), ("p", "b/test_y.py"), ("p", "b/y.py"), ("p", "c/z_test.go")], "project string, file_path string")
+    assert rows(D.tests_files(tests)) == [("p", "a/x.test.ts", "a/x.ts"), ("p", "b/test_y.py", "b/y.py")]
     calls = spark.createDataFrame([(1, "a", "get", "/u/:id"), (2, "a", "post", "/u/{x}"), (3, "a", "get", "/none")], "call_id bigint, project string, method string, path string")
     rts = spark.createDataFrame([(7, "b", "GET", "/u/<n>"), (8, "b", "ANY", "/u/{id}"), (9, "a", "GET", "/none")], "route_id bigint, project string, method string, path string")
     assert rows(D.route_matches(calls, rts)) == [(1, 7), (2, 8)]
@@ -299,12 +311,15 @@ def test_registry_resolution_routes_and_coupling(spark):
     assert [(r["a"], r["b"], r["n"], r["score"]) for r in D.coupling(commits).collect()] == [("x", "y", 4, 1.0)]
     m = spark.createDataFrame([(1, "Class", "p", "a"), (1, "Class", "p", "b"), (2, "Interface", "p", "a"), (3, "Interface", "p", "a"), (3, "Interface", "p", "c")], "owner_id bigint, kind string, project string, name string")
     assert rows(D.implements(m)) == [(1, 2)]
+    keys = spark.createDataFrame([(1, "p", "Max_Size"), (2, "p", "abc"), (3, "q", "maxsize"), (4, "p", None)], "id bigint, project string, name string")
+    symbols = spark.createDataFrame([(5, "p", "maxSize"), (6, "p", "getMaxSizeOf"), (7, "p", "xabcx"), (8, "p", "ABC"), (9, "p", "")], "id bigint, project string, name string")
+    assert rows(D.config_links(keys, symbols)) == [(1, 5, 0.85), (1, 6, 0.75), (2, 8, 0.85)]
 
 
 def test_guard_and_aspects(small):
-    assert V.guarded(small.nodes, 100).count() == 5
-    with pytest.raises(ValueError):
-        V.guarded(small.nodes, 5)
+    assert query(small, "MATCH (n) RETURN n.id AS id", ceiling=100).count() == 5
+    with pytest.raises(syntax.QueryError):
+        query(small, "MATCH (n) RETURN n.id AS id", ceiling=5)
     with pytest.raises(ValueError):
         architecture(small, ["nothing"])
     assert set(architecture(small, ["languages", "overview"])) > {"languages", "layers"}
@@ -462,7 +477,7 @@ def test_discover_and_vault(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("---\ntype: adr\ntitle: 'T'\n---\nbody [[1]]" if p.endswith(".md") else "x")
     got = rows(readers.discover(spark, str(tmp_path), ["*.min.ts", "/gen/", "# no", ""]).select("path", "language"))
-    assert got == [("src/a.ts", "TypeScript")]
+    assert got == [("docs/n.md", "Markdown"), ("src/a.ts", "TypeScript")]
     note = readers.vault(spark, str(tmp_path)).first()
     assert note["frontmatter"] == {"type": "adr", "title": "T"} and note["body"] == "body [[1]]"
 
@@ -560,3 +575,142 @@ def test_p99(spark):
         want[k] = v[math.floor(len(v) * 0.99)]
     got = {r["k"]: r["p99"] for r in X.p99(spark.createDataFrame(data, "k string, v double"), ["k"], "v").collect()}
     assert got == want
+
+
+def test_literal_hits_are_all_found(spark):
+    df = spark.createDataFrame([(1, "a.b a.b\nxa.ba.b"), (2, None), (3, "")], "doc_id bigint, text string")
+    assert rows(T.literal_hits(df, ["a.b", "x", "a.b", ""])) == [(1, 1, "a.b", 1), (1, 1, "a.b", 5), (1, 2, "a.b", 2), (1, 2, "a.b", 5), (1, 2, "x", 1)]
+    assert T.literal_hits(df, [""]).count() == 0
+
+
+def test_more_keywords_than_a_question_may_have(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id bigint, v array<double>")
+    assert [r["id"] for r in S.keyword_search(v, [[1.0, 0.1]]).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        S.keyword_search(v, [[1.0, 0.0]] * 33)
+    one = v.select("id", S.quantized(F.col("v")).alias("q")).withColumn("c", S.cosine_i8(F.col("q"), F.array(F.lit(127), F.lit(0)).cast("array<tinyint>")))
+    assert {r["id"]: r["c"] for r in one.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_similar_sets_of_one_frequent_item(spark):
+    rng = random.Random(3)
+    sets = [(i, sorted({0, *rng.sample(range(1, 12), rng.randrange(0, 8))})) for i in range(60)]
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8}
+    got = {(r["a"], r["b"]) for r in S.similar_sets(spark.createDataFrame(sets, "class_id bigint, items array<bigint>"), 0.8).collect()}
+    assert got == want
+
+
+def test_exports_over_many_files(spark):
+    chain = [(f"f{i}", None, None, None, f"f{i + 1}", "star_re_export") for i in range(30)] + [("f30", "x", "x", None, None, "local_named"), ("f30", None, None, None, "f0", "star_re_export")]
+    ex = spark.createDataFrame(chain, "file_path string, exported_name string, local_name string, imported_name string, source_file string, export_kind string")
+    got = rows(D.resolve_exports(ex, spark.createDataFrame([("f0", "x"), ("f0", "y")], "file_path string, name string")))
+    assert got == sorted([("f0", "x", "resolved", "f30", "x"), ("f0", "y", "missing", None, None)], key=str)
+
+
+def test_ignore_rules(spark):
+    names = ["a.py", "src/b.py", "src/gen/c.ts", "src/keep/gen/d.ts", "docs/e.md", "build/f.ts", "src/x/deep/y/g.ts", "src/h[1].ts", "node_modules/i.ts", "lib/tests/j.py"]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    kept = lambda *rules, **k: sorted(r["path"] for r in readers.kept_paths(files, spark.createDataFrame(list(rules), "folder string, n int, pattern string"), **k).collect())
+    every = [n for n in names if n != "node_modules/i.ts"]
+    assert kept(("", 0, "#x")) == sorted(every)
+    assert kept(("", 0, "*.py"), ("", 1, "!tests/")) == sorted(set(every) - {"a.py", "src/b.py"})
+    assert kept(("src", 0, "/gen/")) == sorted(set(every) - {"src/gen/c.ts"})
+    assert kept(("", 0, "gen/"), ("src/keep", 0, "!gen/")) == sorted(set(every) - {"src/gen/c.ts"})
+    assert kept(("", 0, "src/**/y"), ("", 1, "h[1].*")) == sorted(set(every) - {"src/x/deep/y/g.ts", "src/h[1].ts"})
+    assert kept(("", 0, "nothing"), fast=True) == sorted(set(every) - {"docs/e.md", "build/f.ts"})
+
+
+def test_values_are_carried_over_ranges(spark):
+    df = spark.createDataFrame([("a", i, f"h{i}" if i % 7 == 0 else None) for i in range(40)] + [("b", 3, None)], "repo string, n int, v string")
+    got = {(r["repo"], r["n"]): r["carried"] for r in readers.carried(df, "repo", "n", F.col("v"), span=5).collect()}
+    assert got == {("a", i): f"h{i - i % 7}" for i in range(40)} | {("b", 3): None}
+
+
+def test_notes_made_changed_and_deleted(spark):
+    old = spark.createDataFrame([(5, "p", "a", "a"), (6, "p", "b", "b-2")], "id bigint, project string, title string, slug string")
+    new = spark.createDataFrame([("p", "A"), ("p", "b"), ("q", "a")] + [("r", f"t{i:03d}") for i in range(50)], "project string, title string")
+    made = {(r["project"], r["slug"]): r["id"] for r in M.create(old, new.repartition(7)).collect()}
+    assert made[("p", "a-2")] == 7 and made[("q", "a")] == 9 and sorted(made.values()) == list(range(5, 60))
+    assert [made[("r", f"t{i:03d}")] for i in range(50)] == list(range(10, 60))
+    changed = M.update(old, spark.createDataFrame([(6, "B", None), (9, "x", "x")], "id bigint, title string, slug string"))
+    assert rows(changed) == [(5, "p", "a", "a"), (6, "p", "B", "b-2")]
+    assert rows(M.delete(changed, old.where("id = 5"))) == [(6, "p", "B", "b-2")]
+
+
+def test_vault_keeps_what_people_wrote(spark, tmp_path):
+    note = lambda body: spark.createDataFrame([(1, "x/n.md", "n", body, "ADR", "active", [])], "id bigint, obsidian_path string, slug string, body_markdown string, label string, status string, tags array<string>")
+    sinks.write_vault(note("one\n"), str(tmp_path))
+    at = tmp_path / "x" / "n.md"
+    at.write_text(at.read_text() + "<!-- HUMAN NOTES -->\nby hand\n<!-- /HUMAN NOTES -->\n")
+    for body in ("two\n", "two\n", "three\n"):
+        sinks.write_vault(note(body), str(tmp_path), backups=2)
+    assert at.read_text().endswith("three\n<!-- HUMAN NOTES -->\nby hand\n<!-- /HUMAN NOTES -->\n")
+    assert sorted(p.name for p in at.parent.iterdir() if ".crc" not in p.name) == ["n.md", "n.md.bak-1", "n.md.bak-2"]
+    assert "two" in (at.parent / "n.md.bak-1").read_text() and "one" in (at.parent / "n.md.bak-2").read_text()
+
+
+def test_an_artifact_that_was_changed_is_refused(spark, small, tmp_path):
+    sinks.export_graph(small, str(tmp_path / "g"))
+    assert sinks.import_graph(spark, str(tmp_path / "g")).edges.count() == small.edges.count()
+    small.nodes.where("id > 1").write.mode("overwrite").parquet(str(tmp_path / "g" / "nodes"))
+    with pytest.raises(ValueError):
+        sinks.import_graph(spark, str(tmp_path / "g"))
+
+
+def test_watcher_tells_changes_once(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "a.md").write_text("1")
+    w = X.Watcher(spark, str(tmp_path / "v"), str(tmp_path / "state"), "*.md")
+    told = lambda df: sorted((r["file_path"].rsplit("/", 1)[1], r["change"]) for r in df.collect())
+    assert told(w.look()) == [("a.md", "new")] and told(w.look()) == []
+    (tmp_path / "v" / "a.md").write_text("12")
+    (tmp_path / "v" / "b.md").write_text("1")
+    seen = []
+    assert X.Watcher(spark, str(tmp_path / "v"), str(tmp_path / "state"), "*.md").watch(lambda df: seen.append(told(df)), 2, pause=0, quiet=0) == 1
+    assert seen == [[("a.md", "changed"), ("b.md", "new")]]
+    (tmp_path / "v" / "a.md").unlink()
+    assert told(w.look()) == [("a.md", "deleted")]
+
+
+def test_cache_serves_stale_results_and_forgets(spark):
+    now, built = [0.0], []
+    c = X.RevisionCache(fresh=10, longest=40, clock=lambda: now[0])
+    df = lambda n: (lambda: built.append(n) or spark.createDataFrame([(n,)], "n int"))
+    get = lambda n, token="r1": c.get("k", token, df(n)).first()["n"]
+    assert get(1) == 1 and get(2) == 1
+    now[0] = 15
+    assert get(3) == 1 and c.refresh() == 1 and get(4) == 3
+    now[0] = 100
+    assert get(5) == 5 and get(6, "r2") == 6
+    assert built == [1, 3, 5, 6] and c.counts == {"fresh": 2, "stale": 1, "miss": 3}
+    small = X.RevisionCache(most_bytes=1)
+    small.get("a", "r", df(7))
+    small.get("b", "r", df(8))
+    assert list(small.kept) == ["b"]
+    text = X.cursor("r1", 5, "x")
+    assert X.resumed(text, "r1") == [5, "x"]
+    with pytest.raises(X.StaleCursor):
+        X.resumed(text, "r2")
+
+
+def test_facade(spark, tmp_path):
+    from skein.api import Engine
+
+    e = Engine(spark, "/root/testdata/sf0.001")
+    assert e.query_graph("MATCH (f:Function) RETURN count(f) AS n").first()["n"] > 0
+    assert e.search_graph(label="Class").count() > 0 and e.get_code_snippet("ts::logEvent", "atlas-core").first()["how"] == "suffix"
+    assert e.list_projects().count() > 0 and set(e.get_architecture(["languages"])) == {"languages"}
+    note = e.create_human_note("atlas-core", "ADR", "Fresh decision")
+    assert note.where("title = 'Fresh decision'").first()["slug"] == "fresh-decision"
+    with pytest.raises(ValueError):
+        e.create_human_note("atlas-core", "ADR", " ")
+
+
+def test_caps_are_the_same_by_joins_and_in_one_task(spark):
+    rng = random.Random(12)
+    kinds = ["CALLS", "CONTAINS", "IMPORTS", "USAGE"]
+    edges = [(i, rng.choice("pq"), rng.choice([0, rng.randrange(9)]), rng.choice([1, rng.randrange(9)]), rng.choice(kinds)) for i in range(60)] + [(99, None, 1, 2, None)]
+    df = spark.createDataFrame(edges, "id bigint, project string, source_id bigint, target_id bigint, type string")
+    one = sorted(r["id"] for r in C.dual_cap(df, 3, 2).collect())
+    for small in (0, 20):
+        assert sorted(r["id"] for r in C.dual_cap(df, 3, 2, small).collect()) == one
