@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import qn_package
+from skein.operators.cycles import connected
 from skein.operators.reach import components
-from skein.session import materialize
+from skein.session import materialize, release
 
 #: Up to so many edges, what is left of a graph is clustered in one task, by the same rule.
 SMALL = 250_000
@@ -23,53 +24,98 @@ def _mix(n: int) -> tuple[int, int]:
     return 1103515245 + 2 * (n * 40503 % 65536), n * 12345 % 65536
 
 
-def _moved(edges: pd.DataFrame, nodes: pd.DataFrame, total: int, n: int) -> pd.DataFrame | None:
-    """`nodes(node, k, within, comm)` after one round over `edges(a, b, w)`, or None if no move
+def _grouped_cumsum(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The running sum of x within each group, in the order given."""
+    order = np.argsort(group, kind="stable")
+    run = np.cumsum(x[order])
+    first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(group) else np.empty(0, np.int64)
+    base = np.repeat(run[first] - x[order][first], np.diff(np.r_[first, len(group)]))
+    out = np.empty_like(run)
+    out[order] = run - base
+    return out
+
+
+def _moved(e: tuple, ids: np.ndarray, k: np.ndarray, within: np.ndarray, comm: np.ndarray, n_labels: int, total: int, n: int) -> np.ndarray | None:
+    """`comm` after one round over the edges (a, b, w) of nodes 0..len(ids), or None if no move
     gains. See `communities` for the rule; all numbers are whole, so joins give the same."""
-    of = nodes.set_index("node")
-    e = edges.assign(c=of["comm"].reindex(edges["b"]).to_numpy(), same=of["within"].reindex(edges["a"]).to_numpy() == of["within"].reindex(edges["b"]).to_numpy())
-    votes = e[e["same"]].groupby(["a", "c"], as_index=False)["w"].sum()
-    votes["k"], votes["own"] = of["k"].reindex(votes["a"]).to_numpy(), of["comm"].reindex(votes["a"]).to_numpy()
-    weight = nodes.groupby("comm")["k"].sum()
-    home = votes[votes["c"] == votes["own"]].set_index("a")["w"]
-    v = votes[votes["c"] != votes["own"]].copy()
-    stay = home.reindex(v["a"]).fillna(0).astype("int64").to_numpy()
-    v["gain"] = (v["w"] - stay) * total - v["k"] * (weight.reindex(v["c"]).to_numpy() - weight.reindex(v["own"]).to_numpy() + v["k"])
-    v = v[v["gain"] > 0].sort_values(["a", "gain", "c"], ascending=[True, False, True]).drop_duplicates("a")
-    if v.empty:
+    a, b, w = e
+    inner = within[a] == within[b]
+    key = a[inner] * n_labels + comm[b[inner]]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.empty(0, np.int64)
+    if not len(starts):
+        return None
+    votes = np.add.reduceat(w[inner][order], starts)
+    va, vc = key[starts] // n_labels, key[starts] % n_labels
+    weight = np.bincount(comm, weights=k, minlength=n_labels).astype(np.int64)
+    stay = np.zeros(len(ids), np.int64)
+    home = vc == comm[va]
+    stay[va[home]] = votes[home]
+    va, vc, votes = va[~home], vc[~home], votes[~home]
+    gain = (votes - stay[va]) * total - k[va] * (weight[vc] - weight[comm[va]] + k[va])
+    up = gain > 0
+    va, vc, gain = va[up], vc[up], gain[up]
+    if not len(va):
         return None
+    order = np.lexsort((vc, -gain, va))
+    va, vc, gain = va[order], vc[order], gain[order]
+    best = np.r_[True, np.diff(va) != 0]
+    va, vc, gain = va[best], vc[best], gain[best]
     factor, offset = _mix(n)
-    v["h"] = (v["a"] % 2147483647 * factor + offset) % 2147483629
-    v = v.sort_values(["gain", "h", "a"], ascending=False)
-    v["r"] = np.arange(len(v))
-    into, out = v.groupby("c")["r"].min(), v.groupby("own")["r"].min()
-    open_ = lambda c: (into.reindex(c).fillna(len(v)).to_numpy() < out.reindex(c).fillna(len(v)).to_numpy())
-    v = v[open_(v["c"]) & ~open_(v["own"])]
-    before = v.groupby("c")["k"].cumsum() + v.groupby("own")["k"].cumsum() - 2 * v["k"]
-    v = v[v["gain"] - v["k"] * before > 0].set_index("a")["c"]
-    return nodes.assign(comm=v.reindex(nodes["node"]).fillna(nodes.set_index("node")["comm"]).astype("int64").to_numpy())
-
-
-def _settled(edges: pd.DataFrame, nodes: pd.DataFrame, total: int) -> pd.DataFrame:
+    h = (ids[va] % 2147483647 * factor + offset) % 2147483629
+    order = np.lexsort((-va, -h, -gain))
+    va, vc, gain = va[order], vc[order], gain[order]
+    own = comm[va]
+    r = np.arange(len(va))
+    into, out = np.full(n_labels, len(va)), np.full(n_labels, len(va))
+    np.minimum.at(into, vc, r)
+    np.minimum.at(out, own, r)
+    open_ = into < out
+    ok = open_[vc] & ~open_[own]
+    va, vc, own, gain = va[ok], vc[ok], own[ok], gain[ok]
+    before = _grouped_cumsum(vc, k[va]) + _grouped_cumsum(own, k[va]) - 2 * k[va]
+    ok = gain - k[va] * before > 0
+    new = comm.copy()
+    new[va[ok]] = vc[ok]
+    return new
+
+
+def _settled(e: tuple, ids: np.ndarray, k: np.ndarray, within: np.ndarray, comm: np.ndarray, n_labels: int, total: int) -> np.ndarray:
     n = 0
-    while (new := _moved(edges, nodes, total, n)) is not None:
-        nodes, n = new, n + 1
-    return nodes
+    while (new := _moved(e, ids, k, within, comm, n_labels, total, n)) is not None:
+        comm, n = new, n + 1
+    return comm
 
 
 def _clustered(edges: pd.DataFrame, nodes: pd.DataFrame, total: int) -> dict[int, int]:
     """Community of every node of `nodes(node, k, comm)`: the levels that are left, in one task."""
-    final = {u: u for u in nodes["node"]}
+    start = nodes["node"].to_numpy()
+    labels = np.unique(np.concatenate([start, nodes["comm"].to_numpy()]))
+    at = lambda x: np.searchsorted(labels, x)  # noqa: E731 - places keep the order of the names
+    order = np.argsort(start)
+    ids, k, comm = start[order], nodes["k"].to_numpy(np.int64)[order], at(nodes["comm"].to_numpy()[order])
+    a, b, w = (edges[c].to_numpy(np.int64) for c in "abw")
+    e = (np.searchsorted(ids, a), np.searchsorted(ids, b), w)
+    final = np.arange(len(ids))  # the current node of each node of the start
+    names = ids.copy()
     while True:
-        nodes = _settled(edges, nodes.assign(within=0), total)
-        fine = _settled(edges, nodes.assign(within=nodes["comm"], comm=nodes["node"]), total)
-        comm, part = dict(zip(nodes["node"], nodes["comm"], strict=True)), dict(zip(fine["node"], fine["comm"], strict=True))
-        if fine["comm"].nunique() == len(fine):
-            return {u: comm[c] for u, c in final.items()}
-        final = {u: part[c] for u, c in final.items()}
-        nodes = fine.groupby("comm", as_index=False).agg(k=("k", "sum"), within=("within", "first")).rename(columns={"comm": "node", "within": "comm"})
-        e = edges.assign(a=edges["a"].map(part), b=edges["b"].map(part))
-        edges = e[e["a"] != e["b"]].groupby(["a", "b"], as_index=False)["w"].sum()
+        comm = _settled(e, ids, k, np.zeros(len(ids), np.int64), comm, len(labels), total)
+        fine = _settled(e, ids, k, comm, at(ids), len(labels), total)
+        parts, part = np.unique(fine, return_inverse=True)
+        if len(parts) == len(ids):
+            return dict(zip(names.tolist(), labels[comm[final]].tolist(), strict=True))
+        final = part[final]
+        first = np.full(len(parts), len(ids))
+        np.minimum.at(first, part, np.arange(len(ids)))
+        ids, comm, k = labels[parts], comm[first], np.bincount(part, weights=k).astype(np.int64)
+        a, b = part[e[0]], part[e[1]]
+        key, w = (a * len(parts) + b)[a != b], e[2][a != b]
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.empty(0, np.int64)
+        w = np.add.reduceat(w[order], starts) if len(starts) else w
+        key = key[order][starts]
+        e = (key // len(parts), key % len(parts), w)
 
 
 def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
@@ -80,7 +126,10 @@ def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
         return {u: u for u in edges}
     e = pd.DataFrame(rows, columns=["a", "b", "w"])
     nodes = e.groupby("a", as_index=False)["w"].sum().set_axis(["node", "k"], axis=1)
-    final = {u: u for u in edges} | _clustered(e, nodes.assign(comm=nodes["node"]), int(e["w"].sum()))
+    return _named({u: u for u in edges} | _clustered(e, nodes.assign(comm=nodes["node"]), int(e["w"].sum())))
+
+
+def _named(final: dict[int, int]) -> dict[int, int]:
     names: dict[int, int] = {}
     for u in sorted(final):
         names.setdefault(final[u], u)
@@ -89,7 +138,7 @@ def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
 
 def _settled_by_joins(edges: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """As `_settled`, one round after another as joins."""
-    n = 0
+    n, last = 0, None
     while True:
         w = nodes.groupBy("comm").agg(F.sum("k").alias("weight"))
         at = nodes.join(w, "comm").select(F.col("node").alias("a"), "k", "within", F.col("comm").alias("own"), F.col("weight").alias("held"))
@@ -104,6 +153,7 @@ def _settled_by_joins(edges: DataFrame, nodes: DataFrame, total: int) -> DataFra
         best = materialize(best, "moves")
         if best.isEmpty():
             return nodes
+        release(last)
         n += 1
         ends = best.select(F.explode(F.array(F.struct(F.col("c").alias("x"), F.lit(True).alias("in")), F.struct(F.col("own").alias("x"), F.lit(False).alias("in")))).alias("p"), "key")
         ends = ends.groupBy(F.col("p.x").alias("x")).agg(F.max(F.when(F.col("p.in"), F.col("key"))).alias("i"), F.max(F.when(~F.col("p.in"), F.col("key"))).alias("o"))
@@ -111,7 +161,9 @@ def _settled_by_joins(edges: DataFrame, nodes: DataFrame, total: int) -> DataFra
         ok = best.join(open_.withColumnRenamed("x", "c"), "c", "left_semi").join(open_.withColumnRenamed("x", "own"), "own", "left_anti")
         before = lambda p: F.sum("k").over(Window.partitionBy(p).orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("k")
         ok = ok.withColumn("i", before("c")).withColumn("o", before("own")).where("gain - k * (i + o) > 0")
-        nodes = materialize(nodes.join(ok.select(F.col("a").alias("node"), F.col("c").alias("new")), "node", "left").select("node", "k", "within", F.coalesce("new", "comm").alias("comm")), "nodes")
+        was, nodes = nodes, materialize(nodes.join(ok.select(F.col("a").alias("node"), F.col("c").alias("new")), "node", "left").select("node", "k", "within", F.coalesce("new", "comm").alias("comm")), "nodes")
+        release(best)
+        last = was if n > 1 else None  # the first state is the caller's
 
 
 def communities(links: DataFrame) -> DataFrame:
@@ -133,6 +185,18 @@ def communities(links: DataFrame) -> DataFrame:
     total = edges.agg(F.sum("w")).first()[0]
     if total is None:
         return nodes.select("node", F.col("comm").alias("community"))
+    if whole.count() <= SMALL:
+
+        def all_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            both = pd.concat([pdf[["a", "b", "w"]], pdf[["b", "a", "w"]].set_axis(["a", "b", "w"], axis=1)])
+            held = both.groupby("a", as_index=False)["w"].sum().set_axis(["node", "k"], axis=1)
+            got = _clustered(both, held.assign(comm=held["node"]), total)
+            a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+            same = pd.Series(a).map(got).to_numpy() == pd.Series(b).map(got).to_numpy()
+            part = dict(zip(*connected(a[same], b[same]), strict=True))
+            return pd.DataFrame({"node": list(got), "community": [part.get(u, u) for u in got]})
+
+        return whole.groupBy().applyInPandas(all_of, "node bigint, community bigint")
     nodes = materialize(nodes, "nodes")
     final = nodes.select("node", F.col("node").alias("part"))
     while edges.count() > 2 * SMALL:

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import hop_risk, is_test_path
-from skein.operators.cycles import SMALL, longest, strong_components
+from skein.operators.cycles import SMALL, connected, longest, strong_components
 from skein.plans.graph import PropertyGraph, prop
-from skein.session import materialize
+from skein.session import materialize, release
 
 
 def links(g: PropertyGraph, *types: str, direction: str = "out") -> DataFrame:
@@ -242,19 +242,31 @@ def call_chains(g: PropertyGraph, starts: DataFrame, targets: DataFrame, max_hop
     return reduce(DataFrame.unionByName, found).orderBy("hops", "path").limit(keep)
 
 
-def components(steps: DataFrame) -> DataFrame:
+def components(steps: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component): connected components of `steps(src, dst)`, by hooking every node to the
     least label around it and halving label chains each round, until nothing changes; the
-    component is its least node."""
+    component is its least node. Up to `small` steps are one task, with the same result."""
+    steps = materialize(steps.select("src", "dst").distinct(), "steps")
+    kind = dict(steps.dtypes)["src"]
+    if steps.count() <= small:
+
+        def run(pdf):
+            nodes, part = connected(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+            return pdf.iloc[:0].reindex(range(len(nodes))).assign(node=nodes, component=part)[["node", "component"]]
+
+        return steps.groupBy().applyInPandas(run, f"node {kind}, component {kind}")
     both = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     both = materialize(both, "both")
     lab = materialize(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    last = None
     while True:
         near = both.join(lab.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("c"))
         hooked = lab.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("c", "component")).alias("to"))
         jump = lab.select(F.col("node").alias("to"), F.col("component").alias("root"))
         new = materialize(hooked.join(jump, "to", "left").select("node", F.least("to", F.coalesce("root", "to")).alias("component"), F.col("component").alias("was")), "labels")
         lab = new.select("node", "component")
+        release(last)
+        last = new
         if new.where("component <> was").isEmpty():
             return lab
 

@@ -45,7 +45,11 @@ class PropertyGraph:
         shared_dir(spark)
         if at not in _SNAPSHOTS:
             g = cls.settled(spark, sf_dir)
-            _SNAPSHOTS[at] = cls(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"))
+            # laid out so that look-ups prune: by id, by source, and by filters on names and targets
+            nodes = g.nodes.repartitionByRange("id").sortWithinPartitions("id")
+            edges = g.edges.repartitionByRange("source_id", "id").sortWithinPartitions("source_id", "id")
+            told = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("qualified_name", "name", "target_id")}
+            _SNAPSHOTS[at] = cls(materialize(nodes, "nodes", **told), materialize(edges, "edges", **told))
         return _SNAPSHOTS[at]
 
     @classmethod

@@ -82,12 +82,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage is cut, and the files
-    outlive any executor."""
+    outlive any executor. `options` go to the Parquet writer."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*written: DataFrame | None) -> None:
+    """Remove the tables of DataFrames from `materialize` that nothing reads any more, as those of a
+    round when the next one is written, so a long loop keeps two rounds on disk."""
+    for df in written:
+        path = getattr(df, "written_to", None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _OWN_DIRS.remove((spark, path))
 
 
 def evaluated(df: DataFrame, name: str, expr: Column) -> DataFrame:

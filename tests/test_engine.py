@@ -132,6 +132,9 @@ def test_shortest_path_and_components(spark, small):
     assert R.shortest_path(small, 4, 2, max_hops=1)[1].first()["status"] == "max_hops"
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101)], "src bigint, dst bigint")
     assert {r["component"] for r in R.components(chain).collect()} == {0, 100}
+    rng = random.Random(2)
+    some = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(35)], "src bigint, dst bigint")
+    assert rows(R.components(some)) == rows(R.components(some, 0))
 
 
 def brute_path(edges, a, b, hops):
