@@ -135,7 +135,7 @@ def shortest_path(g: PropertyGraph, source: int, target: int, max_hops: int = 6)
     `visited_nodes`. An end that is no node gives a path without rows and the status 'no_node'.
 
     The search grows from both ends, the smaller frontier first, so it sees two small balls rather
-    than one large one, over doubled edges that are written once.
+    than one large one.
     """
     spark = g.nodes.sparkSession
     told = lambda status, hops, n: spark.createDataFrame([(status, hops, n)], "status string, hops int, visited_nodes bigint")
@@ -146,38 +146,41 @@ def shortest_path(g: PropertyGraph, source: int, target: int, max_hops: int = 6)
     if source == target:
         return one(source).select(F.lit(0).alias("position"), "node", F.lit(None).cast("bigint").alias("edge_id")), told("found", 0, 1)
     ends = F.array(F.struct(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), F.struct(F.col("target_id").alias("src"), F.col("source_id").alias("dst")))
-    both = materialize(g.edges.where("source_id <> target_id").select("id", F.explode(ends).alias("x")).groupBy("x.src", "x.dst").agg(F.min("id").alias("edge_id")), "both")
+    both = g.edges.where("source_id <> target_id").select(F.col("id").alias("edge_id"), F.explode(ends).alias("x")).select("edge_id", "x.src", "x.dst")
     sides = {"s": [one(source)], "t": [one(target)]}
     known = {k: v[0] for k, v in sides.items()}
-    size, seen, met = {"s": 1, "t": 1}, 2, None
-    while sum(map(len, sides.values())) - 2 < max_hops:
+    size, seen, met = {"s": 1, "t": 1}, 2, False
+    while not met and sum(map(len, sides.values())) - 2 < max_hops:
         k, o = ("s", "t") if size["s"] <= size["t"] else ("t", "s")
-        step = both.join(F.broadcast(sides[k][-1].withColumnRenamed("node", "src")) if size[k] < 100_000 else sides[k][-1].withColumnRenamed("node", "src"), "src", "left_semi")
-        level = materialize(step.select(F.col("dst").alias("node")).distinct().join(known[k], "node", "left_anti"), "level")
-        size[k] = level.count()
+        few = F.broadcast if size[k] < 100_000 else (lambda df: df)
+        step = both.join(few(sides[k][-1].select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        far = sides[o][-1].select("node", F.lit(True).alias("met"))
+        level = materialize(step.join(known[k], "node", "left_anti").join(far, "node", "left").select("node", F.coalesce("met", F.lit(False)).alias("met")), "level")
+        told_ = level.agg(F.count(F.lit(1)).alias("n"), F.max("met").alias("met")).first()
+        size[k], met = told_["n"], bool(told_["met"])
         seen += size[k]
         if not size[k]:
             return none, told("not_found", None, seen)
+        known[k] = known[k].unionByName(level.select("node"))
         sides[k].append(level)
-        known[k] = known[k].unionByName(level)
-        meet = materialize(level.join(sides[o][-1], "node", "left_semi"), "met")
-        if not meet.isEmpty():
-            met = meet
-            break
-    if met is None:
+    if not met:
         return none, told("max_hops", None, seen)
-    # of each level on the target's side, the nodes from which the source is as near as can be
-    good = {len(sides["t"]) - 1: met}
-    for i in range(len(sides["t"]) - 2, -1, -1):
-        good[i] = materialize(sides["t"][i].join(both.join(good[i + 1].withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "good")
-    before = [good[i] for i in range(1, len(sides["t"]))] + [sides["s"][i] for i in range(len(sides["s"]) - 2, -1, -1)]
-    at, rows = target, []
-    for level in before:  # as many steps as the path has
-        edge = both.where(F.col("dst") == at).join(level.withColumnRenamed("node", "src"), "src", "left_semi").agg(F.min(F.struct("edge_id", "src")).alias("m")).first()["m"]
-        rows.append((at, edge["edge_id"]))
-        at = edge["src"]
-    path = [(0, at, None), *[(i + 1, n, e) for i, (n, e) in enumerate(reversed(rows))]]
-    return spark.createDataFrame(path, "position int, node bigint, edge_id bigint"), told("found", len(rows), seen)
+    meeting = sides[k][-1].where("met").select("node")
+    hops = sum(map(len, sides.values())) - 2
+    # the nodes of each level from the source; on the target's side those that lead to the meeting
+    at = [level.select("node") for level in sides["s"][:-1]] + [meeting]
+    for level in reversed(sides["t"][:-1]):
+        at.append(level.select("node").join(both.join(at[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")), "node", "left_semi"))
+    depths = materialize(reduce(DataFrame.unionByName, [df.select("node", F.lit(i).alias("depth")) for i, df in enumerate(at)]), "depths")
+    a, b = depths.toDF("src", "da"), depths.toDF("dst", "db")
+    parent = materialize(both.join(a, "src").join(b, "dst").where("da = db - 1").groupBy("dst").agg(F.min(F.struct("edge_id", "src")).alias("m")).select(F.col("dst").alias("node"), "m.edge_id", "m.src"), "parents")
+    here, rows = one(target), []
+    for i in range(hops, 0, -1):  # as many steps as the path has, in one plan
+        hit = parent.join(F.broadcast(here), "node")
+        rows.append(hit.select(F.lit(i).alias("position"), "node", "edge_id"))
+        here = hit.select(F.col("src").alias("node"))
+    rows.append(one(source).select(F.lit(0).alias("position"), "node", F.lit(None).cast("bigint").alias("edge_id")))
+    return reduce(DataFrame.unionByName, rows), told("found", hops, seen)
 
 
 def callers_multi(g: PropertyGraph, targets: DataFrame, max_hops: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -216,8 +216,8 @@ PUBLICATION = Effects(
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feed comes in four batches, by history_id as they were written down; the first two are
-    compacted when the second is there, and so are the others."""
+    """The feed comes in four batches, by history_id as they were written down; three of them are
+    compacted into one run before the last comes."""
     feed = table(spark, sf_dir, "publication_history").select(
         F.col("project").alias("scope"),
         F.col("cas_revision").alias("seq"),
@@ -227,7 +227,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     low, high = feed.agg(F.min("tie"), F.max("tie")).first()
     batch = F.least(F.lit(3), F.floor((F.col("tie") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1))) if low is not None else F.lit(0)
-    changes = ChangeTable(spark, PUBLICATION, fan_in=2)
+    changes = ChangeTable(spark, PUBLICATION, fan_in=3)
     for n in range(4):
         changes.append(feed.where(F.coalesce(batch, F.lit(0)) == n))
     return changes.read().select(F.col("scope").alias("project"), F.col("record").alias("generation_id"), "status", "pinned")
