@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skein.session import shared_path
@@ -39,32 +39,34 @@ class Effect:
         return all(c in self.present and self.present[c] == self.absent.get(c) for c in columns)
 
 
+def _literal(value: object) -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool | int | float):
+        return str(value).lower()
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class Effects:
     """The actions of a feed and the `columns` (name to SQL type) of its records. Actions that are
-    not listed change nothing. A value of null in `present` keeps what was before."""
+    not listed change nothing. A value of null in `present` keeps what was before. Expressions are
+    written as SQL, which Spark parses at once however many actions there are."""
 
     def __init__(self, columns: Mapping[str, str], actions: Mapping[str, Effect]):
         self.columns, self.actions = dict(columns), dict(actions)
         fields = ", ".join(f"{c}: {t}" for c, t in self.columns.items())
         self.type = f"struct<n_in: boolean, n: struct<{fields}>, p_in: boolean, p: struct<{fields}>>"
+        self.identity = self._struct(False, {}, True, {})
 
-    def _state(self, values: Mapping[str, object]) -> Column:
-        return F.struct(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in self.columns.items()])
-
-    def _struct(self, n_in: bool, n: Mapping, p_in: bool, p: Mapping) -> Column:
-        return F.struct(F.lit(n_in).alias("n_in"), self._state(n).alias("n"), F.lit(p_in).alias("p_in"), self._state(p).alias("p")).cast(self.type)
-
-    @property
-    def identity(self) -> Column:
-        return self._struct(False, {}, True, {})
+    def _struct(self, n_in: bool, n: Mapping, p_in: bool, p: Mapping) -> str:
+        state = lambda values: "named_struct(" + ", ".join(f"'{c}', cast({_literal(values.get(c))} as {t})" for c, t in self.columns.items()) + ")"
+        return f"cast(named_struct('n_in', {_literal(n_in)}, 'n', {state(n)}, 'p_in', {_literal(p_in)}, 'p', {state(p)}) as {self.type})"
 
-    def of(self, action: Column) -> Column:
-        """The effect of one change: what it makes of a record absent before (n) and present (p)."""
-        out = None
-        for name, e in self.actions.items():
-            here = self._struct(e.absent is not None, e.absent or {}, e.present is not None, e.present or {})
-            out = F.when(action == name, here) if out is None else out.when(action == name, here)
-        return self.identity if out is None else out.otherwise(self.identity)
+    def of(self, action: str) -> Column:
+        """The effect of the change in a column: what it makes of a record absent before (n) and
+        present (p)."""
+        cases = [f"when {_literal(a)} then {self._struct(e.absent is not None, e.absent or {}, e.present is not None, e.present or {})}" for a, e in self.actions.items()]
+        return F.expr(f"case {action} {' '.join(cases)} else {self.identity} end" if cases else self.identity)
 
     def tombstone(self, action: Column) -> Column:
         return action.isin([a for a, e in self.actions.items() if e.absent is None and e.present is None])
@@ -72,19 +74,20 @@ class Effects:
     def absolute(self, action: Column) -> Column:
         return action.isin([a for a, e in self.actions.items() if e.absolute(list(self.columns))])
 
-    def _after(self, was_in: Column, was: Column, then: Column) -> tuple[Column, Column]:
-        present = F.when(was_in, then["p_in"]).otherwise(then["n_in"])
-        cells = [F.when(present, F.when(was_in, F.coalesce(then["p"][c], was[c])).otherwise(then["n"][c])).alias(c) for c in self.columns]
-        return present, F.struct(*cells)
-
-    def compose(self, first: Column, then: Column) -> Column:
+    def _composed(self, first: str, then: str) -> str:
         """The effect of `first` followed by `then`."""
-        n_in, n = self._after(first["n_in"], first["n"], then)
-        p_in, p = self._after(first["p_in"], first["p"], then)
-        return F.struct(n_in.alias("n_in"), n.alias("n"), p_in.alias("p_in"), p.alias("p")).cast(self.type)
 
-    def fold(self, effects: Column) -> Column:
-        return F.aggregate(effects, self.identity, lambda acc, x: self.compose(acc, x))
+        def after(side: str) -> str:
+            was_in, was = f"{first}.{side}_in", f"{first}.{side}"
+            present = f"if({was_in}, {then}.p_in, {then}.n_in)"
+            cells = ", ".join(f"'{c}', if({present}, if({was_in}, coalesce({then}.p.{c}, {was}.{c}), {then}.n.{c}), null)" for c in self.columns)
+            return f"'{side}_in', {present}, '{side}', named_struct({cells})"
+
+        return f"cast(named_struct({after('n')}, {after('p')}) as {self.type})"
+
+    def fold(self, effects: str) -> Column:
+        """All effects of an array in a column, one after the other."""
+        return F.expr(f"aggregate({effects}, {self.identity}, (acc, x) -> {self._composed('acc', 'x')})")
 
 
 class ChangeTable:
@@ -144,9 +147,11 @@ class ChangeTable:
 
     def _write(self, changes: DataFrame, level: int, inputs: list[dict]) -> None:
         name = f"level={level}-{uuid.uuid4().hex}"
-        changes.sortWithinPartitions("scope", "range", "record", "seq").write.parquet(f"{self.path}/runs/{name}")
+        seen = Observation()
+        told = changes.observe(seen, F.min("seq").alias("low"), F.max("seq").alias("high"))
+        told.sortWithinPartitions("scope", "range", "record", "seq").write.parquet(f"{self.path}/runs/{name}")
         born = min((r["born"] for r in inputs), default=self.version)
-        self._publish([r for r in self.runs if r not in inputs] + [{"run": name, "level": level, "born": born}])
+        self._publish([r for r in self.runs if r not in inputs] + [{"run": name, "level": level, "born": born, **seen.get}])
 
     def _once(self, changes: DataFrame) -> DataFrame:
         """Each change once, with the run it first came in; the rows of a range stay together."""
@@ -189,10 +194,10 @@ class ChangeTable:
     def folded(self) -> DataFrame:
         """(scope, record, effect) of all changes: the runs merge range by range, where the changes
         of a record meet in order; then `width` neighbouring ranges fold at a time."""
-        once = self._once(self._stored(self.runs)).select("scope", "range", "record", "seq", self.effects.of(F.col("action")).alias("effect"))
+        once = self._once(self._stored(self.runs)).select("scope", "range", "record", "seq", self.effects.of("action").alias("effect"))
         level = self._folded(once, "seq", ["scope", "range", "record"])
-        low, high = self._stored(self.runs).agg(F.min("seq"), F.max("seq")).first()
-        base, span = (low or 0) // self.width, (high or 0) // self.width - (low or 0) // self.width
+        low, high = (f((r[k] for r in self.runs if r[k] is not None), default=0) for f, k in ((min, "low"), (max, "high")))
+        base, span = low // self.width, high // self.width - low // self.width
         level = level.withColumn("range", F.col("range") - F.lit(base))
         while span:
             span //= self.width
@@ -201,7 +206,7 @@ class ChangeTable:
 
     def _folded(self, rows: DataFrame, order: str, by: list[str]) -> DataFrame:
         seq = F.sort_array(F.collect_list(F.struct(order, "effect")))
-        return rows.groupBy(*by).agg(seq.alias("s")).select(*by, self.effects.fold(F.transform("s", lambda x: x["effect"])).alias("effect"))
+        return rows.groupBy(*by).agg(seq.alias("s")).select(*by, self.effects.fold("s.effect").alias("effect"))
 
     def read(self) -> DataFrame:
         """(scope, record, *columns) of the records present."""

@@ -171,7 +171,7 @@ def shortest_path(g: PropertyGraph, source: int, target: int, max_hops: int = 6)
     at = [level.select("node") for level in sides["s"][:-1]] + [meeting]
     for level in reversed(sides["t"][:-1]):
         at.append(level.select("node").join(both.join(at[-1].select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")), "node", "left_semi"))
-    depths = materialize(reduce(DataFrame.unionByName, [df.select("node", F.lit(i).alias("depth")) for i, df in enumerate(at)]), "depths")
+    depths = reduce(DataFrame.unionByName, [df.select("node", F.lit(i).alias("depth")) for i, df in enumerate(at)])
     a, b = depths.toDF("src", "da"), depths.toDF("dst", "db")
     parent = materialize(both.join(a, "src").join(b, "dst").where("da = db - 1").groupBy("dst").agg(F.min(F.struct("edge_id", "src")).alias("m")).select(F.col("dst").alias("node"), "m.edge_id", "m.src"), "parents")
     here, rows = one(target), []
