@@ -161,13 +161,15 @@ def mix(sized: DataFrame, targets: list[tuple[str, float, int]], seed: int = 7,
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source of `targets`: target and reached share, tokens, documents and greatest repeats."""
+    """Per source of `targets`: target and reached share, tokens, documents, greatest repeats, and the
+    tokens of the largest document taken, which is how finely a share can be met."""
     got = mixed.groupBy("source").agg(
-        F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats")
+        F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"), F.max("n_tokens").alias("largest")
     )
     total = mixed.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("all_tokens"))
     joined = targets.join(got, "source", "left").join(F.broadcast(total), F.lit(True), "left")
     return joined.select(
         "source", "target_share", "max_repeats", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        F.coalesce("largest", F.lit(0)).alias("largest"),
     )
