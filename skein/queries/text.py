@@ -601,6 +601,40 @@ def cap_dual(g):
     return C.dual_cap(g.edges, 8, 8).select("project", "source_id", "target_id", "type")
 
 
+@_g('select project, true "within", true "full" from (select distinct project from e)')
+def cap_dual_sound(g):
+    """Per project: that no node keeps more edges than it may, and that no edge was left out that
+    has room at both ends; repeated edges count once."""
+    kept = materialize(C.dual_cap(g.edges, 8, 8).select("project", "source_id", "target_id", "type"), "kept")
+    side = lambda end, n: kept.groupBy(F.col("project").alias(f"p{n}"), F.col(end).alias(f"e{n}")).agg(F.count(F.lit(1)).alias(n))
+    outs, ins = side("source_id", "o"), side("target_id", "i")
+    both = _marked(g, kept).join(outs, F.col("project").eqNullSafe(F.col("po")) & (F.col("source_id") == F.col("eo")), "left").join(ins, F.col("project").eqNullSafe(F.col("pi")) & (F.col("target_id") == F.col("ei")), "left")
+    o, i = F.coalesce("o", F.lit(0)), F.coalesce("i", F.lit(0))
+    return both.groupBy("project").agg(F.bool_and((o <= 8) & (i <= 8)).alias("within"), F.bool_and(F.coalesce("kept", F.lit(False)) | (o >= 8) | (i >= 8)).alias("full"))
+
+
+def _marked(g, kept):
+    key = ["project", "source_id", "target_id", "type"]
+    k = kept.distinct().toDF(*[f"k_{c}" for c in key]).withColumn("kept", F.lit(True))
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    return g.edges.select(*key).distinct().join(k, on, "left").select(*key, "kept")
+
+
+@_g("select count(*) n_nodes, true connected, true named from (select source_id id from calls where source_id <> target_id union select target_id from calls where source_id <> target_id)")
+def g_leiden_sound(g):
+    """What must hold of communities: each is connected, and named after its least node."""
+    links = R.links(g, "CALLS").where("src <> dst")
+    found = materialize(C.communities(links), "communities")
+    of = lambda x: found.toDF(x, f"c_{x}")
+    inner = links.join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst")
+    parts = R.components(inner)
+    least = found.groupBy("community").agg(F.min("node").alias("least"))
+    told = found.join(parts, "node", "left").join(least, "community")
+    return told.agg(F.count(F.lit(1)).alias("n_nodes"), F.bool_and(F.coalesce("component", "node") == F.col("community")).alias("connected"), F.bool_and(F.col("least") == F.col("community")).alias("named"))
+
+
 @_g(
     NOTES
     + """, hn as (select id, row_number() over (order by id) r, count(*) over () total from notes where title ilike '%guard%' and coalesce(status, '') <> 'deprecated'), hs as (select id, row_number() over (order by id) r, count(*) over () total from n where name ilike '%guard%')
