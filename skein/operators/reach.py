@@ -115,6 +115,24 @@ def trace(g: PropertyGraph, name: str, mode: str = "calls", direction: str = "bo
     return out.join(F.broadcast(pick.select("n_candidates")), F.lit(True)).select("direction", "node", "name", "label", "hop", hop_risk(F.col("hop")).alias("risk"), "n_candidates")
 
 
+def trace_suggestions(g: PropertyGraph, name: str, top: int = 10) -> DataFrame:
+    """What a trace might have meant by a name: the symbols that bear it, or, if none does, those
+    whose names hold its first half in any letter case; by id."""
+    exact = g.nodes.where((F.col("name") == name) | (F.col("qualified_name") == name))
+    found = exact if not exact.isEmpty() else g.nodes.where(F.lower("name").contains(name[: max(3, len(name) // 2)].lower()))
+    return found.select("id", "name", "qualified_name", "label", "file_path").orderBy("id").limit(top)
+
+
+def trace_calls(g: PropertyGraph, name: str, direction: str = "out", max_hops: int = 3) -> DataFrame:
+    """(hop, source_id, target_id, line, args) of the calls a trace goes over: for each, the hop of
+    its far end, its line and how many arguments it passes, as its properties tell."""
+    named = g.nodes.where((F.col("name") == name) | (F.col("qualified_name") == name)).agg(F.min("id").alias("node")).where("node is not null")
+    near = materialize(least_hops(named, links(g, "CALLS", direction=direction), max_hops).unionByName(named.withColumn("hop", F.lit(0))).groupBy("node").agg(F.min("hop").alias("hop")), "hops")
+    a, b = ("source_id", "target_id") if direction == "out" else ("target_id", "source_id")
+    e = g.calls.join(near.toDF(a, "from_hop"), a).join(near.toDF(b, "hop"), b).where("hop = from_hop + 1")
+    return e.select("hop", "source_id", "target_id", prop("line").try_cast("int").alias("line"), prop("arg_count").try_cast("int").alias("args"))
+
+
 def impact(g: PropertyGraph, changed: DataFrame, max_hops: int = 4) -> DataFrame:
     """Of changed files (`project`, `file_path`): the callers of their symbols, by fewest hops, in
     risk groups."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.norm import camel_words, graph_path
+from skein.functions.norm import camel_words, glob_to_like, graph_path
 from skein.plans.graph import PropertyGraph
 
 K1, B = 1.2, 0.75
@@ -63,9 +63,13 @@ def _count(term: str) -> Column:
     return F.size(F.filter("words", lambda w: w == term))
 
 
-def search_nodes(g: PropertyGraph, text: str, top: int = 50) -> DataFrame:
-    """Nodes by BM25 and the boost of their label, the best first."""
-    hits = bm25(code_words(g), query_words(text)).join(g.nodes.where(~F.col("label").isin(*NOISE)).select("id", "label", "name"), "id")
+def search_nodes(g: PropertyGraph, text: str, top: int = 50, file: str | None = None) -> DataFrame:
+    """Nodes by BM25 and the boost of their label, the best first; `file` keeps those whose path
+    fits a glob. Scores are of the whole graph."""
+    found = g.nodes.where(~F.col("label").isin(*NOISE))
+    if file is not None:
+        found = found.where(F.lower("file_path").like(glob_to_like(file.lower())))
+    hits = bm25(code_words(g), query_words(text)).join(found.select("id", "label", "name"), "id")
     boost = F.coalesce(F.create_map(*[F.lit(x) for kv in BOOST.items() for x in kv])[F.col("label")], F.lit(0.0))
     return hits.select("id", "label", "name", F.round(F.col("score") + boost, 6).alias("rank")).orderBy(F.desc("rank"), "id").limit(top)
 

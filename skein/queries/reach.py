@@ -60,6 +60,19 @@ def g_trace(g, notes):
     return R.trace(g, "logEvent", max_hops=2)
 
 
+@_q("select id, name, qualified_name, label, file_path from n where contains(lower(name), 'loge') order by id limit 10")
+def g_trace_suggestions(g, notes):
+    return R.trace_suggestions(g, "logExxxx")
+
+
+@_q(
+    _walk("select min(id) from n where name = 'logEvent'", 2, True)
+    + f", near as (select node, min(hop) hop from (select node, hop from least union all select min(id), 0 from n where name = 'logEvent') group by 1) select b.hop, source_id, target_id, try_cast({j('calls', 'line')} as int) line, try_cast({j('calls', 'arg_count')} as int) args from calls join near a on a.node = target_id join near b on b.node = source_id where b.hop = a.hop + 1"
+)
+def g_trace_calls(g, notes):
+    return R.trace_calls(g, "logEvent", "in", 2)
+
+
 _SHARED = "project = 'atlas-core' and (%s = 'src/shared' or starts_with(%s, 'src/shared/'))" % ((_P,) * 2)
 _CHANGED = f"select id from n where {_SHARED} and label not in ('File', 'Folder')"
 

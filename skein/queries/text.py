@@ -68,6 +68,11 @@ def s_bm25(g):
     return T.search_nodes(g, "load guard")
 
 
+@_g(CW + _bm25("cw", ["load", "guard"]) + "select id, label, name, round(score + case when label in ('Function', 'Method') then 10 when label in ('Class', 'Interface') then 5 else 0 end, 6) rank from sc join n using (id) where label not in ('File', 'Folder', 'Module', 'Section', 'Variable', 'Project') and file_path ilike 'src%.ts' order by rank desc, id limit 50")
+def s_bm25_glob(g):
+    return T.search_nodes(g, "load guard", file="src/**.ts")
+
+
 @_g(CW + "select id from cw where contains(' ' || array_to_string(ws, ' ') || ' ', ' load guard ')")
 def s_search_code(g):
     return T.search_code(g, "load guard")
