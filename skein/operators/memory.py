@@ -31,8 +31,10 @@ def create(existing: DataFrame, new: DataFrame) -> DataFrame:
     use, and ids behind the greatest one, in the order of project, slug and title."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     base = new.withColumn("slug", slug(F.col("title")))
-    forms = F.array_distinct(F.array("slug", F.regexp_replace("slug", r"-\d+$", "")))
-    used = existing.select("project", F.explode(forms).alias("slug")).groupBy("project", "slug").agg(F.count(F.lit(1)).alias("used"))
+    # the greatest number in use: a slug is number 1 of itself and number k of what stands before -k
+    number = F.regexp_extract("slug", r"-(\d+)$", 1).try_cast("int")
+    forms = F.filter(F.array(F.struct("slug", F.lit(1).alias("k")), F.struct(F.regexp_replace("slug", r"-\d+$", "").alias("slug"), number.alias("k"))), lambda x: x["k"].isNotNull())
+    used = existing.select("project", F.explode(forms).alias("x")).groupBy("project", F.col("x.slug").alias("slug")).agg(F.max("x.k").alias("used"))
     n = F.row_number().over(Window.partitionBy("project", "slug").orderBy("title")) + F.coalesce("used", F.lit(0))
     named = base.join(used, ["project", "slug"], "left").withColumn("n", n)
     named = named.withColumn("slug", F.when(F.col("n") > 1, F.concat("slug", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("slug"))).drop("n", "used")

@@ -113,7 +113,7 @@ def evaluated(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Catalyst's size estimate in bytes; for files, their length."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 @atexit.register
