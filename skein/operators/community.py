@@ -7,16 +7,19 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.norm import qn_package
-from skein.operators.cycles import connected
+from skein.operators.cycles import hooked
 from skein.operators.reach import components
 from skein.session import materialize, release
 
 #: Up to so many edges, what is left of a graph is clustered in one task, by the same rule.
-SMALL = 250_000
+SMALL = 4_000_000
+#: Up to so many edges of a project, or what is left of them, are capped in one task, by the same rule.
+CAPPED = 250_000
 
 
 def _mix(n: int) -> tuple[int, int]:
@@ -35,87 +38,133 @@ def _grouped_cumsum(group: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _moved(e: tuple, ids: np.ndarray, k: np.ndarray, within: np.ndarray, comm: np.ndarray, n_labels: int, total: int, n: int) -> np.ndarray | None:
-    """`comm` after one round over the edges (a, b, w) of nodes 0..len(ids), or None if no move
-    gains. See `communities` for the rule; all numbers are whole, so joins give the same."""
+def _sought(e: tuple, k: np.ndarray, comm: np.ndarray, weight: np.ndarray, total: int, todo: np.ndarray, gain: np.ndarray, to: np.ndarray) -> None:
+    """Sets `gain` and `to` of the nodes `todo` to their best move; a gain of 0 is none."""
     a, b, w = e
-    inner = within[a] == within[b]
-    key = a[inner] * n_labels + comm[b[inner]]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    starts = np.flatnonzero(np.r_[True, np.diff(key) != 0]) if len(key) else np.empty(0, np.int64)
-    if not len(starts):
-        return None
-    votes = np.add.reduceat(w[inner][order], starts)
-    va, vc = key[starts] // n_labels, key[starts] % n_labels
-    weight = np.bincount(comm, weights=k, minlength=n_labels).astype(np.int64)
-    stay = np.zeros(len(ids), np.int64)
+    gain[todo] = 0
+    if not todo.all():
+        at = np.flatnonzero(todo[a])
+        a, b, w = a[at], b[at], w[at]
+    if not len(a):
+        return
+    c = comm[b]
+    key = a.astype(np.int64) * len(weight) + c
+    order = np.argsort(key, kind="stable")  # edges are in the order of `a`, so most of it is there
+    key, w = key[order], w[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    votes = np.add.reduceat(w, starts)
+    at = order[starts]
+    va, vc = a[at], c[at]
+    del key, w, order, starts, c, at
     home = vc == comm[va]
+    stay = np.zeros(len(k), np.int64)
     stay[va[home]] = votes[home]
-    va, vc, votes = va[~home], vc[~home], votes[~home]
-    gain = (votes - stay[va]) * total - k[va] * (weight[vc] - weight[comm[va]] + k[va])
-    up = gain > 0
-    va, vc, gain = va[up], vc[up], gain[up]
+    g = (votes - stay[va]) * total - k[va] * (weight[vc] - weight[comm[va]] + k[va])
+    up = (g > 0) & ~home
+    va, vc, g = va[up], vc[up], g[up]
     if not len(va):
-        return None
-    order = np.lexsort((vc, -gain, va))
-    va, vc, gain = va[order], vc[order], gain[order]
-    best = np.r_[True, np.diff(va) != 0]
-    va, vc, gain = va[best], vc[best], gain[best]
+        return
+    first = np.flatnonzero(np.r_[True, va[1:] != va[:-1]])
+    most = np.maximum.reduceat(g, first)
+    best = np.flatnonzero(g == np.repeat(most, np.diff(np.r_[first, len(va)])))
+    best = best[np.r_[True, va[best][1:] != va[best][:-1]]]  # of equal ones the least community
+    gain[va[best]], to[va[best]] = g[best], vc[best]
+
+
+def _chosen_moves(ids: np.ndarray, k: np.ndarray, comm: np.ndarray, gain: np.ndarray, to: np.ndarray, n_labels: int, n: int) -> np.ndarray:
+    """The nodes that move in round `n`, of those with a gain."""
+    va = np.flatnonzero(gain)
     factor, offset = _mix(n)
     h = (ids[va] % 2147483647 * factor + offset) % 2147483629
-    order = np.lexsort((-va, -h, -gain))
-    va, vc, gain = va[order], vc[order], gain[order]
-    own = comm[va]
+    va = va[np.lexsort((-va, -h, -gain[va]))]
+    vc, own = to[va], comm[va]
     r = np.arange(len(va))
     into, out = np.full(n_labels, len(va)), np.full(n_labels, len(va))
     np.minimum.at(into, vc, r)
     np.minimum.at(out, own, r)
     open_ = into < out
     ok = open_[vc] & ~open_[own]
-    va, vc, own, gain = va[ok], vc[ok], own[ok], gain[ok]
+    va, vc, own = va[ok], vc[ok], own[ok]
     before = _grouped_cumsum(vc, k[va]) + _grouped_cumsum(own, k[va]) - 2 * k[va]
-    ok = gain - k[va] * before > 0
-    new = comm.copy()
-    new[va[ok]] = vc[ok]
-    return new
+    return va[gain[va] - k[va] * before > 0]
+
+
+def _settled(e: tuple, ids: np.ndarray, k: np.ndarray, comm: np.ndarray, n_labels: int, total: int) -> np.ndarray:
+    """`comm` after rounds over the edges (a, b, w) of nodes 0..len(ids), until no move gains. See
+    `communities` for the rule; all numbers are whole, so joins give the same. A node is sought a
+    move for again only when its community or one beside it has changed: else the last one stands."""
+    a, b, _ = e
+    comm = comm.copy()
+    weight = np.zeros(n_labels, np.int64)
+    np.add.at(weight, comm, k)
+    gain, to = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    todo = np.ones(len(ids), bool)
+    n = 0
+    while True:
+        _sought(e, k, comm, weight, total, todo, gain, to)
+        if not gain.any():
+            return comm
+        va = _chosen_moves(ids, k, comm, gain, to, n_labels, n)
+        changed = np.zeros(n_labels, bool)
+        changed[comm[va]] = changed[to[va]] = True
+        np.subtract.at(weight, comm[va], k[va])
+        np.add.at(weight, to[va], k[va])
+        comm[va] = to[va]
+        todo = changed[comm]
+        todo[a[todo[b]]] = True
+        n += 1
 
 
-def _settled(e: tuple, ids: np.ndarray, k: np.ndarray, within: np.ndarray, comm: np.ndarray, n_labels: int, total: int) -> np.ndarray:
-    n = 0
-    while (new := _moved(e, ids, k, within, comm, n_labels, total, n)) is not None:
-        comm, n = new, n + 1
-    return comm
-
-
-def _clustered(edges: pd.DataFrame, nodes: pd.DataFrame, total: int) -> dict[int, int]:
-    """Community of every node of `nodes(node, k, comm)`: the levels that are left, in one task."""
-    start = nodes["node"].to_numpy()
-    labels = np.unique(np.concatenate([start, nodes["comm"].to_numpy()]))
-    at = lambda x: np.searchsorted(labels, x)  # noqa: E731 - places keep the order of the names
-    order = np.argsort(start)
-    ids, k, comm = start[order], nodes["k"].to_numpy(np.int64)[order], at(nodes["comm"].to_numpy()[order])
-    a, b, w = (edges[c].to_numpy(np.int64) for c in "abw")
-    e = (np.searchsorted(ids, a), np.searchsorted(ids, b), w)
-    final = np.arange(len(ids))  # the current node of each node of the start
-    names = ids.copy()
+def _merged(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple:
+    """Edges between 0..n, parallel ones summed and those within a node left out."""
+    key, w = (a.astype(np.int64) * n + b)[a != b], w[a != b]
+    order = np.argsort(key)
+    key, w = key[order], w[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    w = np.add.reduceat(w, starts) if len(starts) else w
+    a, b = np.divmod(key[starts], n)
+    return a.astype(np.int32), b.astype(np.int32), w
+
+
+def _clustered(a: np.ndarray, b: np.ndarray, w: np.ndarray, node: np.ndarray, k: np.ndarray, comm: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every node and its community, of edges (a, b, w), both ways, and nodes with their weight `k`
+    and community so far: the levels that are left, in one task."""
+    order = np.argsort(node)
+    names, k, comm = node[order], k[order], comm[order]
+    labels = np.union1d(names, comm)  # places keep the order of the names
+    comm = np.searchsorted(labels, comm)
+    a, b = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
+    order = np.argsort(a, kind="stable")
+    e = (a[order], b[order], w[order])
+    del a, b, w, order
+    ids, final = names, np.arange(len(names))  # `final`: the current node of each node of the start
     while True:
-        comm = _settled(e, ids, k, np.zeros(len(ids), np.int64), comm, len(labels), total)
-        fine = _settled(e, ids, k, comm, at(ids), len(labels), total)
+        comm = _settled(e, ids, k, comm, len(labels), total)
+        within = comm[e[0]] == comm[e[1]]
+        fine = _settled(tuple(x[within] for x in e), ids, k, np.searchsorted(labels, ids), len(labels), total)
+        del within
         parts, part = np.unique(fine, return_inverse=True)
         if len(parts) == len(ids):
-            return dict(zip(names.tolist(), labels[comm[final]].tolist(), strict=True))
+            return names, labels[comm[final]]
         final = part[final]
         first = np.full(len(parts), len(ids))
         np.minimum.at(first, part, np.arange(len(ids)))
-        ids, comm, k = labels[parts], comm[first], np.bincount(part, weights=k).astype(np.int64)
-        a, b = part[e[0]], part[e[1]]
-        key, w = (a * len(parts) + b)[a != b], e[2][a != b]
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.empty(0, np.int64)
-        w = np.add.reduceat(w[order], starts) if len(starts) else w
-        key = key[order][starts]
-        e = (key // len(parts), key % len(parts), w)
+        held = np.zeros(len(parts), np.int64)
+        np.add.at(held, part, k)
+        ids, comm, k = labels[parts], comm[first], held
+        e = _merged(part[e[0]], part[e[1]], e[2], len(parts))
+
+
+def _both_ways(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple:
+    return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+
+
+def _alone(a: np.ndarray, w: np.ndarray) -> tuple:
+    """The nodes of edges that are there both ways, their weights, and themselves as communities."""
+    node, at = np.unique(a, return_inverse=True)
+    k = np.zeros(len(node), np.int64)
+    np.add.at(k, at, w)
+    return node, k, node
 
 
 def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
@@ -124,9 +173,9 @@ def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
     rows = [(u, v, int(w)) for u, vs in sorted(edges.items()) for v, w in vs.items() if u != v]
     if not rows:
         return {u: u for u in edges}
-    e = pd.DataFrame(rows, columns=["a", "b", "w"])
-    nodes = e.groupby("a", as_index=False)["w"].sum().set_axis(["node", "k"], axis=1)
-    return _named({u: u for u in edges} | _clustered(e, nodes.assign(comm=nodes["node"]), int(e["w"].sum())))
+    a, b, w = np.array(rows, np.int64).T
+    node, comm = _clustered(a, b, w, *_alone(a, w), int(w.sum()))
+    return _named({u: u for u in edges} | dict(zip(node.tolist(), comm.tolist(), strict=True)))
 
 
 def _named(final: dict[int, int]) -> dict[int, int]:
@@ -187,16 +236,15 @@ def communities(links: DataFrame) -> DataFrame:
         return nodes.select("node", F.col("comm").alias("community"))
     if whole.count() <= SMALL:
 
-        def all_of(pdf: pd.DataFrame) -> pd.DataFrame:
-            both = pd.concat([pdf[["a", "b", "w"]], pdf[["b", "a", "w"]].set_axis(["a", "b", "w"], axis=1)])
-            held = both.groupby("a", as_index=False)["w"].sum().set_axis(["node", "k"], axis=1)
-            got = _clustered(both, held.assign(comm=held["node"]), total)
-            a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
-            same = pd.Series(a).map(got).to_numpy() == pd.Series(b).map(got).to_numpy()
-            part = dict(zip(*connected(a[same], b[same]), strict=True))
-            return pd.DataFrame({"node": list(got), "community": [part.get(u, u) for u in got]})
+        def all_of(t: pa.Table) -> pa.Table:
+            a, b, w = (t[c].to_numpy() for c in "abw")
+            both = _both_ways(a, b, w)
+            node, comm = _clustered(*both, *_alone(both[0], both[2]), total)
+            a, b = np.searchsorted(node, a), np.searchsorted(node, b)
+            same = comm[a] == comm[b]
+            return pa.table({"node": node, "community": node[hooked(len(node), a[same], b[same])]})
 
-        return whole.groupBy().applyInPandas(all_of, "node bigint, community bigint")
+        return whole.groupBy().applyInArrow(all_of, "node bigint, community bigint")
     nodes = materialize(nodes, "nodes")
     final = nodes.select("node", F.col("node").alias("part"))
     while edges.count() > 2 * SMALL:
@@ -211,13 +259,14 @@ def communities(links: DataFrame) -> DataFrame:
         nodes = materialize(fine.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"), F.first("within").alias("comm")), "nodes")
     else:
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            e, n = pdf[pdf["edge"]], pdf[~pdf["edge"]]
-            got = _clustered(e[["a", "b", "w"]], n[["a", "w", "b"]].set_axis(["node", "k", "comm"], axis=1), total)
-            return pd.DataFrame({"part": list(got), "community": list(got.values())})
+        def run(t: pa.Table) -> pa.Table:
+            edge = t["edge"].to_numpy()
+            a, b, w = (t[c].to_numpy() for c in "abw")
+            node, comm = _clustered(a[edge], b[edge], w[edge], a[~edge], w[~edge], b[~edge], total)
+            return pa.table({"part": node, "community": comm})
 
         left = edges.select("a", "b", "w", F.lit(True).alias("edge")).unionByName(nodes.select(F.col("node").alias("a"), F.col("comm").alias("b"), F.col("k").alias("w"), F.lit(False).alias("edge")))
-        nodes = left.groupBy().applyInPandas(run, "part bigint, community bigint").withColumnsRenamed({"part": "node", "community": "comm"})
+        nodes = left.groupBy().applyInArrow(run, "part bigint, community bigint").withColumnsRenamed({"part": "node", "community": "comm"})
     final = materialize(final.join(nodes.select(F.col("node").alias("part"), F.col("comm").alias("community")), "part").select("node", "community"), "communities")
     of = lambda x: final.toDF(x, f"c{x}")
     inner = whole.join(of("a"), "a").join(of("b"), "b").where("ca = cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -350,7 +399,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
 
 
-def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = SMALL) -> DataFrame:
+def dual_cap(edges: DataFrame, out_cap: int, in_cap: int, small: int = CAPPED) -> DataFrame:
     """Edges of `edges(project, id, source_id, target_id, type)` such that no node keeps more than
     `out_cap` out of it or `in_cap` into it, and nodes stay connected where the caps allow.
 

@@ -60,12 +60,10 @@ def strong(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[np.array(comp, np.int64)]
 
 
-def connected(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
-    """Node and component of every node of an undirected edge list; a component is named after its
-    least node. Labels are hooked to the least around them and their chains halved, all at once."""
-    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    a, b = at[: len(src)], at[len(src) :]
-    label = np.arange(len(nodes))
+def hooked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The component of each node 0..n of an undirected edge list, named after its least node.
+    Labels are hooked to the least around them and their chains halved, all at once."""
+    label = np.arange(n)
     while True:
         low = label.copy()
         np.minimum.at(low, a, label[b])
@@ -74,10 +72,16 @@ def connected(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
         np.minimum.at(low, label[b], low[b])
         low = low[low]
         if np.array_equal(low, label):
-            return nodes.tolist(), nodes[label].tolist()
+            return label
         label = low
 
 
+def connected(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:
+    """Node and component of every node of an undirected edge list; see `hooked`."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    return nodes.tolist(), nodes[hooked(len(nodes), at[: len(src)], at[len(src) :])].tolist()
+
+
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, color): the greatest color among a node and all that lead to it."""
     color, last = start, None

@@ -23,6 +23,7 @@ from skein.plans.cypher import query
 from skein.plans.graph import PropertyGraph
 from skein.queries.text import s_semantic
 from skein.queries.upkeep import architecture
+from skein.session import materialize
 from skein.sources import readers, sinks
 from skein.streaming import changes as X
 
@@ -377,6 +378,36 @@ def test_communities_are_leiden_by_joins_too(spark, monkeypatch):
     assert all(member[r["node"]] == r["component"] for r in R.components(inside).collect())
 
 
+def test_a_graph_that_fits_a_task_needs_no_joins(spark, monkeypatch):
+    """300,000 links, in ten groups with one link each to the next: rounds of joins over so few took minutes."""
+    monkeypatch.setattr(C, "_settled_by_joins", lambda *_: pytest.fail("joins"))
+    size = 3000
+    near = spark.range(10 * size).select(F.col("id").alias("src"), F.posexplode(F.array(*[F.lit(d) for d in range(1, 11)])).alias("at", "d"))
+    links = near.select("src", (F.floor(F.col("src") / size) * size + (F.col("src") % size + 1 + F.col("d") * F.col("d") * 7) % size).alias("dst"))
+    links = links.unionByName(spark.range(9).select((F.col("id") * size).alias("src"), ((F.col("id") + 1) * size).alias("dst")))
+    got = materialize(C.communities(links))
+    assert links.count() > 300_000 and got.count() == 10 * size and C.modularity(got, links).first()[0] > 0.85
+
+
+def test_moves_sought_anew_are_those_sought_in_full():
+    """Nodes whose surroundings did not change keep their best move."""
+    rng = np.random.default_rng(3)
+    for n in (12, 60, 300):
+        a, b = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n)
+        a, b, w = C._merged(np.r_[a, b], np.r_[b, a], np.ones(8 * n, np.int64), n)
+        k = np.bincount(a, weights=w, minlength=n).astype(np.int64)
+        e, ids, total = (a, b, w), np.arange(n), int(w.sum())
+        comm, i = np.arange(n), 0
+        while True:
+            gain, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            C._sought(e, k, comm, np.bincount(comm, weights=k, minlength=n).astype(np.int64), total, np.ones(n, bool), gain, to)
+            if not gain.any():
+                break
+            va = C._chosen_moves(ids, k, comm, gain, to, n, i)
+            comm[va], i = to[va], i + 1
+        assert i > 2 and np.array_equal(C._settled(e, ids, k, np.arange(n), n, total), comm)
+
+
 def test_dual_cap_keeps_caps_and_bridges(spark):
     star = [(i, "p", 0, i, "CALLS", None) for i in range(1, 20)] + [(100, "p", 0, 50, "CONTAINS", None), (101, "p", 1, 2, "CALLS", None), (102, "p", 1, 2, "CALLS", None)]
     e = spark.createDataFrame(star, EDGE)
