@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,6 +19,10 @@ from skein.session import materialize, release
 
 #: Up to so many edges, what is left of a graph is clustered in one task, by the same rule.
 SMALL = 4_000_000
+#: Votes that one task looks at together.
+CHUNK = 1_000_000
+#: What a move gains that is none.
+_NONE = -(1 << 62)
 #: Up to so many edges of a project, or what is left of them, are capped in one task, by the same rule.
 CAPPED = 250_000
 
@@ -29,7 +34,7 @@ def _mix(n: int) -> tuple[int, int]:
 
 def _grouped_cumsum(group: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The running sum of x within each group, in the order given."""
-    order = np.argsort(group, kind="stable")
+    order = np.sort(group.astype(np.int64) << 32 | np.arange(len(group))) & (1 << 32) - 1
     run = np.cumsum(x[order])
     first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if len(group) else np.empty(0, np.int64)
     base = np.repeat(run[first] - x[order][first], np.diff(np.r_[first, len(group)]))
@@ -39,7 +44,8 @@ def _grouped_cumsum(group: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _sought(e: tuple, k: np.ndarray, comm: np.ndarray, weight: np.ndarray, total: int, todo: np.ndarray, gain: np.ndarray, to: np.ndarray) -> None:
-    """Sets `gain` and `to` of the nodes `todo` to their best move; a gain of 0 is none."""
+    """Sets `gain` and `to` of the nodes `todo` to their best move; a gain of 0 is none. The rule as it
+    is; `_settled` finds the same moves by votes that it keeps, and tests hold it against this."""
     a, b, w = e
     gain[todo] = 0
     if not todo.all():
@@ -71,72 +77,198 @@ def _sought(e: tuple, k: np.ndarray, comm: np.ndarray, weight: np.ndarray, total
     gain[va[best]], to[va[best]] = g[best], vc[best]
 
 
-def _chosen_moves(ids: np.ndarray, k: np.ndarray, comm: np.ndarray, gain: np.ndarray, to: np.ndarray, n_labels: int, n: int) -> np.ndarray:
-    """The nodes that move in round `n`, of those with a gain."""
+def _order(gain: np.ndarray, h: np.ndarray, va: np.ndarray) -> np.ndarray:
+    """The order from the greatest to the least (gain, h, va); h is below 2 to the power of 31."""
+    by = np.argsort(-gain)
+    rank = np.empty(len(gain), np.int64)
+    rank[by] = np.cumsum(np.r_[False, gain[by][1:] != gain[by][:-1]][: len(gain)])
+    # as much of h as one number has room for beside the rank and the place, which sorts several times as fast
+    bits = len(gain).bit_length()
+    cut = max(0, 31 + int(rank.max(initial=0)).bit_length() + bits - 63)
+    key = np.sort((rank << 31 | (1 << 31) - 1 - h) >> cut << bits | np.arange(len(gain)))
+    order, key = key & (1 << bits) - 1, key >> bits
+    same = key[1:] == key[:-1]
+    at = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    again = order[at]
+    order[at] = again[np.lexsort((-va[again], -h[again], rank[again]))]
+    return order
+
+
+def _chosen_moves(ids: np.ndarray, k: np.ndarray, comm: np.ndarray, gain: np.ndarray, to: np.ndarray, n_labels: int, n: int, room: tuple | None = None) -> np.ndarray:
+    """The nodes that move in round `n`, of those with a gain. `room`: two vectors of a place for each
+    label that hold the number of nodes, and do so again afterwards."""
     va = np.flatnonzero(gain)
     factor, offset = _mix(n)
     h = (ids[va] % 2147483647 * factor + offset) % 2147483629
-    va = va[np.lexsort((-va, -h, -gain[va]))]
+    va = va[_order(gain[va], h, va)]
     vc, own = to[va], comm[va]
-    r = np.arange(len(va))
-    into, out = np.full(n_labels, len(va)), np.full(n_labels, len(va))
-    np.minimum.at(into, vc, r)
-    np.minimum.at(out, own, r)
-    open_ = into < out
-    ok = open_[vc] & ~open_[own]
+    # the first move that takes into each community, and the first that takes from it: of equal places the last written stays
+    into, out = room if room else (np.full(n_labels, len(gain), np.int32), np.full(n_labels, len(gain), np.int32))
+    r = np.arange(len(va), dtype=np.int32)[::-1]
+    into[vc[::-1]], out[own[::-1]] = r, r
+    ok = (into[vc] < out[vc]) & (into[own] >= out[own])
+    for x in (into, out):
+        x[vc] = x[own] = len(gain)
     va, vc, own = va[ok], vc[ok], own[ok]
     before = _grouped_cumsum(vc, k[va]) + _grouped_cumsum(own, k[va]) - 2 * k[va]
     return va[gain[va] - k[va] * before > 0]
 
 
+def _summed(key: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of `w` of each; none is negative."""
+    if not len(key):
+        return key, w
+    bits = int(w.max()).bit_length()
+    if int(key.max()).bit_length() + bits < 64:  # both in one number, which sorts several times as fast
+        key = key << bits | w
+        key.sort()
+        key, w = key >> bits, key & (1 << bits) - 1
+    else:
+        order = np.argsort(key)
+        key, w = key[order], w[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts], np.add.reduceat(w, starts)
+
+
+def _chunks(nodes: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`nodes` and their `count`, in parts of some `CHUNK` in all, or of one node."""
+    part = np.cumsum(count) // CHUNK
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(nodes)]
+    return ((nodes[i:j], count[i:j]) for i, j in zip(cuts, cuts[1:], strict=False) if i < j)
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray | slice:
+    """The places start, start + 1, ... of each span, one span after another."""
+    end = np.cumsum(count)
+    if (start[1:] == start[:-1] + count[:-1]).all():
+        return slice(int(start[0]), int(start[0] + end[-1])) if len(start) else slice(0, 0)
+    return np.repeat(start - end + count, count) + np.arange(end[-1])
+
+
+class _Votes:
+    """For every node the weight of its edges to each community beside it. The votes of a node take
+    the places of its edges, as many as are needed, in the order of the communities."""
+
+    def __init__(self, e: tuple, n: int) -> None:
+        a, self.b, self.w = e
+        self.row = np.searchsorted(a, np.arange(n + 1, dtype=a.dtype))
+        self.comm, self.votes, self.count = np.empty(len(a), np.int32), np.empty(len(a), np.int64), np.zeros(n, np.int64)
+
+    def degree(self, nodes: np.ndarray) -> np.ndarray:
+        return self.row[nodes + 1] - self.row[nodes]
+
+    def beside(self, nodes: np.ndarray) -> np.ndarray:
+        return self.b[_spans(self.row[nodes], self.degree(nodes))]
+
+    def count_again(self, nodes: np.ndarray, comm: np.ndarray) -> None:
+        bits = int(comm.max(initial=0)).bit_length()
+        for some, degree in _chunks(nodes, self.degree(nodes)):
+            at = _spans(self.row[some], degree)
+            key, votes = _summed(np.repeat(np.arange(len(some)), degree) << bits | comm[self.b[at]], self.w[at])
+            i = key >> bits
+            self.count[some] = count = np.bincount(i, minlength=len(some))
+            at = _spans(self.row[some], count)
+            self.comm[at], self.votes[at] = key & (1 << bits) - 1, votes
+
+    def seek(self, nodes: np.ndarray, k: np.ndarray, comm: np.ndarray, weight: np.ndarray, total: int, gain: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Sets `gain` and `to` of `nodes` to their best move; a gain of 0 is none. Returns what
+        each would gain by its best move, be it less than 0."""
+        found = []
+        for some, count in _chunks(nodes, self.count[nodes]):
+            at = _spans(self.row[some], count)
+            c, votes = self.comm[at], self.votes[at]
+            i = np.repeat(np.arange(len(some)), count)
+            own, held = comm[some], k[some]
+            home = np.flatnonzero(c == own[i])
+            stay = np.zeros(len(some), np.int64)
+            stay[i[home]] = votes[home]
+            g = votes * total
+            g -= held[i] * weight[c]
+            g -= (stay * total + held * (held - weight[own]))[i]
+            g[home] = _NONE
+            most = np.maximum.reduceat(g, np.cumsum(count) - count)
+            up = most > 0
+            best = np.flatnonzero(g == np.where(up, most, 1 - _NONE)[i])
+            best = best[np.r_[True, i[best][1:] != i[best][:-1]]] if len(best) else best  # of equal ones the least community
+            gain[some] = np.where(up, most, 0)
+            to[some[i[best]]] = c[best]
+            found.append(most)
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
 def _settled(e: tuple, ids: np.ndarray, k: np.ndarray, comm: np.ndarray, n_labels: int, total: int) -> np.ndarray:
-    """`comm` after rounds over the edges (a, b, w) of nodes 0..len(ids), until no move gains. See
-    `communities` for the rule; all numbers are whole, so joins give the same. A node is sought a
-    move for again only when its community or one beside it has changed: else the last one stands."""
-    a, b, _ = e
-    comm = comm.copy()
+    """`comm` after rounds over the edges (a, b, w) of nodes 0..len(ids), in the order of a, until no
+    move gains. See `communities` for the rule; all numbers are whole, so joins give the same, and so
+    does `_sought` for all nodes in every round.
+
+    Votes are counted again beside nodes that moved only. Of other nodes a move is sought again unless
+    none can gain: a node that would have gained `most` <= 0 gains at most k more for each unit that
+    its own community has grown by and that any other, not left by all, has lost (`lost`, summed over
+    rounds). So none gains while the weight of its own and `lost` are together within `bound`, nor if
+    in this round its own has not grown and none beside it has lost.
+    """
+    comm = comm.astype(np.int32)
     weight = np.zeros(n_labels, np.int64)
     np.add.at(weight, comm, k)
-    gain, to = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    todo = np.ones(len(ids), bool)
-    n = 0
+    gain, to = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+    bound = np.full(len(ids), np.iinfo(np.int64).max)
+    room, change = (np.full(n_labels, len(ids), np.int32), np.full(n_labels, len(ids), np.int32)), np.zeros(n_labels, np.int8)
+    votes = _Votes(e, len(ids))
+    nodes = np.flatnonzero(votes.row[1:] > votes.row[:-1])
+    votes.count_again(nodes, comm)
+    n = lost = 0
     while True:
-        _sought(e, k, comm, weight, total, todo, gain, to)
+        most = votes.seek(nodes, k, comm, weight, total, gain, to)
+        bound[nodes] = np.where(most > 0, -1, weight[comm[nodes]] + lost + -most // np.maximum(k[nodes], 1))
         if not gain.any():
             return comm
-        va = _chosen_moves(ids, k, comm, gain, to, n_labels, n)
-        changed = np.zeros(n_labels, bool)
-        changed[comm[va]] = changed[to[va]] = True
-        np.subtract.at(weight, comm[va], k[va])
+        va = _chosen_moves(ids, k, comm, gain, to, n_labels, n, room)
+        own, held = comm[va], weight[comm[va]]
+        np.subtract.at(weight, own, k[va])
         np.add.at(weight, to[va], k[va])
         comm[va] = to[va]
-        todo = changed[comm]
-        todo[a[todo[b]]] = True
+        lost += int((held - weight[own])[weight[own] > 0].max(initial=0))
+        near = np.zeros(len(ids), bool)
+        near[votes.beside(va)] = True
+        near = np.flatnonzero(near)
+        votes.count_again(near, comm)
+        bound[near] = bound[va] = -1
+        change[own], change[comm[va]] = -1, 1
+        changed = change[comm]
+        change[own] = change[comm[va]] = 0
+        members = np.flatnonzero(changed < 0)
+        if votes.degree(members).sum() < 2 * len(ids):
+            sought = (changed > 0) | (gain > 0)
+            sought[near] = sought[va] = sought[votes.beside(members)] = True
+            nodes = np.flatnonzero(sought)
+            nodes = nodes[weight[comm[nodes]] > bound[nodes] - lost]
+        else:
+            nodes = np.flatnonzero(weight[comm] > bound - lost)
         n += 1
 
 
 def _merged(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> tuple:
     """Edges between 0..n, parallel ones summed and those within a node left out."""
-    key, w = (a.astype(np.int64) * n + b)[a != b], w[a != b]
-    order = np.argsort(key)
-    key, w = key[order], w[order]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    w = np.add.reduceat(w, starts) if len(starts) else w
-    a, b = np.divmod(key[starts], n)
+    key, w = _summed((a.astype(np.int64) * n + b)[a != b], w[a != b])
+    a, b = np.divmod(key, n)
     return a.astype(np.int32), b.astype(np.int32), w
 
 
-def _clustered(a: np.ndarray, b: np.ndarray, w: np.ndarray, node: np.ndarray, k: np.ndarray, comm: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every node and its community, of edges (a, b, w), both ways, and nodes with their weight `k`
-    and community so far: the levels that are left, in one task."""
-    order = np.argsort(node)
-    names, k, comm = node[order], k[order], comm[order]
+def _placed(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each of `x` in `names`, which are in order; looked up in order, which is faster."""
+    order = np.argsort(x)
+    at = np.empty(len(x), np.int32)
+    at[order] = np.searchsorted(names, x[order])
+    return at
+
+
+def _clustered(a: np.ndarray, b: np.ndarray, w: np.ndarray, names: np.ndarray, k: np.ndarray, comm: np.ndarray, total: int) -> np.ndarray:
+    """The community of every node, of edges (a, b, w), both ways, between places in `names`, which are
+    in order, and the nodes' weights `k` and communities so far: the levels that are left, in one task."""
     labels = np.union1d(names, comm)  # places keep the order of the names
-    comm = np.searchsorted(labels, comm)
-    a, b = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
-    order = np.argsort(a, kind="stable")
-    e = (a[order], b[order], w[order])
-    del a, b, w, order
+    comm = _placed(labels, comm)
+    e = _merged(a, b, w, len(names))
+    del a, b, w
     ids, final = names, np.arange(len(names))  # `final`: the current node of each node of the start
     while True:
         comm = _settled(e, ids, k, comm, len(labels), total)
@@ -145,7 +277,7 @@ def _clustered(a: np.ndarray, b: np.ndarray, w: np.ndarray, node: np.ndarray, k:
         del within
         parts, part = np.unique(fine, return_inverse=True)
         if len(parts) == len(ids):
-            return names, labels[comm[final]]
+            return labels[comm[final]]
         final = part[final]
         first = np.full(len(parts), len(ids))
         np.minimum.at(first, part, np.arange(len(ids)))
@@ -155,27 +287,26 @@ def _clustered(a: np.ndarray, b: np.ndarray, w: np.ndarray, node: np.ndarray, k:
         e = _merged(part[e[0]], part[e[1]], e[2], len(parts))
 
 
-def _both_ways(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple:
-    return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-
-
-def _alone(a: np.ndarray, w: np.ndarray) -> tuple:
-    """The nodes of edges that are there both ways, their weights, and themselves as communities."""
-    node, at = np.unique(a, return_inverse=True)
-    k = np.zeros(len(node), np.int64)
+def _alone(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple:
+    """Of edges that are there one way: both ways, by places in the nodes; the nodes, their weights, and
+    themselves as communities."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at, w = at.astype(np.int32), np.concatenate([w, w])
+    k = np.zeros(len(names), np.int64)
     np.add.at(k, at, w)
-    return node, k, node
+    return at, np.concatenate([at[len(a) :], at[: len(a)]]), w, names, k, names
 
 
 def leiden(edges: dict[int, dict[int, float]]) -> dict[int, int]:
     """Communities of an undirected graph with whole weights, given by neighbours, by the rule of
     `communities` in one task; a community is named after its least node."""
-    rows = [(u, v, int(w)) for u, vs in sorted(edges.items()) for v, w in vs.items() if u != v]
+    rows = [(u, v, int(w)) for u, vs in sorted(edges.items()) for v, w in vs.items() if u < v]
     if not rows:
         return {u: u for u in edges}
     a, b, w = np.array(rows, np.int64).T
-    node, comm = _clustered(a, b, w, *_alone(a, w), int(w.sum()))
-    return _named({u: u for u in edges} | dict(zip(node.tolist(), comm.tolist(), strict=True)))
+    both = _alone(a, b, w)
+    comm = _clustered(*both, 2 * int(w.sum()))
+    return _named({u: u for u in edges} | dict(zip(both[3].tolist(), comm.tolist(), strict=True)))
 
 
 def _named(final: dict[int, int]) -> dict[int, int]:
@@ -231,17 +362,17 @@ def communities(links: DataFrame) -> DataFrame:
     whole = materialize(e, "weighted")
     edges = whole.unionByName(whole.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     nodes = edges.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).withColumn("comm", F.col("node"))
-    total = edges.agg(F.sum("w")).first()[0]
-    if total is None:
+    n, half = whole.agg(F.count(F.lit(1)), F.sum("w")).first()
+    total = 2 * (half or 0)
+    if not n:
         return nodes.select("node", F.col("comm").alias("community"))
-    if whole.count() <= SMALL:
+    if n <= SMALL:
 
         def all_of(t: pa.Table) -> pa.Table:
             a, b, w = (t[c].to_numpy() for c in "abw")
-            both = _both_ways(a, b, w)
-            node, comm = _clustered(*both, *_alone(both[0], both[2]), total)
-            a, b = np.searchsorted(node, a), np.searchsorted(node, b)
-            same = comm[a] == comm[b]
+            (a, b, w, node, *alone), n = _alone(a, b, w), len(a)
+            comm = _clustered(a, b, w, node, *alone, total)
+            same = np.flatnonzero(comm[a[:n]] == comm[b[:n]])
             return pa.table({"node": node, "community": node[hooked(len(node), a[same], b[same])]})
 
         return whole.groupBy().applyInArrow(all_of, "node bigint, community bigint")
@@ -262,7 +393,9 @@ def communities(links: DataFrame) -> DataFrame:
         def run(t: pa.Table) -> pa.Table:
             edge = t["edge"].to_numpy()
             a, b, w = (t[c].to_numpy() for c in "abw")
-            node, comm = _clustered(a[edge], b[edge], w[edge], a[~edge], w[~edge], b[~edge], total)
+            order = np.argsort(a[~edge])
+            node, comm, k = (x[~edge][order] for x in (a, b, w))
+            comm = _clustered(_placed(node, a[edge]), _placed(node, b[edge]), w[edge], node, k, comm, total)
             return pa.table({"part": node, "community": comm})
 
         left = edges.select("a", "b", "w", F.lit(True).alias("edge")).unionByName(nodes.select(F.col("node").alias("a"), F.col("comm").alias("b"), F.col("k").alias("w"), F.lit(False).alias("edge")))
@@ -278,13 +411,15 @@ def cluster_report(members: DataFrame, links: DataFrame, names: DataFrame, top:
     all that touch it), the `keep` names of highest degree, its `keep` commonest packages, and the
     commonest as its label. `names(node, name, label, qualified_name)`."""
     m = materialize(members.select("node", "community"), "members")
-    links = materialize(links.where("src <> dst"), "links")
-    ends = links.join(m.select(F.col("node").alias("src"), F.col("community").alias("cs")), "src").join(m.select(F.col("node").alias("dst"), F.col("community").alias("cd")), "dst")
-    inner = ends.where("cs = cd").groupBy(F.col("cs").alias("community")).agg(F.count(F.lit(1)).alias("within"))
-    outer = ends.where("cs <> cd").select(F.explode(F.array("cs", "cd")).alias("community")).groupBy("community").agg(F.count(F.lit(1)).alias("across"))
     sizes = m.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    d = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     few = F.broadcast(materialize(sizes.orderBy(F.desc("n"), "community").limit(top), "largest"))
+    ends = links.where("src <> dst").select("src", "dst").join(m.toDF("src", "cs"), "src", "left").join(m.toDF("dst", "cd"), "dst", "left")
+    ends = ends.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("cs").alias("community"), F.col("cd").alias("far")), F.struct(F.col("dst").alias("node"), F.col("cd").alias("community"), F.col("cs").alias("far")))).alias("x"))
+    # by node and then by community, so that a link is counted at either end
+    d = ends.select("x.*").join(few.select("community"), "community", "left_semi").groupBy("community", "node").agg(F.count(F.lit(1)).alias("degree"), F.expr("count_if(community = far)").alias("within"), F.expr("count_if(community <> far)").alias("across"))
+    d = materialize(d, "degrees")
+    told = d.groupBy("community").agg(F.expr("sum(within) div 2").alias("within"), F.sum("across").alias("across"))
+    d = d.select("node", "degree")
     named = m.join(few.select("community"), "community", "left_semi").join(names, "node")
     ranked = named.join(d, "node", "left").withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "node")))
     best = ranked.where(F.col("r") <= keep).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("top_names"))
@@ -292,7 +427,7 @@ def cluster_report(members: DataFrame, links: DataFrame, names: DataFrame, top:
     common = named.groupBy("community", package.alias("package")).agg(F.count(F.lit(1)).alias("c")).where("package <> ''")
     common = common.withColumn("r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("c"), "package"))).where(F.col("r") <= keep)
     packages = common.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "package"))), lambda x: x["package"]), ", ").alias("packages"), F.min_by("package", "r").alias("label"))
-    out = few.join(inner, "community", "left").join(outer, "community", "left").join(best, "community", "left").join(packages, "community", "left")
+    out = few.join(told, "community", "left").join(best, "community", "left").join(packages, "community", "left")
     w, a = F.coalesce("within", F.lit(0)), F.coalesce("across", F.lit(0))
     return out.select("community", "n", w.alias("within"), a.alias("across"), F.round(w / F.nullif(w + a, F.lit(0)), 6).alias("cohesion"), "top_names", "packages", "label")
 

@@ -62,18 +62,18 @@ def strong(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hooked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The component of each node 0..n of an undirected edge list, named after its least node.
-    Labels are hooked to the least around them and their chains halved, all at once."""
+    In a round every label is hooked to the least beside it and chains are shortened; edges within a
+    label are left out of the next."""
     label = np.arange(n)
     while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        np.minimum.at(low, b, label[a])
-        np.minimum.at(low, label[a], low[a])
-        np.minimum.at(low, label[b], low[b])
-        low = low[low]
-        if np.array_equal(low, label):
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
             return label
-        label = low
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(low := label[label], label):
+            label = low
 
 
 def connected(src: np.ndarray, dst: np.ndarray) -> tuple[list, list]:

@@ -597,7 +597,7 @@ def g_leiden(g):
 
 @_g()
 def g_clusters(g):
-    links = R.links(g, "CALLS")
+    links = materialize(R.links(g, "CALLS"), "links")
     return C.cluster_report(C.communities(links), links, g.nodes.select(F.col("id").alias("node"), "name", "label", "qualified_name"))
 
 

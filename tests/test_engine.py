@@ -408,6 +408,51 @@ def test_moves_sought_anew_are_those_sought_in_full():
         assert i > 2 and np.array_equal(C._settled(e, ids, k, np.arange(n), n, total), comm)
 
 
+def test_few_nodes_are_sought_again_when_little_changes(monkeypatch):
+    """Rounds in which few nodes move looked at every edge of a hub and of a large community again."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    a = rng.integers(0, n, 3 * n)
+    b = np.where(rng.random(3 * n) < 0.1, rng.integers(0, 4, 3 * n), np.minimum(a + rng.integers(1, 60, 3 * n), n - 1))
+    e = C._merged(np.r_[a, b], np.r_[b, a], np.ones(6 * n, np.int64), n)
+    k, total, seen = np.bincount(e[0], weights=e[2], minlength=n).astype(np.int64), int(e[2].sum()), []
+    seek = C._Votes.seek
+    monkeypatch.setattr(C._Votes, "seek", lambda self, nodes, *rest: seen.append(len(nodes)) or seek(self, nodes, *rest))
+    comm = C._settled(e, np.arange(n), k, np.arange(n), n, total)
+    gain, to = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    C._sought(e, k, comm, np.bincount(comm, weights=k, minlength=n).astype(np.int64), total, np.ones(n, bool), gain, to)
+    assert not gain.any() and len(seen) > 10 and np.median(seen) < n / 50
+
+
+def test_moves_are_ordered_by_gain_then_hash_then_node():
+    rng = np.random.default_rng(9)
+    for most, top in ((3, 4), (10**15, 2147483629), (5, 2147483629)):
+        gain, h, va = rng.integers(1, most, 5000), rng.integers(0, top, 5000), rng.permutation(5000)
+        assert np.array_equal(C._order(gain, h, va), np.lexsort((-va, -h, -gain)))
+
+
+def test_parts_of_votes_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    edges: dict = {}
+    for _ in range(900):
+        a, b = rng.randrange(200), int(200 * rng.random() ** 3)
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                edges.setdefault(x, {})[y] = edges.get(x, {}).get(y, 0) + 1
+    whole = C.leiden(edges)
+    monkeypatch.setattr(C, "CHUNK", 7)
+    assert C.leiden(edges) == whole and 2 < len(set(whole.values())) < 100
+
+
+def test_cluster_report_counts_links_of_members_only(spark):
+    """Links to nodes of no community add to a degree, not to what is within or across."""
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)], "node bigint, community bigint")
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 6), (3, 9), (3, 3), (9, 3)], "src bigint, dst bigint")
+    names = spark.createDataFrame([(i, f"n{i}", "Function", f"p.m{i % 2}.n{i}") for i in range(1, 7)], "node bigint, name string, label string, qualified_name string")
+    got = rows(C.cluster_report(members, links, names).select("community", "n", "within", "across", "cohesion", "top_names"))
+    assert got == [(1, 3, 3, 1, 0.75, "n3, n2, n1"), (4, 2, 1, 2, 0.333333, "n4, n5")]
+
+
 def test_dual_cap_keeps_caps_and_bridges(spark):
     star = [(i, "p", 0, i, "CALLS", None) for i in range(1, 20)] + [(100, "p", 0, 50, "CONTAINS", None), (101, "p", 1, 2, "CALLS", None), (102, "p", 1, 2, "CALLS", None)]
     e = spark.createDataFrame(star, EDGE)
